@@ -5,7 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vellumspark.llm import mixing, quality
+from vellumspark.llm.decontam import decontaminate
+from vellumspark.llm.linededup import line_dedup
+from vellumspark.llm.neardup import near_duplicates
+from vellumspark.llm.substring import substring_dedup
 from vellumspark.llm.tokens import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,8 +27,62 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "turn")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Classifier:
+    return quality.train(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.score(docs, fitted(spark, docs, sf_dir))
+    return scores.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_quality": op4_quality,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
+    "op5_line_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS l FROM documents),
+        w AS (SELECT doc_id, p, array_to_string(l[p + 1 : p + 3], chr(10)) AS t
+              FROM (SELECT doc_id, l, unnest(range(len(l) - 2)) AS p FROM d WHERE len(l) >= 3)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS k FROM w),
+        g AS (SELECT DISTINCT doc_id, p + j AS at FROM f, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1),
+        x AS (SELECT d.doc_id, i - 1 AS at, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d) d),
+        k AS (SELECT x.doc_id, count(*) AS n, count(g.at) AS gone, coalesce(string_agg(line, chr(10) ORDER BY x.at) FILTER (WHERE g.at IS NULL), '') AS kept
+              FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.at = x.at GROUP BY x.doc_id)
+        SELECT doc_id, n::BIGINT AS n_lines, gone::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM k
+    """,
+}
