@@ -52,11 +52,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Backward search and location over a sequence of small non-negative numbers; 0 ends it."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, alphabet: int):
         sa = suffix_array(text)
         bwt = text[sa - 1]
         self.size = len(text)
-        self.levels = max(1, int(text.max()).bit_length())
+        self.levels = max(1, (alphabet - 1).bit_length())
         counts = np.bincount(text, minlength=1 << self.levels)
         self.before = np.concatenate([[0], np.cumsum(counts)])
         self.ones, self.zeros = [], []
@@ -151,7 +151,7 @@ def _search_shard(ids: list[np.ndarray], p: Phrases) -> tuple[list[np.ndarray],
         return covered, items
     keep = np.concatenate([np.arange(a, b + 1) for a, b in zip(starts, ends)])
     text = np.append(flat[keep], 0)
-    index = FMIndex(text)
+    index = FMIndex(text, len(p.vocabulary) + 2)
     doc_start = np.concatenate([[0], np.cumsum(sizes + 1)])
     for k, (matrix, owners) in p.by_length.items():
         lo, hi = index.search(matrix)

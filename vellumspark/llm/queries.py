@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import mixing, quality
+from vellumspark.llm import hamming, mixing, quality, store, warcstore
 from vellumspark.llm.decontam import decontaminate
 from vellumspark.llm.linededup import line_dedup
 from vellumspark.llm.neardup import near_duplicates
+from vellumspark.llm.siteextract import extract_pages
 from vellumspark.llm.substring import substring_dedup
 from vellumspark.llm.tokens import token_counts
 
@@ -57,6 +58,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "archive")
+    warcstore.write_archive(table(spark, sf_dir, "pages"), path)
+    back = warcstore.read_verified(spark, path)
+    return back.select(F.col("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "verified")
+
+
+def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.hamming_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -69,11 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_main_text": op7_main_text,
+    "op8_warc": op8_warc,
+    "op9_hamming_topk": op9_hamming_topk,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op9_hamming_topk": hamming.SQL,
     "op5_line_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS l FROM documents),
         w AS (SELECT doc_id, p, array_to_string(l[p + 1 : p + 3], chr(10)) AS t
