@@ -20,7 +20,8 @@ from vellumspark.llm.components import components
 from vellumspark.llm.store import staged
 from vellumspark.llm.wordhash import LOWER, WORDS, rolling
 
-PERMUTATIONS, BITS = 128, 4
+# MARGIN is over four standard errors of the estimate at these sizes.
+PERMUTATIONS, BITS, MARGIN = 128, 4, 0.15
 FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 
 
@@ -87,47 +88,76 @@ def _estimate(x: Column, y: Column) -> Column:
     return (1 - unequal / PERMUTATIONS - chance) / (1 - chance)
 
 
-def _tile_pairs(least: float):
-    """Pairs of one tile pair of a bucket in different classes whose estimate is at least `least`."""
+def _overlap(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _tile_links(percent: int, least: float):
+    """Links that join classes inside one pair of tiles of a bucket, each confirmed on the full sets.
+
+    A pair is looked at in the first band that both documents share, if their signatures agree enough and their classes
+    are still apart; so a tile gives fewer links than it has documents.
+    """
     chance = 2.0**-BITS
 
-    def pairs(rows: pa.Table) -> pa.Table:
+    def links(rows: pa.Table) -> pa.Table:
         node, comp, side = (rows[c].to_numpy() for c in ("node", "comp", "side"))
+        band = rows["band"][0].as_py()
         sig = np.array(rows["sig"].to_pylist(), np.int64).view(np.uint8).reshape(len(node), -1)
         sig = np.stack([sig & 15, sig >> 4], axis=2).reshape(len(node), -1)
+        keys = np.array(rows["bands"].to_pylist(), np.int64)[:, :band]
+        items = [np.frombuffer(x, np.uint64) for x in rows["items"].to_pylist()]
+        size = np.array([len(x) for x in items])
+        _, group = np.unique(comp, return_inverse=True)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         a, b = [], []
         for i in left:
-            equal = (sig[right] == sig[i]).mean(axis=1)
-            near = right[((equal - chance) / (1 - chance) >= least) & (comp[right] != comp[i]) & ((side[i] != 0) | (node[right] > node[i]))]
-            a += [node[i]] * len(near)
-            b += node[near].tolist()
+            apart = right[(group[right] != group[i]) & ((side[i] != 0) | (node[right] > node[i]))]
+            apart = apart[100 * np.minimum(size[apart], size[i]) >= percent * np.maximum(size[apart], size[i])]
+            like = ((sig[apart] == sig[i]).mean(axis=1) - chance) / (1 - chance)
+            order = np.argsort(-like, kind="stable")[: int((like >= least).sum())]
+            for j in apart[order][~(keys[apart[order]] == keys[i]).any(axis=1)]:
+                if group[j] != group[i] and _overlap(items[i], items[j], percent):
+                    group[group == group[j]] = group[i]
+                    a.append(node[i])
+                    b.append(node[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs
+    return links
 
 
-def _similar(size: int, percent: int):
+def _similar(percent: int):
     """Keeps pairs whose full sets overlap enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+            keep = [_overlap(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return similar
 
 
-def _sets(size: int):
+def _sets_of(whole: DataFrame, nodes: DataFrame, size: int, name: str, bits: int = 23) -> DataFrame:
+    """Full shingle sets of the given nodes: node, items.
+
+    A bitmap of node hashes, of fixed size, keeps other texts from being cut up and shuffled; the join is exact.
+    """
+    place = F.xxhash64(F.col("node")).bitwiseAND(2**bits - 1)
+    words = nodes.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).collect()
+    bitmap = np.zeros(2 ** (bits - 6), np.int64)
+    for r in words:
+        bitmap[r.w] = r.m
+    known = whole.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((known.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "items"])
 
-    return sets
+    rows = whole.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").withColumn("p", place)
+    return staged(rows.mapInArrow(sets, "node long, items binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), name)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5, bands: int = 25, tile: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,43 +175,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     feats = staged(whole.mapInArrow(_features(shingle, rows, bands), FEATURES), "features")
     usable = feats.where("n_shingles > 0 and doc_id is not null")
     firsts = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    reps = staged(firsts.join(usable, ["k1", "k2"]).where("doc_id = node").select("node", "sig", "bands").dropDuplicates(["node"]), "representatives")
-
-    entries = reps.select("node", F.explode("bands").alias("h"))
-    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = staged(entries.join(ends, "h"), "buckets")
-    sig = reps.select("node", "sig")
-
-    def near(pairs: DataFrame, least: float) -> DataFrame:
-        x, y = sig.toDF("a", "x"), sig.toDF("b", "y")
-        return pairs.join(x, "a").join(y, "b").where(_estimate(F.col("x"), F.col("y")) >= least).select("a", "b")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "candidates")
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-        texts = whole.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        items = staged(texts.mapInArrow(_sets(shingle), "node long, items binary"), "sets")
-        full = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return staged(full.mapInArrow(_similar(shingle, percent), "a long, b long"), "confirmed")
-
-    ordered = [F.least("node", c).alias("a") for c in ("low", "high")], [F.greatest("node", c).alias("b") for c in ("low", "high")]
-    star = buckets.select(F.explode(F.array(*(F.struct(a, b) for a, b in zip(*ordered)))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    margin = percent / 100 - 0.25
-    links = confirmed(near(star, margin))
-    for least in (percent / 100 - 0.02, margin):
-        classes = components(links)
-        placed = buckets.join(classes, buckets.node == classes.node, "left").select(buckets.node, "h", F.coalesce("component", buckets.node).alias("comp"))
-        apart = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2")
-        tiles = F.ceil(F.col("n") / tile).cast("int")
-        held = staged(placed.join(apart, "h").select("h", "node", "comp", tiles.alias("t"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own")), "apart")
-        if held.isEmpty():
-            break
-        spread = held.select("h", "node", "comp", "own", F.explode(F.expr("sequence(0, t - 1)")).alias("other"))
+    reps = staged(firsts.join(usable, ["k1", "k2"]).where("doc_id = node").select("node", "n_shingles", "sig", "bands").dropDuplicates(["node"]), "representatives")
+
+    entries = reps.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
+    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    buckets = staged(entries.join(ends, "h").select("h", "band", "node", "low", "high", "n"), "buckets")
+
+    pair = [F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")) for c in ("low", "high")]
+    star = buckets.select(F.explode(F.array(*pair)).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+    x, y = reps.select("node", "n_shingles", "sig").toDF("a", "p", "x"), reps.select("node", "n_shingles", "sig").toDF("b", "q", "y")
+    least = percent / 100 - MARGIN
+    near = star.join(x, "a").join(y, "b").where((100 * F.least("p", "q") >= percent * F.greatest("p", "q")) & (_estimate(F.col("x"), F.col("y")) >= least))
+    near = staged(near.select("a", "b"), "candidates")
+    items = _sets_of(whole, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), shingle, "sets")
+    full = near.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = staged(full.mapInArrow(_similar(percent), "a long, b long"), "confirmed")
+
+    classes = staged(components(links), "classes")
+    placed = buckets.where("n > 2").join(classes, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("comp"))
+    apart = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    held = staged(placed.join(apart, "h").select("h", "band", "node", "comp", tiles.alias("t"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own")), "apart")
+    if not held.isEmpty():
+        more = _sets_of(whole, held.select("node").distinct(), shingle, "sets")
+        spread = held.select("h", "band", "node", "comp", "own", F.explode(F.expr("sequence(0, t - 1)")).alias("other"))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "comp").join(sig, "node")
-        found = spread.groupBy("h", "i", "j").applyInArrow(_tile_pairs(least), "a long, b long")
-        new = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.union(links), ["a", "b"], "left_anti")
-        links = staged(links.union(confirmed(new)), "links")
+        spread = spread.select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "comp")
+        rich = spread.join(reps.select("node", "sig", "bands"), "node").join(more, "node")
+        links = staged(links.union(rich.groupBy("h", "i", "j").applyInArrow(_tile_links(percent, least), "a long, b long")), "links")
     classes = components(links)
     named = firsts.join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
