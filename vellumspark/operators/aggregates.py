@@ -96,25 +96,21 @@ def style_share(runs: DataFrame, by: list[str]) -> DataFrame:
 def repeated_phrases(texts: DataFrame, key: str, col: str) -> DataFrame:
     """First phrase said back to back: one word four times or two to six words three times; shortest, then earliest.
 
-    A phrase of n words repeats where the words equal those n places on, over a run of n (times - 1) places.
+    A phrase of n words repeats where words equal those n places on, over a run of n (times - 1) places; only such
+    places are kept, and runs of them are islands of position less rank.
     """
-    clean = F.transform(F.split(F.lower(F.col(col)), "[\\s‌]+"), lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
-    words = texts.select(F.col(key), F.filter(clean, lambda w: w != "").alias("w"))
-
-    def runs(n: int):
-        need = n * (3 if n == 1 else 2)
-        same = F.when(F.size("w") > n, F.transform(F.sequence(F.lit(0), F.size("w") - n - 1), lambda i: F.col("w")[i] == F.col("w")[i + n])).otherwise(F.array().cast("array<boolean>"))
-        start = F.struct(F.lit(0).alias("run"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
-
-        def step(a, x):
-            run = F.when(x, a["run"] + 1).otherwise(0)
-            return F.struct(run.alias("run"), F.when((a["at"] < 0) & (run >= need), a["i"] - need + 1).otherwise(a["at"]).alias("at"), (a["i"] + 1).alias("i"))
-
-        return F.aggregate(same, start, step, lambda a: a["at"])
-
-    found = words.select(key, "w", F.array(*(F.struct(F.lit(n).alias("n"), runs(n).alias("at")) for n in range(1, 7))).alias("f"))
-    first = F.get(F.filter("f", lambda x: x["at"] >= 0), F.lit(0))
-    return found.withColumn("first", first).where("first is not null").select(key, F.array_join(F.slice("w", F.col("first.at") + 1, F.col("first.n")), " ").alias("phrase"))
+    raw = texts.select(F.col(key), F.posexplode(F.split(F.lower(F.col(col)), "[\\s\u200c]+")).alias("at", "word"))
+    clean = raw.withColumn("word", F.regexp_replace("word", r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")).where("word <> ''")
+    w = Window.partitionBy(key).orderBy("at")
+    ahead = F.array(*(F.when(F.lead("word", n).over(w) == F.col("word"), F.lit(n)) for n in range(1, 7)))
+    phrase = F.array(F.col("word"), *(F.lead("word", n).over(w) for n in range(1, 6)))
+    placed = clean.select(key, "word", F.row_number().over(w).alias("pos"), ahead.alias("ns"), phrase.alias("p"))
+    same = placed.select(key, "pos", "p", F.explode(F.array_compact("ns")).alias("n"))
+    island = same.withColumn("i", F.col("pos") - F.row_number().over(Window.partitionBy(key, "n").orderBy("pos")))
+    runs = island.groupBy(key, "n", "i").agg(F.count("*").alias("k"), F.min(F.struct("pos", "p")).alias("first"))
+    long_ = runs.where(F.col("k") >= F.col("n") * F.when(F.col("n") == 1, 3).otherwise(2))
+    best = long_.groupBy(key).agg(F.min(F.struct("n", "first")).alias("b"))
+    return best.select(key, F.array_join(F.slice("b.first.p", F.lit(1), F.col("b.n")), " ").alias("phrase"))
 
 
 def script_share(texts: DataFrame, key: str, col: str, language: str) -> DataFrame:
