@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vellumspark.functions.lang import TERM_STOP
 
 
 def drop_subsumed(terms: DataFrame, share: float = 0.8) -> DataFrame:
@@ -15,3 +18,161 @@ def drop_subsumed(terms: DataFrame, share: float = 0.8) -> DataFrame:
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("words") - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
     longer = terms.where("words > 1").select(F.explode(F.array_distinct(runs)).alias("key"), F.col("n").alias("big")).groupBy("key").agg(F.max("big").alias("big"))
     return terms.join(longer, "key", "left").where(F.col("big").isNull() | (F.col("big") < share * F.col("n"))).drop("big")
+
+
+def term_candidates(texts: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
+    """Tallies of term candidates of English texts: key (lower case), words, n, bonus, form (as written), place.
+
+    Runs of one to four words inside clauses count when no stop word stands at either end, no word is shorter than two
+    letters and a single one has four or more; runs of capitalised words and acronyms count again with a bonus of 2.
+    Rows are occurrences combined per form before the shuffle on the term.
+    """
+    stop = F.array(*(F.lit(w) for w in TERM_STOP))
+    clause = texts.select(key, F.posexplode(F.split(F.col(col), r"[,;:()\[\]{}«»\"“”—–?!.]")).alias("c", "clause"))
+    words = clause.select(key, "c", F.regexp_extract_all("clause", F.lit(r"\p{L}[\p{L}\p{N}'’-]*"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    # One exploded row a word; longer runs come from the words after it.
+    w = Window.partitionBy(key, "c").orderBy("i")
+    each = words.select(key, "c", F.posexplode("w").alias("i", "w1"))
+    each = each.select("*", F.lead("w1", 1).over(w).alias("w2"), F.lead("w1", 2).over(w).alias("w3"), F.lead("w1", 3).over(w).alias("w4"))
+    ok = lambda c: F.col(c).isNotNull() & (F.char_length(c) >= 2)
+    edge = lambda c: ~F.array_contains(stop, F.lower(F.col(c)))
+    grams = []
+    for n in range(1, 5):
+        cols = [f"w{k}" for k in range(1, n + 1)]
+        good = edge("w1") & edge(cols[-1]) & (F.char_length("w1") >= 4 if n == 1 else F.lit(True))
+        for c in cols:
+            good = good & ok(c)
+        grams.append(F.when(good, F.struct(F.lower(F.concat_ws(" ", *cols)).alias("key"), F.lit(n).alias("words"))))
+    place = F.struct(F.col(key).cast("string").alias("d"), "c", "i")
+    plain = each.select(place.alias("place"), F.explode(F.array_compact(F.array(*grams))).alias("g")).select("g.key", "g.words", F.col("g.key").alias("form"), F.lit(0).alias("bonus"), "place")
+    acronym = F.col("w1").rlike(r"^\p{Lu}{2,}\p{N}*$")
+    capital = F.col("w1").rlike(r"^\p{Lu}\p{Ll}") & edge("w1")
+    marked = each.withColumn("island", F.sum(F.when(capital, 0).otherwise(1)).over(w))
+    runs = marked.where(capital).groupBy(key, "c", "island").agg(F.sort_array(F.collect_list(F.struct("i", "w1"))).alias("r"))
+    runs = runs.where((F.size("r") >= 2) | (F.col("r")[0]["i"] > 0)).select(F.struct(F.col(key).cast("string").alias("d"), "c", F.col("r")[0]["i"].alias("i")).alias("place"), F.array_join(F.transform("r", lambda x: x["w1"]), " ").alias("form"), F.size("r").alias("words"))
+    named = runs.select(F.lower("form").alias("key"), "words", "form", F.lit(2).alias("bonus"), "place")
+    letters = each.where(acronym).select(F.lower("w1").alias("key"), F.lit(1).alias("words"), F.col("w1").alias("form"), F.lit(2).alias("bonus"), place.alias("place"))
+    every = plain.unionByName(named).unionByName(letters)
+    return every.groupBy("key", "words", "form").agg(F.count("*").alias("n"), F.max("bonus").alias("bonus"), F.min("place").alias("place"))
+
+
+def surface_form(tallies: DataFrame) -> DataFrame:
+    """Tallies by term with their most frequent writing; the one seen first wins ties."""
+    best = tallies.groupBy("key").agg(F.sum("n").alias("n"), F.max("words").alias("words"), F.max("bonus").alias("bonus"), F.max("n").alias("top"))
+    first = tallies.join(best.select("key", "top"), "key").where("n = top").groupBy("key").agg(F.min_by("form", "place").alias("form"))
+    return best.drop("top").join(first, "key")
+
+
+def singular(c: Column) -> Column:
+    """Singular of an English plural word, null when it does not look like one."""
+    short = lambda k: F.substring(c, F.lit(1), F.char_length(c) - k)
+    ies = (F.char_length(c) > 4) & c.endswith("ies")
+    return F.when(ies, F.concat(short(3), F.lit("y"))).when(c.rlike("(?:ses|xes|zes|ches|shes)$"), short(2)).when(c.endswith("s") & ~c.rlike("(?:ss|us|is)$"), short(1))
+
+
+def merge_plurals(terms: DataFrame) -> DataFrame:
+    """Adds a plural's tally to its singular where that occurs too; one step from the tallies given."""
+    t = terms.withColumn("last", F.regexp_extract("key", r"(\S+)$", 1)).withColumn("head", F.regexp_replace("key", r"\S+$", ""))
+    t = t.withColumn("target", F.concat("head", singular(F.col("last")))).drop("head", "last")
+    known = terms.select(F.col("key").alias("target"), F.lit(True).alias("known"))
+    j = t.join(known, "target", "left")
+    into = F.when(F.col("known"), F.col("target")).otherwise(F.col("key"))
+    moved = j.withColumn("into", into)
+    return moved.groupBy(F.col("into").alias("key")).agg(F.max("words").alias("words"), F.sum("n").alias("n"), F.max("bonus").alias("bonus"), F.max_by("form", F.col("key") == F.col("into")).alias("form"))
+
+
+def candidate_scores(terms: DataFrame) -> DataFrame:
+    """Terms frequent enough for their bonus and length, with score n * words^1.5 + bonus."""
+    keep = F.when(F.col("bonus") >= 6, True).when(F.col("bonus") >= 2, F.col("n") >= 2).when(F.col("words") == 1, F.col("n") >= 4).otherwise(F.col("n") >= 3)
+    return terms.where(keep).withColumn("score", F.round(F.col("n") * F.pow("words", F.lit(1.5)) + F.col("bonus"), 6))
+
+
+def example_sentences(terms: DataFrame, sentences: DataFrame, most: int = 2) -> DataFrame:
+    """The first sentences that hold a term: key, examples. Sentences (place, sentence) meet terms by their word runs."""
+    w = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    cut = F.when(F.char_length("sentence") > 240, F.concat(F.substring("sentence", 1, 237), F.lit("…"))).otherwise(F.col("sentence"))
+    s = sentences.withColumn("w", w).select("place", cut.alias("sentence"), F.explode(F.array_distinct(runs)).alias("key")).join(terms.select("key"), "key", "left_semi")
+    o = Window.partitionBy("key").orderBy("place", "sentence")
+    return s.withColumn("k", F.row_number().over(o)).where(F.col("k") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "sentence"))).alias("e")).select("key", F.transform("e", lambda x: x["sentence"]).alias("examples"))
+
+
+def canonical(c):
+    """A word without English inflection, so that text and term words meet by equality."""
+    x = F.regexp_replace(F.lower(c), "['’]s?$", "")
+    return F.when(x.rlike("ies$") & (F.char_length(x) > 3), F.regexp_replace(x, "ies$", "y")).otherwise(F.regexp_replace(x, "(?:es|s|e)$", ""))
+
+
+def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text", most_words: int = 6) -> DataFrame:
+    """All leftmost-longest, non-overlapping occurrences of terms (term_id, src): key, term_id, start, end (words from 0).
+
+    Words lose inflection; runs of up to most_words words meet the dictionary by equality, whatever its size; a fold over a
+    text's candidates in order settles overlaps. Terms of one character are left out.
+    """
+    words = F.filter(F.split(F.col(col), r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
+    t = terms.where(F.char_length(F.trim("src")) > 1).withColumn("w", F.filter(F.split("src", r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")).where(F.size("w").between(1, most_words))
+    dictionary = t.select(F.array_join(_canonical_run("w"), " ").alias("g"), F.size("w").alias("n"), "term_id", F.char_length("src").alias("len"))
+    dictionary = dictionary.groupBy("g", "n").agg(F.max_by("term_id", F.struct("len", "term_id")).alias("term_id"), F.max("len").alias("len"))
+    w = Window.partitionBy(key).orderBy("i")
+    each = texts.select(key, F.posexplode(words).alias("i", "w"))
+    own, plain = canonical(F.col("w")), F.lower("w")
+    each = each.select(key, "i", own.alias("last"), plain.alias("w0"))
+    for k in range(1, most_words):
+        each = each.withColumn(f"w{k}", F.lag("w0", k).over(w))
+    runs = F.array(*(F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(F.col(f"w{k}") for k in range(n - 1, 0, -1)), F.col("last")).alias("g"), *([F.col(f"w{n - 1}").isNotNull().alias("full")])) for n in range(1, most_words + 1)))
+    grams = each.select(key, F.col("i").alias("e"), F.explode(runs).alias("r")).where("r.full").select(key, "e", "r.n", "r.g")
+    hits = grams.join(dictionary, ["g", "n"]).select(key, (F.col("e") - F.col("n") + 1).alias("start"), (F.col("e") + 1).alias("end"), "term_id", "len")
+    per = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "end", "term_id"))).alias("h"))
+    kind = hits.schema["term_id"].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,end:int,term_id:{kind}>>").alias("out"))
+    fold = F.aggregate("h", start, lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["term_id"].alias("term_id")))).alias("out"))).otherwise(a), lambda a: a["out"])
+    return per.select(key, F.explode(fold).alias("m")).select(key, "m.term_id", "m.start", "m.end")
+
+
+def _canonical_run(c: str):
+    """Canonical words of a term: only its last word is inflected in texts."""
+    n = F.size(c)
+    return F.transform(F.col(c), lambda x, i: F.when(i == n - 1, canonical(x)).otherwise(F.lower(x)))
+
+
+def terms_in_texts(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
+    return terms.join(match_terms(texts, terms, key, col).select("term_id").distinct(), "term_id", "left_semi")
+
+
+def affected_segments(segments: DataFrame, translations: DataFrame, term: DataFrame, key: str = "segment_id") -> DataFrame:
+    """Segments with a translation, in any finished or open state, whose source holds one of the given terms."""
+    open_ = translations.where("status not in ('pending', 'queued')").select(key).distinct()
+    return match_terms(segments.join(open_, key, "left_semi"), term, key, "text").select(key).distinct()
+
+
+def earlier_terms(matches: DataFrame, positions: DataFrame, key: str, most: int = 60) -> DataFrame:
+    """For every node position, the terms whose first finished use lies before it, at most 60 by first use.
+
+    matches hold (book, term_id, pos); positions (book, pos). First uses are one row a term, so the range join is on them;
+    per book the running list is a window over first uses and positions together.
+    """
+    first = matches.groupBy(key, "term_id").agg(F.min("pos").alias("pos"))
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("pos", "term_id"))).where(F.col("k") <= most).select(key, "pos", "term_id", "k")
+    entry = F.struct("k", "term_id")
+    asked = positions.select(key, "pos").distinct().withColumns({"k": F.lit(0), "term_id": F.lit(None).cast(first.schema["term_id"].dataType)})
+    marks = ranked.select(key, "pos", F.lit(0).alias("side"), entry.alias("t")).unionByName(asked.select(key, "pos", F.lit(-1).alias("side"), F.when(F.col("k") > 0, entry).alias("t")))
+    w = Window.partitionBy(key).orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.withColumn("known", F.collect_list("t").over(w)).where("side = -1")
+    return seen.select(key, "pos", F.explode("known").alias("t")).select(key, "pos", "t.term_id")
+
+
+def first_mentions(matches: DataFrame, terms: DataFrame, introduced: DataFrame | None = None) -> DataFrame:
+    """What happens to each occurrence of a managed term in a chapter: add, keep, remove or none.
+
+    matches hold (chapter, ord, start, term_id, has_note); the first mention keeps or gets its note, later ones lose it,
+    a term whose policy is never always loses it and one of policy always is left alone. introduced lists (chapter, src)
+    known from before.
+    """
+    m = matches.join(terms.where("policy <> 'always'").select("term_id", F.lower("src").alias("k"), "policy"), "term_id")
+    w = Window.partitionBy("chapter", "k").orderBy("ord", "start")
+    m = m.withColumn("first", (F.row_number().over(w) == 1) & (F.col("policy") != "never"))
+    if introduced is not None:
+        known = introduced.select("chapter", F.lower("src").alias("k")).distinct().withColumn("known", F.lit(True))
+        m = m.join(known, ["chapter", "k"], "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
+    do = F.when(F.col("first") & F.col("has_note"), "keep").when(F.col("first"), "add").when(F.col("has_note"), "remove").otherwise("none")
+    return m.select("chapter", "ord", "start", "term_id", do.alias("edit"))
