@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.store import staged
+
 
 def _windows(lines: Column, size: int) -> Column:
-    """Position and 128-bit hash of every run of `size` lines."""
-    text = lambda i: F.concat_ws("\n", F.slice(lines, i + 1, F.lit(size)))
+    """Position and 128-bit hash of every run of `size` lines, from two 64-bit hashes of each line."""
+    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     last = F.size(lines) - size
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(text(i)).alias("h1"), F.xxhash64(F.lit(1), text(i)).alias("h2")))
+    run = lambda h, i, part: F.xxhash64(*(h[i + k][part] for k in range(size)))
+    # The hashes are bound once a text: a transform over an array of one.
+    bound = F.transform(F.array(hashes), lambda h: F.transform(places, lambda i: F.struct(i.alias("pos"), run(h, i, "a").alias("h1"), run(h, i, "b").alias("h2"))))
+    return bound[0]
 
 
 def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +34,7 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = F.split(F.col(text_col), "\n", -1)
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.explode(_windows(lines, size)).alias("w"))
-    windows = ids.select("_id", "w.pos", "w.h1", "w.h2")
+    windows = staged(ids.select("_id", "w.pos", "w.h1", "w.h2"), "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = windows.join(firsts, ["h1", "h2"]).where(F.struct("_id", "pos") != F.col("first"))
     gone = later.groupBy("_id").agg(F.collect_set("pos").alias("_starts"))
