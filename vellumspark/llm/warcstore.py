@@ -54,9 +54,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
         _line("Content-Length", F.col("size").cast("string")),
         F.lit("\r\n"),
     )
-    known.select("record_id", header.cast("binary").alias("header"), "address").write.parquet(f"{path}/records")
+    known.select("record_id", header.cast("binary").alias("header"), "address").write.option("compression", "zstd").parquet(f"{path}/records")
     stored = rows.withColumn("address", F.sha2("payload", 256)).join(firsts.withColumnRenamed("first_id", "record_id"), ["address", "record_id"], "left_semi")
-    stored.dropDuplicates(["address"]).select("address", "payload").write.parquet(f"{path}/payloads")
+    stored.dropDuplicates(["address", "record_id"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _field(header: Column, name: str, value: str) -> Column:
