@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def _form(name: str):
     return normal
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def nfd(c: Column) -> Column:
     return _form("NFD")(c)
 
@@ -151,10 +157,16 @@ def extract_json(c: Column, schema: str) -> Column:
 
 def contains_ranges(c: Column, query: Column) -> Column:
     """Start and end (exclusive, from 0) of every occurrence of a lower-case query, without overlaps."""
-    parts = F.split(F.lower(c), F.concat(F.lit("\\Q"), query, F.lit("\\E")), -1)
+    parts = F.transform(F.split(F.lower(c), F.concat(F.lit("\\Q"), query, F.lit("\\E")), -1), F.char_length)
     n = F.char_length(query)
-    ends = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.char_length(x)) + i * n)
-    return F.transform(ends, lambda s: F.struct(s.alias("start"), (s + n).alias("end")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(a, size):
+        s = a["at"] + size
+        return F.struct((s + n).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), (s + n).alias("end")))).alias("out"))
+
+    # Every part but the last is followed by a hit.
+    return F.aggregate(parts, start, step, lambda a: F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1))
 
 
 def markup_to_html(c: Column) -> Column:

@@ -106,9 +106,9 @@ def repeated_phrases(texts: DataFrame, key: str, col: str) -> DataFrame:
     phrase = F.array(F.col("word"), *(F.lead("word", n).over(w) for n in range(1, 6)))
     placed = clean.select(key, "word", F.row_number().over(w).alias("pos"), ahead.alias("ns"), phrase.alias("p"))
     same = placed.select(key, "pos", "p", F.explode(F.array_compact("ns")).alias("n"))
-    island = same.withColumn("i", F.col("pos") - F.row_number().over(Window.partitionBy(key, "n").orderBy("pos")))
-    runs = island.groupBy(key, "n", "i").agg(F.count("*").alias("k"), F.min(F.struct("pos", "p")).alias("first"))
-    long_ = runs.where(F.col("k") >= F.col("n") * F.when(F.col("n") == 1, 3).otherwise(2))
+    island = same.withColumn("_i", F.col("pos") - F.row_number().over(Window.partitionBy(key, "n").orderBy("pos")))
+    runs = island.groupBy(key, "n", "_i").agg(F.count("*").alias("_run"), F.min(F.struct("pos", "p")).alias("first"))
+    long_ = runs.where(F.col("_run") >= F.col("n") * F.when(F.col("n") == 1, 3).otherwise(2))
     best = long_.groupBy(key).agg(F.min(F.struct("n", "first")).alias("b"))
     return best.select(key, F.array_join(F.slice("b.first.p", F.lit(1), F.col("b.n")), " ").alias("phrase"))
 

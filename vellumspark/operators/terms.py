@@ -103,15 +103,31 @@ def canonical(c):
     return F.when(x.rlike("ies$") & (F.char_length(x) > 3), F.regexp_replace(x, "ies$", "y")).otherwise(F.regexp_replace(x, "(?:es|s|e)$", ""))
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text", most_words: int = 6) -> DataFrame:
+def canonical_persian(c: Column) -> Column:
+    """A Persian word without plural and ezafe endings, Arabic letters folded."""
+    return F.regexp_replace(F.translate(c, "يك", "یک"), "(?<=.{2})(?:هایی|های|ها|ای|ی)$", "")
+
+
+INFLECTIONS = {"en": canonical, "fa": canonical_persian}
+SUFFIX_JOINER = "\u200c(?=(?:هایی|های|ها|ای|ی)(?!\\p{L}))"
+
+
+def term_words(c: Column) -> Column:
+    """Words of a text or term; a joiner before a Persian suffix belongs to the word, other joiners are gaps."""
+    return F.filter(F.split(F.regexp_replace(c, SUFFIX_JOINER, ""), r"[^\p{L}\p{M}\p{N}'’-]+"), lambda x: x != "")
+
+
+def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text", most_words: int = 6, language: str = "en") -> DataFrame:
     """All leftmost-longest, non-overlapping occurrences of terms (term_id, src): key, term_id, start, end (words from 0).
 
-    Words lose inflection; runs of up to most_words words meet the dictionary by equality, whatever its size; a fold over a
-    text's candidates in order settles overlaps. Terms of one character are left out.
+    Words lose inflection by language; languages without a rule match to the letter, apart from case. Runs of up to
+    most_words words meet the dictionary by equality, whatever its size; a fold over a text's candidates in order settles
+    overlaps. Terms of one character are left out.
     """
-    words = F.filter(F.split(F.col(col), r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
-    t = terms.where(F.char_length(F.trim("src")) > 1).withColumn("w", F.filter(F.split("src", r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")).where(F.size("w").between(1, most_words))
-    dictionary = t.select(F.array_join(_canonical_run("w"), " ").alias("g"), F.size("w").alias("n"), "term_id", F.char_length("src").alias("len"))
+    canonical = INFLECTIONS.get(language, F.lower)
+    words = term_words(F.col(col))
+    t = terms.where(F.char_length(F.trim("src")) > 1).withColumn("w", term_words(F.col("src"))).where(F.size("w").between(1, most_words))
+    dictionary = t.select(F.array_join(_canonical_run("w", canonical), " ").alias("g"), F.size("w").alias("n"), "term_id", F.char_length("src").alias("len"))
     dictionary = dictionary.groupBy("g", "n").agg(F.max_by("term_id", F.struct("len", "term_id")).alias("term_id"), F.max("len").alias("len"))
     w = Window.partitionBy(key).orderBy("i")
     each = texts.select(key, F.posexplode(words).alias("i", "w"))
@@ -129,7 +145,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: st
     return per.select(key, F.explode(fold).alias("m")).select(key, "m.term_id", "m.start", "m.end")
 
 
-def _canonical_run(c: str):
+def _canonical_run(c: str, canonical) -> Column:
     """Canonical words of a term: only its last word is inflected in texts."""
     n = F.size(c)
     return F.transform(F.col(c), lambda x, i: F.when(i == n - 1, canonical(x)).otherwise(F.lower(x)))

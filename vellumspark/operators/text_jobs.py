@@ -26,3 +26,11 @@ def revision_churn(revisions: DataFrame, keys: list[str], before: str, after: st
     count = lambda c, name: revisions.select(*keys, F.explode(words(c)).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias(name))
     both = count(before, "old").join(count(after, "new"), [*keys, "w"], "full_outer").na.fill(0, ["old", "new"])
     return both.groupBy(*keys).agg(F.sum(F.greatest(F.col("new") - F.col("old"), F.lit(0))).alias("inserted"), F.sum(F.greatest(F.col("old") - F.col("new"), F.lit(0))).alias("deleted"))
+
+
+def untranslated_runs(pairs: DataFrame, keys: list[str], col: str = "tgt") -> DataFrame:
+    """First run of four or more Latin words in a target's prose, outside code, URLs and parentheses."""
+    from vellumspark.plans.quality import LATIN_RUN, prose
+
+    run = F.regexp_extract(prose(F.col(col)), LATIN_RUN, 0)
+    return pairs.select(*keys, F.trim(run).alias("run")).where("run <> ''")
