@@ -1,9 +1,9 @@
 """Every registered query against its SQL in DuckDB at the smallest scale."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vellumspark import queries as _registered  # noqa: F401
@@ -20,7 +20,7 @@ def con(sf):
 
 def rows(df):
     def value(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "NaT":
+        if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return "null"
         if hasattr(v, "item") and not hasattr(v, "isoformat"):
             v = v.item()
