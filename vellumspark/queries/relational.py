@@ -431,7 +431,7 @@ def paragraphs(spark, d):
     return W.paragraph_numbers(A.blocks(spark, d), "page_id", "ord").select("page_id", "ord", "number")
 
 
-@query("win6_line_gaps", f"WITH {A.LINES}, g AS (SELECT doc_id, ord, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS gap FROM ln) SELECT * FROM g WHERE gap IS NOT NULL")
+@query("win6_line_gaps", f"WITH {A.LINES}, g AS (SELECT doc_id, ord, (y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y))::DOUBLE AS gap FROM ln) SELECT * FROM g WHERE gap IS NOT NULL")
 def gaps(spark, d):
     return W.line_gaps(A.lines(spark, d), 10.0).select("doc_id", "ord", "gap")
 

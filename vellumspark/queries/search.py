@@ -112,7 +112,7 @@ def tokens(spark, d):
     return t.groupBy("doc_id", F.substring_index("t", ":", 1).alias("kind"), F.expr("substring(t, instr(t, ':') + 1)").alias("value")).agg(F.count("*").alias("n")).where("kind = 'url'")
 
 
-@query("txt6_fold_digits", "SELECT doc_id, sum(length(x)) AS digits FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[0-9]+')) AS x FROM documents) GROUP BY 1")
+@query("txt6_fold_digits", "SELECT doc_id, sum(length(x))::BIGINT AS digits FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[0-9]+')) AS x FROM documents) GROUP BY 1")
 def digits(spark, d):
     x = A.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(T.fold_digits(F.col("text")), F.lit("[0-9]+"), F.lit(0))).alias("x"))
     return x.groupBy("doc_id").agg(F.sum(F.char_length("x")).alias("digits"))
