@@ -2,7 +2,8 @@
 
 A code is cut into segments, and every segment is an index key. A query probes each segment with all values up to a
 radius; a code whose distance is at most segments * (radius + 1) - 1 must lie within the radius in some segment. So the
-radius grows, for the queries still open, until the kth verified distance is covered.
+radius grows, for the queries still open and one segment after the other as far as their kth verified distance needs,
+until that distance is covered.
 """
 
 from __future__ import annotations
@@ -58,29 +59,31 @@ def hamming_topk(vectors: DataFrame, k: int = 10, every: int = 100, dims: int =
     index = staged(entries.select("code", F.col("ids")[0].alias("least"), F.posexplode("code").alias("seg", "value")), "index")
     queries = coded.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("code").alias("q"))
     open_ = staged(queries, "queries")
-    # Equal query codes are searched once.
-    open_codes = staged(open_.select("q").distinct(), "open")
+    # Equal query codes are searched once. `need` says how many more segments have to be probed at the next radius.
+    open_codes = staged(open_.select("q").distinct().withColumn("need", F.lit(segments)), "open")
     found, best = None, None
     for radius in range(width + 1):
         masks = F.split(F.lit(",".join(map(str, _masks(width, radius)))), ",").cast("array<int>")
-        probes = open_codes.select("q", F.posexplode("q").alias("seg", "own")).select("q", "seg", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
-        hits = probes.join(index, ["seg", "value"]).select("q", "code", "least").distinct()
+        probes = open_codes.select("q", "need", F.posexplode("q").alias("seg", "own")).where("seg < need")
+        probes = probes.select("q", "seg", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+        # Spark sees the probes as small as the queries they come from, so the join must not broadcast them.
+        hits = probes.hint("merge").join(index, ["seg", "value"]).select("q", "code", "least").distinct()
         hits = hits.select("q", "code", "least", distance(F.col("q"), F.col("code")).alias("d"))
         pool = hits if best is None else best.join(open_codes, "q", "left_semi").union(hits).distinct()
         # Every code holds an id, and a query may meet itself: the k + 1 codes first by distance and least id are enough.
         near = Window.partitionBy("q").orderBy("d", "least")
         ranked = pool.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r")
         best = staged(ranked, f"radius{radius}")
-        covered = segments * (radius + 1) - 1
-        # Smallest distance within which at least k other ids are known: sizes are capped at k + 1 by the entries.
+        # Distance within which at least k other ids are known: sizes are capped at k + 1 by the entries.
         sized = best.join(entries, "code").select("q", "d", F.size("ids").alias("n"))
         upto = sized.withColumn("m", F.sum("n").over(Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, 0))).where(F.col("m") >= k + 1)
-        done = upto.groupBy("q").agg(F.min("d").alias("kth")).where(F.col("kth") <= covered).select("q")
-        if radius == width:
-            done = open_codes
-        part = best.join(done, "q", "left_semi")
+        kth = upto.groupBy("q").agg(F.min("d").alias("kth"))
+        # With all segments at this radius and j of them at the next, distances up to segments * (radius + 1) - 1 + j are covered.
+        before = segments * radius - 1
+        state = staged(open_codes.join(kth, "q", "left").select("q", (F.col("kth") <= F.lit(before) + F.col("need")).alias("done"), F.least(F.lit(segments), F.coalesce(F.col("kth") - (before + segments), F.lit(segments))).alias("next")), "state")
+        part = best.join(state.where("done") if radius < width else state, "q", "left_semi")
         found = part if found is None else found.union(part)
-        open_codes = staged(open_codes.join(done, "q", "left_anti"), "open")
+        open_codes = state.where("not coalesce(done, false)").select("q", F.col("next").alias("need"))
         if open_codes.isEmpty():
             break
     rows = open_.join(found, "q").join(entries, "code").select("query_id", "d", F.explode("ids").alias("neighbor_id")).where("neighbor_id <> query_id")
