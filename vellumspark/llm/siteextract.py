@@ -197,7 +197,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract_pages(pages: DataFrame, low: float = 0.3, same: float = 0.05, min_pages: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, low: float = 0.3, same: float = 0.05, min_pages: int = 8, salts: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: page_id, url, text.
 
     A branch goes when its node has importance below `low` on a host where at least min_pages have it; inside an article
@@ -205,11 +205,14 @@ def extract_pages(pages: DataFrame, low: float = 0.3, same: float = 0.05, min_pa
     white space in a block becomes one space, blocks are joined by a newline in page order.
 
     Null and empty html give an empty text, a null url belongs to the host "". Rows that repeat an id are separate pages.
-    Other columns are not read. An empty table gives no rows. Hosts of any size cost one row a style node in the join.
+    Other columns are not read. An empty table gives no rows. A host of any size costs `salts` rows in the join.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     weak = style_importance(rows).where((F.col("pages") >= min_pages) & (F.col("importance") < max(low, same)))
     pick = lambda limit: F.collect_list(F.when(F.col("importance") < limit, F.col("path")))
     by_host = weak.groupBy("host").agg(pick(low).alias("low"), pick(same).alias("same"))
-    return rows.join(by_host, "host", "left").select("page_id", "url", "html", "low", "same").mapInArrow(_extract, "page_id long, url string, text string")
+    # Pages of a host are dealt over salts and its style nodes repeated for each, so that a large host is many tasks wide.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(by_host, ["host", "salt"], "left").select("page_id", "url", "html", "low", "same").mapInArrow(_extract, "page_id long, url string, text string")
