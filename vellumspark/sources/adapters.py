@@ -29,13 +29,26 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = SEGMENTS + ", ln AS (SELECT doc_id, ord, (ord // 40)::INT AS page, 14.0 * (ord % 40) AS y, 50.0 AS x0, 50.0 + 5 * length(text) AS x1, 10.0 AS size, text FROM seg)"
 
 
+# Elements whose content is no text, and tags that stand inside a line of text.
+_RAW = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_ATTRIBUTES = r"""(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)?/?>"""
+_INLINE = r"(?i)</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|img|ins|kbd|label|mark|q|rp|rt|ruby|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)" + _ATTRIBUTES
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings, paragraphs and list items of pages in order: page_id, ord, type, level, text."""
-    found = F.regexp_extract_all("html", F.lit(r"<(?:h[1-6]|p|li)>[^<]+"), F.lit(0))
+    """Headings, paragraphs and list items of pages in order: page_id, ord, type, level, text.
+
+    A block reaches from its opening tag to its closing tag or the next tag that is not inline; a division that opens a
+    list item is part of it. Inline tags are taken out, a line break becomes a space; blocks without any text are none.
+    """
+    html = F.regexp_replace(F.regexp_replace("html", _RAW, ""), r"<(?![A-Za-z/!?])", "&lt;")
+    html = F.regexp_replace(F.regexp_replace(html, _INLINE, ""), "(?i)<br" + _ATTRIBUTES, " ")
+    html = F.regexp_replace(html, r"(?i)(<li\b[^>]*>)\s*(?:<div" + _ATTRIBUTES + r"\s*)+", "$1")
+    found = F.regexp_extract_all(html, F.lit("(?i)<(?:h[1-6]|p|li)" + _ATTRIBUTES + "[^<]+"), F.lit(0))
     b = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("ord", "m"))
-    tag = F.regexp_extract("m", r"^<(\w+)>", 1)
+    tag = F.lower(F.regexp_extract("m", r"^<(\w+)", 1))
     kind = F.when(tag.startswith("h"), "heading").when(tag == "p", "paragraph").otherwise("list_item")
-    return b.select("page_id", "ord", kind.alias("type"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("level"), F.regexp_replace("m", r"^<\w+>", "").alias("text"))
+    return b.select("page_id", "ord", kind.alias("type"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("level"), F.regexp_replace("m", r"^<\w+" + _ATTRIBUTES, "").alias("text"))
 
 
 BLOCKS = """blk AS (SELECT page_id, ord, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' ELSE 'list_item' END AS type,
