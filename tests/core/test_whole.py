@@ -81,3 +81,45 @@ def test_queries_over_whole_blocks(spark, sf, con, name):  # noqa: F811
     con.register("whole_blocks", whole)
     sql = registry.ORACLES[name].replace(A.BLOCKS, "blk AS (SELECT * FROM whole_blocks)")
     assert rows(registry.QUERIES[name](spark, sf).toPandas()) == rows(con.execute(sql).df())
+
+
+def reading_order(lines):
+    """Positions of the (ord, y, x0, x1) of one page, by walking down the page: {ord: (column, position)}."""
+    lines = sorted(lines, key=lambda r: (r[1], r[2]))
+    low, high = min(r[2] for r in lines), max(r[3] for r in lines)
+    mid, gutter = (low + high) / 2, (high - low) * 0.02
+    side = {r[0]: 1 if r[3] <= mid + gutter else 2 if r[2] >= mid - gutter else 0 for r in lines}
+    share = [sum(v == k for v in side.values()) / len(lines) for k in (1, 2)]
+    if len(lines) < 6 or min(share) < 0.25:
+        return {r[0]: (0, k + 1) for k, r in enumerate(lines)}
+    out, columns = [], ([], [])
+    for r in lines:
+        if side[r[0]]:
+            columns[side[r[0]] - 1].append(r[0])
+        else:
+            out += columns[0] + columns[1] + [r[0]]
+            columns = ([], [])
+    out += columns[0] + columns[1]
+    return {o: (side[o], k + 1) for k, o in enumerate(out)}
+
+
+def test_reading_order_of_all_lines(spark, sf):
+    pages = {}
+    for doc in A.table(spark, sf, "documents").collect():
+        texts = doc.text.split("\n")
+        for page in range(0, len(texts), 40):
+            part = texts[page : page + 40]
+            wide, at = max(map(len, part)) * 5 + 20, []
+            for k, text in enumerate(part):
+                o, x0, x1 = page + k, 50, 50 + 5 * len(text)
+                if doc.doc_id % 2 == 0:
+                    if o % 10 == 0:
+                        x1 = 50 + 2 * wide
+                    elif o % 2 == 1:
+                        x0, x1 = x0 + 1.1 * wide, x1 + 1.1 * wide
+                at.append((o, 14 * k, x0, x1))
+            pages[doc.doc_id, page] = reading_order(at)
+    want = sorted((doc, o, *v) for (doc, _), found in pages.items() for o, v in found.items())
+    got = sorted((r.doc_id, r.ord, r.column, r.pos) for r in registry.QUERIES["win10_reading_order"](spark, sf).collect())
+    assert got == want and {r[2] for r in got} == {0, 1, 2}
+    assert len(got) == A.segments(spark, sf).count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellumspark.functions import text as T
 from vellumspark.operators import joins as J
@@ -30,13 +31,23 @@ def _lines(spark, d):
     return A.lines(spark, d).withColumn("bold", F.lit(False)).withColumn("mono", F.lit(False)).withColumn("line_id", F.col("ord"))
 
 
+def _two_columns(spark, d):
+    """All lines; those of even documents are set left and right by turns, every tenth over both columns."""
+    lines = A.lines(spark, d)
+    w, x0 = F.max(F.col("x1") - F.col("x0")).over(Window.partitionBy("doc_id", "page")), F.col("x0")
+    even, tenth, right = F.col("doc_id") % 2 == 0, F.col("ord") % 10 == 0, F.col("ord") % 2 == 1
+    moved = lines.withColumn("_w", w + 20)
+    shift = F.when(even & right, 1.1 * F.col("_w")).otherwise(0.0)
+    start, end = x0 + shift, F.when(even & tenth, x0 + 2 * F.col("_w")).otherwise(F.col("x1") + shift)
+    return moved.select("doc_id", "ord", "page", "y", start.alias("x0"), end.alias("x1"), "size", "text")
+
+
 @query(
     "win10_reading_order",
     f"""WITH {A.LINES} SELECT doc_id, ord, 0 AS "column", (row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x0))::INT AS pos FROM ln WHERE page = 0 AND doc_id IN (SELECT doc_id FROM ln WHERE page = 0 GROUP BY doc_id HAVING count(*) < 6)""",
 )
 def order(spark, d):
-    few = A.lines(spark, d).where("page = 0").groupBy("doc_id").count().where("count < 6").select("doc_id")
-    return L.reading_order(A.lines(spark, d).where("page = 0").join(few, "doc_id", "left_semi")).select("doc_id", "ord", "column", "pos")
+    return L.reading_order(_two_columns(spark, d)).select("doc_id", "ord", "column", "pos")
 
 
 @query("agg6_document_stats", f"WITH {A.LINES}, g AS (SELECT doc_id, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS gap FROM ln) SELECT doc_id, 10.0::DOUBLE AS body_size, CASE WHEN count(gap) > 0 THEN 14.0 ELSE 12.5 END::DOUBLE AS line_gap FROM g GROUP BY 1")
