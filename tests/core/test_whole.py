@@ -123,3 +123,64 @@ def test_reading_order_of_all_lines(spark, sf):
     got = sorted((r.doc_id, r.ord, r.column, r.pos) for r in registry.QUERIES["win10_reading_order"](spark, sf).collect())
     assert got == want and {r[2] for r in got} == {0, 1, 2}
     assert len(got) == A.segments(spark, sf).count()
+
+
+def _texts(spark, sf):
+    """Per segment: status, draft, final, incoming text, by plain rules over whole texts."""
+    docs = {r.doc_id: r for r in A.table(spark, sf, "documents").collect()}
+    out = {}
+    for r in A.table(spark, sf, "labels").collect():
+        k, text = r.doc_id, docs[r.doc_id].text
+        status = "flagged" if r.toxic == 1 else "queued" if r.quality == 0 else "user_edited" if k % 5 == 0 else "drafted" if k % 3 == 0 else "final"
+        out[k] = (status, text, text + " (edited)" if k % 2 == 0 else None)
+    return docs, out
+
+
+def test_upserts_compare_whole_texts(spark, sf):
+    docs, old = _texts(spark, sf)
+    merged, changed = set(), set()
+    for k, doc in docs.items():
+        new = doc.text + (" (new)" if k % 3 == 0 else "")
+        if k not in old:
+            merged.add((k, "drafted", new, None, 1))
+            continue
+        status, draft, final = old[k]
+        before = final or draft
+        if status == "user_edited":
+            merged.add((k, status, before, new if new != before else None, 2))
+        else:
+            merged.add((k, "drafted", new, None, 2))
+            if new != before:
+                changed.add((k, before, new))
+    got = registry.QUERIES["src4_upsert_translations"](spark, sf).collect()
+    assert {(r.segment_id, r.status, r.text, r.suggestion, r.version) for r in got} == merged and len(got) == len(merged)
+    got = registry.QUERIES["src4_upsert_revisions"](spark, sf).collect()
+    assert {(r.segment_id, r.before, r.after) for r in got} == changed
+    # Revisions whose texts are alike in the first forty characters, and texts that did not change.
+    assert any(a[:40] == b[:40] for _, a, b in changed) and len(changed) < len(old)
+    imported = registry.QUERIES["job7_import_results"](spark, sf).collect()
+    assert len(imported) == len(docs) and all(r.version == 1 + (r.segment_id in old) for r in imported)
+    shown = registry.QUERIES["join1_segment_text"](spark, sf).collect()
+    assert {(r.segment_id, r.tgt) for r in shown} == {(k, final or draft) for k, (status, draft, final) in old.items() if status != "queued"}
+
+
+@pytest.mark.parametrize("name", sorted(k for k, v in registry.ORACLES.items() if A.TRANSLATIONS in v and not k.startswith("src4")))
+def test_queries_over_whole_translations(spark, sf, con, name):  # noqa: F811
+    """The SQL of a query over translations with whole texts, in place of the prefixes."""
+    docs, old = _texts(spark, sf)
+    toxic = {r.doc_id: r.toxic for r in A.table(spark, sf, "labels").collect()}
+    whole = [(k, docs[k].lang, status, k % 10 / 10, draft, final, int(toxic[k] == 1), 1) for k, (status, draft, final) in old.items()]
+    con.register("whole_texts", pd.DataFrame(whole, columns=["segment_id", "lang", "status", "confidence", "draft", "final", "n_flags", "version"]).astype({"version": "int32"}))
+    sql = registry.ORACLES[name].replace(A.TRANSLATIONS, "tr AS (SELECT * FROM whole_texts)")
+    assert rows(registry.QUERIES[name](spark, sf).toPandas()) == rows(con.execute(sql).df())
+
+
+def test_retrieval_context_asks_every_user_turn_whole(spark, sf):
+    from vellumspark.queries import jobs
+
+    turns = {(f"{r.conv_id}:{r.turn}", r.text) for r in A.table(spark, sf, "conversations").where("role = 'user'").collect()}
+    asked = jobs._questions(spark, sf).collect()
+    assert {(r.query_id, r.query) for r in asked} == turns and len(asked) == len(turns)
+    got = registry.QUERIES["job9_retrieval_context"](spark, sf).collect()
+    sections = {r.source for r in A.table(spark, sf, "documents").collect()}
+    assert {r.query_id for r in got} >= {r.query_id for r in asked if r.section in sections}

@@ -51,8 +51,9 @@ def validate(spark, d):
 @query("job7_import_results")
 def imported(spark, d):
     now = A.translations(spark, d).select("segment_id", "lang", "status", F.coalesce("final", "draft").alias("text"), "version")
-    docs = A.table(spark, d, "documents").where("doc_id % 2 = 0")
-    new = docs.select(F.col("doc_id").alias("segment_id"), "lang", F.substring("text", 1, 35).alias("text"), ((F.col("doc_id") % 10) / 10).alias("confidence"))
+    docs = A.table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" (new)"))).otherwise(F.col("text"))
+    new = docs.select(F.col("doc_id").alias("segment_id"), "lang", text.alias("text"), ((F.col("doc_id") % 10) / 10).alias("confidence"))
     return Q.import_results(now, new, docs.where("doc_id % 14 = 0").select(F.col("doc_id").alias("segment_id")))[0]
 
 
@@ -68,8 +69,8 @@ def batches(spark, d):
 
 
 def _questions(spark, d):
-    c = A.table(spark, d, "conversations").where("role = 'user' and turn = 0")
-    return c.select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 80).alias("query"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("section"), F.lit(0).alias("anchor"))
+    c = A.table(spark, d, "conversations").where("role = 'user'")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("section"), F.lit(0).alias("anchor"))
 
 
 @query("job9_retrieval_context")

@@ -69,12 +69,15 @@ PAIRS = """prs AS (SELECT conv_id, turn, text AS src, tgt FROM (SELECT *, lead(t
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translation rows keyed by segment_id: status, engine confidence, draft and final text, flags, version."""
+    """Translation rows keyed by segment_id: status, engine confidence, draft and final text, flags, version.
+
+    The draft is the whole text of a document; the final text, where there is one, has an edit after its last word.
+    """
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 0, "queued").when(F.col("doc_id") % 5 == 0, "user_edited").when(F.col("doc_id") % 3 == 0, "drafted").otherwise("final")
     return joined.select(
-        F.col("doc_id").alias("segment_id"), "lang", status.alias("status"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.substring("text", 1, 40).alias("draft"),
-        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30)).alias("final"), F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"))).alias("flags"), F.lit(1).alias("version"),
+        F.col("doc_id").alias("segment_id"), "lang", status.alias("status"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.col("text").alias("draft"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" (edited)"))).alias("final"), F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"))).alias("flags"), F.lit(1).alias("version"),
     )
 
 
