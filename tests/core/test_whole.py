@@ -1,5 +1,7 @@
 """Queries that must do the whole job, against plain versions that share no code or SQL with them."""
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -184,3 +186,91 @@ def test_retrieval_context_asks_every_user_turn_whole(spark, sf):
     got = registry.QUERIES["job9_retrieval_context"](spark, sf).collect()
     sections = {r.source for r in A.table(spark, sf, "documents").collect()}
     assert {r.query_id for r in got} >= {r.query_id for r in asked if r.section in sections}
+
+
+def emphasis(text, strong, em):
+    text = re.sub(r"\*\*(?!\s)(.+?)(?<!\s)\*\*", strong, text, flags=re.A)
+    return re.sub(r"\*(?![\s*])([^*]+?)(?<!\s)\*", em, text, flags=re.A)
+
+
+def test_markup_of_every_document(spark, sf, tmp_path):
+    from vellumspark.queries import details, search
+
+    docs = {r.doc_id: r.text for r in A.table(spark, sf, "documents").collect()}
+    assert any("*" in t for t in docs.values())
+    plain, html = {}, {}
+    for k, text in docs.items():
+        x = re.sub(r"\[\^[^\]\s]+\]|\[\[(?:fig|tab):[^\]\s]+\]\]", "", re.sub("`([^`]+)`", r"\1", text))
+        plain[k] = len(emphasis(x, r"\1", r"\1"))
+        x = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+        x = emphasis(re.sub("`([^`]+)`", r"<code>\1</code>", x), r"<strong>\1</strong>", r"<em>\1</em>")
+        html[k] = re.sub(r"\[\^([^\]\s]+)\]", r"<sup>\1</sup>", x)
+    assert {r.doc_id: r.n for r in search.strip(spark, sf).collect()} == plain
+    assert {r.doc_id: r.html for r in details.markup(spark, sf).collect()} == html
+    texts = ["**b** *i* `c` [^1] [[fig:x]]", r"\*not\*", "none"]
+    pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": texts}), f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n for r in search.strip(spark, str(tmp_path)).collect()} == {1: len("b i c  "), 2: len("*not*"), 3: 4}
+    got = {r.doc_id: r.html for r in details.markup(spark, str(tmp_path)).collect()}
+    assert got[1] == "<strong>b</strong> <em>i</em> <code>c</code> <sup>1</sup> <span>fig x</span>"
+
+
+def shape(line):
+    x = re.sub("[0-9]+", "#", line.lower())
+    return re.sub(r"\s+", " ", re.sub(r"\b[ivxlc]+\b", "#", x), flags=re.A).strip(" ")
+
+
+def test_header_patterns_of_every_line(spark, sf):
+    count, pages, total = Counter(), {}, {}
+    for r in A.table(spark, sf, "documents").collect():
+        for k, line in enumerate(r.text.split("\n")):
+            count[shape(line)] += 1
+            total.setdefault(r.doc_id, set()).add(k // 40)
+            zone = "top" if k % 40 * 14 < 48 else "bottom" if k % 40 * 14 > 552 else None
+            if zone and shape(line):
+                pages.setdefault((r.doc_id, zone, shape(line)), set()).add(k // 40)
+    assert any(not k.isascii() for k in count)
+    got = registry.QUERIES["txt8_header_pattern"](spark, sf).collect()
+    assert {r.pattern: r.n for r in got} == count and len(got) == len(count)
+    repeated = {(*k, len(v)) for k, v in pages.items() if len(v) >= 2 and len(v) >= 0.25 * len(total[k[0]])}
+    assert {(r.doc_id, r.zone, r.pattern, r.pages) for r in registry.QUERIES["agg7_repeating_margin_lines"](spark, sf).collect()} == repeated
+
+
+def test_structure_keeps_sharp_s(spark, sf):
+    got = {r.segment_id: r.text for r in registry.QUERIES["src9_save_structure"](spark, sf).collect()}
+    want = {f"{p.page_id}:{k}": text.upper() if k % 2 == 0 else text for p in A.table(spark, sf, "pages").collect() for k, (_, text) in enumerate(Blocks(p.html).found)}
+    assert got == want and any("ß" in t for t in got.values())
+
+
+def test_patches_reach_every_term(spark):
+    sf = "/root/testdata/sf0.01"
+    old = {r.p_partkey: (r.p_name, r.p_brand) for r in A.table(spark, sf, "part").collect()}
+    names = {k: f"{n}{k}" for k, (n, _) in old.items()}
+    taken = {}
+    for k, n in names.items():
+        taken.setdefault(n.lower(), set()).add(k)
+    want = {}
+    for k, (name, brand) in old.items():
+        src = name.upper() + "0" if k % 4 == 0 else f"new{k}"
+        clash = k % 2 == 0 and taken.get(src.lower(), set()) - {k}
+        want[k] = (src if k % 2 == 0 and not clash else names[k], None if k % 3 == 0 and not clash else brand)
+    got = {r.term_id: (r.src, r.tgt) for r in registry.QUERIES["src14_patch_terms"](spark, sf).collect()}
+    assert got == want and max(old) > 1000
+
+
+def test_quality_codes_of_every_pair(spark, tmp_path):
+    talk = {
+        1: ("See `code` here", "See here", {"markup"}),
+        2: ("Plain words", "go on go on go on go on", {"repetition"}),
+        3: ("Plain words", "Other words", {"numbers"}),
+        4: ("Room 5", "Room", {"numbers"}),
+        5: ("Visit https://a.example/b [^1]", "Visit", {"markup"}),
+        7: ("`x` 9", "gone", {"empty"}),
+        8: ("Room 5 at https://a.example/b", "Room 5 at https://a.example/b", set()),
+    }
+    flat = [(k, t, ("user", "assistant")[t], talk[k][t]) for k in talk for t in (0, 1)]
+    pq.write_table(pa.table({n: list(v) for n, v in zip(("conv_id", "turn", "role", "text"), zip(*flat))}), f"{tmp_path}/conversations.parquet")
+    got = Counter((r.conv_id, r.code) for r in registry.QUERIES["job4_quality_check"](spark, str(tmp_path)).collect())
+    assert got == Counter((k, c) for k, (_, _, codes) in talk.items() for c in codes)
+    # Batches divisible by five are never returned; batch 1 comes twice. The pair checks run on what was returned.
+    got = Counter((r.batch_id, r.code) for r in registry.QUERIES["job6_validate_results"](spark, str(tmp_path)).collect())
+    assert got == Counter([("1", "duplicate"), ("1", "markup"), ("2", "repetition"), ("4", "numbers"), ("5", "missing"), ("7", "markup"), ("7", "numbers")])

@@ -136,7 +136,7 @@ def export(spark, d):
     sha256(CASE WHEN ord % 2 = 0 THEN upper(text) ELSE text END)[1:16] AS src_hash FROM blk WHERE text NOT SIMILAR TO '.*ß.*'""",
 )
 def structure(spark, d):
-    b = A.blocks(spark, d).where("not contains(text, 'ß')").select(F.concat_ws(":", "page_id", "ord").alias("segment_id"), F.col("page_id").alias("node"), "ord", "type", "text")
+    b = A.blocks(spark, d).select(F.concat_ws(":", "page_id", "ord").alias("segment_id"), F.col("page_id").alias("node"), "ord", "type", "text")
     e = b.where("ord % 2 = 0").select("segment_id", (F.col("node") + 1).alias("node"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("type"), F.upper("text").alias("text"))
     return S.save_structure(b, e).drop("word_count")
 
@@ -191,7 +191,7 @@ def patch(spark, d):
     part = A.table(spark, d, "part")
     t = part.select(F.col("p_partkey").alias("term_id"), F.concat("p_name", "p_partkey").alias("src"), F.col("p_brand").alias("tgt"))
     src = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.upper("p_name"), F.lit("0"))).otherwise(F.concat(F.lit("new"), "p_partkey"))
-    p = part.where("p_partkey < 1000").select(F.col("p_partkey").alias("term_id"), src.alias("src"), F.lit(None).cast("string").alias("tgt"), (F.col("p_partkey") % 2 == 0).alias("has_src"), (F.col("p_partkey") % 3 == 0).alias("has_tgt"))
+    p = part.select(F.col("p_partkey").alias("term_id"), src.alias("src"), F.lit(None).cast("string").alias("tgt"), (F.col("p_partkey") % 2 == 0).alias("has_src"), (F.col("p_partkey") % 3 == 0).alias("has_tgt"))
     return S.patch_terms(t, p, ["src", "tgt"])[0]
 
 

@@ -103,7 +103,7 @@ def tokenize(spark, d):
 
 @query("txt3_strip_markup", "SELECT doc_id, length(regexp_replace(regexp_replace(text, '\\*\\*([^\\s*][^*]*)\\*\\*', '\\1', 'g'), '`([^`]+)`', '\\1', 'g')) AS n FROM documents WHERE NOT contains(text, '*')")
 def strip(spark, d):
-    return A.table(spark, d, "documents").where("not contains(text, '*')").select("doc_id", F.char_length(T.strip_markup(F.col("text"))).cast("long").alias("n"))
+    return A.table(spark, d, "documents").select("doc_id", F.char_length(T.strip_markup(F.col("text"))).cast("long").alias("n"))
 
 
 @query("txt4_extract_tokens", "SELECT doc_id, 'url' AS kind, u AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"''\\]\\)]*[^\\s<>\"''\\]\\).,;:!?]')) AS u FROM documents) GROUP BY ALL")
@@ -125,8 +125,7 @@ def clean_runs(spark, d):
 
 @query("txt8_header_pattern", f"WITH {A.LINES} SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlc]+\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern, count(*) AS n FROM ln WHERE text NOT SIMILAR TO '.*[^\\x00-\\x7F].*' GROUP BY 1")
 def patterns(spark, d):
-    ascii_only = A.lines(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return ascii_only.groupBy(T.header_pattern(F.col("text")).alias("pattern")).agg(F.count("*").alias("n"))
+    return A.lines(spark, d).groupBy(T.header_pattern(F.col("text")).alias("pattern")).agg(F.count("*").alias("n"))
 
 
 @query("txt9_normalize_title", f"WITH {A.BLOCKS} SELECT page_id, ord, trim(regexp_replace(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS title FROM blk WHERE type = 'heading'")

@@ -192,7 +192,7 @@ MARGINS = f"""WITH {A.LINES}, m AS (SELECT doc_id, ord, page, CASE WHEN y < 48 T
 
 @query("agg7_repeating_margin_lines", MARGINS + " SELECT * FROM rp WHERE pattern NOT SIMILAR TO '.*[^\\x00-\\x7F].*'")
 def margins(spark, d):
-    return G.repeating_margin_lines(A.lines(spark, d), 600.0).where(~F.col("pattern").rlike(r"[^\x00-\x7F]"))
+    return G.repeating_margin_lines(A.lines(spark, d), 600.0)
 
 
 @query("agg8_remove_headers_footers", MARGINS + " SELECT m.doc_id, count(*) AS kept FROM m JOIN documents USING (doc_id) WHERE lang = 'en' AND NOT (zone IS NOT NULL AND regexp_matches(m.text, '(?i)^\\W*(?:page\\s+)?(?:\\d{1,4}|[ivxlc]{1,6})\\W*$')) AND (zone IS NULL OR NOT EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = m.doc_id AND rp.zone = m.zone AND rp.pattern = m.pattern)) GROUP BY 1")
