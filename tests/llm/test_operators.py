@@ -221,6 +221,23 @@ def test_extract_pages_drops_what_a_host_repeats(spark, sf):
         assert r.text == "\n".join(filter(None, parts))
 
 
+def test_extract_pages_lets_importance_decide_around_main(spark):
+    def page(host, i, cls=""):
+        return f"http://{host}.example/{i}", f"<body><div class=top><p>the same</p></div><div class=lead><p>lead {i}</p></div><article{cls}><h2>Our house</h2><p>text {i}</p></article></body>"
+
+    # Host a: what repeats goes inside and outside the article, also without a class; what is new outside stays.
+    pages = [page("a", i) for i in range(20)]
+    # Host b: nearly all pages are copies of one; copies are no evidence against its text. Host c: too few pages to tell.
+    pages += [page("b", 0, " class=post")] * 400 + [page("b", i, " class=post") for i in range(1, 11)] + [page("c", i) for i in range(3)]
+    pages += [(f"http://d.example/{min(i, 10)}", f"<body><div><p>plain {min(i, 10)}</p></div></body>") for i in range(400)]
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = extract_pages(frame).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, i = r.url[7], r.url.rpartition("/")[2]
+        assert r.text == {"c": f"Our house\ntext {i}", "d": f"plain {i}"}.get(host, f"lead {i}\ntext {i}"), r.url
+
+
 def test_archive_round_trip(spark, sf):
     import base64
     import hashlib

@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree of style nodes (tag with class and id, by path). A node's presentation
 importance is the entropy of its children's style sequences over the host's pages, its content importance that of its
 text; an inner node takes the mean of its leaves. What every page repeats has low entropy, and such branches are removed
-from each page. Roles that markup states (navigation, advert, form, script ...) are removed on every page, and text inside
-an article or main element is kept unless a styled branch in it is the same on nearly all pages of the host.
+from each page. Copies of a page count once. Roles that markup states (navigation, advert, form, script ...) are removed on
+every page, and text inside an article or main element is kept unless a branch in it is the same on nearly all pages.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Node:
     tag: str
     path: str
-    styled: bool
+    inner: bool
     dropped: bool
     main: bool
     children: list[str] = field(default_factory=list)
@@ -66,7 +66,7 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
                 names = value.split()
                 dropped |= any(w in NAMES for w in names)
                 style += f"{'.' if name.lower() == 'class' else '#'}{' '.join(names)}"
-    return Node(tag, f"{parent.path}/{style}", style != tag, dropped or parent.dropped, parent.main or tag in MAIN)
+    return Node(tag, f"{parent.path}/{style}", parent.main and tag not in MAIN, dropped or parent.dropped, parent.main or tag in MAIN)
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
@@ -81,7 +81,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             text.clear()
             if words:
                 top = stack[-1]
-                blocks.append(Block([(n.path, n.styled) for n in stack[1:]], words, top.dropped, top.main))
+                blocks.append(Block([(n.path, n.inner) for n in stack[1:]], words, top.dropped, top.main))
 
     def close(tags: set[str] | frozenset[str], floor: frozenset[str] = frozenset()) -> None:
         for at in range(len(stack) - 1, 0, -1):
@@ -131,12 +131,17 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
+FEATURES = "host string, page long, features array<struct<path: string, kind: string, value: long>>"
+FEATURES_ARROW = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.int64())]))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and style node: the hash of its own text and of its children's styles."""
+    """Per page: the hash of its html, and per style node the hash of its own text and of its children's styles."""
     for batch in batches:
-        hosts, paths, kinds, values = [], [], [], []
+        hosts, pages, features = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            blocks, shapes = parse(page.as_py() or "")
+            page = page.as_py() or ""
+            blocks, shapes = parse(page)
             own: dict[str, list[str]] = {}
             for b in blocks:
                 if b.paths:
@@ -144,21 +149,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, list[str]] = {}
             for path, shape in shapes:
                 seen.setdefault(path, []).append(shape)
-            for kind, found in (("content", own), ("style", seen)):
-                for path, parts in found.items():
-                    hosts.append(host)
-                    paths.append(path)
-                    kinds.append(kind)
-                    values.append(_hash("\n".join(parts)))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.int64())], names=["host", "path", "kind", "value"])
+            hosts.append(host)
+            pages.append(_hash(page))
+            features.append([{"path": path, "kind": kind, "value": _hash("\n".join(parts))} for kind, found in (("content", own), ("style", seen)) for path, parts in found.items()])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(features, FEATURES_ARROW)], names=["host", "page", "features"])
 
 
 def style_importance(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
     """Importance of every style node of every host: host, path, pages, importance (0: the same on all pages, 1: always new).
 
-    pages has host and html. Counts are combined before each shuffle; what is grouped per host is style nodes, not pages.
+    pages has host and html. Pages of a host with the same html count once; two different ones among n of a host are taken
+    for one with odds n^2 / 2^65. Counts are combined before the shuffles after that; what is grouped per host is style
+    nodes, not pages.
     """
-    rows = pages.select("host", "html").mapInArrow(_features, "host string, path string, kind string, value long")
+    each = pages.select("host", "html").mapInArrow(_features, FEATURES).groupBy("host", "page").agg(F.first("features").alias("features"))
+    rows = each.select("host", F.inline("features"))
     counts = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
     # Entropy with logarithms to the base of the number of pages; one page alone tells nothing and counts as important.
@@ -172,16 +177,22 @@ def style_importance(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
     return content.join(style, ["host", "path"], "left").select("host", "path", "pages", (F.lit(1 - gamma) * F.coalesce("style", F.lit(1.0)) + F.lit(gamma) * F.col("content")).alias("importance"))
 
 
-def main_text(page: str, low: set[str], same: set[str]) -> str:
-    """Blocks of a page joined by newlines, without boilerplate roles and low-importance branches."""
+def main_text(page: str, low: set[str] | None, same: set[str]) -> str:
+    """Blocks of a page joined by newlines, without boilerplate roles and low-importance branches.
+
+    Inside an article or main element only a branch below it that is in `same` goes; elsewhere what is in `low`. Where low is
+    None nothing is known of the host, and text outside goes from a page that has text in an article or main element.
+    """
     blocks, _ = parse(page)
     has_main = any(b.main and not b.dropped for b in blocks)
     out = []
     for b in blocks:
-        if b.dropped or has_main and not b.main:
+        if b.dropped:
             continue
-        if b.main and has_main:
-            cut = any(styled and path in same for path, styled in b.paths)
+        if b.main:
+            cut = any(inner and path in same for path, inner in b.paths)
+        elif low is None:
+            cut = has_main
         else:
             cut = any(path in low for path, _ in b.paths)
         if not cut:
@@ -193,15 +204,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, low, same in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            texts.append(main_text(page.as_py() or "", set(low or ()), set(same or ())))
+            texts.append(main_text(page.as_py() or "", None if low is None else set(low), set(same or ())))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract_pages(pages: DataFrame, low: float = 0.3, same: float = 0.05, min_pages: int = 8, salts: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: page_id, url, text.
 
-    A branch goes when its node has importance below `low` on a host where at least min_pages have it; inside an article
-    or main element only a branch with a class or id and importance below `same` goes. Character references are decoded,
+    A branch goes when its node has importance below `low` on a host where at least min_pages different pages have it;
+    inside an article or main element only a branch below it with importance below `same` goes. On a host with fewer
+    different pages text outside such an element goes where a page has one. Character references are decoded,
     white space in a block becomes one space, blocks are joined by a newline in page order.
 
     Null and empty html give an empty text, a null url belongs to the host "". Rows that repeat an id are separate pages.
@@ -209,9 +221,9 @@ def extract_pages(pages: DataFrame, low: float = 0.3, same: float = 0.05, min_pa
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    weak = style_importance(rows).where((F.col("pages") >= min_pages) & (F.col("importance") < max(low, same)))
+    known = style_importance(rows).where(F.col("pages") >= min_pages)
     pick = lambda limit: F.collect_list(F.when(F.col("importance") < limit, F.col("path")))
-    by_host = weak.groupBy("host").agg(pick(low).alias("low"), pick(same).alias("same"))
+    by_host = known.groupBy("host").agg(pick(low).alias("low"), pick(same).alias("same"))
     # Pages of a host are dealt over salts and its style nodes repeated for each, so that a large host is many tasks wide.
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
