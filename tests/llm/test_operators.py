@@ -1,6 +1,8 @@
 import math
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -190,6 +192,21 @@ def test_decontamination(spark, sf, edge, clashing, block_bytes):
     assert decontaminate(edge, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_long_words_count_whole():
+    import numpy as np
+
+    share = np.arange(1 << 10, dtype=np.float32)
+    shares = quality._Shares(share)
+    for word in ("short", "x" * 64 + "abc", "é" * 200 + "tail", "ab" * 5000 + "c"):
+        grams = [f"w{word}"] + [f"3{f'<{word}>'[i : i + 3]}" for i in range(len(word))]
+        at = [xxhash.xxh3_64_intdigest(g) % len(share) for g in grams]
+        total, n = shares[word]
+        assert n == len(at) == len(word) + 1 and abs(total - sum(at)) <= 1e-5 * sum(at)
+        where, weights = quality._bag(word, len(share))
+        assert dict(zip(where.tolist(), weights.tolist())) == Counter(at)
+    assert set(shares) == {"short", "x" * 64 + "abc", "é" * 200 + "tail"}
+
+
 def test_main_text_rules():
     page = (
         "<html><head><title>T &amp; t</title><style>x{}</style></head><body><header>top</header><nav><a href='#'>m</a></nav>"

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NGRAMS = (3,)
+LONG = 256
 
 
-def word_rows(word: str, rows: int) -> list[int]:
-    """Table rows of a word and of its character n-grams with borders."""
-    edged = f"<{word[:64]}>"
-    grams = [f"w{word}"] + [f"{n}{edged[i : i + n]}" for n in NGRAMS for i in range(len(edged) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(g) % rows for g in grams]
+def word_rows(word: str, rows: int) -> Iterator[int]:
+    """Table rows of a word and of all its character n-grams with borders."""
+    edged = f"<{word}>"
+    yield xxhash.xxh3_64_intdigest(f"w{word}") % rows
+    for n in NGRAMS:
+        for i in range(len(edged) - n + 1):
+            yield xxhash.xxh3_64_intdigest(f"{n}{edged[i : i + n]}") % rows
 
 
 def pair_rows(words: list[str], rows: int) -> list[int]:
@@ -35,16 +39,21 @@ def pair_rows(words: list[str], rows: int) -> list[int]:
 
 
 class _Shares(dict):
-    """Summed logit shares and number of features of a word."""
+    """Summed logit shares and number of features of a word; those of words longer than LONG are summed in parts, not kept."""
 
     def __init__(self, share: np.ndarray, room: int = 300_000):
         super().__init__()
         self.share, self.room = share, room
 
     def __missing__(self, word: str) -> tuple[float, int]:
+        if len(word) > LONG:
+            total, n = 0.0, 0
+            for at in batched(word_rows(word, len(self.share)), 4096):
+                total, n = total + float(self.share[list(at)].sum()), n + len(at)
+            return total, n
         if len(self) >= self.room:
             self.clear()
-        at = word_rows(word, len(self.share))
+        at = list(word_rows(word, len(self.share)))
         out = self[word] = (float(self.share[at].sum()), len(at))
         return out
 
