@@ -1,7 +1,7 @@
 """Content-addressed web archive: payload bytes once by digest, record headers apart, records rebuilt by a join.
 
-The archive is two Parquet tables: payloads (address, payload) holds every distinct payload once under its SHA-256;
-records (record_id, header, address) holds the exact WARC/1.1 header bytes of every record. A read joins them, checks the
+The archive is two Parquet tables: payloads (address, payload, uses) holds every distinct payload once under its SHA-256;
+records (header, address, slot) holds the exact WARC/1.1 header bytes of every record. A read joins them, checks the
 digest and the length that the header states, and gives back the records.
 """
 
@@ -10,11 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumspark.llm.skew import join_counted
+from vellumspark.llm.store import staged
+
 # RFC 4648 base 32, and the profile URI of revisit records.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
+# Records of one payload that meet in one group of the join.
+SLOT = 4096
+
 
 def base32(hex_digest: Column) -> Column:
     """Upper-case base 32 of a digest of whole 20-bit groups in hex, such as SHA-1."""
@@ -23,6 +29,10 @@ def base32(hex_digest: Column) -> Column:
     return F.concat(*letters)
 
 
+def _page(number: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(number.cast("string"), F.lit("")), F.lit(">"))
+
+
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
@@ -31,71 +41,84 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     """Writes one record a page under path; of equal payloads of at least min_bytes the smallest id is the response.
 
     The others become revisit records that refer to it. Smaller payloads are all responses. Null html is an empty
-    payload, a null url an empty target. Rows that repeat an id are one record each and the first of equal payloads is
-    still the smallest id, so repeated rows of it are responses. Pages with a null id are not archived. Other columns are
-    not read. An empty table gives an empty archive. Only digests are grouped and joined; a payload shared by any number
-    of pages is one row of the grouped side.
+    payload, a null url an empty target; line ends in a url become spaces. Rows that repeat an id are one record each and
+    the first of equal payloads is still the smallest id, so repeated rows of it are responses. A page with a null id is
+    archived without a number in its record id: it revisits a numbered page of equal payload, and is a response where
+    there is none. Other columns are not read. An empty table gives an empty archive.
+
+    Digests alone are grouped and joined, those of a large part of all pages apart. A payload is one row of the store,
+    combined before its shuffle, with the number of its records.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    marks = rows.select("record_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    firsts = marks.groupBy("address").agg(F.min("record_id").alias("first_id"))
-    known = marks.join(firsts, "address")
-    response = (F.col("record_id") == F.col("first_id")) | (F.col("size") < min_bytes)
+    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    digests = rows.select("record_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
+    marks = staged(digests, "digests")
+    firsts = staged(marks.groupBy("address").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n"), F.ceil(F.count("*") / SLOT).cast("int").alias("slots")), "firsts")
+    known = join_counted(marks, firsts, ["address"])
+    response = F.col("first_id").isNull() | F.col("record_id").eqNullSafe(F.col("first_id")) | (F.col("size") < min_bytes)
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(response, "response").otherwise("revisit")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("record_id"), F.lit(">"))),
+        _line("WARC-Record-ID", _page(F.col("record_id"))),
         _line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
-        F.when(response, "").otherwise(F.concat(_line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id"), F.lit(">"))), _line("WARC-Profile", F.lit(PROFILE)))),
+        F.when(response, "").otherwise(F.concat(_line("WARC-Refers-To", _page(F.col("first_id"))), _line("WARC-Profile", F.lit(PROFILE)))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.col("size").cast("string")),
         F.lit("\r\n"),
     )
-    known.select("record_id", header.cast("binary").alias("header"), "address").write.option("compression", "zstd").parquet(f"{path}/records")
-    stored = rows.withColumn("address", F.sha2("payload", 256)).join(firsts.withColumnRenamed("first_id", "record_id"), ["address", "record_id"], "left_semi")
-    stored.dropDuplicates(["address", "record_id"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    slot = F.pmod(F.xxhash64("record_id", "url"), F.col("slots")).cast("int")
+    known.select(header.cast("binary").alias("header"), "address", slot.alias("slot")).write.option("compression", "zstd").parquet(f"{path}/records")
+    stored = rows.groupBy(F.sha2("payload", 256).alias("address")).agg(F.first("payload").alias("payload"), F.count("*").alias("uses"))
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+
+
+def _field(lines: Column, name: str) -> Column:
+    """What follows the field's name in the first line that starts with it; null where no line does."""
+    return F.substring(F.get(F.filter(lines, lambda x: x.startswith(f"{name}: ")), 0), len(name) + 3, 1 << 30)
 
 
-def _field(header: Column, name: str, value: str) -> Column:
-    return F.regexp_extract(header, rf"(?m)^{name}: {value}$", 1)
+def _number(page: Column) -> Column:
+    return F.regexp_extract(page, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The fields of every record header: record_id, url, record_type, payload_digest, refers_to, size, and address."""
-    records = spark.read.schema("record_id long, header binary, address string").parquet(f"{path}/records")
-    header = F.col("header").cast("string")
-    refers = _field(header, "WARC-Refers-To", "<urn:page:(-?\\d+)>")
+    """Every record's exact header and its fields: header, address, slot, record_id, url, record_type, payload_digest, refers_to, size.
+
+    Lines of a header end with CR LF and with nothing else, whatever separators a url holds.
+    """
+    records = spark.read.schema("header binary, address string, slot int").parquet(f"{path}/records")
+    lines = F.split(F.col("header").cast("string"), "\r\n", -1)
     return records.select(
-        _field(header, "WARC-Record-ID", "<urn:page:(-?\\d+)>").try_cast("long").alias("record_id"),
-        _field(header, "WARC-Target-URI", "(.*)").alias("url"),
-        _field(header, "WARC-Type", "(\\w+)").alias("record_type"),
-        _field(header, "WARC-Payload-Digest", "sha1:(\\w+)").alias("payload_digest"),
-        refers.try_cast("long").alias("refers_to"),
-        _field(header, "Content-Length", "(\\d+)").try_cast("long").alias("size"),
+        "header",
         "address",
+        "slot",
+        _number(_field(lines, "WARC-Record-ID")).alias("record_id"),
+        _field(lines, "WARC-Target-URI").alias("url"),
+        _field(lines, "WARC-Type").alias("record_type"),
+        F.regexp_extract(_field(lines, "WARC-Payload-Digest"), "^sha1:(\\w+)$", 1).alias("payload_digest"),
+        _number(_field(lines, "WARC-Refers-To")).alias("refers_to"),
+        _field(lines, "Content-Length").try_cast("long").alias("size"),
     )
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Every stored payload with what its bytes give: address, payload, sha1 in base 32, length, and whether it is intact."""
-    stored = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
-    return stored.select("address", "payload", base32(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("length"), (F.sha2("payload", 256) == F.col("address")).alias("intact"))
+    """Every stored payload once: address, payload, and uses, the number of its records."""
+    return spark.read.schema("address string, payload binary, uses long").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records rebuilt: the header's fields, the payload, the record's exact bytes, and whether all digests agree."""
-    fields, stored = read_headers(spark, path), read_payloads(spark, path)
-    records = spark.read.schema("record_id long, header binary, address string").parquet(f"{path}/records").select("record_id", "header")
-    joined = fields.join(records.dropDuplicates(["record_id"]), "record_id").join(stored, "address")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
-    end = F.lit("\r\n\r\n").cast("binary")
-    return joined.withColumn("record", F.concat("header", body, end)).withColumn("verified", F.expr("intact and digest = payload_digest and length = size")).drop("digest", "length", "intact", "size")
+    """The records rebuilt: header fields, payload, the record's exact bytes, and what the payload's own bytes give.
 
-
-def read_verified(spark: SparkSession, path: str) -> DataFrame:
-    """Headers with what the stored payload's own bytes give, without moving the payloads: for digests and references."""
-    stored = read_payloads(spark, path).drop("payload")
-    return read_headers(spark, path).join(stored, "address", "left").withColumn("verified", F.expr("coalesce(intact and digest = payload_digest and length = size, false)"))
+    digest (SHA-1 in base 32) and length are computed from the joined payload; verified says that they and its SHA-256
+    agree with the header and the address. A payload of many records is repeated for every SLOT of them, so that no
+    task has to rebuild all.
+    """
+    stored = read_payloads(spark, path).select("address", "payload", F.explode(F.sequence(F.lit(0), F.ceil(F.col("uses") / SLOT).cast("int") - 1)).alias("slot"))
+    joined = read_headers(spark, path).join(stored, ["address", "slot"])
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
+    whole = joined.withColumn("record", F.concat("header", body, F.lit("\r\n\r\n").cast("binary")))
+    seen = whole.withColumn("digest", base32(F.sha1("payload"))).withColumn("length", F.octet_length("payload").cast("long"))
+    agree = (F.sha2("payload", 256) == F.col("address")) & (F.col("digest") == F.col("payload_digest")) & (F.col("length") == F.col("size"))
+    return seen.withColumn("verified", F.coalesce(agree, F.lit(False))).drop("slot", "size")
