@@ -1,7 +1,7 @@
 """Quality classifier: averaged subword embeddings with a softmax output, trained by stochastic gradient descent in numpy.
 
-A text's features are its words, their character n-grams and its word pairs, hashed to a fixed number of rows of an
-embedding table; the document vector is the average of their embeddings. Training runs on a bounded sample of labelled
+A text's features are its words, their character n-grams and its pairs of neighbouring words, hashed to a fixed number of
+rows of an embedding table; the document vector is the average of their embeddings. Training runs on a bounded sample of labelled
 documents. Scoring covers every whole text in one scan: because average and output layer are linear, each row of the
 table is folded to its share of the final logit, and a word's shares are summed once and kept.
 """
@@ -21,41 +21,64 @@ from pyspark.sql import functions as F
 
 NGRAMS = (3,)
 LONG = 256
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_rows(word: str, rows: int) -> Iterator[int]:
     """Table rows of a word and of all its character n-grams with borders."""
     edged = f"<{word}>"
-    yield xxhash.xxh3_64_intdigest(f"w{word}") % rows
+    yield word_hash(word) % rows
     for n in NGRAMS:
         for i in range(len(edged) - n + 1):
             yield xxhash.xxh3_64_intdigest(f"{n}{edged[i : i + n]}") % rows
 
 
-def pair_rows(words: list[str], rows: int) -> list[int]:
-    """Table rows of neighbouring words: a repeated word is one feature whatever the word is."""
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    return [xxhash.xxh3_64_intdigest("p=") % rows] * (same * 8)
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"w{word}")
+
+
+def pair_rows(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """Table rows of all pairs of neighbouring words, from the words' hashes."""
+    mixed = hashes[:-1] * MIX + hashes[1:]
+    return ((mixed ^ (mixed >> np.uint64(29))) * MIX >> np.uint64(32)) % np.uint64(rows)
 
 
 class _Shares(dict):
-    """Summed logit shares and number of features of a word; those of words longer than LONG are summed in parts, not kept."""
+    """Maps a word to its place in arrays of summed logit shares, feature counts and hashes.
+
+    Words longer than LONG are summed in parts and not kept; `places` starts anew when `room` places are in use.
+    """
 
     def __init__(self, share: np.ndarray, room: int = 300_000):
         super().__init__()
-        self.share, self.room = share, room
-
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(word) > LONG:
-            total, n = 0.0, 0
-            for at in batched(word_rows(word, len(self.share)), 4096):
-                total, n = total + float(self.share[list(at)].sum()), n + len(at)
-            return total, n
-        if len(self) >= self.room:
+        self.table, self.room, self.used = share, room, 0
+        self.total, self.n, self.hashes = np.empty(1024), np.empty(1024, np.int64), np.empty(1024, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        total, n = 0.0, 0
+        for at in batched(word_rows(word, len(self.table)), 4096):
+            total, n = total + float(self.table[list(at)].sum(dtype=np.float64)), n + len(at)
+        k = self.used
+        if k == len(self.n):
+            self.total, self.n, self.hashes = (np.concatenate([x, np.empty_like(x)]) for x in (self.total, self.n, self.hashes))
+        self.total[k], self.n[k], self.hashes[k] = total, n, word_hash(word)
+        self.used += 1
+        if len(word) <= LONG:
+            self[word] = k
+        return k
+
+    def places(self, words: list[str]) -> np.ndarray:
+        if self.used >= self.room:
             self.clear()
-        at = list(word_rows(word, len(self.share)))
-        out = self[word] = (float(self.share[at].sum()), len(at))
-        return out
+            self.used = 0
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def mean(self, words: list[str]) -> float:
+        """Average share of all features of a text."""
+        at = self.places(words)
+        pairs = pair_rows(self.hashes[at], len(self.table))
+        total = self.total[at].sum() + self.table[pairs].sum(dtype=np.float64)
+        return float(total / max(1, self.n[at].sum() + len(pairs)))
 
 
 @dataclass
@@ -74,8 +97,9 @@ def _bag(text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
     for word, n in Counter(words).items():
         for r in word_rows(word, rows):
             counts[r] += n
-    for r in pair_rows(words, rows):
-        counts[r] += 1
+    hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    for r, n in zip(*np.unique(pair_rows(hashes, rows), return_counts=True)):
+        counts[int(r)] += int(n)
     return np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
 
 
@@ -96,12 +120,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, rows: int = 1
     """Fits the classifier on at most `sample` labelled documents, those with the smallest hash of their id.
 
     Only 0 and 1 are labels; null ids, other labels and labels without a document are left out. With one class or no
-    label the classifier answers with that class, or 0.5. Classes weigh the same, however many documents each has.
+    label the classifier answers with that class, or 0.5. Classes weigh the same, however many documents each has. Of
+    labels or texts that disagree under one id, the larger label and the smaller text count.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     got = texts.mapInArrow(_bags(rows), "doc_id long, label int, rows binary, weights binary").toLocalIterator()
     bags = sorted(((r.doc_id, r.label, np.frombuffer(r.rows, np.int32), np.frombuffer(r.weights, np.float32)) for r in got), key=lambda b: b[0])
     rng = np.random.default_rng(7)
@@ -139,20 +164,11 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     """
     share = docs.sparkSession.sparkContext.broadcast(model.shares())
     offset = float(model.bias[1] - model.bias[0])
-    rows = len(model.table)
-    repeat = xxhash.xxh3_64_intdigest("p=") % rows
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = _Shares(share.value)
-        same_share = float(share.value[repeat])
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                words = (text.as_py() or "").split()
-                got = list(map(shares.__getitem__, words))
-                same = 8 * sum(map(str.__eq__, words, words[1:]))
-                n = sum(g[1] for g in got) + same
-                out.append((sum(g[0] for g in got) + same * same_share) / max(1, n) + offset)
+            out = [shares.mean((text.as_py() or "").split()) + offset for text in batch.column(1)]
             p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
