@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.skew import join_counted
 from vellumspark.llm.store import staged
 
 
@@ -29,23 +30,34 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     Lines are split at newlines and compared to the byte. A text with fewer lines than a window keeps them all; an empty
     text is one empty line; a null text stays null with 0 lines. Rows that share an id count as one document, so a
     repeated row is not a later occurrence of itself. Documents with a null id are left as they are. An empty table gives
-    no rows. Hot windows are reduced to their first place before the shuffle.
+    no rows. Windows are reduced to their first place before
+    the shuffle, and rows of a window common to a large part of all documents stay where they are.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = F.split(F.col(text_col), "\n", -1)
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.explode(_windows(lines, size)).alias("w"))
     windows = staged(ids.select("_id", "w.pos", "w.h1", "w.h2"), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = windows.join(firsts, ["h1", "h2"]).where(F.struct("_id", "pos") != F.col("first"))
+    repeated = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_counted(windows, staged(repeated, "repeated"), ["h1", "h2"]).where(F.struct("_id", "pos") != F.col("first"))
     gone = later.groupBy("_id").agg(F.collect_set("pos").alias("_starts"))
-    # One pass over the lines: a line goes when a window that starts at it or up to size - 1 lines before it goes.
+    # All is linear in the lines: the positions left are those of the text without the covered ones, in order.
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + size - 1))))
-    joined = docs.select(*keep).join(gone.withColumn("_gone", F.map_from_entries(F.transform(covered, lambda p: F.struct(p, F.lit(True))))), docs[id_col].cast("long") == F.col("_id"), "left")
-    left = F.filter(lines, lambda x, i: F.col("_gone")[i].isNull())
-    kept_text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = {c: F.col(c) for c in keep} | {text_col: kept_text}
-    return joined.select(
+    gone = gone.select(F.col("_id"), covered.alias("_covered"))
+
+    def kept(whole: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("_covered"))
+        return F.array_join(F.transform(places, lambda i: whole[i]), "\n")
+
+    # The lines are bound once a text, as above.
+    left = F.transform(F.array(lines), kept)[0]
+    out = {c: F.col(c) for c in keep} | {text_col: F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(left)}
+    columns = [
         *(v.alias(k) for k, v in out.items()),
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long").alias("n_removed"),
-    )
+        F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"),
+    ]
+    known = docs.where(F.col(id_col).isNotNull()).select(*keep)
+    known = known.join(gone, known[id_col].cast("long") == gone["_id"], "left").select(*columns)
+    # Rows without an id would all meet in one task of the join.
+    unknown = docs.where(F.col(id_col).isNull()).select(*keep).withColumn("_covered", F.lit(None).cast("array<int>"))
+    return known.unionByName(unknown.select(*columns))
