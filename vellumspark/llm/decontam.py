@@ -8,7 +8,7 @@ backwards together, occurrences are located through sampled suffix positions, an
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vellumspark.llm.store import staged
+from vellumspark.llm.store import new_path, staged
 
 # Bytes that are not in [0-9A-Za-z\x80-\xFF] split words, A-Z become a-z.
 SPLIT = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+ITEM_WORD = re.compile(r"(?:[0-9A-Za-z]|[^\x00-\x7F])+")
 SAMPLE = 16
 
 
@@ -118,16 +120,16 @@ class Phrases:
     """Distinct windows of a block of benchmark items, by length, with the items each comes from."""
 
     vocabulary: dict[bytes, int]
-    by_length: dict[int, tuple[np.ndarray, list[list[int]]]]
+    by_length: dict[int, tuple[np.ndarray, list[list[str]]]]
 
     @property
     def shortest(self) -> int:
         return min(self.by_length, default=0)
 
 
-def phrases(items: list[tuple[int, str | None]], window: int) -> Phrases:
+def phrases(items: list[tuple[str, str | None]], window: int) -> Phrases:
     vocabulary: dict[bytes, int] = {}
-    found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+    found: dict[int, dict[tuple[int, ...], set[str]]] = {}
     for item, text in items:
         words = item_words(text)
         numbers = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words]
@@ -137,11 +139,11 @@ def phrases(items: list[tuple[int, str | None]], window: int) -> Phrases:
     return Phrases(vocabulary, {k: (np.array(list(w), np.int64), [sorted(s) for s in w.values()]) for k, w in found.items()})
 
 
-def _search_shard(ids: list[np.ndarray], p: Phrases) -> tuple[list[np.ndarray], list[set[int]]]:
+def _search_shard(ids: list[np.ndarray], p: Phrases) -> tuple[list[np.ndarray], list[set[str]]]:
     """Covered word positions and matched items of every document of a shard."""
     sizes = np.array([len(x) for x in ids], np.int64)
     covered = [np.zeros(0, bool)] * len(ids)
-    items: list[set[int]] = [set() for _ in ids]
+    items: list[set[str]] = [set() for _ in ids]
     flat = np.concatenate([y for x in ids for y in (x, np.ones(1, np.int64))]) if ids else np.empty(0, np.int64)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], flat > 1, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
@@ -169,124 +171,140 @@ def _search_shard(ids: list[np.ndarray], p: Phrases) -> tuple[list[np.ndarray],
     return covered, items
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str | None]]]:
-    block: list[tuple[int, str | None]] = []
-    held = 0
-    for r in benchmark.toLocalIterator():
-        block.append((r.item_id, r.text))
-        held += len(r.text or "")
-        if held >= size:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+FOUND = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>, clean string"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<long>, spans array<struct<start:int,end:int>>"
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its hit words, each run from its first word's start to its last word's end."""
+    places = [m.span() for m in ITEM_WORD.finditer(text)]
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(text[at : places[start][0]])
+        at = places[end - 1][1]
+    return "".join(kept) + text[at:]
 
 
-def _scan(block: list[tuple[int, str | None]], window: int, shard_words: int):
+def _results(rows: pa.Array, texts: list, sizes: list[int], items: list[list[str]], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """Rows with what was found in them; clean is null where nothing was."""
+    arrays = [
+        rows,
+        pa.array(sizes, pa.int64()),
+        pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+        pa.array([len(i) for i in items], pa.int64()),
+        pa.array(items, pa.list_(pa.string())),
+        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS),
+        pa.array([_cut(t.as_py(), s) if s else None for t, s in zip(texts, spans)], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["row", "n_words", "n_hit", "n_items", "items", "spans", "clean"])
+
+
+def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).tolist() if len(covered) else []
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def _scan(block: list[tuple[str, str | None]], window: int, shard_words: int, only_hits: bool):
+    """Searches rows (row, text) shard by shard for the windows of one block of items."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases(block, window)
         number = p.vocabulary.get
+        pieces: list[pa.RecordBatch] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def shard() -> Iterator[pa.RecordBatch]:
+            nonlocal pieces, ids, held
+            if ids:
+                covered, items = _search_shard(ids, p) if p.by_length else ([np.zeros(0, bool)] * len(ids), [set() for _ in ids])
+                rows = pa.concat_arrays([x.column(0) for x in pieces])
+                texts = [t for x in pieces for t in x.column(1)]
+                out = _results(rows, texts, [len(x) for x in ids], [sorted(s) for s in items], [_runs(c) for c in covered])
+                yield out.filter(pa.array([len(s) > 0 for s in items])) if only_hits else out
+            pieces, ids, held = [], [], 0
 
-        def shard(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-            covered, items = _search_shard(ids, p) if p.by_length else ([np.zeros(0, bool)] * len(ids), [set() for _ in ids])
-            spans = []
-            for c in covered:
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]).astype(np.int8))) if len(c) else []
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-            arrays = [
-                pa.array(doc_ids, pa.int64()),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([int(c.sum()) for c in covered], pa.int64()),
-                pa.array([len(s) for s in items], pa.int64()),
-                pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"])
-
-        doc_ids, ids, held = [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            start = 0
+            for k, text in enumerate(batch.column(1)):
                 words = item_words(text.as_py())
                 ids.append(np.fromiter((number(w, 1) for w in words), np.int64, len(words)))
-                doc_ids.append(i)
                 held += len(words)
                 if held >= shard_words or len(ids) >= 20_000:
-                    yield shard(doc_ids, ids)
-                    doc_ids, ids, held = [], [], 0
-        if ids:
-            yield shard(doc_ids, ids)
+                    pieces.append(batch.slice(start, k + 1 - start))
+                    start = k + 1
+                    yield from shard()
+            if start < batch.num_rows:
+                pieces.append(batch.slice(start))
+        yield from shard()
 
     return scan
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 19, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges what several blocks found in one row: (row, text, found)."""
+    for batch in batches:
+        texts, sizes, items, spans = list(batch.column(1)), [], [], []
+        for text, found in zip(texts, batch.column(2).to_pylist()):
+            sizes.append(len(item_words(text.as_py())))
+            items.append(sorted({i for f in found or [] for i in f["items"]}))
+            merged: list[tuple[int, int]] = []
+            for a, b in sorted((s["start"], s["end"]) for f in found or [] for s in f["spans"]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = merged[-1][0], max(b, merged[-1][1])
+                else:
+                    merged.append((a, b))
+            spans.append(merged)
+        yield _results(batch.column(0), texts, sizes, items, spans)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, block_bytes: int, text_col: str) -> DataFrame:
+    """Every row of docs as a struct `row`, with what was found in its text."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    n_blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
+    block_of = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+    # One block at a time is on the driver and in the tasks; items are dealt by hash, so a block has about block_bytes.
+    block = lambda b: [(r.item_id, r.text) for r in items.where(block_of == b).toLocalIterator()]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(FOUND).fields])
+    if n_blocks == 1:
+        return rows.mapInArrow(_scan(block(0), window, shard_words, False), schema)
+    held = staged(rows.withColumn("at", F.monotonically_increasing_id()), "texts")
+    path = new_path(spark, "found")
+    for b in range(n_blocks):
+        part = held.select(F.col("at").alias("row"), "text").mapInArrow(_scan(block(b), window, shard_words, True), f"row long, {FOUND}")
+        part.select(F.col("row").alias("at"), "items", "spans").write.mode("append").parquet(path)
+    found = spark.read.schema("at long, items array<string>, spans array<struct<start:int,end:int>>").parquet(path)
+    by_row = found.groupBy("at").agg(F.collect_list(F.struct("items", "spans")).alias("found"))
+    return held.join(by_row, "at", "left").select("row", "text", "found").mapInArrow(_unite, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 19, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Occurrences of benchmark windows in documents, one row a document.
 
     Words are runs of 0-9, A-Z (as a-z) and characters past ASCII. A window is `window` consecutive words of an item; an
     item with fewer, but not none, is one window. Returns doc_id, n_words, n_hit (words inside any occurrence), n_items
-    and items (those with occurrences) and spans (maximal hit word intervals, end exclusive).
+    and items (ids as text, of those with occurrences) and spans (maximal hit word intervals, end exclusive).
 
-    Benchmark items travel with the tasks in blocks of block_bytes, so their size is bounded; each further block scans
-    the documents again and the results of the blocks are merged per row. Null, empty and wordless texts have no words
-    and no hits; null or wordless items match nothing; items with one id count once. Repeated document rows give
-    repeated results; a null id stays null. Other columns are not read. An empty table gives no rows.
+    Benchmark items are searched in blocks of about block_bytes, one after the other, so neither the driver nor a task
+    holds more than one; each further block scans the documents again, and what blocks found is merged per row. Null,
+    empty and wordless texts have no words and no hits; null or wordless items and items without an id match nothing;
+    ids may be of any type, and items with one id count once. Repeated document rows give repeated results; a null id
+    stays null. Other columns are not read. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = list(_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null"), block_bytes)) if benchmark is not None else []
-    if len(blocks) <= 1:
-        return texts.mapInArrow(_scan(blocks[0] if blocks else [], window, shard_words), RESULT)
-    marked = texts.withColumn("row", F.monotonically_increasing_id())
-    return _merged(marked, blocks, window, shard_words)
-
-
-def _merged(texts: DataFrame, blocks: list, window: int, shard_words: int) -> DataFrame:
-    """Several blocks: spans and items of each, united per document row."""
-    held = staged(texts, "texts")
-    base = None
-    for block in blocks:
-        part = held.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scan(block, window, shard_words), RESULT)
-        base = part if base is None else base.union(part)
-    hit = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.end - 1))))))
-    by_row = base.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(hit).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    starts = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
-    ends = F.transform(F.filter("at", lambda x: ~F.array_contains("at", x + 1)), lambda x: x + 1)
-    spans = F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda z: F.struct(z.start.cast("int").alias("start"), z.end.cast("int").alias("end")))
-    out = by_row.select(F.col("doc_id").alias("row"), "n_words", F.size("at").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", spans.alias("spans"))
-    return held.select("row", "doc_id").join(out, "row").drop("row")
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    slim = _searched(texts, benchmark, window, shard_words, block_bytes, "text")
+    return slim.select("row.doc_id", "n_words", "n_hit", "n_items", "items", "spans")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 19, block_bytes: int = 2 << 20, text_col: str = "text") -> DataFrame:
     """The documents with the text of every hit span cut out, from its first word's start to its last word's end.
 
-    Columns stay as they are; documents without a hit keep their text to the byte. Options as for decontaminate().
+    Columns stay as they are; documents without a hit keep their text to the byte. Rows are cut one by one, whatever
+    their ids. Otherwise as decontaminate().
     """
-    found = decontaminate(docs, benchmark, **options).where("n_hit > 0 and doc_id is not null")
-    found = staged(found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"]), "spans")
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import re
-
-        import pandas as pd
-
-        pattern, out = re.compile(r"(?:[0-9A-Za-z]|[^\x00-\x7F])+"), []
-        for text, got in zip(texts, spans):
-            if text is None or got is None or not len(got):
-                out.append(text)
-                continue
-            places = [m.span() for m in pattern.finditer(text)]
-            kept, at = [], 0
-            for s in got:
-                kept.append(text[at : places[s["start"]][0]])
-                at = places[s["end"] - 1][1]
-            out.append("".join(kept) + text[at:])
-        return pd.Series(out, dtype=object)
-
-    joined = docs.join(found, docs[id_col].cast("long") == found["_id"], "left")
-    clean = joined.where("_id is null").select(*docs.columns)
-    dirty = joined.where("_id is not null").withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).select(*docs.columns)
-    return clean.unionByName(dirty)
+    found = _searched(docs, benchmark, window, shard_words, block_bytes, text_col)
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out[text_col] = F.coalesce(F.col("clean"), out[text_col])
+    return found.select(*(v.alias(c) for c, v in out.items()))
