@@ -1,8 +1,10 @@
 """Exact substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
 
-Documents are packed into chunks, stored once. Each chunk sends every distinct window hash with its smallest document,
-packed by hash bucket, so that a window common to a third of all documents is one entry a chunk. A bucket answers with
-one bit an entry: whether a smaller document elsewhere has the window. Chunks then mark the covered words.
+Documents are packed into chunks, stored once. Each chunk sends the distinct hashes of its windows, packed by hash bucket,
+so that a window common to a third of all documents is one entry a chunk. A bucket answers with one bit an entry: whether
+another chunk has it too. Only windows of which that is so are sent again, now with two hashes of 64 bits and their
+smallest document, and the second answer says whether a smaller document elsewhere has the window. Chunks then mark the
+covered words.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.store import staged
-from vellumspark.llm.wordhash import WORDS, rolling
+from vellumspark.llm.wordhash import WORDS, WordHashes, rolling
 
+SECOND = WordHashes(seed=1)
 NO_ID = np.iinfo(np.int64).max
 CHUNKS = "chunk long, n_bytes long, ids binary, lengths binary, texts binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
@@ -54,123 +57,198 @@ def _pack(chunk_bytes: int):
 
 
 class _Chunk:
-    """Words of a chunk's documents, the hash of every window, and each distinct hash with its smallest document."""
+    """Words of a chunk's documents, and each distinct window hash with its smallest document."""
 
-    def __init__(self, ids: bytes, lengths: bytes, texts: bytes, size: int):
-        self.ids = np.frombuffer(ids, np.int64)
-        raw, at = zstandard.decompress(texts), 0
+    def __init__(self, row: dict, size: int, short_bits: int):
+        self.id = row["chunk"]
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        raw, at = zstandard.decompress(row["texts"]), 0
         self.words: list[list[bytes]] = []
-        for n in np.frombuffer(lengths, np.int64):
+        for n in np.frombuffer(row["lengths"], np.int64):
             self.words.append(raw[at : at + n].split())
             at += n
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        h = np.concatenate([WORDS.of(w) for w in self.words]) if len(self.words) else np.empty(0, np.uint64)
-        doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        values = rolling(h, size)
-        self.starts = np.flatnonzero(doc[: len(values)] == doc[size - 1 :]) if len(values) else np.empty(0, np.int64)
-        self.window_doc = doc[self.starts]
-        self.hashes, first, self.of_window = np.unique(values[self.starts], return_index=True, return_inverse=True)
-        self.first_doc = self.window_doc[first]
-        self.total = len(h)
+        self.size, self.short_bits = size, short_bits
+        self.doc = np.repeat(np.arange(len(self.ids)), [len(w) for w in self.words])
+        self.values = self._rolled(WORDS)
+        self.starts = np.flatnonzero(self.doc[: len(self.values)] == self.doc[size - 1 :]) if len(self.values) else np.empty(0, np.int64)
+        self.short, self.of_window = np.unique(self.values[self.starts] >> np.uint64(64 - short_bits), return_inverse=True)
 
+    def _rolled(self, hashes: WordHashes) -> np.ndarray:
+        h = np.concatenate([hashes.of(w) for w in self.words]) if self.words else np.empty(0, np.uint64)
+        return rolling(h, self.size)
 
-def _send(size: int, bits: int):
-    """Rows of (bucket, chunk): hashes in order, and how many of them each document is the smallest for."""
+    def shared(self, answers: list[dict], bits: int) -> np.ndarray:
+        """For every short hash whether another chunk has it."""
+        out = np.zeros(len(self.short), bool)
+        buckets = _Buckets(self.short, bits, self.short_bits)
+        for got in answers or []:
+            lo, hi = buckets.run(got["bucket"])
+            out[lo:hi] = np.unpackbits(np.frombuffer(got["bits"], np.uint8), count=hi - lo).astype(bool)
+        return out
 
+    def candidates(self, answers: list[dict], bits: int) -> "_Candidates":
+        """Windows that another chunk may have, or another document of this chunk."""
+        shared = self.shared(answers, bits)[self.of_window]
+        home = self.doc[self.starts]
+        low, high = np.full(len(self.short), len(self.ids)), np.full(len(self.short), -1)
+        np.minimum.at(low, self.of_window, home)
+        np.maximum.at(high, self.of_window, home)
+        at = np.flatnonzero(shared | (low != high)[self.of_window])
+        second = self._rolled(SECOND) if len(at) else np.empty(0, np.uint64)
+        return _Candidates(self.starts[at], home[at], self.values[self.starts[at]], second[self.starts[at]] if len(at) else second, shared[at])
+
+
+class _Candidates:
+    """Windows of a chunk by both hashes: the distinct ones in order, and the smallest document of each."""
+
+    def __init__(self, starts: np.ndarray, home: np.ndarray, first: np.ndarray, second: np.ndarray, shared: np.ndarray):
+        self.starts, self.home = starts, home
+        order = np.lexsort((home, second, first))
+        a, b = first[order], second[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
+        self.of_window = np.empty(len(order), np.int64)
+        self.of_window[order] = np.cumsum(new) - 1
+        heads = order[new]
+        self.first, self.second, self.least, self.shared = first[heads], second[heads], home[heads], shared[heads]
+
+
+class _Buckets:
+    """Runs of sorted hashes of `wide` bits that start with the same `bits`."""
+
+    def __init__(self, hashes: np.ndarray, bits: int, wide: int):
+        self.of = hashes >> np.uint64(wide - bits)
+
+    def runs(self) -> list[tuple[int, int, int]]:
+        """(bucket, start, end) of all that are not empty."""
+        ids, starts, n = np.unique(self.of, return_index=True, return_counts=True)
+        return list(zip(ids.tolist(), starts.tolist(), (starts + n).tolist()))
+
+    def run(self, bucket: int) -> tuple[int, int]:
+        return tuple(np.searchsorted(self.of, np.array([bucket], np.uint64), side)[0] for side in ("left", "right"))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers by byte planes, so that leading zeros compress."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _gaps(sorted_numbers: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_numbers, prepend=sorted_numbers.dtype.type(0))
+
+
+def _columns(out: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+
+
+def _send_short(size: int, bits: int, short_bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = _Chunk(row["ids"], row["lengths"], row["texts"], size)
-                edges = np.searchsorted(c.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
-                edges = np.append(edges, len(c.hashes))
-                drop = bits // 8
-                out: list[list] = [[], [], [], []]
-                for b in range(1 << bits):
-                    lo, hi = edges[b], edges[b + 1]
-                    if lo == hi:
-                        continue
-                    order = np.argsort(c.first_doc[lo:hi], kind="stable")
-                    docs, counts = np.unique(c.first_doc[lo:hi], return_counts=True)
-                    known = c.ids[docs]
-                    low = c.hashes[lo:hi][order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, drop:]
-                    gaps = np.diff(known, prepend=0)
-                    head = np.concatenate([gaps, counts])
-                    for k, v in enumerate((b, row["chunk"], zstandard.compress(head.tobytes(), 1), low.tobytes())):
-                        out[k].append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["bucket", "chunk", "docs", "hashes"])
+                c = _Chunk(row, size, short_bits)
+                runs = _Buckets(c.short, bits, short_bits).runs()
+                packed = [_packed(_gaps(c.short[lo:hi])) for _, lo, hi in runs]
+                if runs:
+                    yield _columns([[b for b, _, _ in runs], [c.id] * len(runs), packed], [pa.int64(), pa.int64(), pa.binary()], ["bucket", "chunk", "hashes"])
 
     return send
 
 
-def _answer(bits: int):
-    width = 8 - bits // 8
-
-    def answer(rows: pa.Table) -> pa.Table:
-        hashes, docs, sizes = [], [], []
-        for head, low in zip(rows["docs"].to_pylist(), rows["hashes"].to_pylist()):
-            gaps, counts = np.frombuffer(zstandard.decompress(head), np.int64).reshape(2, -1)
-            wide = np.zeros((len(low) // width, 8), np.uint8)
-            wide[:, 8 - width :] = np.frombuffer(low, np.uint8).reshape(-1, width)
-            hashes.append(wide.view(">u8").ravel().astype(np.uint64))
-            docs.append(np.repeat(np.cumsum(gaps), counts))
-            sizes.append(len(hashes[-1]))
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        order = np.argsort(h, kind="stable")
-        hs, ds = h[order], d[order]
-        heads = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-        least = np.repeat(np.minimum.reduceat(ds, heads), np.diff(np.append(heads, len(hs))))
-        flag = np.empty(len(h), bool)
-        flag[order] = ds > least
-        chunks, buckets, packed, at = [], [], [], 0
-        for chunk, bucket, n in zip(rows["chunk"].to_pylist(), rows["bucket"].to_pylist(), sizes):
-            if flag[at : at + n].any():
-                chunks.append(chunk)
-                buckets.append(bucket)
-                packed.append(np.packbits(flag[at : at + n]).tobytes())
-            at += n
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "bits": pa.array(packed, pa.binary())})
+def _answers(rows: pa.Table, flag: np.ndarray, sizes: list[int]) -> pa.Table:
+    out: list[list] = [[], [], []]
+    at = 0
+    for chunk, bucket, n in zip(rows["chunk"].to_pylist(), rows["bucket"].to_pylist(), sizes):
+        if flag[at : at + n].any():
+            for column, v in zip(out, (chunk, bucket, np.packbits(flag[at : at + n]).tobytes())):
+                column.append(v)
+        at += n
+    return pa.table({"chunk": pa.array(out[0], pa.int64()), "bucket": pa.array(out[1], pa.int64()), "bits": pa.array(out[2], pa.binary())})
+
+
+def _answer_short(rows: pa.Table) -> pa.Table:
+    """One bit for every hash of every chunk of a bucket: whether another chunk has it."""
+    hashes = [np.cumsum(_unpacked(x)) for x in rows["hashes"].to_pylist()]
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat, kind="stable")
+    same = flat[order][1:] == flat[order][:-1]
+    flag = np.empty(len(flat), bool)
+    flag[order] = np.append(same, False) | np.append(False, same)
+    return _answers(rows, flag, [len(h) for h in hashes])
+
+
+def _send_full(size: int, bits: int, short_bits: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Chunk(row, size, short_bits)
+                c = chunk.candidates(row["answers"], bits)
+                out: list[list] = [[], [], [], [], []]
+                for b, lo, hi in _Buckets(c.first, bits, 64).runs():
+                    at = np.arange(lo, hi)[c.shared[lo:hi]]
+                    if len(at):
+                        for column, v in zip(out, (b, chunk.id, _packed(_gaps(c.first[at])), c.second[at].tobytes(), zstandard.compress(chunk.ids[c.least[at]].tobytes(), 1))):
+                            column.append(v)
+                if out[0]:
+                    yield _columns(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "chunk", "hashes", "second", "docs"])
+
+    return send
+
 
-    return answer
+def _answer_full(rows: pa.Table) -> pa.Table:
+    """One bit for every window of every chunk of a bucket: whether a smaller document elsewhere has it."""
+    firsts = [np.cumsum(_unpacked(x)) for x in rows["hashes"].to_pylist()]
+    first = np.concatenate(firsts)
+    second = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["second"].to_pylist()])
+    doc = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in rows["docs"].to_pylist()])
+    order = np.lexsort((second, first))
+    a, b, d = first[order], second[order], doc[order]
+    heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    least = np.repeat(np.minimum.reduceat(d, heads), np.diff(np.append(heads, len(d))))
+    flag = np.empty(len(d), bool)
+    flag[order] = d > least
+    return _answers(rows, flag, [len(h) for h in firsts])
 
 
-def _mark(size: int, bits: int):
+def _mark(size: int, bits: int, short_bits: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = _Chunk(row["ids"], row["lengths"], row["texts"], size)
-                elsewhere = np.zeros(len(c.hashes), bool)
-                for got in row["answers"] or []:
-                    lo, hi = np.searchsorted(c.hashes, np.array([got["bucket"]], np.uint64) << np.uint64(64 - bits))[0] if bits else 0, len(c.hashes)
-                    if bits and got["bucket"] + 1 < 1 << bits:
-                        hi = np.searchsorted(c.hashes, np.array([got["bucket"] + 1], np.uint64) << np.uint64(64 - bits))[0]
-                    order = np.argsort(c.first_doc[lo:hi], kind="stable")
-                    elsewhere[lo + order] = np.unpackbits(np.frombuffer(got["bits"], np.uint8), count=hi - lo).astype(bool)
-                own = c.ids[c.window_doc]
-                gone = (elsewhere[c.of_window] | (own > c.ids[c.first_doc][c.of_window])) & (own != NO_ID)
-                step = np.zeros(c.total + 1, np.int32)
+                chunk = _Chunk(row, size, short_bits)
+                c = chunk.candidates(row["answers"], bits)
+                elsewhere = np.zeros(len(c.first), bool)
+                buckets = _Buckets(c.first, bits, 64)
+                for got in row["full"] or []:
+                    lo, hi = buckets.run(got["bucket"])
+                    at = np.arange(lo, hi)[c.shared[lo:hi]]
+                    elsewhere[at] = np.unpackbits(np.frombuffer(got["bits"], np.uint8), count=len(at)).astype(bool)
+                own = chunk.ids[c.home]
+                gone = (elsewhere[c.of_window] | (own > chunk.ids[c.least][c.of_window])) & (own != NO_ID)
+                step = np.zeros(len(chunk.doc) + 1, np.int32)
                 np.add.at(step, c.starts[gone], 1)
                 np.add.at(step, c.starts[gone] + size, -1)
                 covered = np.cumsum(step)[:-1] > 0
                 out: list[list] = [[], [], [], [], []]
                 at = 0
-                for k, words in enumerate(c.words):
+                for k, words in enumerate(chunk.words):
                     cut = covered[at : at + len(words)]
                     at += len(words)
                     n = int(cut.sum())
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], cut, [False]]).astype(np.int8))) if n else []
-                    out[0].append(None if c.ids[k] == NO_ID else int(c.ids[k]))
+                    out[0].append(None if chunk.ids[k] == NO_ID else int(chunk.ids[k]))
                     out[1].append(len(words))
                     out[2].append(n)
                     out[3].append((b" ".join(compress(words, ~cut)) if n else b" ".join(words)).decode())
                     out[4].append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(out, kinds)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                yield _columns(out, [pa.int64(), pa.int64(), pa.int64(), pa.string(), spans], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     return mark
 
 
-def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20, short_bits: int = 48) -> DataFrame:
     """Removes every word covered by a window of `size` words that also starts in a document with a smaller id.
 
     Words are the runs between ASCII white space, unchanged. Returns doc_id, n_words, n_removed, kept (the words left,
@@ -178,15 +256,21 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
 
     Null and empty texts have no words; a text shorter than a window loses nothing. Rows that share an id are one
     document to each other: neither is smaller. A null id is never smaller and loses nothing. Other columns are not
-    read. An empty table gives no rows. Hashes have 64 bits: two different windows among n meet with odds n^2 / 2^65.
+    read. An empty table gives no rows. Windows are told apart by 128 bits: two different ones among n meet with odds
+    n^2 / 2^129.
 
-    chunk_bytes bounds a task's memory and bucket_entries a bucket's; on very large inputs raise both together.
+    chunk_bytes bounds a task's memory and bucket_entries a bucket's; on very large inputs raise both together, so that
+    packed rows stay long. short_bits is how much of a hash the first round compares; it only has to leave few windows for
+    the second, which compares all 128 bits.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = staged(rows.mapInArrow(_pack(chunk_bytes), CHUNKS), "chunks")
     windows = (chunks.agg(F.sum("n_bytes")).first()[0] or 0) / 6  # about as many as words
-    bits = min(16, max(6, int(np.ceil(np.log2(max(1, windows / bucket_entries))))))
-    sent = chunks.mapInArrow(_send(size, bits), "bucket int, chunk long, docs binary, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer(bits), "chunk long, bucket int, bits binary")
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    return chunks.join(by_chunk, "chunk", "left").mapInArrow(_mark(size, bits), RESULT)
+    bits = min(short_bits, max(6, int(np.ceil(np.log2(max(1, windows / bucket_entries))))))
+    by_chunk = lambda answers, name: answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    short = chunks.mapInArrow(_send_short(size, bits, short_bits), "bucket long, chunk long, hashes binary")
+    shared = by_chunk(short.groupBy("bucket").applyInArrow(_answer_short, "chunk long, bucket long, bits binary"), "answers")
+    known = chunks.join(staged(shared, "shared"), "chunk", "left")
+    full = known.mapInArrow(_send_full(size, bits, short_bits), "bucket long, chunk long, hashes binary, second binary, docs binary")
+    smaller = by_chunk(full.groupBy("bucket").applyInArrow(_answer_full, "chunk long, bucket long, bits binary"), "full")
+    return known.join(smaller, "chunk", "left").mapInArrow(_mark(size, bits, short_bits), RESULT)
