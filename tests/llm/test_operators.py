@@ -146,6 +146,37 @@ def test_quality(spark, sf, clashing):
     assert {r.score for r in quality.score(docs, nothing).select("score").distinct().collect()} == {0.5}
 
 
+def test_scores_equal_a_plain_forward_pass(spark, sf, edge):
+    """Average of the embedding rows of all features, output layer, softmax: for every feature by itself."""
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels.where(~quality.held_out()), rows=1 << 12, epochs=2)
+    rows = len(model.table)
+    odd = edge.union(spark.createDataFrame([(100, "é" * 300 + " " + "x" * 70), (101, "same same same other same")], edge.schema))
+    texts = dict(EDGE) | {100: "é" * 300 + " " + "x" * 70, 101: "same same same other same"}
+    for r in quality.score(odd, model).collect():
+        words = (texts[r.doc_id] or "").split()
+        at = []
+        for w in words:
+            at.append(xxhash.xxh3_64_intdigest("w" + w) % rows)
+            at += [xxhash.xxh3_64_intdigest("3" + f"<{w}>"[i : i + 3]) % rows for i in range(len(w))]
+        for a, b in zip(words, words[1:]):
+            m = (xxhash.xxh3_64_intdigest("w" + a) * int(quality.MIX) + xxhash.xxh3_64_intdigest("w" + b)) % 2**64
+            at.append((((m ^ (m >> 29)) * int(quality.MIX)) % 2**64 >> 32) % rows)
+        vector = model.table[at].astype(np.float64).mean(axis=0) if at else np.zeros(model.table.shape[1])
+        logits = model.output @ vector + model.bias
+        p = np.exp(logits - logits.max())
+        assert abs(r.score - p[1] / p.sum()) < 1e-4 and r.predicted == (r.score >= 0.5)
+
+
+def test_quality_of_ids_that_disagree(spark):
+    docs = [(i, "good clear words") for i in range(20)] + [(i, "bad junk noise") for i in range(20, 40)]
+    labels = [(i, 1) for i in range(20)] + [(i, 0) for i in range(20, 40)]
+    both = [quality.train(spark.createDataFrame(d, "doc_id long, text string").repartition(3), spark.createDataFrame(x, "doc_id long, quality int"), rows=1 << 10) for d, x in ((docs + [(5, "bad junk noise")], labels + [(5, 0)]), ([(5, "bad junk noise")] + docs, [(5, 0)] + labels))]
+    assert (both[0].table == both[1].table).all() and (both[0].output == both[1].output).all()
+
+
 def test_line_dedup(spark, sf, edge, clashing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup(docs).collect()}
@@ -154,6 +185,11 @@ def test_line_dedup(spark, sf, edge, clashing):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup(edge).collect()}
     assert got.pop(0) == (0, 0, None)
     assert got == brute.lines(known)
+    many = [(i, "\n".join(f"line {j}" for j in range(i, i + 20_000))) for i in range(2)] + [(None, "x\nline 5\nline 6\nline 7")] * 2
+    frame = spark.createDataFrame(many, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup(frame).collect())
+    want = sorted((False, i, *v) for i, v in brute.lines(many[:2]).items()) + [(True, None, 4, 0, many[2][1])] * 2
+    assert got == want
     out = line_dedup(clashing)
     assert out.count() == clashing.count() and out.columns[-2:] == ["n_lines", "n_removed"]
     assert line_dedup(edge.limit(0)).count() == 0
@@ -181,14 +217,20 @@ def test_decontamination(spark, sf, edge, clashing, block_bytes):
     items = [(r.item_id, r.text) for r in bench.collect()]
     block = block_bytes if block_bytes > 1000 else 3000
     got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontaminate(docs, bench, shard_words=2000, block_bytes=block).collect()}
-    assert got == {k: v[:3] for k, v in brute.contamination(docs_of(spark, sf), items).items()}
+    assert got == {k: (*v[:2], sorted(map(str, v[2]))) for k, v in brute.contamination(docs_of(spark, sf), items).items()}
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontaminate(edge, bench, block_bytes=block_bytes).collect()}
     want = brute.contamination(EDGE, ITEMS)
-    assert got == {k: v[:3] for k, v in want.items()}
+    assert got == {k: (*v[:2], sorted(map(str, v[2]))) for k, v in want.items()}
     assert {r.doc_id: r.text for r in remove_spans(edge, bench, block_bytes=block_bytes).collect()} == {i: t and brute.cut_spans(t, want[i][3]) for i, t in EDGE}
     assert decontaminate(clashing, bench, block_bytes=block_bytes).count() == clashing.count() == remove_spans(clashing, bench).count()
     assert decontaminate(edge.limit(0), bench).count() == 0
+    named = bench.select(F.concat(F.lit("item-"), "item_id").alias("item_id"), "text")
+    found = {r.doc_id: r["items"] for r in decontaminate(edge, named, block_bytes=block_bytes).collect()}
+    assert found == {k: sorted(f"item-{i}" for i in v[2]) for k, v in want.items()}
+    # Rows of one id are cut by what their own texts hold.
+    twice = spark.createDataFrame([(1, "x " + PASSAGE), (1, "clean"), (1, None), (None, PASSAGE + " y")], "doc_id long, text string")
+    assert sorted((r.text or "") for r in remove_spans(twice, bench, block_bytes=block_bytes).collect()) == ["", " y", "clean", "x "]
     assert decontaminate(edge, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
@@ -200,8 +242,8 @@ def test_long_words_count_whole():
     for word in ("short", "x" * 64 + "abc", "é" * 200 + "tail", "ab" * 5000 + "c"):
         grams = [f"w{word}"] + [f"3{f'<{word}>'[i : i + 3]}" for i in range(len(word))]
         at = [xxhash.xxh3_64_intdigest(g) % len(share) for g in grams]
-        total, n = shares[word]
-        assert n == len(at) == len(word) + 1 and abs(total - sum(at)) <= 1e-5 * sum(at)
+        k = shares.places([word])[0]
+        assert shares.n[k] == len(at) == len(word) + 1 and abs(shares.total[k] - sum(at)) <= 1e-5 * sum(at)
         where, weights = quality._bag(word, len(share))
         assert dict(zip(where.tolist(), weights.tolist())) == Counter(at)
     assert set(shares) == {"short", "x" * 64 + "abc", "é" * 200 + "tail"}
@@ -259,32 +301,52 @@ def test_archive_round_trip(spark, sf):
     import base64
     import hashlib
 
-    pages = [(5, "http://a/\r\nx", "same"), (3, "http://b/", "same"), (9, None, "same"), (4, "http://c/", None), (2, "http://d/", ""), (7, "http://e/", "ünï"), (None, "u", "z"), (7, "http://e/", "ünï")]
-    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("address", F.lit("clash"))
+    pages = [(5, "http://a/\r\nx", "same"), (3, "http://b/", "same"), (9, None, "same"), (4, "http://c/", None), (2, "http://d/", ""), (7, "http://e/", "ünï"), (7, "http://e/", "ünï")]
+    # One id with two payloads, null ids with and without a numbered copy, and urls that hold other line separators.
+    pages += [(7, "http://f/", "other"), (None, "u", "same"), (None, "u", "alone"), (None, "v", "alone"), (11, "http://g/\u2028WARC-Refers-To: <urn:page:5>", "g"), (12, "http://h/\u0085WARC-Payload-Digest: sha1:ABC", "same")]
+    pages += [(13, "http://i/\u2029\x0b\x0cWARC-Type: revisit", "long " * 50_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("address", F.lit("clash")).withColumn("slot", F.lit("clash"))
     for least in (0, 3, 5):
         path = store.new_path(spark, "test")
         warcstore.write_archive(frame, path, min_bytes=least)
-        known = [p for p in pages if p[0] is not None]
         first = {}
-        for i, _, h in known:
-            first[h or ""] = min(i, first.get(h or "", i))
-        for rows in (warcstore.read_verified(spark, path).collect(), ):
-            assert len(rows) == len(known)
-            html = {i: h or "" for i, _, h in known}
-            for r in rows:
-                data = html[r.record_id].encode()
-                response = first[html[r.record_id]] == r.record_id or len(data) < least
-                assert r.verified and r.length == len(data) and r.digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
-                assert (r.record_type, r.refers_to) == (("response", None) if response else ("revisit", first[html[r.record_id]]))
+        for i, _, h in pages:
+            first.setdefault(h or "", set()).add(i)
+        first = {h: min((i for i in ids if i is not None), default=None) for h, ids in first.items()}
+        want = []
+        for i, u, h in pages:
+            data = (h or "").encode()
+            response = first[h or ""] in (None, i) or len(data) < least
+            digest, url = base64.b32encode(hashlib.sha1(data).digest()).decode(), (u or "").replace("\r", " ").replace("\n", " ")
+            refers = None if response else first[h or ""]
+            head = f"WARC/1.1\r\nWARC-Type: {'response' if response else 'revisit'}\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: {warcstore.DATE}\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
+            head += "" if response else f"WARC-Refers-To: <urn:page:{refers}>\r\nWARC-Profile: {warcstore.PROFILE}\r\n"
+            head += f"Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n"
+            want.append((i is None, i, url, "response" if response else "revisit", digest, refers, len(data), data, head.encode() + (data if response else b"") + b"\r\n\r\n", True))
+        rows = warcstore.read_archive(spark, path).collect()
+        got = [(r.record_id is None, r.record_id, r.url, r.record_type, r.payload_digest, r.refers_to, r.length, bytes(r.payload), bytes(r.record), r.verified) for r in rows]
+        key = lambda r: (r[0], r[1] or 0, r[2], r[7])
+        assert sorted(got, key=key) == sorted(want, key=key)
+        assert all(r.digest == r.payload_digest for r in rows)
         assert warcstore.read_payloads(spark, path).count() == len(first)
-        for r in warcstore.read_archive(spark, path).collect():
-            assert r.verified and bytes(r.payload) == html[r.record_id].encode()
-            assert bytes(r.record).startswith(b"WARC/1.1\r\nWARC-Type: ") and bytes(r.record).endswith(b"\r\n\r\n")
     path = store.new_path(spark, "test")
     warcstore.write_archive(frame.limit(0), path)
     assert warcstore.read_archive(spark, path).count() == 0
 
 
+def test_archive_tells_damage_and_spreads_a_common_payload(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "same") for i in range(10_000)] + [(-1, "u", "rare")], "page_id long, url string, html string")
+    path = store.new_path(spark, "test")
+    warcstore.write_archive(pages, path)
+    rows = warcstore.read_archive(spark, path)
+    assert rows.where("verified and (record_type = 'revisit') = (record_id > 0)").count() == 10_001
+    assert warcstore.read_headers(spark, path).where("record_id >= 0").select("slot").distinct().count() == 3
+    bad = store.new_path(spark, "bad")
+    warcstore.read_headers(spark, path).select("header", "address", "slot").write.parquet(f"{bad}/records")
+    warcstore.read_payloads(spark, path).withColumn("payload", F.when(F.col("uses") == 1, F.lit("rarer").cast("binary")).otherwise(F.col("payload"))).write.parquet(f"{bad}/payloads")
+    assert [r.record_id for r in warcstore.read_archive(spark, bad).where("not verified").collect()] == [-1]
+
+
 def test_hamming_topk(spark):
     import random
 
@@ -310,6 +372,10 @@ def test_substring_dedup(spark, sf, edge, clashing):
     rows = substring_dedup(edge).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == brute.substrings(EDGE)
     assert all(r.n_removed == sum(s.end - s.start for s in r.spans) for r in rows)
+    # Hash buckets of any number, and first hashes so short that nearly all windows meet.
+    for short, entries in ((48, 4), (6, 1 << 20)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(edge, chunk_bytes=100, bucket_entries=entries, short_bits=short).collect()}
+        assert got == brute.substrings(EDGE)
     out = substring_dedup(clashing).collect()
     assert len(out) == clashing.count() and [r.n_removed for r in out if r.doc_id is None] == [0]
     assert substring_dedup(edge.limit(0)).count() == 0

@@ -54,7 +54,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -66,8 +66,9 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "archive")
     warcstore.write_archive(table(spark, sf_dir, "pages"), path)
-    back = warcstore.read_verified(spark, path)
-    return back.select(F.col("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "verified")
+    back = warcstore.read_archive(spark, path)
+    columns = [F.col("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "verified"]
+    return back.select(*columns, F.octet_length("record").cast("long").alias("record_bytes"))
 
 
 def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
