@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.store import staged
-from vellumspark.llm.wordhash import WORDS, WordHashes, rolling
+from vellumspark.llm.wordhash import WORDS, rolling
 
-SECOND = WordHashes(seed=1)
+# Fixed value: the odd multiplier of the second hash.
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = np.iinfo(np.int64).max
 CHUNKS = "chunk long, n_bytes long, ids binary, lengths binary, texts binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
@@ -67,15 +68,14 @@ class _Chunk:
         for n in np.frombuffer(row["lengths"], np.int64):
             self.words.append(raw[at : at + n].split())
             at += n
-        self.size, self.short_bits = size, short_bits
+        self.short_bits = short_bits
         self.doc = np.repeat(np.arange(len(self.ids)), [len(w) for w in self.words])
-        self.values = self._rolled(WORDS)
-        self.starts = np.flatnonzero(self.doc[: len(self.values)] == self.doc[size - 1 :]) if len(self.values) else np.empty(0, np.int64)
-        self.short, self.of_window = np.unique(self.values[self.starts] >> np.uint64(64 - short_bits), return_inverse=True)
-
-    def _rolled(self, hashes: WordHashes) -> np.ndarray:
-        h = np.concatenate([hashes.of(w) for w in self.words]) if self.words else np.empty(0, np.uint64)
-        return rolling(h, self.size)
+        self.h = np.concatenate([WORDS.of(w) for w in self.words]) if self.words else np.empty(0, np.uint64)
+        values = rolling(self.h, size)
+        self.starts = np.flatnonzero(self.doc[: len(values)] == self.doc[size - 1 :]) if len(values) else np.empty(0, np.int64)
+        self.values = values[self.starts]
+        self.home = self.doc[self.starts]
+        self.short, self.head, self.of_window = np.unique(self.values >> np.uint64(64 - short_bits), return_index=True, return_inverse=True)
 
     def shared(self, answers: list[dict], bits: int) -> np.ndarray:
         """For every short hash whether another chunk has it."""
@@ -86,16 +86,25 @@ class _Chunk:
             out[lo:hi] = np.unpackbits(np.frombuffer(got["bits"], np.uint8), count=hi - lo).astype(bool)
         return out
 
-    def candidates(self, answers: list[dict], bits: int) -> "_Candidates":
+    def candidates(self, answers: list[dict], bits: int, size: int) -> "_Candidates":
         """Windows that another chunk may have, or another document of this chunk."""
         shared = self.shared(answers, bits)[self.of_window]
-        home = self.doc[self.starts]
-        low, high = np.full(len(self.short), len(self.ids)), np.full(len(self.short), -1)
-        np.minimum.at(low, self.of_window, home)
-        np.maximum.at(high, self.of_window, home)
+        # Windows are in document order: the first of equal ones has the smallest document, the last one written the largest.
+        low, high = self.home[self.head], np.empty(len(self.short), np.int64)
+        high[self.of_window] = self.home
         at = np.flatnonzero(shared | (low != high)[self.of_window])
-        second = self._rolled(SECOND) if len(at) else np.empty(0, np.uint64)
-        return _Candidates(self.starts[at], home[at], self.values[self.starts[at]], second[self.starts[at]] if len(at) else second, shared[at])
+        return _Candidates(self.starts[at], self.home[at], self.values[at], _second(self.h, self.starts[at], size), shared[at])
+
+
+def _second(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Another Rabin-Karp value of the windows at the given starts, from mixed word hashes and another base."""
+    mixed = (h ^ (h >> np.uint64(31))) * SECOND
+    mixed ^= mixed >> np.uint64(29)
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(size):
+        out *= SECOND
+        out += mixed[starts + j]
+    return out
 
 
 class _Candidates:
@@ -103,8 +112,11 @@ class _Candidates:
 
     def __init__(self, starts: np.ndarray, home: np.ndarray, first: np.ndarray, second: np.ndarray, shared: np.ndarray):
         self.starts, self.home = starts, home
-        order = np.lexsort((home, second, first))
+        order = np.argsort(first, kind="stable")
         a, b = first[order], second[order]
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+            order = np.lexsort((home, second, first))
+            a, b = first[order], second[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
         self.of_window = np.empty(len(order), np.int64)
         self.of_window[order] = np.cumsum(new) - 1
@@ -184,7 +196,7 @@ def _send_full(size: int, bits: int, short_bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row, size, short_bits)
-                c = chunk.candidates(row["answers"], bits)
+                c = chunk.candidates(row["answers"], bits, size)
                 out: list[list] = [[], [], [], [], []]
                 for b, lo, hi in _Buckets(c.first, bits, 64).runs():
                     at = np.arange(lo, hi)[c.shared[lo:hi]]
@@ -217,7 +229,7 @@ def _mark(size: int, bits: int, short_bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row, size, short_bits)
-                c = chunk.candidates(row["answers"], bits)
+                c = chunk.candidates(row["answers"], bits, size)
                 elsewhere = np.zeros(len(c.first), bool)
                 buckets = _Buckets(c.first, bits, 64)
                 for got in row["full"] or []:
@@ -256,8 +268,8 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
 
     Null and empty texts have no words; a text shorter than a window loses nothing. Rows that share an id are one
     document to each other: neither is smaller. A null id is never smaller and loses nothing. Other columns are not
-    read. An empty table gives no rows. Windows are told apart by 128 bits: two different ones among n meet with odds
-    n^2 / 2^129.
+    read. An empty table gives no rows. Words are told apart by 64 bits, windows by 128: two different ones among n of
+    different words meet with odds n^2 / 2^129.
 
     chunk_bytes bounds a task's memory and bucket_entries a bucket's; on very large inputs raise both together, so that
     packed rows stay long. short_bits is how much of a hash the first round compares; it only has to leave few windows for
