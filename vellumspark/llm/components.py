@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.skew import join_counted
 from vellumspark.llm.store import staged
 
 
 def _star(pairs: DataFrame, smaller: bool) -> DataFrame:
     """Points the neighbours of every node at the smallest of them; `smaller` for those below the node, else those above."""
     both = pairs if smaller else pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    joined = join_counted(both, least, ["u"])
     keep = joined.where("v > u" if not smaller else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if smaller:
         keep = keep.union(least.select("u", F.col("m").alias("v")))

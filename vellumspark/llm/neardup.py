@@ -3,7 +3,7 @@
 Minima of seeded hashes over a document's shingle set give band keys; their low bits, packed, give the collision-corrected
 similarity of two documents by counting bits. Documents with equal sets are one class from the start. Band buckets link
 to their smallest and largest member first; what a bucket still holds apart after that is compared by signature in tiles,
-and every pair that may reach the threshold is confirmed on the full sets.
+and pairs that may reach the threshold are confirmed on the full sets of the documents concerned.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.components import components
+from vellumspark.llm.skew import join_counted, join_dealt
 from vellumspark.llm.store import staged
 from vellumspark.llm.wordhash import LOWER, WORDS, rolling
 
@@ -93,31 +94,62 @@ def _overlap(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
 
 
+def _alike(rows: pa.Table, percent: int, least: float):
+    """For a pair of tiles, a function that gives the partners of a place, best first.
+
+    Partners are documents of another class, of a size that allows the threshold, with signatures that agree enough, and
+    not met in an earlier band that both share.
+    """
+    chance = 2.0**-BITS
+    node, comp, side, size = (rows[c].to_numpy() for c in ("node", "comp", "side", "n_shingles"))
+    band = rows["band"][0].as_py()
+    sig = np.array(rows["sig"].to_pylist(), np.int64).view(np.uint8).reshape(len(node), -1)
+    sig = np.stack([sig & 15, sig >> 4], axis=2).reshape(len(node), -1)
+    keys = np.array(rows["bands"].to_pylist(), np.int64)[:, :band]
+    _, group = np.unique(comp, return_inverse=True)
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+
+    def partners(i: int) -> np.ndarray:
+        apart = right[(group[right] != group[i]) & ((side[i] != 0) | (node[right] > node[i]))]
+        apart = apart[100 * np.minimum(size[apart], size[i]) >= percent * np.maximum(size[apart], size[i])]
+        like = ((sig[apart] == sig[i]).mean(axis=1) - chance) / (1 - chance)
+        order = np.argsort(-like, kind="stable")[: int((like >= least).sum())]
+        return apart[order][~(keys[apart[order]] == keys[i]).any(axis=1)]
+
+    return left, group, partners
+
+
+TILE = "h long, band int, i int, j int, side int, node long, comp long"
+
+
+def _tile_nodes(percent: int, least: float):
+    """The documents of a pair of tiles that have a partner by signature: only their full sets are needed."""
+
+    def nodes(rows: pa.Table) -> pa.Table:
+        left, _, partners = _alike(rows, percent, least)
+        wanted = np.zeros(rows.num_rows, bool)
+        for i in left:
+            found = partners(i)
+            wanted[found] = True
+            wanted[i] |= len(found) > 0
+        return rows.select(["h", "band", "i", "j", "side", "node", "comp"]).filter(pa.array(wanted))
+
+    return nodes
+
+
 def _tile_links(percent: int, least: float):
     """Links that join classes inside one pair of tiles of a bucket, each confirmed on the full sets.
 
-    A pair is looked at in the first band that both documents share, if their signatures agree enough and their classes
-    are still apart; so a tile gives fewer links than it has documents.
+    A pair is confirmed only while its classes are still apart; so a tile gives fewer links than it has documents.
     """
-    chance = 2.0**-BITS
 
     def links(rows: pa.Table) -> pa.Table:
-        node, comp, side = (rows[c].to_numpy() for c in ("node", "comp", "side"))
-        band = rows["band"][0].as_py()
-        sig = np.array(rows["sig"].to_pylist(), np.int64).view(np.uint8).reshape(len(node), -1)
-        sig = np.stack([sig & 15, sig >> 4], axis=2).reshape(len(node), -1)
-        keys = np.array(rows["bands"].to_pylist(), np.int64)[:, :band]
+        left, group, partners = _alike(rows, percent, least)
+        node = rows["node"].to_numpy()
         items = [np.frombuffer(x, np.uint64) for x in rows["items"].to_pylist()]
-        size = np.array([len(x) for x in items])
-        _, group = np.unique(comp, return_inverse=True)
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         a, b = [], []
         for i in left:
-            apart = right[(group[right] != group[i]) & ((side[i] != 0) | (node[right] > node[i]))]
-            apart = apart[100 * np.minimum(size[apart], size[i]) >= percent * np.maximum(size[apart], size[i])]
-            like = ((sig[apart] == sig[i]).mean(axis=1) - chance) / (1 - chance)
-            order = np.argsort(-like, kind="stable")[: int((like >= least).sum())]
-            for j in apart[order][~(keys[apart[order]] == keys[i]).any(axis=1)]:
+            for j in partners(i):
                 if group[j] != group[i] and _overlap(items[i], items[j], percent):
                     group[group == group[j]] = group[i]
                     a.append(node[i])
@@ -139,9 +171,10 @@ def _similar(percent: int):
 
 
 def _sets_of(whole: DataFrame, nodes: DataFrame, size: int, name: str, bits: int = 23) -> DataFrame:
-    """Full shingle sets of the given nodes: node, items.
+    """Full shingle sets of the given nodes, one row each: node, items.
 
-    A bitmap of node hashes, of fixed size, keeps other texts from being cut up and shuffled; the join is exact.
+    A bitmap of node hashes, of fixed size, keeps most other texts from the shuffle; the join is exact. Only texts that
+    are left after it are cut up, so where there are more nodes than the bitmap tells apart, texts move but once.
     """
     place = F.xxhash64(F.col("node")).bitwiseAND(2**bits - 1)
     words = nodes.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).collect()
@@ -150,17 +183,23 @@ def _sets_of(whole: DataFrame, nodes: DataFrame, size: int, name: str, bits: int
         bitmap[r.w] = r.m
     known = whole.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
+    @F.pandas_udf("boolean")
+    def possible(places):
+        import pandas as pd
+
+        at = places.to_numpy()
+        return pd.Series((known.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((known.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "items"])
 
-    rows = whole.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").withColumn("p", place)
-    return staged(rows.mapInArrow(sets, "node long, items binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), name)
+    rows = whole.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").where(possible(F.xxhash64("node").bitwiseAND(2**bits - 1)))
+    rows = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return staged(rows.mapInArrow(sets, "node long, items binary"), name)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5, bands: int = 25, tile: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5, bands: int = 25, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose word-shingle sets overlap by at least percent / 100 (Jaccard), through chains of links.
 
     Words are runs between ASCII white space after A-Z became a-z. Returns doc_id, n_shingles, component_id (smallest
@@ -170,41 +209,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     Null, empty and blank texts have an empty set and are classes of their own, kept. A text of fewer words than a
     shingle is one shingle. Rows that repeat an id give repeated results. A null id is never linked: its component is
     null and it is kept. Other columns are not read. An empty table gives no rows.
+
+    Common bands, classes and copies are joined in place or dealt over slots (skew.py). What a bucket still holds apart is
+    compared in pairs of tiles by signature; only documents that have a partner there bring their full sets.
     """
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feats = staged(whole.mapInArrow(_features(shingle, rows, bands), FEATURES), "features")
     usable = feats.where("n_shingles > 0 and doc_id is not null")
-    firsts = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    reps = staged(firsts.join(usable, ["k1", "k2"]).where("doc_id = node").select("node", "n_shingles", "sig", "bands").dropDuplicates(["node"]), "representatives")
+    firsts = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("r"), F.count("*").alias("n"))
+    firsts = staged(firsts.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands"), "firsts")
+    reps = staged(firsts.groupBy("node").agg(F.min(F.struct("n_shingles", "sig", "bands")).alias("r")).select("node", "r.*"), "representatives")
 
-    entries = reps.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
-    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
-    buckets = staged(entries.join(ends, "h").select("h", "band", "node", "low", "high", "n"), "buckets")
+    entries = reps.select("node", F.posexplode("bands").alias("band", "h"))
+    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.count("*").alias("many")).where("low < high")
+    buckets = staged(join_counted(entries, staged(ends, "ends"), ["h"]).select("h", "band", "node", "low", "high", "many"), "buckets")
 
     pair = [F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")) for c in ("low", "high")]
-    star = buckets.select(F.explode(F.array(*pair)).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+    star = staged(buckets.select(F.explode(F.array(*pair)).alias("p")).select("p.a", "p.b").where("a < b").distinct(), "star")
     x, y = reps.select("node", "n_shingles", "sig").toDF("a", "p", "x"), reps.select("node", "n_shingles", "sig").toDF("b", "q", "y")
     least = percent / 100 - MARGIN
-    near = star.join(x, "a").join(y, "b").where((100 * F.least("p", "q") >= percent * F.greatest("p", "q")) & (_estimate(F.col("x"), F.col("y")) >= least))
+    both = join_dealt(join_dealt(star, x, "a", "b", "uses-a"), y, "b", "a", "uses-b")
+    near = both.where((100 * F.least("p", "q") >= percent * F.greatest("p", "q")) & (_estimate(F.col("x"), F.col("y")) >= least))
     near = staged(near.select("a", "b"), "candidates")
     items = _sets_of(whole, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), shingle, "sets")
-    full = near.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    full = join_dealt(join_dealt(near, items.toDF("a", "x"), "a", "b", "near-a"), items.toDF("b", "y"), "b", "a", "near-b").select("a", "b", "x", "y")
     links = staged(full.mapInArrow(_similar(percent), "a long, b long"), "confirmed")
 
     classes = staged(components(links), "classes")
-    placed = buckets.where("n > 2").join(classes, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("comp"))
-    apart = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    held = staged(placed.join(apart, "h").select("h", "band", "node", "comp", tiles.alias("t"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own")), "apart")
+    placed = staged(buckets.where("many > 2").join(classes, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    apart = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.ceil(F.count("*") / tile).cast("int").alias("t")).where("c0 < c1")
+    held = staged(join_counted(placed, staged(apart, "apart"), ["h"]).select("h", "band", "node", "comp", "t", F.pmod(F.xxhash64("node"), F.col("t")).cast("int").alias("own")), "held")
     if not held.isEmpty():
-        more = _sets_of(whole, held.select("node").distinct(), shingle, "sets")
         spread = held.select("h", "band", "node", "comp", "own", F.explode(F.expr("sequence(0, t - 1)")).alias("other"))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         spread = spread.select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "comp")
-        rich = spread.join(reps.select("node", "sig", "bands"), "node").join(more, "node")
+        known = reps.select("node", "n_shingles", "sig", "bands")
+        wanted = staged(spread.join(known, "node").groupBy("h", "i", "j").applyInArrow(_tile_nodes(percent, least), TILE), "wanted")
+        more = _sets_of(whole, wanted.select("node").distinct(), shingle, "sets")
+        rich = wanted.join(known, "node").join(more, "node")
         links = staged(links.union(rich.groupBy("h", "i", "j").applyInArrow(_tile_links(percent, least), "a long, b long")), "links")
     classes = components(links)
-    named = firsts.join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = staged(firsts.join(classes, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")), "named")
+    linked = join_counted(usable.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    alone = feats.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).select("*", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.store import staged
+
 
 def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n", share: int = 1000, least: int = 256) -> DataFrame:
     """Inner join of rows with counted, which has one row a key and, in column n, the number of rows with that key.
@@ -20,3 +22,14 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n
     spread = rows.join(F.broadcast(hot), on)
     rest = rows.join(many, on, "left_anti").join(counted.where(F.col(n) <= bound).drop(n), on)
     return spread.unionByName(rest)
+
+
+def join_dealt(rows: DataFrame, keyed: DataFrame, key: str, salt: str, name: str, per: int = 1024) -> DataFrame:
+    """Inner join of rows with keyed, one row a key, where a key of many rows is dealt over slots of about `per` rows.
+
+    The row of such a key is repeated for each of its slots, so that no task gets all its partners, however wide it is.
+    """
+    uses = staged(rows.groupBy(key).agg(F.count("*").alias("n"), F.ceil(F.count("*") / per).cast("int").alias("_slots")), name)
+    dealt = join_counted(rows, uses, [key]).withColumn("_slot", F.pmod(F.xxhash64(salt), F.col("_slots")).cast("int")).drop("_slots")
+    spread = keyed.join(uses.select(key, F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("_slot")), key)
+    return dealt.join(spread, [key, "_slot"]).drop("_slot")
