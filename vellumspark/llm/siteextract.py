@@ -5,12 +5,15 @@ importance is the entropy of its children's style sequences over the host's page
 text; an inner node takes the mean of its leaves. What every page repeats has low entropy, and such branches are removed
 from each page. Copies of a page count once. Roles that markup states (navigation, advert, form, script ...) are removed on
 every page, and text inside an article or main element is kept unless a branch in it is the same on nearly all pages.
+A header is the article's own where it stands inside one. Pages are read twice, once for the tree and once for the text:
+keeping what was read would cost more disk than reading costs time.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +28,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("aside button canvas datalist dialog fieldset footer form head header iframe input menu nav noscript object optgroup option script select style svg template textarea title".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|svg"
 MAIN = frozenset(("article", "main"))
+WHOLE = frozenset(("html", "body", "main"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies cookie-banner consent disqus footer header masthead menu nav navbar navigation newsletter "
@@ -33,8 +37,56 @@ NAMES = frozenset(
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Style nodes below this depth are one with their ancestor of this depth.
+DEPTH = 64
+
+# Names that tell reader comments and other pages' teasers wherever they are part of a hyphenated name.
+APART = frozenset("comment comments disqus related sidebar".split())
+
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+# A quote opens a value only after "="; possessive, so a failed match costs one pass.
+REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW.split("|")}
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Markup in page order as (start, end, slash, tag, attributes); comments and declarations have no tag.
+
+    Raw elements such as scripts come as one piece without a tag, content included. Linear in the page: where markup is
+    so broken that quotes hide all further ends of tags, the next ">" ends a tag from there on.
+    """
+    at, strict = 0, True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield at, (end := len(page) if end < 0 else end + 3), "", "", ""
+            at = end
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            yield at, (end := len(page) if end < 0 else end + 1), "", "", ""
+            at = end
+            continue
+        m = TAG.match(page, at)
+        if not m:
+            at += 1
+            continue
+        rest = REST.match(page, m.end()) if strict else None
+        if rest is None:
+            strict = False
+            end = page.find(">", m.end()) + 1
+            if not end:
+                return
+        else:
+            end = rest.end()
+        tag = m[2].lower()
+        if tag in CLOSING and not m[1]:
+            close = CLOSING[tag].search(page, end)
+            yield at, (end := close.end() if close else len(page)), "", "", ""
+        else:
+            yield at, end, m[1], tag, page[m.end() : end - 1]
+        at = end
 
 
 @dataclass
@@ -43,6 +95,7 @@ class Node:
     path: str
     inner: bool
     dropped: bool
+    named: bool
     main: bool
     children: list[str] = field(default_factory=list)
 
@@ -56,24 +109,31 @@ class Block:
 
 
 def _node(tag: str, attributes: str, parent: Node) -> Node:
-    style, dropped = tag, tag in DROPPED
-    if attributes:
-        for name, *values in ATTRIBUTE.findall(attributes):
-            value = next((v for v in values if v), "").lower()
-            if name.lower() == "role":
-                dropped |= value in ROLES
-            else:
-                names = value.split()
-                dropped |= any(w in NAMES for w in names)
-                style += f"{'.' if name.lower() == 'class' else '#'}{' '.join(names)}"
-    return Node(tag, f"{parent.path}/{style}", parent.main and tag not in MAIN, dropped or parent.dropped, parent.main or tag in MAIN)
+    """The style node of an element. `dropped` is inherited; `named`, from part of a name, ends at an article or main element."""
+    style, dropped, named = tag, tag in DROPPED and not (tag == "header" and parent.main), False
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        value = next((v for v in values if v), "").lower()
+        if name.lower() == "role":
+            dropped |= value in ROLES
+            continue
+        names = value.split()
+        style += f"{'.' if name.lower() == 'class' else '#'}{' '.join(names)}"
+        if tag in WHOLE:
+            continue
+        heads = ("header", "masthead") if parent.main else ()
+        parts = {part for w in names for part in re.split("[-_]+", w)}.difference(heads)
+        dropped |= any(w in NAMES and w not in heads for w in names) or not parts.isdisjoint(APART)
+        named |= tag not in MAIN and not parts.isdisjoint(NAMES)
+    main = tag in MAIN
+    return Node(tag, f"{parent.path}/{style}", parent.main and not main, dropped or parent.dropped, named or parent.named and not main, parent.main or main)
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """Text blocks in page order with the style nodes above each, and (path, child styles) of every closed node."""
-    root = Node("", "", False, False, False)
+    root = Node("", "", False, False, False, False)
     stack, blocks, text = [root], [], []
     shapes: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         if text:
@@ -81,9 +141,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             text.clear()
             if words:
                 top = stack[-1]
-                blocks.append(Block([(n.path, n.inner) for n in stack[1:]], words, top.dropped, top.main))
+                blocks.append(Block([(n.path, n.inner) for n in stack[1 : DEPTH + 1]], words, top.dropped or top.named, top.main))
 
     def close(tags: set[str] | frozenset[str], floor: frozenset[str] = frozenset()) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for at in range(len(stack) - 1, 0, -1):
             if stack[at].tag in floor:
                 return
@@ -91,23 +153,22 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 flush()
                 while len(stack) > at:
                     n = stack.pop()
+                    opened[n.tag] -= 1
                     shapes.append((n.path, " ".join(n.children)))
                 return
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, end, slash, tag, attributes in tags(page):
+        if start > at:
+            text.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             continue
-        if m[2]:
+        if slash:
             close({tag})
             continue
         flush()
@@ -115,10 +176,13 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             close({"p"}, frozenset(("td", "th", "button")))
         if tag in CLOSES:
             close(set(CLOSES[tag].split()), frozenset(("ul", "ol", "dl", "table")))
-        child = _node(tag, m[4], stack[-1])
+        child = _node(tag, attributes, stack[-1])
+        if len(stack) > DEPTH:
+            child.path = stack[-1].path
         stack[-1].children.append(child.path.rpartition("/")[2])
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             stack.append(child)
+            opened[tag] += 1
     text.append(page[at:])
     flush()
     while len(stack) > 1:
