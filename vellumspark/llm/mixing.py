@@ -8,6 +8,8 @@ size is many blocks wide, and what is ordered per source is a fixed number of ro
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,33 +23,29 @@ def _block(id_col: Column, blocks: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("block:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") % blocks
 
 
-def _solve(shares: DataFrame, max_repeat: float | None, min_entropy: float | None, steps: int = 30) -> float:
-    """The largest exponent up to 1 that meets the target, to 2^-steps; only sums over sources reach the driver.
+def _solve(shares: DataFrame, max_repeat: float | None, min_entropy: float | None, rounds: int = 6, ways: int = 32) -> float:
+    """The largest exponent up to 1 that meets the target; only sums over sources reach the driver.
 
     Less exponent means flatter weights: more entropy, and more passes over the smallest source for one over the largest.
+    The border is found by repeated halving, to 2^-30. Repetition needs the least and largest share alone; for entropy one
+    job sums at `ways` exponents, which is as good as five halvings.
     """
-    lo, hi = 0.0, 1.0
-
-    def met(alpha: float, entropy: bool) -> bool:
-        power = F.exp(F.lit(alpha) * F.ln("share"))
-        if entropy:
-            z, s = shares.agg(F.sum(power), F.sum(power * F.ln("share"))).first()
-            from math import log
-
-            return log(z) - alpha * s / z >= min_entropy
+    if min_entropy is None:
         least, most = shares.agg(F.min("share"), F.max("share")).first()
-        return (least / most) ** (alpha - 1) <= max_repeat
-
-    entropy = min_entropy is not None
-    # Entropy falls as the exponent grows, repetition falls too: look for the border from the side where the target holds.
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        good = met(mid, entropy)
-        if entropy:
-            lo, hi = (mid, hi) if good else (lo, mid)
-        else:
-            lo, hi = (lo, mid) if good else (mid, hi)
-    return lo if entropy else hi
+        lo, hi = 0.0, 1.0
+        for _ in range(30):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if (least / most) ** (mid - 1) <= max_repeat else (mid, hi)
+        return hi
+    lo, step = 0.0, 1.0 / ways
+    for _ in range(rounds):
+        grid = [lo + step * k for k in range(1, ways)]
+        power = [F.exp(F.lit(a) * F.ln("share")) for a in grid]
+        sums = shares.agg(*(F.sum(p) for p in power), *(F.sum(p * F.ln("share")) for p in power)).first()
+        # Entropy falls as the exponent grows: the last exponent that still has enough.
+        met = [a for a, z, s in zip(grid, sums, sums[len(grid) :]) if log(z) - a * s / z >= min_entropy]
+        lo, step = max(met, default=lo), step / ways
+    return lo
 
 
 def mix(docs: DataFrame, max_repeat: float = 2.0, min_entropy: float | None = None, total_tokens: int | None = None, blocks: int = 1024, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
