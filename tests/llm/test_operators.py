@@ -11,7 +11,7 @@ from vellumspark.llm.components import components
 from vellumspark.llm.decontam import FMIndex, decontaminate, remove_spans, suffix_array
 from vellumspark.llm.linededup import line_dedup
 from vellumspark.llm.neardup import near_duplicates
-from vellumspark.llm.siteextract import extract_pages, main_text
+from vellumspark.llm.siteextract import extract_pages, main_text, parse, style_importance
 from vellumspark.llm.substring import substring_dedup
 from vellumspark.llm.tokens import token_counts
 
@@ -57,7 +57,7 @@ def test_token_counts_equal_the_library(spark, sf, edge, clashing):
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 100)
         cut = text.encode()[: r.cut_bytes].decode()
-        assert len(library.encode(cut, add_special_tokens=False).ids) <= 101
+        assert len(library.encode(cut, add_special_tokens=False).ids) <= 100
     assert token_counts(clashing, path).count() == clashing.count()
     assert token_counts(edge.limit(0), path).count() == 0
 
@@ -77,6 +77,25 @@ def test_prefix_counts_are_exact(spark):
         assert counter.prefix_counts(piece.encode()) == want
 
 
+def test_prefix_table_answers_budgets(spark, edge):
+    import public_tokenizers
+
+    from vellumspark.llm.tokens import bytes_within, prefix_table, tokens_between
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    rows = prefix_table(edge, path).select("*", *(bytes_within(F.col("prefix_tokens"), n).alias(f"b{n}") for n in (0, 7, 100)), tokens_between(F.col("prefix_tokens"), 3, 10).alias("part"))
+    rows = {r.doc_id: r for r in rows.collect()}
+    for limit in (7, 100):
+        for r in token_counts(edge, path, limit=limit).collect():
+            table, size = rows[r.doc_id].prefix_tokens, rows[r.doc_id][f"b{limit}"]
+            assert len(table) == r.n_bytes + 1 and table[-1] == r.n_tokens
+            assert size == next((i for i, n in enumerate(table) if n > limit), len(table)) - 1
+            # The counter's own cut is the same, moved back to a character's start.
+            assert size - 3 <= r.cut_bytes <= size
+    assert rows[0].prefix_tokens == [0] and rows[0].b0 == 0 and rows[7].part == rows[7].prefix_tokens[10] - rows[7].prefix_tokens[3]
+    assert prefix_table(edge.limit(0), path).count() == 0
+
+
 def test_mixing(spark, sf, clashing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = mixing.mix(docs, max_repeat=2.0, blocks=16).cache()
@@ -292,11 +311,68 @@ def test_extract_pages_lets_importance_decide_around_main(spark):
     frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     got = extract_pages(frame).collect()
     assert len(got) == len(pages)
+    # Without the tree the text of hosts a and b, with and without an article, is another.
+    off = {r.page_id: r.text for r in extract_pages(frame, min_pages=10**9).collect()}
+    assert {r.url[7] for r in got if off[r.page_id] != r.text} == {"a", "b"}
     for r in got:
         host, i = r.url[7], r.url.rpartition("/")[2]
         assert r.text == {"c": f"Our house\ntext {i}", "d": f"plain {i}"}.get(host, f"lead {i}\ntext {i}"), r.url
 
 
+def test_main_text_of_odd_markup():
+    import time
+
+    def both(page):
+        out = {main_text(page, set(), set()), main_text(page, None, set())}
+        assert len(out) == 1
+        return out.pop()
+
+    assert both("<article><header><h1>Title</h1><nav>no</nav></header><p>a</p><div class='comment-box'><p>no</p></div><footer>no</footer></article>") == "Title\na"
+    assert both("<header><h1>Site</h1></header><article><div class=post-header>By x</div><p>a</article>") == "By x\na"
+    assert both("<p title=don't>one</p><p>two isn't</p>") == "one\ntwo isn't"
+    assert both("<p a=\">x</p>\"><b>k</b> z</p><p>1 < 2 > 0") == "k z\n1 < 2 > 0"
+    assert both("<body class='has-sidebar comments-open'><div class='content-menu'><article class='ad-free'><p>y</p></article></div>") == "y"
+    assert both("<div class=comments><article><p>c</p></article></div><section id=reader-comments><article class=item><p>c</article></section><article><p>k</article>") == "k"
+    assert both("<script>if(a<b)</script><p>q</p><SCRIPT>zz</script ><p>r<!-- open") == "q\nr"
+    began = time.time()
+    for piece in ('<p t="x>a</p>', "<p t='x>a\" </p>", '<x =">"', "<a ", "<!-- a ", "<script>", "<p t='", "<div>", "</div>", "<p>&amp;"):
+        main_text(piece * 20_000, set(), set())
+    assert time.time() - began < 60
+
+
+def test_style_importance_equals_a_plain_count(spark):
+    """Entropies of texts and child styles per node over distinct pages, without Spark."""
+    pages = [("a", f"<body><div class=top><p>same</p></div><div class=t{i % 2}><p>x{i % 3}</p>{'<p>y</p>' * (i % 4)}</div></body>") for i in range(12)] + [("a", "<body><p>z</p></body>")] * 5 + [("b", "<p>one")]
+    frame = spark.createDataFrame(pages, "host string, html string")
+    want = {}
+    for host in ("a", "b"):
+        style, content = {}, {}
+        for page in {p for h, p in pages if h == host}:
+            blocks, shapes = parse(page)
+            own, seen = {}, {}
+            for b in blocks:
+                own.setdefault(b.paths[-1][0], []).append(b.text)
+            for path, shape in shapes:
+                seen.setdefault(path, []).append(shape)
+            for path, parts in own.items():
+                content.setdefault(path, []).append("\n".join(parts))
+            for path, parts in seen.items():
+                style.setdefault(path, []).append("\n".join(parts))
+
+        def entropy(values):
+            n = len(values)
+            return -sum(c / n * math.log(c / n, n) for c in Counter(values).values()) if n > 1 else 1.0
+
+        for path in {p[:k] for leaf in content for p in [leaf + "/"] for k in range(1, len(p)) if p[k] == "/"}:
+            under = [v for leaf, v in content.items() if leaf == path or leaf.startswith(path + "/")]
+            mean = sum(len(v) * entropy(v) for v in under) / sum(map(len, under))
+            want[host, path] = (max(map(len, under)), 0.1 * entropy(style[path]) + 0.9 * mean)
+    got = {(r.host, r.path): (r.pages, r.importance) for r in style_importance(frame).collect()}
+    assert got.keys() == want.keys()
+    for k, (n, importance) in want.items():
+        assert got[k][0] == n and math.isclose(got[k][1], importance, abs_tol=1e-9), k
+
+
 def test_archive_round_trip(spark, sf):
     import base64
     import hashlib

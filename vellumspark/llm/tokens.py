@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The splitting pattern of byte-level BPE.
@@ -158,6 +158,16 @@ class PrefixCounter(dict):
         return size
 
 
+    def every_prefix(self, text: str) -> list[int]:
+        """Token count of the pieces so far, at every byte of the text from 0 on."""
+        out, total = [0], 0
+        for p in self.split(text):
+            inside = [0] * len(p.encode()) + [1] if p in self.specials else self.prefix_counts(p.encode())
+            out += [total + n for n in inside[1:]]
+            total += inside[-1]
+        return out
+
+
 @functools.lru_cache(maxsize=2)
 def _counter(spec: str) -> PrefixCounter:
     """One a worker process, kept from task to task."""
@@ -197,3 +207,38 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")
+
+
+def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The token count at every byte prefix of whole texts: doc_id, and prefix_tokens with one entry more than bytes.
+
+    Entry i is the number of tokens of the first i bytes, split into pieces as in the whole text; the last is the text's
+    own count. Inside a special token's string it does not grow before the end. Null and empty texts have one entry, 0.
+    The table answers any number of budget questions (bytes_within, tokens_between) without encoding again; it takes
+    about as much room as the text, so keep it only where there are several. Otherwise as token_counts().
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(spec.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lists = [counter.every_prefix(text.as_py() or "") for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(tables, "doc_id long, prefix_tokens array<int>")
+
+
+def bytes_within(prefix_tokens: Column, budget: int) -> Column:
+    """Bytes of the longest prefix before the count first passes the budget."""
+    over = F.array_position(F.transform(prefix_tokens, lambda n: n > budget), True)
+    return F.when(over > 0, over - 2).otherwise(F.size(prefix_tokens) - 1).cast("long")
+
+
+def tokens_between(prefix_tokens: Column, start: Column | int, end: Column | int) -> Column:
+    """Tokens that end in the byte range from start to end: an estimate of a slice's cost from two entries."""
+    at = lambda i: F.get(prefix_tokens, F.greatest(F.lit(0), F.least(F.lit(i) if isinstance(i, int) else i, F.size(prefix_tokens) - 1)))
+    return at(end) - at(start)
