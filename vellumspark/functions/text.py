@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -12,12 +14,67 @@ from pyspark.sql import functions as F
 from vellumspark.functions import lang
 
 
+@functools.cache
+def _class(form: str) -> str:
+    """A pattern class of the characters that a Unicode form may change, as ranges, by the rule of the form itself."""
+    composing = form in ("NFC", "NFKC")
+    jamo = lambda k: 0x1161 <= k <= 0x1175 or 0x11A8 <= k <= 0x11C2
+    changed = [k for k in range(0x80, 0x30000) if not 0xD800 <= k < 0xE000 and (unicodedata.normalize(form, chr(k)) != chr(k) or unicodedata.combining(chr(k)) or composing and jamo(k))]
+    return _ranges(changed)
+
+
+def _ranges(codes: list[int]) -> str:
+    out, start = [], None
+    for k, after in zip(codes, [*codes[1:], -1]):
+        start = k if start is None else start
+        if after != k + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{k:x}}}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
 def _form(name: str):
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize(name, x))
+        return s.map(lambda x: None if x is None else unicodedata.normalize(name, x))
+
+    def of(c: Column) -> Column:
+        # Only texts that the form may change go to Python; of the others it gets nulls.
+        touched = c.rlike(_class(name))
+        return F.when(touched, normal(F.when(touched, c))).otherwise(c)
+
+    return of
+
 
-    return normal
+MARKS = "[ً-ٰٟـ̀-ͯ]"
+
+
+@functools.cache
+def _folding() -> tuple[str, str, str]:
+    """Letters that lose nothing but MARKS when taken apart, the letters left, and the class of all others that change."""
+    marks, source, target, other = re.compile(MARKS), [], [], []
+    for k in range(0x80, 0x30000):
+        if 0xD800 <= k < 0xE000:
+            continue
+        apart = unicodedata.normalize("NFD", chr(k))
+        left = marks.sub("", apart)
+        if apart != chr(k):
+            if len(left) == 1 and ord(left) < 0x10000 and k < 0x10000:
+                source.append(chr(k))
+                target.append(left)
+            else:
+                other.append(k)
+        elif unicodedata.combining(chr(k)) and not marks.match(chr(k)):
+            other.append(k)
+    return "".join(source), "".join(target), _ranges(other)
+
+
+def without_marks(c: Column) -> Column:
+    """A text taken apart by NFD, without MARKS. Texts of one-to-one letters stay in the JVM; ASCII texts are left alone."""
+    source, target, other = _folding()
+    hard = c.rlike(other)
+    whole = F.regexp_replace(nfd(F.when(hard, c)), MARKS, "")
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(hard, whole).otherwise(F.regexp_replace(F.translate(c, source, target), MARKS, ""))
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -63,8 +120,7 @@ def words_of(c: Column) -> Column:
 
 def keywords(c: Column) -> Column:
     """Search words of a text: normalised, longer than one letter, no stop words."""
-    stop = F.array(*(F.lit(w) for w in lang.SEARCH_STOP))
-    return F.filter(words_of(normalize_for_search(c)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(words_of(normalize_for_search(c)), lambda w: ~w.isin(*lang.SEARCH_STOP))
 
 
 REFERENCE = r"\[\^([^\]\s]+)\]|\[\[(?:fig|tab):([^\]\s]+)\]\]"
@@ -105,9 +161,9 @@ def clean_run_text(c: Column) -> Column:
 
 
 def header_pattern(c: Column) -> Column:
-    """A running line's shape: lower case, digits and roman numbers as #, single spaces."""
+    """A running line's shape: lower case, digits and roman numbers as #, single spaces; words are of ASCII letters."""
     x = F.regexp_replace(F.lower(c), r"[0-9]+", "#")
-    x = F.regexp_replace(x, r"\b[ivxlc]+\b", "#")
+    x = F.regexp_replace(x, r"(?<![A-Za-z0-9_])[ivxlcdm]{1,7}(?![A-Za-z0-9_])", "#")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
@@ -127,6 +183,11 @@ def bigrams(c: Column) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def sentences(c: Column) -> Column:
+    """Sentences of a text, each with its end marks: split after them, and closing quotes, before white space; at newlines too."""
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?…؟][»\"”’')\]]{0,3})\s+|\n+", -1), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def text_direction(c: Column, fallback: str = "ltr") -> Column:
     first = F.regexp_extract(c, r"[\p{L}]", 0)
     return F.when(first == "", fallback).when(first.rlike(r"[\p{IsArabic}\p{IsHebrew}]"), "rtl").otherwise("ltr")
@@ -141,7 +202,7 @@ def leftover_characters(c: Column, language: str) -> Column:
 
 
 def split_authors(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\s*(?:[,;&]|\band\b)\s*"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(c, r"\s*(?:[,;&]|\band\b)\s*"), lambda x: F.trim(x)), lambda a: a != "")
 
 
 def font_flags(c: Column) -> tuple[Column, Column, Column]:

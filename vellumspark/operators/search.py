@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumspark.functions import text as T
+from vellumspark.staging import staged
 
 K1, B = 1.2, 0.75
 
@@ -28,20 +29,22 @@ def bm25_search(segments: DataFrame, queries: DataFrame, k: int = 10, key: str =
     """The k best texts of every query (query_id, query): query_id, seg_id, score, rank.
 
     Texts without any keyword count in the number of texts with length 0. Equal scores go to the smaller seg_id. exclude
-    holds (query_id, seg_id) pairs not to return. Only postings of query terms are joined.
+    holds (query_id, seg_id) pairs not to return. Texts are normalised once: what the queries need of them, the counts of
+    query terms with the length of their text, is written with the totals, and only that is joined.
     """
-    postings = build_postings(segments, key, col)
-    lengths = postings.groupBy("seg_id").agg(F.sum("tf").alias("length"))
-    total = segments.agg(F.count("*").alias("n"))
-    words = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("all_words"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.keywords(F.col("query")))).alias("term"))
-    hit = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    # Two single-row frames: their product is one row.
-    one = total.join(words).select("n", (F.col("all_words") / F.greatest(F.lit(1), F.col("n"))).alias("avg_length"))
-    scored = hit.join(df, "term").join(lengths, "seg_id").join(F.broadcast(one)).join(terms, "term")
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.keywords(F.col("query")))).alias("term"))
+    asked = staged(asked, "query-terms")
+    words = segments.select(F.col(key).alias("seg_id"), T.keywords(T.strip_markup(F.col(col))).alias("w"))
+    # One row a text for its length, and one a word of a query: a text without such a word still counts.
+    each = words.select("seg_id", F.size("w").alias("length"), F.explode(F.array_append(F.col("w"), F.lit(""))).alias("term"))
+    wanted = asked.select("term").distinct().union(segments.sparkSession.createDataFrame([("",)], "term string"))
+    hits = staged(each.join(wanted, "term", "left_semi").groupBy("term", "seg_id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length")), "hits")
+    n, all_words = hits.where("term = ''").agg(F.sum("tf"), F.sum("length")).first()
+    n, all_words = n or 0, all_words or 0
+    df = hits.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    scored = hits.join(df, "term").join(asked, "term")
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(all_words / max(1, n))))
     scores = scored.groupBy("query_id", "seg_id").agg(F.sum(weight).alias("score"))
     if exclude is not None:
         scores = scores.join(exclude, ["query_id", "seg_id"], "left_anti")
@@ -54,18 +57,65 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def prefix_search(postings: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
-    """Texts in which every word of the query occurs as a prefix: query_id, seg_id, hits; the best `limit` a query.
+def index_hits_limit(hits: DataFrame, n: int = 500, by: str = "side", rank: str = "tf") -> DataFrame:
+    """The best n hits of every side by rank, ties by seg_id."""
+    w = Window.partitionBy(by).orderBy(F.desc(rank), "seg_id")
+    return hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def union_hits(source: DataFrame, target: DataFrame, key: str = "seg_id") -> DataFrame:
+    """Distinct texts found on either side."""
+    return source.select(key).union(target.select(key)).distinct()
+
+
+def prefix_hits(postings: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
+    """Texts in which every word of the query occurs as a prefix: query_id, seg_id, hits, rank; the best `limit` a query.
 
-    Queries shorter than two characters give nothing. Prefixes meet terms through the vocabulary, by equality of cut terms.
+    Queries shorter than two characters give nothing. Terms are cut only to the lengths that some word of a query has (a
+    few numbers, asked for when the query is built), and meet the words by equality.
     """
     cleaned = queries.withColumn("q", T.normalize_for_search(F.col("query"))).where(F.char_length("q") >= 2)
     prefixes = cleaned.select("query_id", F.explode(F.array_distinct(F.filter(F.split("q", r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("prefix"))
+    prefixes = staged(prefixes, "prefixes")
     need = prefixes.groupBy("query_id").agg(F.count("*").alias("need"))
-    vocabulary = postings.select("term").distinct()
-    cut = vocabulary.select("term", F.explode(F.expr("transform(sequence(1, char_length(term)), i -> substring(term, 1, i))")).alias("prefix"))
-    terms = cut.join(prefixes, "prefix")
-    found = postings.join(terms, "term").groupBy("query_id", "seg_id").agg(F.count_distinct("prefix").alias("have"), F.sum("tf").alias("hits"))
+    lengths = sorted(r.n for r in prefixes.select(F.char_length("prefix").alias("n")).distinct().collect())
+    cut = F.array(*(F.when(F.char_length("term") >= n, F.substring("term", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
+    each = postings.select("seg_id", "tf", F.explode(F.array_compact(cut)).alias("prefix"))
+    found = each.join(prefixes, "prefix").groupBy("query_id", "seg_id").agg(F.count_distinct("prefix").alias("have"), F.sum("tf").alias("hits"))
     full = found.join(need, "query_id").where("have = need").select("query_id", "seg_id", "hits")
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "seg_id")
     return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def prefix_search(segments: DataFrame, queries: DataFrame, terms: DataFrame | None = None, limit: int = 500, shown: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Reading search: (hits, glossary).
+
+    segments hold seg_id, node, node_pos, ord, side and text. On each side the best `limit` texts by prefix hits are
+    candidates; a candidate stays when its normalised text holds the normalised query as it is. hits are query_id, node,
+    node_pos, seg_id, ord, side, found (how often) in node order, up to the node that reaches `shown` hits, which is kept
+    whole. glossary (query_id, term_id) are terms (term_id, src, tgt) whose text holds the query. Texts are normalised once.
+    """
+    plain = T.normalize_for_search(T.strip_markup(F.col("text")))
+    known = staged(segments.select("seg_id", "node", "node_pos", "ord", "side", plain.alias("norm")), "normalised")
+    postings = known.select("seg_id", "side", F.explode(F.filter(F.split("norm", r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("term")).groupBy("term", "seg_id", "side").agg(F.count("*").alias("tf"))
+    asked = staged(queries.withColumn("q", T.normalize_for_search(F.col("query"))).where(F.char_length("q") >= 2), "queries")
+    both = None
+    for side in ("source", "target"):
+        found = prefix_hits(postings.where(F.col("side") == side), asked.select("query_id", "query"), limit).select("query_id", "seg_id", F.lit(side).alias("side"))
+        both = found if both is None else both.union(found)
+    # A text shown for one side is looked at on both, as the reader sees both.
+    candidates = both.select("query_id", "seg_id").distinct()
+    exact = candidates.join(known, "seg_id").join(asked.select("query_id", "q"), "query_id")
+    exact = exact.withColumn("found", ((F.char_length("norm") - F.char_length(F.replace("norm", F.col("q"), F.lit("")))) / F.char_length("q")).cast("int")).where("found > 0")
+    groups = exact.groupBy("query_id", "node", "node_pos").agg(F.count("*").alias("hits"))
+    before = Window.partitionBy("query_id").orderBy("node_pos", "node").rowsBetween(Window.unboundedPreceding, -1)
+    kept = groups.withColumn("_b", F.coalesce(F.sum("hits").over(before), F.lit(0))).where(F.col("_b") < shown).select("query_id", "node")
+    hits = exact.join(kept, ["query_id", "node"], "left_semi").select("query_id", "node", "node_pos", "seg_id", "ord", "side", "found")
+    if terms is None:
+        return hits, hits.sparkSession.createDataFrame([], "query_id int, term_id string")
+    # Terms are short: their pieces of a query's length meet the queries by equality.
+    texts = terms.select("term_id", T.normalize_for_search(F.concat_ws(" ", "src", "tgt")).alias("norm"))
+    lengths = sorted(r.n for r in asked.select(F.char_length("q").alias("n")).distinct().collect())
+    parts = F.flatten(F.array(*(F.when(F.char_length("norm") >= n, F.transform(F.sequence(F.lit(1), F.char_length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths))) if lengths else F.array().cast("array<string>")
+    glossary = texts.select("term_id", F.explode(F.array_distinct(parts)).alias("q")).join(asked.select("query_id", "q"), "q").select("query_id", "term_id").distinct()
+    return hits, glossary

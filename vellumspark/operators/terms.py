@@ -2,65 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellumspark.functions import text as T
 from vellumspark.functions.lang import TERM_STOP
 
 
 def drop_subsumed(terms: DataFrame, share: float = 0.8) -> DataFrame:
     """Terms (key, words, n) without those that a longer one holds as whole words in most of their occurrences.
 
-    Longer terms emit their shorter word runs, at most nine of a four-word term, and meet the others by equality.
+    Longer terms emit their shorter word runs, at most nine of a four-word term, beside themselves; a run meets the term
+    of its name in one grouping.
     """
     w = F.split("key", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("words") - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
-    longer = terms.where("words > 1").select(F.explode(F.array_distinct(runs)).alias("key"), F.col("n").alias("big")).groupBy("key").agg(F.max("big").alias("big"))
-    return terms.join(longer, "key", "left").where(F.col("big").isNull() | (F.col("big") < share * F.col("n"))).drop("big")
+    kind = terms.schema.simpleString()
+    own = F.struct(F.col("key").alias("key"), F.struct(*terms.columns).alias("own"), F.lit(None).cast("long").alias("big"))
+    held = F.transform(F.when(F.col("words") > 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>")), lambda r: F.struct(r.alias("key"), F.lit(None).cast(kind).alias("own"), F.col("n").cast("long").alias("big")))
+    g = terms.select(F.inline(F.concat(F.array(own), held))).groupBy("key").agg(F.max("own").alias("own"), F.max("big").alias("big"))
+    return g.where(F.col("own").isNotNull() & (F.col("big").isNull() | (F.col("big") < share * F.col("own.n")))).select("own.*")
+
+
+EMPHASIS = r"(?<!\\)\*\*(?!\s)([^*]+?)(?<!\s)\*\*|(?<![\\*])\*(?![\s*])([^*]+?)(?<!\s)\*"
 
 
 def term_candidates(texts: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
     """Tallies of term candidates of English texts: key (lower case), words, n, bonus, form (as written), place.
 
     Runs of one to four words inside clauses count when no stop word stands at either end, no word is shorter than two
-    letters and a single one has four or more; runs of capitalised words and acronyms count again with a bonus of 2.
-    Rows are occurrences combined per form before the shuffle on the term.
+    letters and a single one has four or more; runs of capitalised words and acronyms count again with a bonus of 2, and
+    emphasised words of the markup (one to six, not beginning in a code span or link) again with a bonus of 6. All is made
+    of a text's arrays of words, without a shuffle before occurrences are combined per form.
     """
-    stop = F.array(*(F.lit(w) for w in TERM_STOP))
-    clause = texts.select(key, F.posexplode(F.split(F.col(col), r"[,;:()\[\]{}«»\"“”—–?!.]")).alias("c", "clause"))
+    # Emphasised words come before the marks are stripped; code and references are no words.
+    prose = F.regexp_replace(F.regexp_replace(F.col(col), r"`[^`]+`", " "), T.URL, " ")
+    stressed = F.transform(F.filter(F.transform(F.concat(F.regexp_extract_all(prose, F.lit(EMPHASIS), F.lit(1)), F.regexp_extract_all(prose, F.lit(EMPHASIS), F.lit(2))), lambda x: F.trim(x)), lambda e: e.rlike(r"\p{L}") & (F.size(F.split(e, r"\s+")) <= 6)), lambda e: F.regexp_replace(e, r"\s+", " "))
+    place = lambda c, i: F.struct(F.col(key).cast("string").alias("d"), c.cast("int").alias("c"), i.cast("int").alias("i"))
+    row = lambda form, n, bonus, at: F.struct(F.lower(form).alias("key"), n.cast("int").alias("words"), form.alias("form"), F.lit(bonus).alias("bonus"), at.alias("place"))
+    high = texts.select(F.explode(F.transform(stressed, lambda e, i: row(e, F.size(F.split(e, " ")), 6, place(F.lit(-1), i)))).alias("g")).select("g.*")
+
+    clause = texts.select(key, F.posexplode(F.split(T.strip_markup(prose), r"[,;:()\[\]{}«»\"“”—–?!.]")).alias("c", "clause"))
     words = clause.select(key, "c", F.regexp_extract_all("clause", F.lit(r"\p{L}[\p{L}\p{N}'’-]*"), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    # One exploded row a word; longer runs come from the words after it.
-    w = Window.partitionBy(key, "c").orderBy("i")
-    each = words.select(key, "c", F.posexplode("w").alias("i", "w1"))
-    each = each.select("*", F.lead("w1", 1).over(w).alias("w2"), F.lead("w1", 2).over(w).alias("w3"), F.lead("w1", 3).over(w).alias("w4"))
-    ok = lambda c: F.col(c).isNotNull() & (F.char_length(c) >= 2)
-    edge = lambda c: ~F.array_contains(stop, F.lower(F.col(c)))
-    grams = []
-    for n in range(1, 5):
-        cols = [f"w{k}" for k in range(1, n + 1)]
-        good = edge("w1") & edge(cols[-1]) & (F.char_length("w1") >= 4 if n == 1 else F.lit(True))
-        for c in cols:
-            good = good & ok(c)
-        grams.append(F.when(good, F.struct(F.lower(F.concat_ws(" ", *cols)).alias("key"), F.lit(n).alias("words"))))
-    place = F.struct(F.col(key).cast("string").alias("d"), "c", "i")
-    plain = each.select(place.alias("place"), F.explode(F.array_compact(F.array(*grams))).alias("g")).select("g.key", "g.words", F.col("g.key").alias("form"), F.lit(0).alias("bonus"), "place")
-    acronym = F.col("w1").rlike(r"^\p{Lu}{2,}\p{N}*$")
-    capital = F.col("w1").rlike(r"^\p{Lu}\p{Ll}") & edge("w1")
-    marked = each.withColumn("island", F.sum(F.when(capital, 0).otherwise(1)).over(w))
-    runs = marked.where(capital).groupBy(key, "c", "island").agg(F.sort_array(F.collect_list(F.struct("i", "w1"))).alias("r"))
-    runs = runs.where((F.size("r") >= 2) | (F.col("r")[0]["i"] > 0)).select(F.struct(F.col(key).cast("string").alias("d"), "c", F.col("r")[0]["i"].alias("i")).alias("place"), F.array_join(F.transform("r", lambda x: x["w1"]), " ").alias("form"), F.size("r").alias("words"))
-    named = runs.select(F.lower("form").alias("key"), "words", "form", F.lit(2).alias("bonus"), "place")
-    letters = each.where(acronym).select(F.lower("w1").alias("key"), F.lit(1).alias("words"), F.col("w1").alias("form"), F.lit(2).alias("bonus"), place.alias("place"))
-    every = plain.unionByName(named).unionByName(letters)
+    words = words.withColumn("l", F.transform("w", F.lower))
+    words = words.withColumn("edge", F.transform("l", lambda x: ~x.isin(*TERM_STOP))).withColumn("n", F.transform("w", F.char_length))
+    size = F.size("w")
+
+    def grams(n: int) -> Column:
+        def one(i: Column) -> Column:
+            good = F.col("edge")[i] & F.col("edge")[i + n - 1] & (F.col("n")[i] >= 4 if n == 1 else F.lit(True))
+            for k in range(n):
+                good = good & (F.col("n")[i + k] >= 2)
+            form = F.col("l")[i] if n == 1 else F.array_join(F.slice("l", i + 1, F.lit(n)), " ")
+            return F.when(good, row(form, F.lit(n), 0, place(F.col("c"), i)))
+
+        starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, one)
+
+    # Capitalised words are written with their place, all others as a break; what stands between breaks is a run.
+    capital = F.transform("w", lambda x, i: F.when(x.rlike(r"^\p{Lu}\p{Ll}") & F.col("edge")[i], F.concat(i.cast("string"), F.lit("\u0002"), x)).otherwise(F.lit("\u0001")))
+    runs = F.filter(F.transform(F.split(F.array_join(capital, " "), "\u0001"), lambda x: F.trim(x)), lambda r: r != "")
+
+    def named(r: Column) -> Column:
+        at, n = F.substring_index(r, "\u0002", 1).cast("int"), F.size(F.split(r, " "))
+        return F.when((n >= 2) | (at > 0), row(F.regexp_replace(r, "[0-9]+\u0002", ""), n, 2, place(F.col("c"), at)))
+
+    acronyms = F.transform("w", lambda x, i: F.when(x.rlike(r"^\p{Lu}{2,}\p{N}*$"), row(x, F.lit(1), 2, place(F.col("c"), i))))
+    found = F.array_compact(F.concat(*(grams(n) for n in range(1, 5)), F.transform(runs, named), acronyms))
+    every = words.select(F.explode(found).alias("g")).select("g.*").unionByName(high)
     return every.groupBy("key", "words", "form").agg(F.count("*").alias("n"), F.max("bonus").alias("bonus"), F.min("place").alias("place"))
 
 
 def surface_form(tallies: DataFrame) -> DataFrame:
     """Tallies by term with their most frequent writing; the one seen first wins ties."""
-    best = tallies.groupBy("key").agg(F.sum("n").alias("n"), F.max("words").alias("words"), F.max("bonus").alias("bonus"), F.max("n").alias("top"))
-    first = tallies.join(best.select("key", "top"), "key").where("n = top").groupBy("key").agg(F.min_by("form", "place").alias("form"))
-    return best.drop("top").join(first, "key")
+    first = F.min_by("form", F.struct((-F.col("n")).alias("m"), "place"))
+    return tallies.groupBy("key").agg(F.sum("n").alias("n"), F.max("words").alias("words"), F.max("bonus").alias("bonus"), first.alias("form"))
 
 
 def singular(c: Column) -> Column:
@@ -70,15 +91,32 @@ def singular(c: Column) -> Column:
     return F.when(ies, F.concat(short(3), F.lit("y"))).when(c.rlike("(?:ses|xes|zes|ches|shes)$"), short(2)).when(c.endswith("s") & ~c.rlike("(?:ss|us|is)$"), short(1))
 
 
-def merge_plurals(terms: DataFrame) -> DataFrame:
-    """Adds a plural's tally to its singular where that occurs too; one step from the tallies given."""
-    t = terms.withColumn("last", F.regexp_extract("key", r"(\S+)$", 1)).withColumn("head", F.regexp_replace("key", r"\S+$", ""))
-    t = t.withColumn("target", F.concat("head", singular(F.col("last")))).drop("head", "last")
-    known = terms.select(F.col("key").alias("target"), F.lit(True).alias("known"))
-    j = t.join(known, "target", "left")
-    into = F.when(F.col("known"), F.col("target")).otherwise(F.col("key"))
-    moved = j.withColumn("into", into)
-    return moved.groupBy(F.col("into").alias("key")).agg(F.max("words").alias("words"), F.sum("n").alias("n"), F.max("bonus").alias("bonus"), F.max_by("form", F.col("key") == F.col("into")).alias("form"))
+# Rules that take a plural word to its singular, by language.
+SINGULARS = {"en": singular}
+
+
+def merge_plurals(terms: DataFrame, language: str = "en") -> DataFrame:
+    """Adds a plural's tally to its singular where that occurs too; one step from the tallies given.
+
+    A plural asks under the singular's name and a term answers under its own, so one grouping tells which singulars occur
+    and a second adds up. Languages without a rule in SINGULARS keep their terms as they are.
+    """
+    last, head = F.regexp_extract("key", r"(\S+)$", 1), F.regexp_replace("key", r"\S+$", "")
+    rule = SINGULARS.get(language)
+    target = F.concat(head, rule(last)) if rule else F.lit(None).cast("string")
+    t = terms.select(F.struct("key", "words", "n", "bonus", "form").alias("term"), target.alias("target"))
+    entry = lambda slot, answers, asks: F.struct(slot.alias("slot"), answers.alias("answers"), asks.alias("asks"))
+    none = F.lit(None).cast(t.schema["term"].dataType)
+    # A term that looks like no plural counts under its own name at once; one that does waits for its singular's answer.
+    own = entry(F.col("term.key"), F.lit(True), F.when(F.col("target").isNull(), F.col("term")).otherwise(none))
+    asked = entry(F.col("target"), F.lit(False), F.col("term"))
+    rows = t.select(F.inline(F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, asked))))
+    g = rows.groupBy("slot").agg(F.bool_or("answers").alias("known"), F.collect_list("asks").alias("terms"))
+    each = g.select("slot", "known", F.explode("terms").alias("t"))
+    into = F.when(F.col("known"), F.col("slot")).otherwise(F.col("t.key"))
+    return each.select(into.alias("key"), "t.words", "t.n", "t.bonus", F.struct((F.col("t.key") == into).alias("own"), "t.n", "t.form").alias("f")).groupBy("key").agg(
+        F.max("words").alias("words"), F.sum("n").alias("n"), F.max("bonus").alias("bonus"), F.max_by("f.form", F.struct("f.own", "f.n", "f.form")).alias("form")
+    )
 
 
 def candidate_scores(terms: DataFrame) -> DataFrame:
@@ -121,28 +159,49 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: st
     """All leftmost-longest, non-overlapping occurrences of terms (term_id, src): key, term_id, start, end (words from 0).
 
     Words lose inflection by language; languages without a rule match to the letter, apart from case. Runs of up to
-    most_words words meet the dictionary by equality, whatever its size; a fold over a text's candidates in order settles
-    overlaps. Terms of one character are left out.
+    most_words words meet the dictionary by equality, whatever its size; a pass over a text's candidates in order settles
+    overlaps. Terms of one character are left out. The lengths of the dictionary's terms, most_words numbers at most, are
+    asked for when the query is built.
     """
     canonical = INFLECTIONS.get(language, F.lower)
     words = term_words(F.col(col))
     t = terms.where(F.char_length(F.trim("src")) > 1).withColumn("w", term_words(F.col("src"))).where(F.size("w").between(1, most_words))
     dictionary = t.select(F.array_join(_canonical_run("w", canonical), " ").alias("g"), F.size("w").alias("n"), "term_id", F.char_length("src").alias("len"))
     dictionary = dictionary.groupBy("g", "n").agg(F.max_by("term_id", F.struct("len", "term_id")).alias("term_id"), F.max("len").alias("len"))
-    w = Window.partitionBy(key).orderBy("i")
-    each = texts.select(key, F.posexplode(words).alias("i", "w"))
-    own, plain = canonical(F.col("w")), F.lower("w")
-    each = each.select(key, "i", own.alias("last"), plain.alias("w0"))
-    for k in range(1, most_words):
-        each = each.withColumn(f"w{k}", F.lag("w0", k).over(w))
-    runs = F.array(*(F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(F.col(f"w{k}") for k in range(n - 1, 0, -1)), F.col("last")).alias("g"), *([F.col(f"w{n - 1}").isNotNull().alias("full")])) for n in range(1, most_words + 1)))
-    grams = each.select(key, F.col("i").alias("e"), F.explode(runs).alias("r")).where("r.full").select(key, "e", "r.n", "r.g")
+    # Only runs as long as some term, made of a text's own array of words: texts are not shuffled for them.
+    lengths = sorted(r.n for r in dictionary.select("n").distinct().collect())
+    each = texts.select(key, words.alias("w")).withColumn("low", F.transform("w", F.lower)).withColumn("last", F.transform("w", canonical))
+
+    def run(n: int) -> Column:
+        g = lambda e: F.col("last")[e] if n == 1 else F.concat_ws(" ", F.slice("low", e - n + 2, F.lit(n - 1)), F.col("last")[e])
+        ends = F.when(F.size("w") >= n, F.sequence(F.lit(n - 1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ends, lambda e: F.struct(e.alias("e"), F.lit(n).alias("n"), g(e).alias("g")))
+
+    none = F.array().cast("array<struct<e:int,n:int,g:string>>")
+    grams = each.select(key, F.inline(F.concat(none, *(run(n) for n in lengths))))
     hits = grams.join(dictionary, ["g", "n"]).select(key, (F.col("e") - F.col("n") + 1).alias("start"), (F.col("e") + 1).alias("end"), "term_id", "len")
     per = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "end", "term_id"))).alias("h"))
     kind = hits.schema["term_id"].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,end:int,term_id:{kind}>>").alias("out"))
-    fold = F.aggregate("h", start, lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["term_id"].alias("term_id")))).alias("out"))).otherwise(a), lambda a: a["out"])
-    return per.select(key, F.explode(fold).alias("m")).select(key, "m.term_id", "m.start", "m.end")
+    return per.mapInArrow(_settled, f"{key} {texts.schema[key].dataType.simpleString()}, term_id {kind}, start int, end int")
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text's sorted candidates those that start where the one before has ended; linear in the candidates."""
+    for batch in batches:
+        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        h = batch.column(1).flatten()
+        start, end = h.field("start").to_numpy(), h.field("end").to_numpy()
+        kept, at = [], 0
+        for n in sizes.tolist():
+            free = -1
+            for k in range(at, at + n):
+                if start[k] >= free:
+                    kept.append(k)
+                    free = end[k]
+            at += n
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        pick = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[kept] if kept else [], pa.int64())), h.field("term_id").take(pick), h.field("start").take(pick), h.field("end").take(pick)], names=[batch.schema.names[0], "term_id", "start", "end"])
 
 
 def _canonical_run(c: str, canonical) -> Column:

@@ -12,6 +12,7 @@ from vellumspark.operators import joins as J
 from vellumspark.operators import layout as L
 from vellumspark.operators import text_jobs as X
 from vellumspark.operators import tree as R
+from vellumspark.queries.search import EMPHASIS, MARKED, STRONG, marked, sql_steps
 from vellumspark.registry import query
 from vellumspark.sources import adapters as A
 
@@ -44,13 +45,17 @@ def large(spark, d):
 
 @query(
     "agg9_infer_page_labels",
-    f"""WITH {A.LINES}, p AS (SELECT doc_id, page, max(page) OVER (PARTITION BY doc_id) AS last FROM (SELECT DISTINCT doc_id, page FROM ln))
-    SELECT doc_id, page, CASE WHEN last < 3 THEN (page + 1)::VARCHAR WHEN page >= 2 THEN (page - 1)::VARCHAR ELSE repeat('i', page + 1) END AS label FROM p""",
+    f"""WITH {A.LINES}, p AS (SELECT doc_id, page, min_by(length(text), ord) AS c FROM ln GROUP BY 1, 2),
+    pr AS (SELECT doc_id, page, CASE WHEN c % 7 = 0 THEN 'iv' WHEN c % 5 = 0 THEN (page + 9)::VARCHAR ELSE (page - doc_id % 3)::VARCHAR END AS printed FROM p WHERE page >= doc_id % 3 AND c % 11 <> 0),
+    v AS (SELECT doc_id, printed::INT - page AS off, count(*) AS v FROM pr WHERE regexp_matches(printed, '^\\d+$') GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT doc_id, max_by(off, (v, -off)) AS off FROM v GROUP BY 1)
+    SELECT doc_id, page, CASE WHEN off IS NULL THEN (page + 1)::VARCHAR WHEN page + off >= 1 THEN (page + off)::VARCHAR ELSE coalesce(printed, repeat('i', page + 1)) END AS label FROM p LEFT JOIN pr USING (doc_id, page) LEFT JOIN b USING (doc_id)""",
 )
 def labels(spark, d):
-    pages = A.lines(spark, d).select("doc_id", "page").distinct()
-    printed = pages.where("page >= 2").select("doc_id", "page", (F.col("page") - 1).cast("string").alias("printed"))
-    return L.infer_page_labels(pages, printed)
+    pages = A.lines(spark, d).groupBy("doc_id", "page").agg(F.min_by(F.char_length("text"), "ord").alias("c"))
+    offset = F.col("doc_id") % 3
+    number = F.when(F.col("c") % 7 == 0, "iv").when(F.col("c") % 5 == 0, (F.col("page") + 9).cast("string")).otherwise((F.col("page") - offset).cast("string"))
+    printed = pages.where((F.col("page") >= offset) & (F.col("c") % 11 != 0)).select("doc_id", "page", number.alias("printed"))
+    return L.infer_page_labels(pages.select("doc_id", "page"), printed)
 
 
 @query("agg24_style_share", f"WITH {A.SEGMENTS} SELECT doc_id, sum(CASE WHEN ord % 2 = 0 THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1) > 0.8 AS bold FROM seg WHERE ord % 5 <> 4 GROUP BY 1")
@@ -66,9 +71,9 @@ def label_pages(spark, d):
     return J.label_to_page(e, p)
 
 
-@query("join18_superscript_hosts", f"WITH {A.LINES} SELECT doc_id, page, 's' || ord AS item, 'l' || ord AS host FROM ln WHERE length(text) >= 4")
+@query("join18_superscript_hosts", f"WITH {A.LINES} SELECT doc_id, page, 's' || ord AS item, 'l' || ord AS host FROM ln")
 def superscripts(spark, d):
-    lines = A.lines(spark, d).where("char_length(text) >= 4")
+    lines = A.lines(spark, d)
     big = lines.select("doc_id", "page", F.concat(F.lit("l"), "ord").alias("id"), "y", "x0", "x1", "size")
     small = lines.select("doc_id", "page", F.concat(F.lit("s"), "ord").alias("id"), (F.col("y") - 4).alias("y"), (F.col("x1") - 5).alias("x0"), F.col("x1"), F.lit(6.0).alias("size"))
     return J.superscript_hosts(big.unionByName(small))
@@ -94,23 +99,39 @@ def contents(spark, d):
     return L.parse_contents_lines(noise.withColumn("text", F.col("text")).unionByName(p.select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0.0).alias("y"), F.lit(50.0).alias("x0"), line.alias("text")))).select("doc_id", "title", "label")
 
 
-@query("txt15_render_block_text", f"WITH {A.SEGMENTS} SELECT doc_id, count(*) AS runs FROM seg WHERE text <> '' GROUP BY 1")
+@query(
+    "txt15_render_block_text",
+    f"""WITH {A.SEGMENTS}, r AS (SELECT *, length(text) % 3 = 0 AS bold, length(text) % 3 = 1 AS italic FROM seg WHERE text <> ''),
+    w AS (SELECT doc_id, sum(CASE WHEN bold THEN length(text) ELSE 0 END) / sum(length(text)) > 0.8 AS b, sum(CASE WHEN italic THEN length(text) ELSE 0 END) / sum(length(text)) > 0.8 AS i FROM r WHERE NOT regexp_matches(text, '^\\s*\\d{{1,3}}\\s*$') GROUP BY 1),
+    k AS (SELECT doc_id, ord, text, CASE WHEN bold AND NOT coalesce(b, FALSE) THEN '**' WHEN italic AND NOT coalesce(i, FALSE) THEN '*' ELSE '' END AS k, regexp_replace(text, '([*`])', '\\\\\\1', 'g') AS safe FROM r LEFT JOIN w USING (doc_id)),
+    p AS (SELECT doc_id, ord, CASE WHEN regexp_matches(text, '^\\s*\\d{{1,3}}\\s*$') THEN '[^' || trim(text) || ']' WHEN trim(safe) = '' THEN text
+      ELSE regexp_extract(text, '^\\s*') || k || trim(safe) || k || regexp_extract(text, '\\s*$') END AS piece FROM k)
+    SELECT doc_id, replace(string_agg(piece, '' ORDER BY ord), '****', '') AS text FROM p GROUP BY 1""",
+)
 def rendered(spark, d):
-    runs = A.segments(spark, d).where("text <> ''").select("doc_id", "ord", F.concat(F.lit("z "), F.lit("word ")).alias("text"), (F.col("ord") % 2 == 0).alias("bold"), (F.col("ord") % 2 == 1).alias("italic"), F.lit(False).alias("sup"))
-    b = L.render_block_text(runs, ["doc_id"], "ord")
-    return b.select("doc_id", F.regexp_count("text", F.lit("z")).cast("long").alias("runs"))
+    n = F.char_length("text")
+    runs = A.segments(spark, d).where("text <> ''").select("doc_id", "ord", "text", (n % 3 == 0).alias("bold"), (n % 3 == 1).alias("italic"), F.col("text").rlike(r"^\s*\d{1,3}\s*$").alias("sup"))
+    return L.render_block_text(runs, ["doc_id"], "ord")
 
 
-@query("txt17_font_flags", "SELECT p_type, p_type IN ('ECONOMY') AS mono FROM part GROUP BY 1")
+@query(
+    "txt17_font_flags",
+    """SELECT c_custkey, regexp_matches(n, 'bold|black|heavy|demi') AS bold, regexp_matches(n, 'italic|oblique') AS italic, regexp_matches(n, 'mono|courier|consol|typewriter|code') AS mono
+    FROM (SELECT c_custkey, lower(c_mktsegment || '+' || ['Times-Bold', 'CourierNew', 'Lato-BlackItalic', 'Georgia', 'DejaVuSansMono-Oblique', 'Inter-DemiBold', 'SourceCodePro'][c_custkey % 7 + 1]) AS n FROM customer)""",
+)
 def fonts(spark, d):
-    p = A.table(spark, d, "part").select("p_type").distinct()
-    _, _, mono = T.font_flags(F.when(F.col("p_type") == "ECONOMY", "ABCDEF+CourierNew").otherwise(F.lit("Times-Roman")))
-    return p.select("p_type", mono.alias("mono"))
+    names = ("Times-Bold", "CourierNew", "Lato-BlackItalic", "Georgia", "DejaVuSansMono-Oblique", "Inter-DemiBold", "SourceCodePro")
+    c = A.table(spark, d, "customer").withColumn("font", F.concat("c_mktsegment", F.lit("+"), F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("c_custkey") % 7 + 1).cast("int"))))
+    bold, italic, mono = T.font_flags(F.col("font"))
+    return c.select("c_custkey", bold.alias("bold"), italic.alias("italic"), mono.alias("mono"))
+
+
+HTML = sql_steps("m", ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (r"`([^`]+)`", r"<code>\1</code>"), (STRONG, r"<strong>\1</strong>"), (EMPHASIS, r"<em>\1</em>"), (r"\[\^([^\]\s]+)\]", r"<sup>\1</sup>"), (r"\[\[(fig|tab):([^\]\s]+)\]\]", r"<span>\1 \2</span>"))
 
 
-@query("txt18_markup_to_html", "SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM documents WHERE NOT regexp_matches(text, '[*`\\[]')")
+@query("txt18_markup_to_html", f"SELECT doc_id, {HTML} AS html FROM (SELECT doc_id, {MARKED} || ' <b> & \"x\"' AS m FROM documents)")
 def markup(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", T.markup_to_html(F.col("text")).alias("html"))
+    return A.table(spark, d, "documents").select("doc_id", T.markup_to_html(F.concat(marked("text"), F.lit(' <b> & "x"'))).alias("html"))
 
 
 @query("txt21_split_authors", "SELECT p_partkey, len(string_split(p_name, ' '))::INT AS n FROM part")

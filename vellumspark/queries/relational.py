@@ -58,7 +58,7 @@ def _current(spark, d):
 
 
 UPSERT = f"""WITH {A.TRANSLATIONS}, c AS (SELECT segment_id, lang, status AS s0, coalesce(final, draft) AS t0, version AS v0 FROM tr),
-  i AS (SELECT doc_id AS segment_id, lang, 'drafted' AS s1, substring(text, 1, 35) AS t1 FROM documents WHERE doc_id % 2 = 0),
+  i AS (SELECT doc_id AS segment_id, lang, 'drafted' AS s1, CASE WHEN doc_id % 3 = 0 THEN text || ' (new)' ELSE text END AS t1 FROM documents),
   j AS (SELECT *, coalesce(s0 = 'user_edited', FALSE) AS held FROM c FULL JOIN i USING (segment_id, lang)),
   m AS (SELECT segment_id, lang, CASE WHEN held OR t1 IS NULL THEN s0 ELSE s1 END AS status, CASE WHEN held OR t1 IS NULL THEN t0 ELSE t1 END AS text,
     CASE WHEN held AND t1 <> t0 THEN t1 END AS suggestion, coalesce(v0, 0) + (t1 IS NOT NULL)::INT AS version, t0 FROM j)"""
@@ -132,8 +132,8 @@ def export(spark, d):
 
 @query(
     "src9_save_structure",
-    f"""WITH {A.BLOCKS} SELECT page_id || ':' || ord AS segment_id, (page_id + (ord % 2 = 0)::INT)::BIGINT AS node, ord, type, CASE WHEN ord % 2 = 0 THEN upper(text) ELSE text END AS text,
-    sha256(CASE WHEN ord % 2 = 0 THEN upper(text) ELSE text END)[1:16] AS src_hash FROM blk WHERE text NOT SIMILAR TO '.*ß.*'""",
+    f"""WITH {A.BLOCKS} SELECT page_id || ':' || ord AS segment_id, (page_id + (ord % 2 = 0)::INT)::BIGINT AS node, ord, type, CASE WHEN ord % 2 = 0 THEN upper(replace(text, 'ß', 'SS')) ELSE text END AS text,
+    sha256(CASE WHEN ord % 2 = 0 THEN upper(replace(text, 'ß', 'SS')) ELSE text END)[1:16] AS src_hash FROM blk""",
 )
 def structure(spark, d):
     b = A.blocks(spark, d).select(F.concat_ws(":", "page_id", "ord").alias("segment_id"), F.col("page_id").alias("node"), "ord", "type", "text")
@@ -402,15 +402,21 @@ def batch_status(spark, d):
 
 @query(
     "join21_dehyphenate",
-    """WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents), v AS (SELECT w, count(DISTINCT doc_id) AS n FROM w WHERE w <> '' GROUP BY 1),
-    p AS (SELECT w, w[1:3] AS l, w[4:] AS r FROM v WHERE length(w) BETWEEN 6 AND 9)
-    SELECT l AS "left", r AS "right", CASE WHEN n > 0 THEN l || r ELSE l || '-' || r END AS text FROM p JOIN v USING (w)""",
+    """WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents), v AS (SELECT w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1),
+    x AS (SELECT w, n FROM v UNION ALL SELECT w[1:3] || '-' || w[4:], n + 1 - n % 3 FROM v WHERE length(w) = 7),
+    p AS (SELECT w, w[1:3] AS l, CASE WHEN length(w) = 8 AND regexp_matches(w[4:4], '[a-z]') THEN upper(w[4:4]) || w[5:] ELSE w[4:] END AS r FROM v WHERE length(w) BETWEEN 6 AND 9)
+    SELECT l AS "left", r AS "right", CASE WHEN j.n > coalesce(h.n, 0) THEN l || r ELSE l || '-' || r END AS text FROM p JOIN x j ON j.w = lower(l || r) LEFT JOIN x h ON h.w = lower(l || '-' || r) WHERE j.n <> coalesce(h.n, 0)
+    UNION ALL SELECT l, r, CASE WHEN regexp_matches(r, '^\\p{Ll}') THEN l || r ELSE l || '-' || r END FROM p JOIN x j ON j.w = lower(l || r) JOIN x h ON h.w = lower(l || '-' || r) WHERE j.n = h.n""",
 )
 def dehyphenate(spark, d):
-    w = documents(spark, d).select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    v = w.groupBy("word").agg(F.count_distinct("doc_id").alias("n"))
-    p = v.where("char_length(word) between 6 and 9").select(F.substring("word", 1, 3).alias("left"), F.expr("substring(word, 4)").alias("right"))
-    return J.dehyphenate(p, v)
+    w = documents(spark, d).select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
+    v = w.groupBy("word").agg(F.count("*").alias("n"))
+    start, end = F.substring("word", 1, 3), F.expr("substring(word, 4)")
+    # Some words also occur with the hyphen, in fewer, as many or more documents.
+    both = v.union(v.where("char_length(word) = 7").select(F.concat(start, F.lit("-"), end), F.col("n") + 1 - F.col("n") % 3))
+    right = F.when((F.char_length("word") == 8) & F.substring("word", 4, 1).rlike("[a-z]"), F.concat(F.upper(F.substring("word", 4, 1)), F.expr("substring(word, 5)"))).otherwise(end)
+    p = v.where("char_length(word) between 6 and 9").select(start.alias("left"), right.alias("right"))
+    return J.dehyphenate(p, both)
 
 
 @query("join22_locate_cuts_fallback", f"WITH {A.BLOCKS}, e AS (SELECT page_id AS doc_id, ord + 0.5 AS pos, 'e' || ord AS entry FROM blk WHERE ord % 4 = 1) SELECT e.doc_id, entry, min(blk.ord)::BIGINT AS block FROM e LEFT JOIN blk ON page_id = e.doc_id AND blk.ord >= e.pos GROUP BY 1, 2")

@@ -52,14 +52,38 @@ def bm25(spark, d):
     return S.bm25_search(docs(spark, d), asked(spark))
 
 
-@query(
-    "job2_prefix_search",
-    f"""WITH {POSTINGS}, p(query_id, prefix) AS (VALUES (1, 'thane'), (1, 'hee'), (2, 'eaux')), need AS (SELECT query_id, count(*) AS need FROM p GROUP BY 1),
-    f AS (SELECT query_id, seg_id, count(DISTINCT prefix) AS have, sum(tf)::BIGINT AS hits FROM ps JOIN p ON starts_with(term, prefix) GROUP BY 1, 2)
-    SELECT query_id, seg_id, hits, rank FROM (SELECT query_id, seg_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, seg_id)::INT AS rank FROM f JOIN need USING (query_id) WHERE have = need) WHERE rank <= 500""",
-)
+SEARCHES = [(1, "Thane hee"), (2, "éaux"), (3, "x"), (4, "the of"), (5, "and th"), (6, "keit ")]
+
+
+def reading(spark, d):
+    """Lines of documents as source texts, and as target texts in upper case; a document is a node."""
+    s = A.segments(spark, d).select((F.col("doc_id") * 100_000 + F.col("ord")).alias("seg_id"), F.col("doc_id").alias("node"), F.col("doc_id").alias("node_pos"), "ord", "text")
+    target = s.where("ord % 2 = 0").withColumn("text", F.concat(F.lit("keit "), F.upper("text")))
+    return s.withColumn("side", F.lit("source")).unionByName(target.withColumn("side", F.lit("target")))
+
+
+READING = f"""{A.SEGMENTS}, sq(query_id, query) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in SEARCHES)}),
+rd AS (SELECT doc_id * 100000 + ord AS seg_id, doc_id AS node, ord, 'source' AS side, text FROM seg UNION ALL SELECT doc_id * 100000 + ord, doc_id, ord, 'target', 'keit ' || upper(text) FROM seg WHERE ord % 2 = 0),
+nm AS (SELECT seg_id, node, ord, side, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS norm FROM rd), qn AS (SELECT query_id, trim(regexp_replace(lower(strip_accents(query)), '\\s+', ' ', 'g')) AS q FROM sq),
+tw AS (SELECT seg_id, side, w, count(*) AS tf FROM (SELECT seg_id, side, unnest(string_split_regex(norm, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM nm) WHERE w <> '' GROUP BY ALL),
+px AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(string_split_regex(q, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM qn WHERE length(q) >= 2) WHERE w <> ''), nd AS (SELECT query_id, count(*) AS need FROM px GROUP BY 1),
+ff AS (SELECT query_id, seg_id, side, count(DISTINCT px.w) AS have, sum(tf) AS hits FROM tw JOIN px ON starts_with(tw.w, px.w) GROUP BY 1, 2, 3),
+cd AS (SELECT DISTINCT query_id, seg_id FROM (SELECT ff.*, row_number() OVER (PARTITION BY query_id, side ORDER BY hits DESC, seg_id) AS k FROM ff JOIN nd USING (query_id) WHERE have = need) WHERE k <= 500),
+ex AS (SELECT query_id, node, seg_id, ord, side, ((length(norm) - length(replace(norm, q, ''))) // length(q))::INT AS found FROM cd JOIN nm USING (seg_id) JOIN qn USING (query_id) WHERE contains(norm, q)),
+gr AS (SELECT query_id, node, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ex GROUP BY 1, 2)"""
+
+
+@query("job2_prefix_search", f"WITH {READING} SELECT query_id, node, seg_id, ord, side, found FROM ex JOIN gr USING (query_id, node) WHERE b < 100")
 def prefix(spark, d):
-    return S.prefix_search(S.build_postings(docs(spark, d)), spark.createDataFrame([(1, "Thane hee"), (2, "éaux"), (3, "x")], "query_id int, query string"))
+    hits, _ = S.prefix_search(reading(spark, d), spark.createDataFrame(SEARCHES, "query_id int, query string"))
+    return hits.select("query_id", "node", "seg_id", "ord", "side", "found")
+
+
+@query("job2_glossary_hits", "SELECT q.query_id, p_partkey::VARCHAR AS term_id FROM part, (VALUES (1, 'ed'), (2, 'brand#1')) AS q(query_id, query) WHERE contains(lower(p_name || ' ' || p_brand), query)")
+def glossary_hits(spark, d):
+    terms = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("term_id"), F.col("p_name").alias("src"), F.col("p_brand").alias("tgt"))
+    asked = spark.createDataFrame([(1, "ED"), (2, "Brand#1"), (3, "a")], "query_id int, query string")
+    return S.prefix_search(reading(spark, d).limit(0), asked, terms)[1]
 
 
 @query(
@@ -74,20 +98,18 @@ def topk(spark, d):
 
 @query(
     "top4_index_hits_limit",
-    f"""WITH {POSTINGS} SELECT side, seg_id, tf FROM (SELECT 'src' AS side, seg_id, tf, row_number() OVER (ORDER BY tf DESC, seg_id) AS k FROM ps WHERE starts_with(term, 'th') AND term = 'th') WHERE k <= 500""",
+    f"""WITH {POSTINGS}, t AS (SELECT 'src' AS side, seg_id, tf FROM ps WHERE term = 'th' UNION ALL SELECT 'tgt', seg_id, tf FROM ps WHERE term = 'que')
+    SELECT side, seg_id, tf FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY tf DESC, seg_id) AS k FROM t) WHERE k <= 500""",
 )
 def hits_limit(spark, d):
-    from pyspark.sql.window import Window
-
-    hits = S.build_postings(docs(spark, d)).where("term = 'th'")
-    w = Window.partitionBy("side").orderBy(F.desc("tf"), "seg_id")
-    return hits.withColumn("k", F.row_number().over(w)).where("k <= 500").select("side", "seg_id", "tf")
+    p = S.build_postings(docs(spark, d)).where("term in ('th', 'que')")
+    return S.index_hits_limit(p.withColumn("side", F.when(F.col("term") == "th", "src").otherwise(F.lit("tgt")))).select("side", "seg_id", "tf")
 
 
 @query("set1_union_hits", f"WITH {POSTINGS} SELECT DISTINCT seg_id FROM ps WHERE term IN ('th', 'heea')")
 def union_hits(spark, d):
     p = S.build_postings(docs(spark, d))
-    return p.where("term = 'th'").select("seg_id").union(p.where("term = 'heea'").select("seg_id")).distinct()
+    return S.union_hits(p.where("term = 'th'"), p.where("term = 'heea'"))
 
 
 @query("txt1_normalize_for_search", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS norm FROM documents")
@@ -101,15 +123,44 @@ def tokenize(spark, d):
     return k.select("doc_id", F.size("k").cast("long").alias("n"), F.size(F.array_distinct("k")).cast("long").alias("n_distinct"))
 
 
-@query("txt3_strip_markup", "SELECT doc_id, length(regexp_replace(regexp_replace(text, '\\*\\*([^\\s*][^*]*)\\*\\*', '\\1', 'g'), '`([^`]+)`', '\\1', 'g')) AS n FROM documents WHERE NOT contains(text, '*')")
+def sql_steps(column: str, *steps: tuple[str, str]) -> str:
+    """Nested regexp_replace calls of DuckDB."""
+    for pattern, value in steps:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{value}', 'g')"
+    return column
+
+
+# Emphasis as DuckDB can say it: what is marked starts and ends without a blank.
+STRONG, EMPHASIS = r"\*\*(\S|\S.*?\S)\*\*", r"\*([^\s*]|[^\s*][^*]*?[^\s*])\*"
+ESCAPED = ((r"\\\*", "\u0002"), (r"\\`", "\u0003"))
+PLAIN = "translate(" + sql_steps("{c}", *ESCAPED, (r"`([^`]+)`", r"\1"), (r"\[\^[^\]\s]+\]|\[\[(?:fig|tab):[^\]\s]+\]\]", ""), (STRONG, r"\1"), (EMPHASIS, r"\1")).replace("{c}", "@") + ", '\u0002\u0003', '*`')"
+
+
+def marked(column: str) -> F.Column:
+    """A text with all kinds of markup after it: the stored texts have few."""
+    tail = r" **strong words** and *soft* `code` \* \` [^1] [[fig:2.1]] ** no ** a*b*c https://example.org/x?y=1."
+    return F.concat(column, F.lit(tail))
+
+
+MARKED = r"text || ' **strong words** and *soft* `code` \* \` [^1] [[fig:2.1]] ** no ** a*b*c https://example.org/x?y=1.'"
+
+
+@query("txt3_strip_markup", f"SELECT doc_id, {PLAIN.replace('@', 'm')} AS plain FROM (SELECT doc_id, {MARKED} AS m FROM documents)")
 def strip(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.char_length(T.strip_markup(F.col("text"))).cast("long").alias("n"))
+    return A.table(spark, d, "documents").select("doc_id", T.strip_markup(marked("text")).alias("plain"))
+
+
+URLS = "https?://[^\\s<>\"''\\]\\)]*[^\\s<>\"''\\]\\).,;:!?]"
+TOKENS = f"""m AS (SELECT doc_id, {MARKED} AS m FROM documents), pr AS (SELECT doc_id, regexp_replace(m, '`[^`]+`', ' ', 'g') AS p FROM m),
+  tk AS (SELECT doc_id, 'code' AS kind, unnest(regexp_extract_all(m, '`([^`]+)`', 1)) AS value FROM m UNION ALL SELECT doc_id, 'fn', unnest(regexp_extract_all(p, '\\[\\^([^\\]\\s]+)\\]', 1)) FROM pr
+    UNION ALL SELECT doc_id, split_part(r, ':', 1), substring(r, instr(r, ':') + 1) FROM (SELECT doc_id, unnest(regexp_extract_all(p, '\\[\\[((?:fig|tab):[^\\]\\s]+)\\]\\]', 1)) AS r FROM pr)
+    UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(p, '{URLS}')) FROM pr)"""
 
 
-@query("txt4_extract_tokens", "SELECT doc_id, 'url' AS kind, u AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"''\\]\\)]*[^\\s<>\"''\\]\\).,;:!?]')) AS u FROM documents) GROUP BY ALL")
+@query("txt4_extract_tokens", f"WITH {TOKENS} SELECT doc_id, kind, value, count(*) AS n FROM tk GROUP BY ALL")
 def tokens(spark, d):
-    t = A.table(spark, d, "documents").select("doc_id", F.explode(T.markup_tokens(F.col("text"))).alias("t"))
-    return t.groupBy("doc_id", F.substring_index("t", ":", 1).alias("kind"), F.expr("substring(t, instr(t, ':') + 1)").alias("value")).agg(F.count("*").alias("n")).where("kind = 'url'")
+    t = A.table(spark, d, "documents").select("doc_id", F.explode(T.markup_tokens(marked("text"))).alias("t"))
+    return t.groupBy("doc_id", F.substring_index("t", ":", 1).alias("kind"), F.expr("substring(t, instr(t, ':') + 1)").alias("value")).agg(F.count("*").alias("n"))
 
 
 @query("txt6_fold_digits", "SELECT doc_id, sum(length(x))::BIGINT AS digits FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[0-9]+')) AS x FROM documents) GROUP BY 1")
@@ -123,7 +174,7 @@ def clean_runs(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.clean_run_text(F.col("text")).alias("text"))
 
 
-@query("txt8_header_pattern", f"WITH {A.LINES} SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlc]+\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern, count(*) AS n FROM ln WHERE text NOT SIMILAR TO '.*[^\\x00-\\x7F].*' GROUP BY 1")
+@query("txt8_header_pattern", f"WITH {A.LINES} SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlc]+\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern, count(*) AS n FROM ln GROUP BY 1")
 def patterns(spark, d):
     return A.lines(spark, d).groupBy(T.header_pattern(F.col("text")).alias("pattern")).agg(F.count("*").alias("n"))
 
@@ -133,15 +184,21 @@ def titles(spark, d):
     return A.blocks(spark, d).where("type = 'heading'").select("page_id", "ord", T.normalize_title(F.col("text")).alias("title"))
 
 
-@query("txt10_split_sentences")
+@query(
+    "txt10_split_sentences",
+    """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([.!?…؟][»"”'')\\]]{0,3})\\s+', '\\1' || chr(10), 'g'), '[^\\n]+')) AS s FROM documents)
+    SELECT doc_id, list(trim(s)) AS sentences, sum(len(regexp_extract_all(s, '\\S+')))::BIGINT AS n_words FROM (SELECT doc_id, s FROM m WHERE trim(s) <> '') GROUP BY 1""".replace("list(trim(s)) AS sentences", "string_agg(trim(s), '|') AS sentences"),
+)
 def sentences(spark, d):
-    s = F.sentences("text", F.col("lang"), F.lit(""))
-    return A.table(spark, d, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.size(x)).alias("n_words"))
+    s = A.table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return s.select("doc_id", F.array_join("s", "|").alias("sentences"), F.aggregate(F.transform("s", lambda x: F.regexp_count(x, F.lit(r"\S+"))), F.lit(0), lambda a, n: a + n).cast("long").alias("n_words"))
 
 
-@query("txt16_text_direction", "SELECT doc_id, 'ltr' AS direction FROM documents")
+@query("txt16_text_direction", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR (doc_id % 4 = 1 AND NOT regexp_matches(text, '\\p{L}')) THEN 'rtl' WHEN doc_id % 4 = 2 THEN 'rtl' ELSE 'ltr' END AS direction FROM documents")
 def direction(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", T.text_direction(F.col("text")).alias("direction"))
+    lead = F.element_at(F.array(*(F.lit(x) for x in ("1. سلام ", "", "«שלום» ", "12 – "))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(lead, "text", F.when(F.col("doc_id") % 4 == 1, " سلام").otherwise(""))
+    return A.table(spark, d, "documents").select("doc_id", T.text_direction(text).alias("direction"))
 
 
 @query("txt19_extract_json", "SELECT event_id, (props->>'k')::INT AS k FROM events")

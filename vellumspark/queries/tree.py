@@ -152,10 +152,18 @@ def phrases(spark, d):
     return G.repeated_phrases(A.table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("agg28_script_share", "SELECT doc_id, 0 AS target, FALSE AS none FROM documents")
+@query(
+    "agg28_script_share",
+    """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' `код` (слово) https://a.b/в' ELSE repeat('слово дело ', length(text) // 12) || text END AS t FROM documents),
+    p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '`[^`]+`', ' ', 'g'), 'https?://[^\\s<>"''\\]\\)]*[^\\s<>"''\\]\\).,;:!?]', ' ', 'g'), '\\([^()]*\\)', ' ', 'g') AS p FROM m),
+    n AS (SELECT doc_id, len(regexp_extract_all(p, '\\p{Cyrillic}')) AS target, len(regexp_extract_all(p, '\\p{Latin}')) AS latin FROM p)
+    SELECT doc_id, target, latin, target + latin >= 3 AND target < 0.5 * (target + latin) AS issue FROM n""",
+)
 def script(spark, d):
-    s = G.script_share(A.table(spark, d, "documents"), "doc_id", "text", "ru")
-    return s.select("doc_id", "target", (F.col("issue") & (F.col("latin") < 3)).alias("none"))
+    own = F.expr("repeat('слово дело ', cast(floor(char_length(text) / 12) as int))")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" `код` (слово) https://a.b/в"))).otherwise(F.concat(own, "text"))
+    s = G.script_share(A.table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text", "ru")
+    return s.select("doc_id", F.col("target").cast("long").alias("target"), F.col("latin").cast("long").alias("latin"), "issue")
 
 
 @query("agg29_usage_totals", "SELECT user_id, round(sum(value), 4) AS value, count(*) AS n FROM events GROUP BY 1")
@@ -190,15 +198,14 @@ MARGINS = f"""WITH {A.LINES}, m AS (SELECT doc_id, ord, page, CASE WHEN y < 48 T
   rp AS (SELECT h.* FROM h JOIN t USING (doc_id) WHERE pages >= 2 AND pages >= 0.25 * n)"""
 
 
-@query("agg7_repeating_margin_lines", MARGINS + " SELECT * FROM rp WHERE pattern NOT SIMILAR TO '.*[^\\x00-\\x7F].*'")
+@query("agg7_repeating_margin_lines", MARGINS + " SELECT * FROM rp")
 def margins(spark, d):
     return G.repeating_margin_lines(A.lines(spark, d), 600.0)
 
 
-@query("agg8_remove_headers_footers", MARGINS + " SELECT m.doc_id, count(*) AS kept FROM m JOIN documents USING (doc_id) WHERE lang = 'en' AND NOT (zone IS NOT NULL AND regexp_matches(m.text, '(?i)^\\W*(?:page\\s+)?(?:\\d{1,4}|[ivxlc]{1,6})\\W*$')) AND (zone IS NULL OR NOT EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = m.doc_id AND rp.zone = m.zone AND rp.pattern = m.pattern)) GROUP BY 1")
+@query("agg8_remove_headers_footers", MARGINS + " SELECT m.doc_id, count(*) AS kept FROM m WHERE NOT (zone IS NOT NULL AND regexp_matches(m.text, '(?i)^\\W*(?:page\\s+)?(?:\\d{1,4}|[ivxlc]{1,6})\\W*$')) AND (zone IS NULL OR NOT EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = m.doc_id AND rp.zone = m.zone AND rp.pattern = m.pattern)) GROUP BY 1")
 def headers(spark, d):
-    en = A.table(spark, d, "documents").where("lang = 'en'").select("doc_id")
-    return G.remove_headers_footers(A.lines(spark, d).join(en, "doc_id", "left_semi"), 600.0)[0].groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return G.remove_headers_footers(A.lines(spark, d), 600.0)[0].groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 @query("agg20_stage_progress", "SELECT event_type AS stage, count(*) FILTER (WHERE user_id % 2 = 0) AS done, count(*) AS total FROM events GROUP BY 1")

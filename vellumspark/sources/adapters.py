@@ -21,12 +21,23 @@ SEGMENTS = "seg AS (SELECT doc_id, unnest(range(len(l)))::INT AS ord, unnest(l)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned lines: doc_id, page, y, x0, x1, size, text; 40 lines a page."""
+    """Positioned lines: doc_id, ord, page, y, x0, x1, size, text; 40 lines a page.
+
+    Size, left edge and gap come from the text: a document's first line is large, its body is of 10 or 12, some lines are
+    small, some indented, and some stand a little lower.
+    """
     s = segments(spark, sf_dir)
-    return s.select("doc_id", "ord", F.floor(F.col("ord") / 40).cast("int").alias("page"), (F.lit(14.0) * (F.col("ord") % 40)).alias("y"), F.lit(50.0).alias("x0"), (50.0 + 5 * F.char_length("text")).alias("x1"), F.lit(10.0).alias("size"), "text")
+    n = F.char_length("text")
+    body = F.when(F.col("doc_id") % 3 == 1, 12.0).otherwise(10.0)
+    size = F.when(F.col("ord") == 0, 16.0).when(n % 11 == 0, 8.0).otherwise(body)
+    y = F.lit(14.0) * (F.col("ord") % 40) + F.when(n % 5 == 0, 1.5).otherwise(0.0)
+    x0 = F.lit(50.0) + F.when(n % 4 == 1, 18.0).otherwise(0.0)
+    return s.select("doc_id", "ord", F.floor(F.col("ord") / 40).cast("int").alias("page"), y.alias("y"), x0.alias("x0"), (x0 + 5 * n).alias("x1"), size.alias("size"), "text")
 
 
-LINES = SEGMENTS + ", ln AS (SELECT doc_id, ord, (ord // 40)::INT AS page, 14.0 * (ord % 40) AS y, 50.0 AS x0, 50.0 + 5 * length(text) AS x1, 10.0 AS size, text FROM seg)"
+LINES = SEGMENTS + """, ln AS (SELECT doc_id, ord, (ord // 40)::INT AS page, (14.0 * (ord % 40) + CASE WHEN length(text) % 5 = 0 THEN 1.5 ELSE 0 END)::DOUBLE AS y, x0, x0 + 5 * length(text) AS x1,
+  (CASE WHEN ord = 0 THEN 16 WHEN length(text) % 11 = 0 THEN 8 WHEN doc_id % 3 = 1 THEN 12 ELSE 10 END)::DOUBLE AS size, text
+  FROM (SELECT *, (CASE WHEN length(text) % 4 = 1 THEN 68 ELSE 50 END)::DOUBLE AS x0 FROM seg))"""
 
 
 # Elements whose content is no text, and tags that stand inside a line of text.
@@ -51,10 +62,25 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("page_id", "ord", kind.alias("type"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("level"), F.regexp_replace("m", r"^<\w+" + _ATTRIBUTES, "").alias("text"))
 
 
-BLOCKS = """blk AS (SELECT page_id, ord, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' ELSE 'list_item' END AS type,
-  CASE WHEN tag LIKE 'h%' THEN tag[2:2]::INT END AS level, regexp_replace(m, '^<\\w+>', '') AS text
-  FROM (SELECT page_id, ord, m, regexp_extract(m, '^<(\\w+)>', 1) AS tag FROM
-    (SELECT page_id, unnest(range(len(l)))::INT AS ord, unnest(l) AS m FROM (SELECT page_id, regexp_extract_all(html, '<(?:h[1-6]|p|li)>[^<]+') AS l FROM pages))))"""
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _stripped(html: str, *steps: tuple[str, str]) -> str:
+    for pattern, value in steps:
+        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(value)}, 'g')"
+    return html
+
+
+# The same rules in the pattern language of DuckDB, which has neither look-around nor back-references.
+_SQL_ATTRIBUTES = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?/?>"""
+_SQL_INLINE = _INLINE.replace(_ATTRIBUTES, _SQL_ATTRIBUTES)
+_SQL_RAW = r"(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "textarea", "title"))
+_SQL_HTML = _stripped("html", (_SQL_RAW, ""), (r"<([^A-Za-z/!?]|\z)", r"&lt;\1"), (_SQL_INLINE, ""), ("(?i)<br" + _SQL_ATTRIBUTES, " "), (r"(?i)(<li\b[^>]*>)\s*(?:<div" + _SQL_ATTRIBUTES + r"\s*)+", r"\1"))
+BLOCKS = f"""blk AS (SELECT page_id, ord, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' ELSE 'list_item' END AS type,
+  CASE WHEN tag LIKE 'h%' THEN tag[2:2]::INT END AS level, regexp_replace(m, {_quoted("^<[A-Za-z0-9]+" + _SQL_ATTRIBUTES)}, '') AS text
+  FROM (SELECT page_id, ord, m, lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1)) AS tag FROM
+    (SELECT page_id, unnest(range(len(l)))::INT AS ord, unnest(l) AS m FROM (SELECT page_id, regexp_extract_all({_SQL_HTML}, {_quoted("(?i)<(?:h[1-6]|p|li)" + _SQL_ATTRIBUTES + "[^<]+")}) AS l FROM pages))))"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +108,7 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRANSLATIONS = """tr AS (SELECT doc_id AS segment_id, lang, CASE WHEN toxic = 1 THEN 'flagged' WHEN quality = 0 THEN 'queued' WHEN doc_id % 5 = 0 THEN 'user_edited' WHEN doc_id % 3 = 0 THEN 'drafted' ELSE 'final' END AS status,
-  (doc_id % 10) / 10 AS confidence, substring(text, 1, 40) AS draft, CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 30) END AS final,
+  (doc_id % 10) / 10 AS confidence, text AS draft, CASE WHEN doc_id % 2 = 0 THEN text || ' (edited)' END AS final,
   CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS n_flags, 1 AS version FROM labels JOIN documents USING (doc_id))"""
 
 
