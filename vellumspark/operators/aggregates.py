@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,23 +43,55 @@ def nearest_rank_percentile(rows: DataFrame, by: list[str], value: str, p: float
     return r.where(F.col("_k") == F.floor((F.col("_n") - 1) * p + 0.5) + 1).select(*by, F.col(value).alias("value"))
 
 
-def repeating_margin_lines(lines: DataFrame, page_height: float, zone: float = 0.08, share: float = 0.25) -> DataFrame:
-    """Shapes of margin lines that stand on at least two and a quarter of a document's pages: doc_id, zone, pattern, pages."""
-    where = F.when(F.col("y") < zone * page_height, "top").when(F.col("y") > (1 - zone) * page_height, "bottom")
-    margin = lines.withColumn("zone", where).where("zone is not null").withColumn("pattern", T.header_pattern(F.col("text"))).where("pattern <> ''")
+def in_margin(page_height: float, zone: float = 0.08) -> Column:
+    """The margin a line stands in: top by a line more than the zone, bottom, or null."""
+    return F.when(F.col("y") <= zone * page_height + F.col("size"), "top").when(F.col("y") >= (1 - zone) * page_height, "bottom")
+
+
+def repeating_margin_lines(lines: DataFrame, page_height: float, ranges: DataFrame | None = None, zone: float = 0.08, share: float = 0.25) -> DataFrame:
+    """Shapes of margin lines that stand on two pages at least and on a quarter of all pages, or of one chapter's pages.
+
+    ranges hold doc_id, start and end of chapters in pages; without them a document is one. Returns doc_id, zone, pattern
+    and the number of pages.
+    """
+    margin = lines.withColumn("zone", in_margin(page_height, zone)).where("zone is not null").select("doc_id", "zone", T.header_pattern(F.col("text")).alias("pattern"), "page").where("pattern <> ''").distinct()
     total = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("all_pages"))
-    n = margin.groupBy("doc_id", "zone", "pattern").agg(F.count_distinct("page").alias("pages"))
-    return n.join(total, "doc_id").where((F.col("pages") >= 2) & (F.col("pages") >= share * F.col("all_pages"))).drop("all_pages")
+    n = margin.groupBy("doc_id", "zone", "pattern").agg(F.count("*").alias("pages")).where("pages >= 2").join(total, "doc_id")
+    whole = F.col("pages") >= share * F.col("all_pages")
+    if ranges is None:
+        return n.where(whole).drop("all_pages")
+    inside = margin.join(ranges.select("doc_id", "start", "end"), "doc_id").where("page between start and end").groupBy("doc_id", "zone", "pattern", "start", "end").agg(F.count("*").alias("k"))
+    often = inside.where((F.col("k") >= 2) & (F.col("k") >= F.ceil((F.col("end") - F.col("start") + 1) * share))).select("doc_id", "zone", "pattern").distinct().withColumn("_often", F.lit(True))
+    return n.join(often, ["doc_id", "zone", "pattern"], "left").where(whole | F.col("_often")).drop("all_pages", "_often")
+
 
+LONE_NUMBER = r"(?i)^(?:page\s+)?[-–—\s]*(?:\d{1,4}|[ivxlcdm]{1,7})[-–—\s]*$"
 
-def remove_headers_footers(lines: DataFrame, page_height: float, zone: float = 0.08) -> tuple[DataFrame, DataFrame]:
-    """Lines without running heads and lone page numbers, and the printed number of each page that had one."""
-    where = F.when(F.col("y") < zone * page_height, "top").when(F.col("y") > (1 - zone) * page_height, "bottom")
-    marked = lines.withColumn("zone", where).withColumn("pattern", T.header_pattern(F.col("text")))
-    number = F.col("zone").isNotNull() & F.col("text").rlike(r"(?i)^\W*(?:page\s+)?(?:\d{1,4}|[ivxlc]{1,6})\W*$")
-    rest = marked.where(~number).join(repeating_margin_lines(lines, page_height, zone).select("doc_id", "zone", "pattern"), ["doc_id", "zone", "pattern"], "left_anti")
-    printed = marked.where(number).groupBy("doc_id", "page").agg(F.min(F.lower(F.regexp_extract("text", r"(\d{1,4}|[ivxlcIVXLC]{1,6})", 1))).alias("printed"))
-    return rest.select(*lines.columns), printed
+
+def remove_headers_footers(lines: DataFrame, page_height: float, titles: DataFrame | None = None, ranges: DataFrame | None = None, zone: float = 0.08) -> tuple[DataFrame, DataFrame]:
+    """Lines without running heads and lone page numbers, and the printed number of each page that had one.
+
+    A margin line goes when it is a page number, when its shape repeats (repeating_margin_lines), or when it is small and
+    repeats a title (doc_id, title) or a large line of its document. Dropped heads may carry the page's number at an end.
+    """
+    from vellumspark.operators.joins import running_title_lines
+
+    body = weighted_mode(lines.withColumn("_n", F.char_length("text")).withColumn("_o", F.col("page") * 100000 + F.col("y")), ["doc_id"], "size", "_n", "_o").withColumnRenamed("mode", "_body")
+    marked = lines.join(body, "doc_id").withColumns({"zone": in_margin(page_height, zone), "pattern": T.header_pattern(F.col("text")), "_row": F.struct("page", "y", "x0")})
+    large = marked.where((F.col("size") >= 1.3 * F.col("_body")) & (F.char_length(F.trim("text")) > 2)).select("doc_id", F.col("text").alias("title"))
+    known = large if titles is None else titles.where(F.char_length(F.trim("title")) > 2).select("doc_id", "title").union(large)
+    margin = marked.where("zone is not null")
+    heads = running_title_lines(margin.withColumn("ord", F.col("_row")), known.distinct().withColumn("rid", F.xxhash64("title")), page_height, F.col("_body"), zone=None)
+    heads = heads.select("doc_id", "_row").distinct().withColumn("_head", F.lit(True))
+    repeating = repeating_margin_lines(lines, page_height, ranges, zone).select("doc_id", "zone", "pattern").withColumn("_again", F.lit(True))
+    number = F.col("text").rlike(LONE_NUMBER)
+    judged = margin.join(repeating, ["doc_id", "zone", "pattern"], "left").join(heads, ["doc_id", "_row"], "left")
+    judged = judged.withColumn("_lone", number).withColumn("_drop", number | F.coalesce("_again", "_head", F.lit(False)))
+    kept = marked.where("zone is null").select(*lines.columns).unionByName(judged.where("not _drop").select(*lines.columns))
+    alone = F.regexp_replace(F.regexp_replace("text", r"(?i)^page\s+", ""), r"[-–—\s]", "")
+    beside = F.regexp_extract(F.trim("text"), r"^(\d{1,4})\s|\s(\d{1,4})$", 0)
+    found = judged.where("_drop").withColumn("_p", F.lower(F.when(F.col("_lone"), alone).otherwise(F.trim(beside)))).where("_p <> ''")
+    return kept, found.groupBy("doc_id", "page").agg(F.max_by("_p", F.struct(F.col("_lone"), "y")).alias("printed"))
 
 
 def length_outliers(pairs: DataFrame, by: list[str], threshold: float = 3.5, min_chars: int = 40, least: int = 5) -> DataFrame:
@@ -71,18 +106,29 @@ def length_outliers(pairs: DataFrame, by: list[str], threshold: float = 3.5, min
 def chunk_by_budget(rows: DataFrame, by: list[str], order: str, weight: str, budget: int) -> DataFrame:
     """Greedy ordered packing: a new chunk starts when the sum would pass the budget; too large a row stands alone.
 
-    Each start depends on the one before, so a fold runs over the group's sorted rows.
+    Each start depends on the one before, so the rows of a group pass through one task in order, batch by batch: a group of
+    any size needs one running sum in memory, but its time is not shortened by more machines. Groups should be sections.
     """
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(weight).cast("long").alias("w")))).alias("r"))
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("s"), F.array().cast(f"array<struct<o:{rows.schema[order].dataType.simpleString()},chunk:int>>").alias("out"))
-
-    def step(a, x):
-        new = (a["s"] > 0) & (a["s"] + x["w"] > budget)
-        c = a["c"] + F.when(new, 1).otherwise(0)
-        return F.struct(c.alias("c"), F.when(new, x["w"]).otherwise(a["s"] + x["w"]).alias("s"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), c.alias("chunk")))).alias("out"))
-
-    out = packed.select(*by, F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("p"))
-    return out.select(*by, F.col("p.o").alias(order), F.col("p.chunk").alias("chunk"))
+    columns = [*by, order, weight]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, order])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, chunk, total = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by)))))
+            out = []
+            for key, w in zip(keys, batch.column(len(by) + 1).to_pylist()):
+                w = int(w or 0)
+                if key != group:
+                    group, chunk, total = key, 0, 0
+                if total > 0 and total + w > budget:
+                    chunk, total = chunk + 1, 0
+                total += w
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(by) + 1)] + [pa.array(out, pa.int32())], names=[*by, order, "chunk"])
+
+    sorted_ = rows.select(*columns).repartition(*by).sortWithinPartitions(*by, order)
+    return sorted_.mapInArrow(packed, f"{kinds}, chunk int")
 
 
 def style_share(runs: DataFrame, by: list[str]) -> DataFrame:

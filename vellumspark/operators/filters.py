@@ -95,3 +95,18 @@ def extraction_warnings(report: DataFrame) -> DataFrame:
         )
     )
     return report.select("doc_id", F.explode(r).alias("w")).select("doc_id", "w.rule", "w.pages")
+
+
+def review_queue(translations: DataFrame, segments: DataFrame, nodes: DataFrame, changes: DataFrame, mode: str = "flagged") -> DataFrame:
+    """Translations to look at, in document order, with the last engine change: flagged ones, or all with flags or a suggestion.
+
+    segments place a translation (segment_id, node_id, ord) in the tree of nodes; changes hold segment_id, change and at.
+    """
+    from vellumspark.operators.tree import with_paths
+
+    wanted = F.col("status") == "flagged"
+    if mode == "all":
+        wanted = wanted | (F.size("flags") > 0) | F.col("suggestion").isNotNull()
+    last = changes.groupBy("segment_id").agg(F.max_by("change", "at").alias("last_change"))
+    placed = segments.join(with_paths(nodes).select("node_id", "path"), "node_id")
+    return translations.where(wanted).join(placed, "segment_id").join(last, "segment_id", "left").orderBy("path", "ord")

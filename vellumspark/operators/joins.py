@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,32 +58,53 @@ def dice(left: DataFrame, right: DataFrame, on: list[str], title: str = "title")
 def similar_titles(entries: DataFrame, blocks: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Matches outline entries (doc_id, lid, title, page) to blocks (doc_id, rid, title, page, type, words) in order.
 
-    A block lies on the entry's page or the next, has at most 20 words unless it is a heading, and other blocks lose 0.1.
-    All scores are made in parallel; a fold per document then gives each entry its best block after the previous match.
+    A match is one block or two that follow each other in a document. It begins on the entry's page or the next, has at
+    most 20 words unless it is a heading, and others than headings lose 0.1. Titles are compared as they are and without
+    their numbers; equal ones without numbers score 1. All scores are made in parallel; then one pass over a document's
+    entries in order gives each its best block after the previous match (doc_id, lid, rid, score).
     """
     near = blocks.where("type = 'heading' or words <= 20")
-    scores = dice(entries, near, ["doc_id"])
-    joined = scores.join(entries.select("doc_id", "lid", F.col("page").alias("p")), ["doc_id", "lid"]).join(near.select("doc_id", "rid", "type", F.col("page").alias("q")), ["doc_id", "rid"])
-    fit = joined.where("q between p and p + 1").withColumn("score", F.col("score") - F.when(F.col("type") == "heading", 0.0).otherwise(0.1)).where(F.col("score") >= threshold)
-    ordered = fit.groupBy("doc_id", "lid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "rid"))).alias("c"))
-    per_doc = ordered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lid", "c"))).alias("e"))
-    start = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<lid:long,rid:long,score:double>>").alias("out"))
-
-    def step(acc, e):
-        good = F.filter(e["c"], lambda c: c["rid"] > acc["last"])
-        first = F.get(good, F.lit(0))
-        row = F.struct(e["lid"].cast("long").alias("lid"), first["rid"].cast("long").alias("rid"), (-first["s"]).cast("double").alias("score"))
-        return F.when(F.size(good) > 0, F.struct(first["rid"].cast("long").alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))).otherwise(acc)
-
-    return per_doc.select("doc_id", F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("m")).select("doc_id", "m.lid", "m.rid", "m.score")
-
-
-def running_title_lines(lines: DataFrame, titles: DataFrame, page_height: float, body_size: float = 10.0, zone: float = 0.08, threshold: float = 0.9) -> DataFrame:
-    """Small lines in the top or bottom margin that repeat a title of their document."""
-    margin = (F.col("y") < zone * page_height) | (F.col("y") > (1 - zone) * page_height)
-    small = lines.where(margin & (F.col("size") <= 1.05 * body_size)).withColumn("title", T.normalize_title(F.col("text")))
+    after = Window.partitionBy("doc_id").orderBy("rid")
+    two = near.select("doc_id", "rid", "page", "type", F.concat_ws(" ", "title", F.lead("title").over(after)).alias("title"), F.lead("title").over(after).alias("_next")).where("_next is not null").drop("_next")
+    spans = near.select("doc_id", "rid", "page", "type", "title", F.lit(1).alias("span")).unionByName(two.withColumn("span", F.lit(2)))
+    spans = spans.withColumn("rid", F.struct(F.col("rid").cast("long").alias("rid"), "span"))
+    plain = lambda d: d.withColumn("title", T.strip_title_number(F.col("title")))
+    whole = dice(entries, spans, ["doc_id"])
+    bare = dice(plain(entries), plain(spans), ["doc_id"])
+    scores = whole.unionByName(bare).groupBy("doc_id", "lid", "rid").agg(F.max("score").alias("score"))
+    joined = scores.join(entries.select("doc_id", "lid", F.col("page").alias("p")), ["doc_id", "lid"]).join(spans.select("doc_id", "rid", "type", F.col("page").alias("q")), ["doc_id", "rid"])
+    fit = joined.where("q between p and p + 1").withColumn("score", F.round(F.col("score") - F.when(F.col("type") == "heading", 0.0).otherwise(0.1), 9)).where(F.col("score") >= threshold)
+    fit = fit.select("doc_id", "lid", "rid.rid", "rid.span", "score")
+
+    def ordered(key, frame):
+        last, out = -1, []
+        for lid, part in frame.sort_values(["lid", "score", "rid", "span"], ascending=[True, False, True, True]).groupby("lid", sort=True):
+            good = part[part["rid"] > last]
+            if len(good):
+                first = good.iloc[0]
+                last = first["rid"] + first["span"] - 1
+                out.append((key[0], lid, int(first["rid"]), float(first["score"])))
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=["doc_id", "lid", "rid", "score"])
+
+    return fit.groupBy("doc_id").applyInPandas(ordered, f"doc_id {entries.schema['doc_id'].dataType.simpleString()}, lid long, rid long, score double")
+
+
+def running_title_lines(lines: DataFrame, titles: DataFrame, page_height: float, body_size: float | Column = 10.0, zone: float | None = 0.08, threshold: float = 0.9) -> DataFrame:
+    """Small lines in the top or bottom margin that repeat a title of their document; zone None: all lines are margin lines.
+
+    lines hold doc_id, ord (an id of any type), text, size and y, titles doc_id, rid and title.
+    """
+    small = lines.where(F.col("size") <= 1.05 * (body_size if isinstance(body_size, Column) else F.lit(body_size)))
+    if zone is not None:
+        from vellumspark.operators.aggregates import in_margin
+
+        small = small.where(in_margin(page_height, zone).isNotNull())
+    named = small.select("doc_id", F.col("ord").alias("lid"), T.normalize_title(F.col("text")).alias("title"))
     known = titles.select("doc_id", "rid", T.normalize_title(F.col("title")).alias("title"))
-    return lines.join(dice(small.withColumn("lid", F.col("ord")), known, ["doc_id"]).where(F.col("score") >= threshold).select("doc_id", F.col("lid").alias("ord")).distinct(), ["doc_id", "ord"], "left_semi")
+    found = dice(named, known, ["doc_id"]).where(F.col("score") >= threshold).select("doc_id", F.col("lid").alias("ord")).distinct()
+    return small.join(found, ["doc_id", "ord"], "left_semi")
 
 
 def label_to_page(entries: DataFrame, labels: DataFrame) -> DataFrame:

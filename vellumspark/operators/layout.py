@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,7 @@ from pyspark.sql.window import Window
 from vellumspark.functions import text as T
 from vellumspark.operators import aggregates as G
 from vellumspark.operators.filters import TERMINAL, TRAILING_REFS, lacks_ending
+from vellumspark.staging import staged
 
 # List markers, captions and footnote starts.
 MARKER = r"^\s*(?:[•◦▪●○■□–—*·]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)])\s+"
@@ -39,22 +44,28 @@ def group_baselines(items: DataFrame) -> DataFrame:
 def build_lines(items: DataFrame) -> DataFrame:
     """Lines from items with a line_id: text with spaces at gaps, box, dominant size and baseline, superscripts marked.
 
-    The size with most characters rules; smaller raised items are superscripts and join without a space.
+    The size with most characters rules; smaller raised items are superscripts and join without a space. A line is one
+    row of its few items, grouped once.
     """
     key = ["doc_id", "page", "line_id"]
-    main = G.weighted_mode(items.withColumn("_n", F.char_length("text")), key, "size", "_n", "x", 0.5).withColumnRenamed("mode", "line_size")
-    base = items.join(main, key).withColumn("_on", F.abs(F.col("size") - F.col("line_size")) <= 0.25).groupBy(*key, "line_size").agg(F.min_by("y", F.when(F.col("_on"), F.col("x"))).alias("line_y"))
-    j = items.join(base, key)
-    sup = (F.col("size") < 0.85 * F.col("line_size")) & (F.col("y") < F.col("line_y"))
-    run = F.struct("x", "text", "width", sup.alias("sup"), F.col("line_size").alias("s"))
-    g = j.groupBy(*key, F.col("line_size").alias("size"), F.col("line_y").alias("y")).agg(F.sort_array(F.collect_list(run)).alias("runs"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"))
+    g = items.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("x", "text", "width", "size", "y"))).alias("runs"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"))
+    step_of = lambda r: F.floor(r["size"] / 0.5 + 0.5) * 0.5
+
+    def weight(s: Column) -> Column:
+        same = F.filter("runs", lambda r: step_of(r) == s)
+        return F.struct(F.aggregate(same, F.lit(0), lambda a, r: a + F.char_length(r["text"])).alias("w"), (-same[0]["x"]).alias("p"), s.alias("s"))
+
+    sizes = F.array_distinct(F.transform("runs", step_of))
+    g = g.withColumn("size", F.array_max(F.transform(sizes, weight))["s"])
+    g = g.withColumn("y", F.get(F.filter("runs", lambda r: F.abs(r["size"] - F.col("size")) <= 0.25), F.lit(0))["y"])
+    raised = lambda r: (r["size"] < 0.85 * F.col("size")) & (r["y"] < F.col("y"))
     start = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("e"))
 
     def step(a, r):
-        space = (r["x"] - a["e"] > 0.15 * r["s"]) & ~r["sup"] & ~a["t"].endswith(" ") & ~r["text"].startswith(" ")
+        space = (r["x"] - a["e"] > 0.15 * F.col("size")) & ~raised(r) & ~a["t"].endswith(" ") & ~r["text"].startswith(" ")
         return F.struct(F.concat(a["t"], F.when(F.coalesce(space, F.lit(False)), " ").otherwise(""), r["text"]).alias("t"), (r["x"] + r["width"]).alias("e"))
 
-    return g.withColumn("text", F.trim(F.aggregate("runs", start, step, lambda a: a["t"]))).withColumn("superscripts", F.size(F.filter("runs", lambda r: r["sup"]))).drop("runs")
+    return g.withColumn("text", F.trim(F.aggregate("runs", start, step, lambda a: a["t"]))).withColumn("superscripts", F.size(F.filter("runs", raised))).drop("runs")
 
 
 def reading_order(lines: DataFrame, rtl: bool = False) -> DataFrame:
@@ -155,28 +166,38 @@ def merge_continuations(blocks: DataFrame, key: list[str], order: str) -> DataFr
 def merge_across_pages(blocks: DataFrame, key: str, order: str) -> DataFrame:
     """As merge_continuations, but only over page and column breaks and past footnotes, figures and captions.
 
-    What a merged block may take next depends on its head (size, text start), so a fold runs over a document's body blocks.
+    What each block is by itself (ended, marker, head of a kind) is worked out in place. What a merged block may take next
+    depends on its head, so a document's flags, not its texts, pass in order through one step that numbers the groups; the
+    texts of a group then join in order.
     """
     body = blocks.where("type not in ('footnote', 'figure', 'caption')")
-    fields = ["type", "text", "page", "column", "size", "x0", "indent", "text_x"]
-    per = body.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("b"))
-    kind = f"struct<{order}:{blocks.schema[order].dataType.simpleString()}," + ",".join(f"{c}:{blocks.schema[c].dataType.simpleString()}" for c in fields) + ",parts:int>"
-    start = F.array().cast(f"array<{kind}>")
-
-    def step(acc, b):
-        a = F.element_at(acc, -1)
-        broke = (b["page"] != a["page"]) | (b["column"] != a["column"])
-        plain = F.rtrim(T.strip_markup(a["text"]))
-        ended = ~(plain.rlike(r"\p{L}[-‐]$") | ~F.regexp_replace(plain, TRAILING_REFS, "").rlike(TERMINAL))
-        kinds = a["type"].isin("paragraph", "list_item", "quote") & ((b["type"] == "paragraph") | ((b["type"] == "quote") & a["type"].isin("quote", "list_item")))
-        hanging = (a["type"] == "list_item") & a["text_x"].isNotNull() & (F.abs(b["x0"] - a["text_x"]) < b["size"] * 1.2)
-        indented = (b["indent"] > b["size"] * 0.5) & ~hanging & (b["type"] != "quote")
-        join = (F.size(acc) > 0) & broke & ~ended & kinds & (F.abs(a["size"] - b["size"]) <= 0.6) & ~b["text"].rlike(MARKER) & ~indented
-        own = F.struct(b[order].alias(order), *(b[c].alias(c) for c in fields), F.lit(1).alias("parts"))
-        merged = F.struct(a[order].alias(order), *((join_texts(a["text"], b["text"]) if c == "text" else b[c] if c in ("page", "column") else a[c]).alias(c) for c in fields), (a["parts"] + 1).alias("parts"))
-        return F.when(F.coalesce(join, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(own)))
-
-    return per.select(key, F.explode(F.aggregate("b", start, step)).alias("m")).select(key, f"m.{order}", "m.type", "m.text", "m.parts")
+    plain = F.rtrim(T.strip_markup(F.col("text")))
+    ended = ~(plain.rlike(r"\p{L}[-‐]$") | ~F.regexp_replace(plain, TRAILING_REFS, "").rlike(TERMINAL))
+    flags = body.select(key, order, "type", "page", "column", "size", "x0", "indent", "text_x", ended.alias("ended"), F.col("text").rlike(MARKER).alias("marker"))
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in (key, order))
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, group, head, last = None, 0, None, None
+        for batch in batches:
+            out = []
+            for b in batch.to_pylist():
+                if b[key] != doc:
+                    doc, group, head, last = b[key], 0, None, None
+                goes_on = False
+                if head is not None and (b["page"], b["column"]) != (last["page"], last["column"]) and not last["ended"] and not b["marker"]:
+                    hanging = head["type"] == "list_item" and head["text_x"] is not None and abs(b["x0"] - head["text_x"]) < 1.2 * b["size"]
+                    able = head["type"] in ("paragraph", "list_item", "quote") and (b["type"] == "paragraph" or b["type"] == "quote" and head["type"] in ("quote", "list_item"))
+                    indented = b["indent"] > 0.5 * b["size"] and not hanging and b["type"] != "quote"
+                    goes_on = able and not indented and abs(head["size"] - b["size"]) <= 0.6
+                if not goes_on:
+                    group, head = group + 1, b
+                last = b
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[key, order, "_g"])
+
+    numbered = flags.repartition(key).sortWithinPartitions(key, order).mapInArrow(grouped, f"{kinds}, _g int")
+    parts = body.join(numbered, [key, order]).groupBy(key, "_g").agg(F.sort_array(F.collect_list(F.struct(order, "type", "text"))).alias("p"))
+    return parts.select(key, F.col("p")[0][order].alias(order), F.col("p")[0]["type"].alias("type"), F.aggregate("p", F.lit(""), lambda a, x: join_texts(a, x["text"])).alias("text"), F.size("p").alias("parts"))
 
 
 def classify_blocks(blocks: DataFrame, page_height: float = 600.0) -> DataFrame:
@@ -230,7 +251,7 @@ def render_block_text(runs: DataFrame, key: list[str], order: str) -> DataFrame:
     n = F.char_length("text")
     share = G.style_share(runs.withColumn("superscript", F.col("sup")).withColumn("mono", F.lit(False)), key).select(*key, F.col("bold").alias("_b"), F.col("italic").alias("_i"))
     r = runs.where(n > 0).join(share, key)
-    safe = F.regexp_replace("text", r"([*`])", r"\\\\$1")
+    safe = F.regexp_replace("text", r"([*`])", r"\\$1")
     body, lead, trail = F.trim(safe), F.regexp_extract("text", r"^\s*", 0), F.regexp_extract("text", r"\s*$", 0)
     mark = F.when(F.col("bold") & ~F.col("_b"), "**").when(F.col("italic") & ~F.col("_i"), "*").otherwise("")
     piece = F.when(F.col("sup") & F.col("text").rlike(r"^\s*\d{1,3}\s*$"), F.concat(F.lit("[^"), F.trim("text"), F.lit("]"))).when(body == "", F.col("text")).otherwise(F.concat(lead, mark, body, mark, trail))
@@ -259,33 +280,81 @@ def infer_page_labels(pages: DataFrame, printed: DataFrame, supplied: DataFrame
     return out.join(supplied.withColumnRenamed("label", "_l"), ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("_l", "label").alias("label"))
 
 
-def build_structure(blocks: DataFrame, depth: str = "level") -> tuple[DataFrame, DataFrame]:
-    """Nodes and segments of documents from blocks (doc_id, ord, type, level, text) whose headings are the outline.
+def build_structure(blocks: DataFrame, entries: DataFrame | None = None, depth: str = "level") -> tuple[DataFrame, DataFrame]:
+    """Nodes and segments of documents from blocks (doc_id, ord, type, level, text).
 
-    Every heading opens a node under the nearest earlier heading of smaller level; text before the first heading belongs to
-    a front node; footnotes come last in their node; a heading is the first segment of its own node.
+    entries (doc_id, ord, depth, title) say where nodes begin, from an outline or a contents page; a document without any
+    takes its headings, by level. Every entry opens a node under the nearest earlier one of smaller depth. Text before the
+    first entry belongs to a front node; text of a node before its first child, where both are there, to an intro node
+    before that child. Footnotes come last in their node; a heading at its entry is the first segment of its own node.
     """
     from vellumspark.operators.windows import assign_to_cut, parent_from_depth
     from vellumspark.sources.tables import content_hash
 
     heads = blocks.where("type = 'heading'").select("doc_id", "ord", F.coalesce(depth, F.lit(1)).alias("depth"), F.col("text").alias("title"))
+    if entries is not None:
+        given = entries.select("doc_id", "ord", F.col("depth").cast(heads.schema["depth"].dataType), "title")
+        heads = given.unionByName(heads.join(given.select("doc_id").distinct(), "doc_id", "left_anti"))
     tree = parent_from_depth(heads, "doc_id", "ord", "depth", 7)
-    node_id = lambda o: content_hash(F.concat_ws("|", F.col("doc_id").cast("string"), o.cast("string")))
-    nodes = tree.select("doc_id", node_id(F.col("ord")).alias("node_id"), F.when(F.col("parent_pos").isNotNull(), node_id(F.col("parent_pos"))).alias("parent_id"), F.col("ord").alias("pos"), "depth", "title")
-    placed = assign_to_cut(blocks, heads.select("doc_id", "ord", F.col("ord").alias("cut")), "doc_id", "ord")
-    front = placed.where("node_key is null").select("doc_id").distinct().select("doc_id", node_id(F.lit(-1)).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("pos"), F.lit(1).alias("depth"), F.lit("").alias("title"))
+    node_id = lambda *parts: content_hash(F.concat_ws("|", F.col("doc_id").cast("string"), *(p.cast("string") for p in parts)))
+    nodes = tree.select("doc_id", node_id(F.col("ord")).alias("node_id"), F.when(F.col("parent_pos").isNotNull(), node_id(F.col("parent_pos"))).alias("parent_id"), F.col("ord").alias("pos"), "depth", "title", F.lit("section").alias("kind"))
+    placed = assign_to_cut(blocks, heads.select("doc_id", "ord", F.col("ord").alias("cut")), "doc_id", "ord").withColumn("_key", F.coalesce("node_key", F.lit(-1)))
+    front = placed.where("node_key is null").select("doc_id").distinct().select("doc_id", node_id(F.lit(-1)).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("pos"), F.lit(1).alias("depth"), F.lit("").alias("title"), F.lit("front").alias("kind"))
+    # A node with children and text of its own: that text gets a node of its own, first among the children.
+    parents = tree.where("parent_pos is not null").select("doc_id", F.col("parent_pos").alias("_key")).distinct().withColumn("_parent", F.lit(True))
+    own = placed.join(parents, ["doc_id", "_key"], "left").withColumn("_intro", F.coalesce("_parent", F.lit(False)) & (F.col("ord") != F.col("_key")) & (F.col("type") != "footnote"))
     w = Window.partitionBy("doc_id", "node_id").orderBy((F.col("type") == "footnote").cast("int"), "ord")
-    segments = placed.withColumn("node_id", node_id(F.coalesce("node_key", F.lit(-1)))).withColumn("seq", F.row_number().over(w) - 1).select("doc_id", "node_id", "seq", "type", "text", content_hash(F.col("text")).alias("src_hash"))
-    return nodes.unionByName(front), segments
+    segments = own.withColumn("node_id", F.when(F.col("_intro"), node_id(F.col("_key"), F.lit("intro"))).otherwise(node_id(F.col("_key"))))
+    segments = segments.withColumn("seq", F.row_number().over(w) - 1).select("doc_id", "node_id", "seq", "type", "text", content_hash(F.col("text")).alias("src_hash"), "ord")
+    intro = own.where("_intro").select("doc_id", "_key").distinct().join(tree.select("doc_id", F.col("ord").alias("_key"), "depth"), ["doc_id", "_key"])
+    intro = intro.select("doc_id", node_id(F.col("_key"), F.lit("intro")).alias("node_id"), node_id(F.col("_key")).alias("parent_id"), F.col("_key").alias("pos"), (F.col("depth") + 1).alias("depth"), F.lit("").alias("title"), F.lit("intro").alias("kind"))
+    return nodes.unionByName(front).unionByName(intro), segments
+
 
+class Layout(NamedTuple):
+    """What layout_pipeline finds: merged blocks, page labels, nodes, segments, and one report row a document."""
 
-def layout_pipeline(items: DataFrame, page_height: float = 600.0) -> DataFrame:
-    """Text items to typed, merged blocks: doc_id, ord, type, text, parts."""
-    lines = build_lines(group_baselines(items)).withColumn("bold", F.lit(False)).withColumn("mono", F.lit(False))
-    kept = G.remove_headers_footers(lines, page_height)[0]
+    blocks: DataFrame
+    labels: DataFrame
+    nodes: DataFrame
+    segments: DataFrame
+    report: DataFrame
+
+
+def layout_pipeline(items: DataFrame, page_height: float = 600.0, outline: DataFrame | None = None) -> Layout:
+    """Text items to typed, merged blocks, page labels, structure and report.
+
+    outline holds doc_id, lid, title, page and depth; entries are found again among the blocks (similar_titles), and where
+    that fails begin at the first block of their page. A document is dealt to one partition at the start, so that the windows
+    of its pages and columns need no further shuffle. Lines, kept lines and blocks are written once each, as several later
+    steps use them.
+    """
+    from vellumspark.operators.joins import first_block_after, similar_titles
+    from vellumspark.operators.windows import chapter_ranges
+    from vellumspark.plans.reports import extraction_report
+
+    lines = staged(build_lines(group_baselines(items.repartition("doc_id"))).withColumn("bold", F.lit(False)).withColumn("mono", F.lit(False)), "lines")
+    pages = lines.select("doc_id", "page").distinct()
+    titles = ranges = None
+    if outline is not None:
+        titles, ranges = outline.select("doc_id", "title"), chapter_ranges(outline.where("depth = 1").select("doc_id", "page"), pages.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count")))
+    kept, printed = G.remove_headers_footers(lines, page_height, titles, ranges)
+    kept = staged(kept, "kept-lines")
     stats = document_stats(kept)
     blocks = join_block_text(paragraph_blocks(reading_order(kept), stats))
     edges = kept.groupBy("doc_id").agg(F.percentile("x0", 0.1).alias("edge_left"), F.percentile("x1", 0.9).alias("edge_right"))
-    typed = classify_blocks(blocks.join(stats, "doc_id").join(edges, "doc_id"), page_height)
+    typed = classify_blocks(blocks.join(stats.join(edges, "doc_id"), "doc_id"), page_height)
     typed = typed.withColumn("ord", F.col("page").cast("long") * 100000 + F.col("block")).withColumn("indent", F.greatest(F.col("x0") - F.col("edge_left"), F.lit(0.0))).withColumn("text_x", F.when(F.col("type") == "list_item", F.col("x0") + F.col("size")))
-    return merge_across_pages(typed, "doc_id", "ord")
+    typed = staged(typed.select("doc_id", "ord", "type", "level", "text", "page", "column", "size", "x0", "indent", "text_x"), "typed-blocks")
+    aside = typed.where("type in ('footnote', 'figure', 'caption')").select("doc_id", "ord", "type", "text", F.lit(1).alias("parts"))
+    merged = staged(merge_across_pages(typed, "doc_id", "ord").unionByName(aside), "blocks")
+    entries = None
+    if outline is not None:
+        near = typed.select("doc_id", F.col("ord").alias("rid"), T.normalize_title(F.col("text")).alias("title"), "page", "type", F.regexp_count("text", F.lit(r"\S+")).alias("words"))
+        matched = similar_titles(outline.select("doc_id", "lid", T.normalize_title(F.col("title")).alias("title"), "page"), near)
+        starts = merged.select("doc_id", F.col("ord").alias("pos"), F.col("ord").alias("block"))
+        asked = outline.join(matched, ["doc_id", "lid"], "left").select("doc_id", F.coalesce("rid", F.col("page").cast("long") * 100000).alias("pos"), F.col("lid").cast("string").alias("entry"))
+        placed = first_block_after(asked, starts).where("block is not null")
+        entries = placed.join(outline.withColumn("entry", F.col("lid").cast("string")), ["doc_id", "entry"]).groupBy("doc_id", F.col("block").alias("ord")).agg(F.min_by(F.struct("depth", "title"), "lid").alias("e")).select("doc_id", "ord", "e.*")
+    nodes, segments = build_structure(merged.join(typed.select("doc_id", "ord", "level"), ["doc_id", "ord"], "left"), entries)
+    return Layout(merged, infer_page_labels(pages, printed), nodes, segments, extraction_report(merged, "doc_id"))

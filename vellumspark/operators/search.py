@@ -25,24 +25,28 @@ def corpus_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
-def bm25_search(segments: DataFrame, queries: DataFrame, k: int = 10, key: str = "seg_id", col: str = "text", exclude: DataFrame | None = None) -> DataFrame:
+def bm25_search(segments: DataFrame, queries: DataFrame, k: int = 10, key: str = "seg_id", col: str = "text", exclude: DataFrame | None = None, apart: str | None = None) -> DataFrame:
     """The k best texts of every query (query_id, query): query_id, seg_id, score, rank.
 
     Texts without any keyword count in the number of texts with length 0. Equal scores go to the smaller seg_id. exclude
-    holds (query_id, seg_id) pairs not to return. Texts are normalised once: what the queries need of them, the counts of
+    holds (query_id, seg_id) pairs not to return; apart names a column of both frames in which text and query must differ. Texts are normalised once: what the queries need of them, the counts of
     query terms with the length of their text, is written with the totals, and only that is joined.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.keywords(F.col("query")))).alias("term"))
+    more = [F.col(apart).alias("_apart")] if apart else []
+    asked = queries.select("query_id", *(c.alias("_own") for c in more), F.explode(F.array_distinct(T.keywords(F.col("query")))).alias("term"))
     asked = staged(asked, "query-terms")
-    words = segments.select(F.col(key).alias("seg_id"), T.keywords(T.strip_markup(F.col(col))).alias("w"))
+    words = segments.select(F.col(key).alias("seg_id"), *more, T.keywords(T.strip_markup(F.col(col))).alias("w"))
     # One row a text for its length, and one a word of a query: a text without such a word still counts.
-    each = words.select("seg_id", F.size("w").alias("length"), F.explode(F.array_append(F.col("w"), F.lit(""))).alias("term"))
+    kept = ["_apart"] if apart else []
+    each = words.select("seg_id", *kept, F.size("w").alias("length"), F.explode(F.array_append(F.col("w"), F.lit(""))).alias("term"))
     wanted = asked.select("term").distinct().union(segments.sparkSession.createDataFrame([("",)], "term string"))
-    hits = staged(each.join(wanted, "term", "left_semi").groupBy("term", "seg_id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length")), "hits")
+    hits = staged(each.join(wanted, "term", "left_semi").groupBy("term", "seg_id", *kept).agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length")), "hits")
     n, all_words = hits.where("term = ''").agg(F.sum("tf"), F.sum("length")).first()
     n, all_words = n or 0, all_words or 0
     df = hits.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").join(asked, "term")
+    if apart:
+        scored = scored.where("not (_apart <=> _own)")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(all_words / max(1, n))))
     scores = scored.groupBy("query_id", "seg_id").agg(F.sum(weight).alias("score"))

@@ -237,17 +237,55 @@ def earlier_terms(matches: DataFrame, positions: DataFrame, key: str, most: int
 
 
 def first_mentions(matches: DataFrame, terms: DataFrame, introduced: DataFrame | None = None) -> DataFrame:
-    """What happens to each occurrence of a managed term in a chapter: add, keep, remove or none.
+    """What happens to each occurrence of a managed term in a chapter: matches with column edit: add, keep, remove or none.
 
-    matches hold (chapter, ord, start, term_id, has_note); the first mention keeps or gets its note, later ones lose it,
-    a term whose policy is never always loses it and one of policy always is left alone. introduced lists (chapter, src)
-    known from before.
+    matches hold chapter, ord, start, term_id, has_note and may hold more; the first mention keeps or gets its note, later
+    ones lose it, a term whose policy is never always loses it and one of policy always is left alone. introduced lists
+    (chapter, src) known from before.
     """
-    m = matches.join(terms.where("policy <> 'always'").select("term_id", F.lower("src").alias("k"), "policy"), "term_id")
-    w = Window.partitionBy("chapter", "k").orderBy("ord", "start")
-    m = m.withColumn("first", (F.row_number().over(w) == 1) & (F.col("policy") != "never"))
+    m = matches.join(terms.where("policy <> 'always'").select("term_id", F.lower("src").alias("_k"), F.col("policy").alias("_policy")), "term_id")
+    w = Window.partitionBy("chapter", "_k").orderBy("ord", "start")
+    m = m.withColumn("_first", (F.row_number().over(w) == 1) & (F.col("_policy") != "never"))
     if introduced is not None:
-        known = introduced.select("chapter", F.lower("src").alias("k")).distinct().withColumn("known", F.lit(True))
-        m = m.join(known, ["chapter", "k"], "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
-    do = F.when(F.col("first") & F.col("has_note"), "keep").when(F.col("first"), "add").when(F.col("has_note"), "remove").otherwise("none")
-    return m.select("chapter", "ord", "start", "term_id", do.alias("edit"))
+        known = introduced.select("chapter", F.lower("src").alias("_k")).distinct().withColumn("_known", F.lit(True))
+        m = m.join(known, ["chapter", "_k"], "left").withColumn("_first", F.col("_first") & F.col("_known").isNull())
+    do = F.when(F.col("_first") & F.col("has_note"), "keep").when(F.col("_first"), "add").when(F.col("has_note"), "remove").otherwise("none")
+    return m.select(*matches.columns, do.alias("edit"))
+
+
+WORD_RUN = "(?:[\\p{L}\\p{M}\\p{N}'’-]|" + SUFFIX_JOINER + ")+"
+
+
+def mentions_with_notes(segments: DataFrame, terms: DataFrame, language: str = "en") -> DataFrame:
+    """Where equivalents (tgt) of managed terms stand in running texts, and the note "(source)" right behind, if any.
+
+    segments hold segment_id, chapter, ord, type and text. Returns segment_id, chapter, ord, start (in words), term_id, src,
+    note_at (characters before the note's place) and note. A note may differ in case, have a plural ending and emphasis marks.
+    """
+    body = segments.where("coalesce(type, '') not in ('heading', 'h')")
+    managed = terms.where("policy <> 'always' and trim(src) <> '' and trim(tgt) <> ''")
+    found = match_terms(body.select("segment_id", "text"), managed.select("term_id", F.col("tgt").alias("src")), "segment_id", "text", language=language)
+    j = found.join(body.select("segment_id", "chapter", "ord", "text"), "segment_id").join(managed.select("term_id", "src"), "term_id")
+    lengths = lambda c: F.aggregate(F.transform(F.slice(c, F.lit(1), F.col("end")), lambda x: F.char_length(x)), F.lit(0), lambda a, n: a + n)
+    j = j.withColumn("_end", lengths(F.regexp_extract_all("text", F.lit(WORD_RUN), F.lit(0))) + lengths(F.split("text", WORD_RUN, -1)))
+    rest = lambda c: F.substring("text", F.col(c) + 1, F.char_length("text"))
+    j = j.withColumn("note_at", F.col("_end") + F.char_length(F.regexp_extract(rest("_end"), r"^\*{1,2}(?![\p{L}\p{N}])", 0)))
+    quoted = F.array_join(F.transform(F.split(F.trim("src"), r"\s+"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    pattern = F.concat(F.lit("(?iu)^\\s*\\(\\s*\\*{0,2}(?:"), quoted, F.lit(")(?:s|es)?\\*{0,2}\\s*\\)"))
+    return j.select("segment_id", "chapter", "ord", "start", "term_id", "src", "note_at", F.regexp_extract(rest("note_at"), pattern, F.lit(0)).alias("note"))
+
+
+def first_mention_texts(segments: DataFrame, terms: DataFrame, language: str = "en", introduced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts with the notes of first mentions added and later ones taken out, and the edits: (segments, edits).
+
+    segments as for mentions_with_notes(); terms hold term_id, src, tgt and policy. Headings are neither changed nor counted.
+    """
+    marks = mentions_with_notes(segments, terms, language).withColumn("has_note", F.col("note") != "")
+    edits = first_mentions(marks, terms, introduced)
+    change = F.struct(F.col("note_at").alias("at"), F.when(F.col("edit") == "remove", F.char_length("note")).otherwise(0).alias("gone"), F.when(F.col("edit") == "add", F.concat(F.lit(" ("), "src", F.lit(")"))).otherwise("").alias("new"))
+    per = edits.where("edit in ('add', 'remove')").groupBy("segment_id").agg(F.sort_array(F.collect_list(change)).alias("_edits"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, e: F.struct((e["at"] + e["gone"]).alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, e["at"] - a["at"]), e["new"]).alias("out"))
+    whole = F.aggregate("_edits", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    out = segments.join(per, "segment_id", "left").withColumn("text", F.when(F.col("_edits").isNull(), F.col("text")).otherwise(whole)).drop("_edits")
+    return out, edits

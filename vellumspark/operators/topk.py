@@ -22,6 +22,12 @@ def group_limit(groups: DataFrame, order: str, hits: str, by: list[str], limit:
     return groups.withColumn("_b", F.coalesce(F.sum(hits).over(before), F.lit(0))).where(F.col("_b") < limit).drop("_b")
 
 
+def glossary_order(terms: DataFrame, matches: DataFrame) -> DataFrame:
+    """Terms (term_id, src) with how often they occur (matches: term_id), most frequent first, then by source."""
+    n = matches.groupBy("term_id").agg(F.count("*").alias("occurrences"))
+    return terms.join(n, "term_id", "left").na.fill(0, ["occurrences"]).orderBy(F.desc("occurrences"), "src")
+
+
 def log_tail(log: DataFrame, key: str, order: list, n: int = 120) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return log.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")

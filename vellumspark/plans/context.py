@@ -7,25 +7,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumspark.operators import search, windows
+from vellumspark.operators.terms import match_terms
+from vellumspark.staging import staged
+
+
+def _near(questions: DataFrame, placed: DataFrame, max_chars: int) -> DataFrame:
+    """Passages of a question's own section around its anchor: as many as can be needed to fill max_chars, not the section.
+
+    Taken by distance, passages stop at the latest where one side alone has max_chars; how far that is follows from running
+    sums of the section, looked up by position, so that a question meets only those passages.
+    """
+    at = placed.select("section", F.col("pos").alias("anchor"), F.col("cum").alias("c0"), F.col("size").alias("s0"))
+    asked = questions.select("query_id", "section", "anchor").join(at, ["section", "anchor"])
+    marks = placed.select("section", F.col("cum").cast("double").alias("at"), F.lit(None).cast("string").alias("query_id"), "pos")
+    right = asked.select("section", (F.col("c0") + max_chars - 0.5).alias("at"), "query_id", F.lit(None).cast("int").alias("pos"))
+    w = Window.partitionBy("section").orderBy("at", "pos")
+    b = marks.union(right).withColumn("b", F.first("pos", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("query_id is not null").select("query_id", "b")
+    left = asked.select("section", (F.col("c0") - F.col("s0") - max_chars + 0.5).alias("at"), "query_id", F.lit(None).cast("int").alias("pos"))
+    starts = marks.withColumn("at", F.col("at"))
+    a = starts.union(left).withColumn("a", F.last("pos", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("query_id is not null").select("query_id", (F.col("a") + 1).alias("a"))
+    last = placed.groupBy("section").agg(F.max("pos").alias("n"))
+    reach = asked.join(b, "query_id").join(a, "query_id").join(last, "section")
+    far = F.least(F.coalesce(F.col("b") - F.col("anchor"), F.col("n")), F.coalesce(F.col("anchor") - F.col("a"), F.col("n")))
+    span = F.sequence(F.greatest(F.lit(1), F.col("anchor") - far), F.least(F.col("n"), F.col("anchor") + far))
+    near = reach.select("query_id", "section", "anchor", F.explode(span).alias("pos")).join(placed, ["section", "pos"])
+    return near.select("query_id", "seg_id", F.lit(1).alias("rank0"), F.abs(F.col("pos") - F.col("anchor")).cast("double").alias("by"), F.col("pos").cast("long").alias("by2"), F.lit("section").alias("origin"), "text")
 
 
 def retrieval_context(questions: DataFrame, segments: DataFrame, k: int = 4, max_chars: int = 12_000) -> DataFrame:
-    """Passages of every question: its own section by distance first, then the k best of other sections, in a budget.
+    """Passages of every question: the reader's selection, then its section by distance, then the k best of others.
 
-    questions hold query_id, query, section, anchor; segments seg_id, section, ord, text. Returns query_id, label (P1 on),
-    seg_id, origin and text. Only the asked sections are read for the first part.
+    questions hold query_id, query, section, anchor (place in the section, from 1) and may hold selection (seg_ids, in
+    order); segments seg_id, section, ord, text. Passages are taken in that order until the next would pass max_chars; the
+    first is always taken. Returns query_id, label (P1 on), seg_id, origin and text.
     """
-    own = segments.join(questions.select("query_id", "section", "anchor"), "section")
-    near = own.select("query_id", "seg_id", F.lit(0).alias("rank0"), F.struct(F.abs(F.col("ord") - F.col("anchor")).cast("double").alias("a"), F.col("ord").cast("long").alias("b")).alias("by"), F.lit("section").alias("origin"), "text")
-    skip = own.select("query_id", "seg_id")
-    best = search.bm25_search(segments, questions, k, exclude=skip)
-    far = best.join(segments.select("seg_id", "text"), "seg_id").select("query_id", "seg_id", F.lit(1).alias("rank0"), F.struct((-F.col("score")).alias("a"), F.col("rank").cast("long").alias("b")).alias("by"), F.lit("retrieved").alias("origin"), "text")
-    w = Window.partitionBy("query_id").orderBy("rank0", "by", "seg_id")
-    every = near.unionByName(far).withColumn("n", F.row_number().over(w)).withColumn("sum", F.sum(F.char_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = every.where((F.col("sum") <= max_chars) | (F.col("n") == 1))
+    w = Window.partitionBy("section").orderBy("ord", "seg_id")
+    placed = segments.select("seg_id", "section", "text", F.char_length("text").alias("size"), F.row_number().over(w).alias("pos"), F.sum(F.char_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    placed = staged(placed, "passages")
+    every = _near(questions, placed, max_chars)
+    if "selection" in questions.columns:
+        chosen = questions.select("query_id", F.posexplode("selection").alias("n", "seg_id")).join(placed.select("seg_id", "text"), "seg_id")
+        every = every.unionByName(chosen.select("query_id", "seg_id", F.lit(0).alias("rank0"), F.col("n").cast("double").alias("by"), F.lit(0).cast("long").alias("by2"), F.lit("selection").alias("origin"), "text"))
+    best = search.bm25_search(placed, questions, k, apart="section")
+    far = best.join(placed.select("seg_id", "text"), "seg_id").select("query_id", "seg_id", F.lit(2).alias("rank0"), F.col("rank").cast("double").alias("by"), F.lit(0).cast("long").alias("by2"), F.lit("retrieved").alias("origin"), "text")
+    every = every.unionByName(far)
+    first = Window.partitionBy("query_id", "seg_id").orderBy("rank0")
+    every = every.withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    order = Window.partitionBy("query_id").orderBy("rank0", "by", "by2", "seg_id")
+    summed = every.withColumn("n", F.row_number().over(order)).withColumn("sum", F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = summed.where((F.col("sum") <= max_chars) | (F.col("n") == 1))
     return kept.select("query_id", F.concat(F.lit("P"), F.row_number().over(Window.partitionBy("query_id").orderBy("n"))).alias("label"), "seg_id", "origin", "text")
 
 
+def glossary_present(contexts: DataFrame, questions: DataFrame, terms: DataFrame, language: str = "en") -> DataFrame:
+    """Terms that occur in a question or in its passages: query_id, term_id."""
+    texts = questions.select("query_id", F.col("query").alias("text"), F.lit("").alias("part")).union(contexts.select("query_id", "text", F.col("label").alias("part")))
+    parts = texts.select(F.struct("query_id", "part").alias("place"), "text")
+    found = match_terms(parts, terms, "place", "text", language=language)
+    return found.select("place.query_id", "term_id").distinct()
+
+
 def render_prompts(contexts: DataFrame, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Message array of every question: passages under their labels with tags made harmless, earlier turns, the question."""
     safe = lambda c: F.regexp_replace(c, "<(/?)(passage|question)", "‹$1$2")

@@ -7,22 +7,42 @@ from pyspark.sql import functions as F
 from vellumspark.operators import search as S
 from vellumspark.plans import context as C
 from vellumspark.plans import quality as Q
-from vellumspark.queries.search import POSTINGS
+from vellumspark.queries.search import POSTINGS, STOP
 from vellumspark.registry import query
 from vellumspark.sources import adapters as A
 from vellumspark.streaming import jobs as R
 
 
-@query(
-    "job4_quality_check",
-    f"""WITH {A.PAIRS}, p AS (SELECT conv_id, turn, src || ' 12 and 7' AS src, CASE WHEN conv_id % 7 = 0 THEN '' WHEN conv_id % 3 = 0 THEN tgt || ' 12' ELSE tgt || ' 12, 7' END AS tgt FROM prs WHERE NOT regexp_matches(src || tgt, '[0-9`*\\[]|https?:')), k AS (SELECT * FROM p WHERE tgt <> '')
-    SELECT conv_id, turn, 'empty' AS code, 'high' AS severity FROM p WHERE tgt = '' UNION ALL SELECT conv_id, turn, 'numbers', 'medium' FROM k WHERE conv_id % 3 = 0""",
-)
+CHECKED = f"""{A.PAIRS}, p AS (SELECT conv_id, turn, src || ' 12 and 7 `code` https://a.b/c the 3rd *one*' AS src, CASE conv_id % 8 WHEN 0 THEN ' ** ' WHEN 1 THEN tgt || ' 12 `code` https://a.b/c' WHEN 2 THEN tgt || ' 12, 7 `cod` https://a.b/c' WHEN 3 THEN tgt || ' 7 12 99 `code` https://a.b/c so it goes so it goes so it goes'
+  WHEN 4 THEN 'ترجمه 12 7 `code` https://a.b/c كه' WHEN 5 THEN 'ترجمه 12 7 `code` https://a.b/c one two three four, five' ELSE tgt || ' 12, 7 `code` https://a.b/c' END AS tgt FROM prs),
+  k AS (SELECT * FROM p WHERE conv_id % 8 <> 0), bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(tgt, '`[^`]+`', ' ', 'g'), 'https?://[^\\s<>"''\\]\\)]*[^\\s<>"''\\]\\).,;:!?]', ' ', 'g'), '\\([^()]*\\)', ' ', 'g') AS t,
+    regexp_replace(regexp_replace(tgt, '`[^`]+`', ' ', 'g'), 'https?://[^\\s<>"''\\]\\)]*[^\\s<>"''\\]\\).,;:!?]', ' ', 'g') AS q, tgt FROM k),
+  ltr AS (SELECT *, len(regexp_extract_all(t, '\\p{{Arabic}}')) AS ar, len(regexp_extract_all(t, '\\p{{Latin}}')) AS la FROM bare),
+  base AS (SELECT conv_id, turn, 'empty' AS code FROM p WHERE conv_id % 8 = 0 UNION ALL SELECT conv_id, turn, 'markup' FROM k WHERE conv_id % 8 = 2 UNION ALL SELECT conv_id, turn, 'numbers' FROM k WHERE conv_id % 8 = 1 UNION ALL SELECT conv_id, turn, 'repetition' FROM k WHERE conv_id % 8 = 3),
+  fa AS (SELECT conv_id, turn, CASE WHEN ar + la >= 3 AND ar < 0.5 * (ar + la) THEN 'target_script' ELSE 'untranslated' END AS code FROM ltr WHERE (ar + la >= 3 AND ar < 0.5 * (ar + la)) OR regexp_matches(t, '(?:\\p{{Latin}}[\\p{{Latin}}''’-]*[\\s,;:]+){{3,}}\\p{{Latin}}')
+    UNION ALL SELECT conv_id, turn, 'leftover_chars' FROM ltr WHERE regexp_matches(tgt, '[يك]') UNION ALL SELECT conv_id, turn, 'latin_punctuation' FROM ltr WHERE regexp_matches(q, '[,;?"]'))"""
+SEVERITIES = "CASE code WHEN 'empty' THEN 'high' WHEN 'markup' THEN 'high' WHEN 'target_script' THEN 'high' WHEN 'repetition' THEN 'high' WHEN 'leftover_chars' THEN 'low' WHEN 'latin_punctuation' THEN 'low' ELSE 'medium' END AS severity"
+
+
+def _checked(spark, d):
+    """Pairs with numbers, code, a link and emphasis, and targets that break one rule each."""
+    p, k = A.pairs(spark, d), F.col("conv_id") % 8
+    end = lambda text: F.concat("tgt", F.lit(text))
+    tgt = (
+        F.when(k == 0, " ** ").when(k == 1, end(" 12 `code` https://a.b/c")).when(k == 2, end(" 12, 7 `cod` https://a.b/c")).when(k == 3, end(" 7 12 99 `code` https://a.b/c so it goes so it goes so it goes"))
+        .when(k == 4, "ترجمه 12 7 `code` https://a.b/c كه").when(k == 5, "ترجمه 12 7 `code` https://a.b/c one two three four, five").otherwise(end(" 12, 7 `code` https://a.b/c"))
+    )
+    return p.withColumn("tgt", tgt).withColumn("src", F.concat("src", F.lit(" 12 and 7 `code` https://a.b/c the 3rd *one*")))
+
+
+@query("job4_quality_check", f"WITH {CHECKED} SELECT conv_id, turn, code, {SEVERITIES} FROM base")
 def quality(spark, d):
-    p = A.pairs(spark, d)
-    tgt = F.when(F.col("conv_id") % 7 == 0, "").when(F.col("conv_id") % 3 == 0, F.concat("tgt", F.lit(" 12"))).otherwise(F.concat("tgt", F.lit(" 12, 7")))
-    p = p.withColumn("tgt", tgt).withColumn("src", F.concat("src", F.lit(" 12 and 7")))
-    return Q.quality_check(p, ["conv_id", "turn"], "en")
+    return Q.quality_check(_checked(spark, d), ["conv_id", "turn"], "en")
+
+
+@query("job4_quality_check_persian", f"WITH {CHECKED} SELECT conv_id, turn, code, {SEVERITIES} FROM (SELECT * FROM base UNION ALL SELECT * FROM fa)")
+def quality_persian(spark, d):
+    return Q.quality_check(_checked(spark, d), ["conv_id", "turn"], "fa")
 
 
 @query("job5_length_suspicious", f"WITH {A.PAIRS} SELECT conv_id, turn FROM prs WHERE length(src) >= 60 AND (length(tgt) / length(src) < 0.4 OR length(tgt) / length(src) > 2.5)")
@@ -48,35 +68,148 @@ def validate(spark, d):
     return Q.validate_results(asked, back, "en").select("batch_id", "key", "code")
 
 
-@query("job7_import_results")
-def imported(spark, d):
+@query(
+    "job6_term_issues",
+    """WITH t AS (SELECT p_partkey AS key, p_brand AS batch_id, p_partkey % 5 <> 0 AS keep, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'слово' ELSE p_name END AS tgt, CASE p_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'acronym' ELSE 'concept' END AS kind, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'never' END AS note FROM part)
+    SELECT batch_id, key, 'kept_term_incomplete:tgt' AS code, TRUE AS blocking FROM t WHERE keep AND tgt IS NULL UNION ALL SELECT batch_id, key, 'kept_term_incomplete:kind', TRUE FROM t WHERE keep AND kind = ' ' UNION ALL SELECT batch_id, key, 'kept_term_incomplete:parenthetical', TRUE FROM t WHERE keep AND note IS NULL
+    UNION ALL SELECT batch_id, key, 'target_script', FALSE FROM t WHERE keep AND tgt IS NOT NULL AND kind <> 'acronym' AND NOT regexp_matches(tgt, '\\p{Cyrillic}')""",
+)
+def term_issues(spark, d):
+    k = F.col("p_partkey")
+    t = A.table(spark, d, "part").select(
+        k.alias("key"), F.col("p_brand").alias("batch_id"), (k % 5 != 0).alias("keep"), F.when(k % 4 == 1, "слово").when(k % 4 > 1, F.col("p_name")).alias("tgt"),
+        F.when(k % 3 == 0, " ").when(k % 3 == 1, "acronym").otherwise("concept").alias("kind"), F.when(k % 7 != 0, "never").alias("parenthetical"),
+    )
+    return Q.term_issues(t, "ru")
+
+
+@query("job6_brief_issues", "WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'краткое ' ELSE '' END || text AS brief FROM documents), n AS (SELECT *, len(string_split_regex(trim(brief), '\\s+')) AS n FROM b) SELECT doc_id AS batch_id, 'brief_length' AS code, FALSE AS blocking FROM n WHERE n < 60 OR n > 320 UNION ALL SELECT doc_id, 'target_script', TRUE FROM n WHERE NOT regexp_matches(brief, '\\p{Cyrillic}')")
+def brief_issues(spark, d):
+    b = A.table(spark, d, "documents").select(F.col("doc_id").alias("batch_id"), F.concat(F.when(F.col("doc_id") % 3 == 0, "краткое ").otherwise(""), "text").alias("brief"))
+    return Q.brief_issues(b, "ru")
+
+
+@query(
+    "job6_quiz_issues",
+    """WITH q AS (SELECT c_custkey AS n, c_nationkey AS batch_id, ['mcq', 'tf', 'short'][c_custkey % 3 + 1] AS type, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS question, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 4 END AS options,
+      ['2', 'true', '"a"', '7', '" "', 'null', '1.5'][c_custkey % 7 + 1] AS answer FROM customer)
+    SELECT batch_id, n, 'empty_question' AS code FROM q WHERE question = ' ' UNION ALL SELECT batch_id, n, 'mcq_options' FROM q WHERE type = 'mcq' AND options < 2 UNION ALL SELECT batch_id, n, 'mcq_answer' FROM q WHERE type = 'mcq' AND NOT (answer IN ('2', '7') AND coalesce(try_cast(answer AS INT), 99) < options)
+    UNION ALL SELECT batch_id, n, 'tf_answer' FROM q WHERE type = 'tf' AND answer <> 'true' UNION ALL SELECT batch_id, n, 'short_answer' FROM q WHERE type = 'short' AND answer <> '"a"'""",
+)
+def quiz_issues(spark, d):
+    k = F.col("c_custkey")
+    pick = lambda values, i: F.element_at(F.array(*(F.lit(x) for x in values)), (i + 1).cast("int"))
+    q = A.table(spark, d, "customer").select(
+        k.alias("n"), F.col("c_nationkey").alias("batch_id"), pick(("mcq", "tf", "short"), k % 3).alias("type"), F.when(k % 11 == 0, " ").otherwise(F.col("c_name")).alias("question"),
+        F.when(k % 4 == 0, F.array(F.lit("x"))).otherwise(F.array(*(F.lit(x) for x in "abcd"))).alias("options"), pick(("2", "true", '"a"', "7", '" "', "null", "1.5"), k % 7).alias("answer"),
+    )
+    return Q.quiz_issues(q)
+
+
+@query("job6_label_issues", "SELECT DISTINCT user_id AS batch_id, 'P' || event_id % 9 AS label, 'unknown_citation' AS code FROM events WHERE event_id % 9 > 5")
+def label_issues(spark, d):
+    e = A.table(spark, d, "events").select(F.col("user_id").alias("batch_id"), F.concat(F.lit("P"), F.col("event_id") % 9).alias("label"))
+    given = e.select("batch_id").distinct().select("batch_id", F.explode(F.array(*(F.lit(f"P{k}") for k in range(6)))).alias("label"))
+    return Q.label_issues(e, given)
+
+
+IMPORT = f"""{A.TRANSLATIONS}, c AS (SELECT segment_id, lang, status AS s0, coalesce(final, draft) AS t0, version AS v0 FROM tr),
+  n AS (SELECT doc_id AS segment_id, lang, trim(regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN '   (new)' ELSE '' END || CASE WHEN doc_id % 14 = 0 THEN ' `x`' ELSE '' END, '[ \\t]+', ' ', 'g')) AS t1, (doc_id % 10) / 10 AS confidence, CASE WHEN doc_id % 17 = 0 THEN 'high' END AS flag FROM documents),
+  i AS (SELECT *, CASE WHEN doc_id % 14 = 0 OR confidence < 0.7 OR flag IS NOT NULL THEN 'flagged' ELSE 'final' END AS s1 FROM (SELECT *, segment_id AS doc_id FROM n)),
+  j AS (SELECT *, coalesce(s0 = 'user_edited', FALSE) AS held FROM c FULL JOIN i USING (segment_id, lang)),
+  m AS (SELECT segment_id, lang, CASE WHEN held THEN s0 ELSE s1 END AS status, CASE WHEN held THEN t0 ELSE t1 END AS text, CASE WHEN held AND t1 <> t0 THEN t1 END AS suggestion, coalesce(v0, 0) + 1 AS version, t0 FROM j)"""
+
+
+def _import(spark, d):
     now = A.translations(spark, d).select("segment_id", "lang", "status", F.coalesce("final", "draft").alias("text"), "version")
-    docs = A.table(spark, d, "documents")
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" (new)"))).otherwise(F.col("text"))
-    new = docs.select(F.col("doc_id").alias("segment_id"), "lang", text.alias("text"), ((F.col("doc_id") % 10) / 10).alias("confidence"))
-    return Q.import_results(now, new, docs.where("doc_id % 14 = 0").select(F.col("doc_id").alias("segment_id")))[0]
+    docs, k = A.table(spark, d, "documents"), F.col("doc_id")
+    text = F.concat("text", F.when(k % 3 == 0, "   (new)").otherwise(""), F.when(k % 14 == 0, " `x`").otherwise(""))
+    new = docs.select(k.alias("segment_id"), "lang", text.alias("text"), ((k % 10) / 10).alias("confidence"), F.when(k % 17 == 0, "high").alias("flag"))
+    sources = docs.select(k.alias("segment_id"), (k % 10).alias("chapter"), k.alias("ord"), F.lit("p").alias("type"), F.col("text").alias("src"))
+    postings = S.build_postings(docs.where("doc_id % 2 = 0").select(k.alias("seg_id"), "text"), side="tgt")
+    return Q.import_results(now, new, sources, "en", postings=postings)
+
 
+@query("job7_import_results", f"WITH {IMPORT} SELECT segment_id, lang, status, text, suggestion, version FROM m")
+def imported(spark, d):
+    return _import(spark, d).translations
 
-@query("job8_assemble_batches", f"WITH {A.SEGMENTS}, m AS (SELECT text, max(doc_id * 10000 + ord) AS f FROM seg WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id, count(*) AS items FROM seg LEFT JOIN m USING (text) WHERE f IS NULL OR f = doc_id * 10000 + ord GROUP BY 1")
+
+@query("job7_revisions", f"WITH {IMPORT} SELECT segment_id, lang, t0 AS before, text AS after FROM m WHERE t0 IS NOT NULL AND text <> t0")
+def imported_revisions(spark, d):
+    return _import(spark, d).revisions
+
+
+@query("job7_flags", f"WITH {IMPORT} SELECT segment_id, 'markup' AS code, 'high' AS severity FROM i WHERE doc_id % 14 = 0 UNION ALL SELECT segment_id, 'editor', flag FROM i WHERE flag IS NOT NULL UNION ALL SELECT segment_id, 'low_confidence', 'low' FROM i WHERE confidence < 0.7")
+def imported_flags(spark, d):
+    return _import(spark, d).flags
+
+
+@query("job7_counters", f"WITH {IMPORT} SELECT status, count(*) AS n FROM m GROUP BY 1")
+def imported_counters(spark, d):
+    return _import(spark, d).counters
+
+
+def _batches(spark, d):
+    from vellumspark.queries.terms import dictionary
+    from vellumspark.sources.tables import translate_batches
+
+    s = A.segments(spark, d).select((F.col("doc_id") * 10000 + F.col("ord")).alias("segment_id"), F.col("doc_id").alias("chapter"), "ord", F.col("text").alias("src"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("tgt"), F.lit("final").alias("status"))
+    todo = s.where("ord % 10 >= 3").select("segment_id", F.col("chapter").alias("doc_id"))
+    return translate_batches(todo, s, dictionary(spark, d), ["doc_id"], s.where("chapter % 2 = 0").withColumn("tgt", F.col("src")))[0]
+
+
+@query(
+    "job8_assemble_batches",
+    f"""WITH {A.SEGMENTS}, sx AS (SELECT doc_id * 10000 + ord AS segment_id, doc_id, ord, text FROM seg), mm AS (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS k, max(segment_id) AS f FROM sx WHERE doc_id % 2 = 0 GROUP BY 1),
+    td AS (SELECT sx.* FROM sx LEFT JOIN mm ON k = trim(regexp_replace(text, '\\s+', ' ', 'g')) WHERE (f IS NULL OR f = segment_id) AND ord % 10 >= 3),
+    en AS (SELECT doc_id, count(*) AS items, string_agg(text, '|' ORDER BY ord) AS texts, min(ord) AS first, max(ord) AS last FROM td GROUP BY 1)
+    SELECT doc_id, items, texts, (SELECT string_agg(text, '|' ORDER BY ord) FROM sx WHERE sx.doc_id = en.doc_id AND sx.ord BETWEEN first - 2 AND first - 1) AS previous, (SELECT text FROM sx WHERE sx.doc_id = en.doc_id AND sx.ord = last + 1) AS next FROM en""",
+)
 def batches(spark, d):
-    from vellumspark.operators.joins import translation_memory
-    from vellumspark.sources.tables import assemble_batches
+    b = _batches(spark, d)
+    previous = F.array_join(F.transform("previous", lambda x: x["src"]), "|")
+    return b.select("doc_id", F.size("items").cast("long").alias("items"), F.array_join(F.transform("items", lambda x: x["src"]), "|").alias("texts"), F.when(F.size("previous") > 0, previous).alias("previous"), "next")
 
-    s = A.segments(spark, d).withColumn("segment_id", F.col("doc_id") * 10000 + F.col("ord")).withColumn("src", F.col("text"))
-    done = s.where("doc_id % 2 = 0").withColumn("status", F.lit("final")).withColumn("tgt", F.col("text"))
-    todo = s.join(translation_memory(s, done)[1], "segment_id", "left_semi")
-    return assemble_batches(todo, ["doc_id"], "ord").select("doc_id", F.size("items").cast("long").alias("items"))
+
+@query("job8_batch_terms")
+def batch_terms(spark, d):
+    return _batches(spark, d).select("doc_id", "glossary", "introduced")
 
 
 def _questions(spark, d):
     c = A.table(spark, d, "conversations").where("role = 'user'")
-    return c.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("section"), F.lit(0).alias("anchor"))
+    selection = F.when(F.col("conv_id") % 3 == 0, F.array((F.col("conv_id") % 7).cast("long"), (F.col("conv_id") % 5).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("section"), (F.col("conv_id") % 4 + 1).cast("int").alias("anchor"), F.array_distinct(selection).alias("selection"))
+
+
+def _passages(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("seg_id"), F.col("source").alias("section"), F.col("doc_id").alias("ord"), "text")
 
 
-@query("job9_retrieval_context")
+CONTEXT = f"""{POSTINGS}, qs AS (SELECT conv_id || ':' || turn AS query_id, text AS query, 'src' || conv_id % 20 AS section, (conv_id % 4 + 1) AS anchor, conv_id FROM conversations WHERE role = 'user'),
+  ps2 AS (SELECT doc_id AS seg_id, source AS section, text, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents),
+  ln2 AS (SELECT seg_id, sum(tf) AS length FROM ps GROUP BY 1), one AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM ps) / (SELECT count(*) FROM documents) AS avg_length), df AS (SELECT term, count(*) AS df FROM ps GROUP BY 1),
+  tq AS (SELECT DISTINCT query_id, section, w AS term FROM (SELECT query_id, section, unnest(string_split_regex(lower(strip_accents(query)), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM qs) WHERE length(w) > 1 AND w NOT IN ({STOP})),
+  sc AS (SELECT query_id, seg_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avg_length))), 6) AS score FROM ps JOIN tq USING (term) JOIN df USING (term) JOIN ln2 USING (seg_id) JOIN documents ON doc_id = seg_id, one WHERE source <> section GROUP BY 1, 2),
+  tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seg_id) AS rank FROM sc) WHERE rank <= 4),
+  ev AS (SELECT query_id, seg_id, 0 AS r, k::DOUBLE AS a, 0 AS b, 'selection' AS origin FROM (SELECT query_id, unnest([conv_id % 7, conv_id % 5]) AS seg_id, unnest([0, 1]) AS k FROM qs WHERE conv_id % 3 = 0)
+    UNION ALL SELECT query_id, seg_id, 1, abs(pos - anchor), pos, 'section' FROM qs JOIN ps2 USING (section) WHERE EXISTS (SELECT 1 FROM ps2 z WHERE z.section = qs.section AND z.pos = qs.anchor) UNION ALL SELECT query_id, seg_id, 2, rank, 0, 'retrieved' FROM tk),
+  un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, seg_id ORDER BY r, a) AS k FROM ev) WHERE k = 1),
+  sm AS (SELECT un.*, row_number() OVER o AS n, sum(size) OVER (PARTITION BY query_id ORDER BY r, a, b, seg_id ROWS UNBOUNDED PRECEDING) AS total FROM un JOIN ps2 USING (seg_id) WINDOW o AS (PARTITION BY query_id ORDER BY r, a, b, seg_id))"""
+
+
+@query("job9_retrieval_context", f"WITH {CONTEXT} SELECT query_id, 'P' || row_number() OVER (PARTITION BY query_id ORDER BY n) AS label, seg_id, origin FROM sm WHERE total <= 12000 OR n = 1")
 def contexts(spark, d):
-    s = A.table(spark, d, "documents").select(F.col("doc_id").alias("seg_id"), F.col("source").alias("section"), F.col("doc_id").alias("ord"), "text")
-    return C.retrieval_context(_questions(spark, d), s).drop("text")
+    return C.retrieval_context(_questions(spark, d), _passages(spark, d)).drop("text")
+
+
+@query("job9_glossary_present")
+def glossary_present(spark, d):
+    from vellumspark.queries.terms import dictionary
+
+    q = _questions(spark, d)
+    return C.glossary_present(C.retrieval_context(q, _passages(spark, d)), q, dictionary(spark, d))
 
 
 @query("job10_render_prompts", "SELECT conv_id, turn, least(turn, 6) + 2 AS n, text AS question FROM conversations WHERE role = 'user'")
@@ -95,9 +228,18 @@ def events(spark, d):
     return A.requests(spark, d)
 
 
-@query("str1_consume_changes", "SELECT DISTINCT user_id AS key FROM events WHERE event_id > 5000")
+@query("str1_consume_changes", "SELECT user_id AS key, max(event_id) AS last, count(*) AS n FROM events GROUP BY 1")
 def changes(spark, d):
-    return events(spark, d).where("event_id > 5000").select("key").distinct()
+    """The stream of all changes, handled in one batch: what the handler was given for every key."""
+    from vellumspark.staging import new_path
+
+    path, source = new_path(spark, "changes"), new_path(spark, "events")
+    e = events(spark, d)
+    e.select("key", "event_id").write.parquet(source)
+    stream = spark.readStream.schema("key long, event_id long").parquet(source)
+    R.consume_changes(stream, "key", lambda keys, i: keys.write.mode("append").parquet(f"{path}/seen"), f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(f"{path}/seen").distinct()
+    return e.join(seen, "key", "left_semi").groupBy("key").agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
 
 
 @query("str2_expire_changes", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
@@ -115,7 +257,14 @@ def quota(spark, d):
     return R.rolling_quota(events(spark, d), 2, 4)
 
 
-@query("str4_admit_under_quota")
+@query(
+    "str4_admit_under_quota",
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT key, event_id, k, [t] AS starts, TRUE AS admitted FROM e WHERE k = 1
+      UNION ALL SELECT e.key, e.event_id, e.k, CASE WHEN ok THEN list_append(live, e.t) ELSE live END, ok FROM (SELECT p.*, n.event_id AS ne, n.t AS nt, list_filter(p.starts, lambda x: x > n.t - 86400000000) AS live FROM s p JOIN e n ON n.key = p.key AND n.k = p.k + 1) q
+        JOIN e ON e.key = q.key AND e.k = q.k + 1, LATERAL (SELECT len(live) < 4 AND (len(live) < 2 OR live[-2] <= e.t - 60000000) AS ok))
+    SELECT key, event_id, admitted FROM s""",
+)
 def admission(spark, d):
     return R.admit_under_quota(events(spark, d), 2, 4)
 

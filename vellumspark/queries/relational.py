@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellumspark.functions import text as T
 from vellumspark.operators import filters as P
@@ -222,15 +223,26 @@ def approved(spark, d):
     return P.approved_terms(t, "fa").select("term_id")
 
 
-@query(
-    "fil5_review_queue",
-    f"""WITH {A.TRANSLATIONS}, r AS (SELECT user_id AS segment_id, max_by(event_type, (ts, event_id)) AS last_change FROM events WHERE event_type <> 'view' GROUP BY 1)
-    SELECT segment_id, status, last_change FROM tr LEFT JOIN r USING (segment_id) WHERE status = 'flagged' ORDER BY segment_id""",
-)
+FLAGGED = f"""{A.TRANSLATIONS}, {A.NODES.replace("nd AS (", "nt AS (")}, r AS (SELECT user_id AS segment_id, max_by(event_type, (ts, event_id)) AS last_change FROM events WHERE event_type <> 'view' GROUP BY 1),
+    pl AS (SELECT tr.*, doc_id % 7 = 0 AND segment_id % 2 = 0 AS suggested, lpad(p.ord::VARCHAR, 10, '0') || '/' || lpad(n.ord::VARCHAR, 10, '0') AS path FROM tr JOIN documents ON doc_id = segment_id JOIN nt n ON n.node_id = 'n' || segment_id % 25 JOIN nt p ON p.node_id = n.parent_id)"""
+
+
+def _queue(spark, d, mode):
+    t = A.translations(spark, d).withColumn("suggestion", F.when((F.col("segment_id") % 7 == 0) & (F.col("segment_id") % 2 == 0), F.lit("better")))
+    s = t.select("segment_id", F.concat(F.lit("n"), F.col("segment_id") % 25).alias("node_id"), F.col("segment_id").alias("ord"))
+    changes = A.table(spark, d, "events").where("event_type <> 'view'").select(F.col("user_id").alias("segment_id"), F.col("event_type").alias("change"), F.struct("ts", "event_id").alias("at"))
+    q = P.review_queue(t, s, A.nodes(spark, d), changes, mode)
+    return q.select("segment_id", "status", "last_change", F.row_number().over(Window.orderBy("path", "ord")).cast("long").alias("place"))
+
+
+@query("fil5_review_queue", f"WITH {FLAGGED} SELECT segment_id, status, last_change, row_number() OVER (ORDER BY path, segment_id) AS place FROM pl LEFT JOIN r USING (segment_id) WHERE status = 'flagged'")
 def review_queue(spark, d):
-    rev = W.latest_per_key(A.table(spark, d, "events").where("event_type <> 'view'").withColumnRenamed("user_id", "segment_id"), ["segment_id"], [F.desc("ts"), F.desc("event_id")])
-    t = A.translations(spark, d).where("status = 'flagged'")
-    return t.join(rev.select("segment_id", F.col("event_type").alias("last_change")), "segment_id", "left").select("segment_id", "status", "last_change").orderBy("segment_id")
+    return _queue(spark, d, "flagged")
+
+
+@query("fil5_review_queue_all", f"WITH {FLAGGED} SELECT segment_id, status, last_change, row_number() OVER (ORDER BY path, segment_id) AS place FROM pl LEFT JOIN r USING (segment_id) WHERE status = 'flagged' OR n_flags > 0 OR suggested")
+def review_queue_all(spark, d):
+    return _queue(spark, d, "all")
 
 
 @query("fil7_empty_pages", f"WITH {A.LINES} SELECT doc_id, page FROM (SELECT doc_id, page, sum(length(text)) AS n FROM ln GROUP BY 1, 2) WHERE n < 20")
@@ -321,9 +333,33 @@ def memory_rest(spark, d):
     return _memory(spark, d)[1]
 
 
-@query("join8_similar_titles")
+def dice_sql(left: str, right: str, on: str) -> str:
+    """Bigram Dice in SQL: tables of (on, lid, title) and (on, rid, title), a score for every pair with a common bigram."""
+    grams = lambda t, i: f"SELECT {on}, {i}, g, count(*) AS n FROM (SELECT {on}, {i}, unnest(list_transform(range(1, length(z)), lambda k: z[k : k + 1])) AS g FROM (SELECT *, replace(title, ' ', '') AS z FROM {t})) GROUP BY ALL"
+    return f"""ga AS ({grams(left, 'lid')}), gb AS ({grams(right, 'rid')}), sa AS (SELECT {on}, lid, sum(n) AS n FROM ga GROUP BY ALL), sb AS (SELECT {on}, rid, sum(n) AS n FROM gb GROUP BY ALL),
+    dc AS (SELECT {on}, lid, rid, 2 * sum(least(ga.n, gb.n)) / (any_value(sa.n) + any_value(sb.n)) AS score FROM ga JOIN gb USING ({on}, g) JOIN sa USING ({on}, lid) JOIN sb USING ({on}, rid) GROUP BY {on}, lid, rid)"""
+
+
+NORM = "trim(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(
+    "join8_similar_titles",
+    f"""WITH {A.BLOCKS}, n AS (SELECT page_id, ord, type, {NORM.format("text")} AS title, len(regexp_extract_all(text, '\\S+')) AS words FROM blk), nr AS (SELECT * FROM n WHERE type = 'heading' OR words <= 20),
+    pr AS (SELECT page_id, ord, type, title || ' ' || lead(title) OVER (PARTITION BY page_id ORDER BY ord) AS title FROM nr), sp AS (SELECT page_id, ord * 2 AS rid, type, title FROM nr UNION ALL SELECT page_id, ord * 2 + 1, type, title FROM pr WHERE title IS NOT NULL),
+    en AS (SELECT page_id, 0 AS lid, 'chapter 7 ' || {NORM.format("regexp_extract(html, '<title>([^<]*)', 1)")} AS t FROM pages), e2 AS (SELECT page_id, lid, t AS title FROM en UNION ALL SELECT page_id, 1, substring(t, 11) FROM en),
+    x AS (SELECT page_id, lid, title FROM e2 UNION ALL SELECT page_id, lid + 10, regexp_replace(title, '^chapter 7 ', '') FROM e2), y AS (SELECT page_id, rid, title FROM sp UNION ALL SELECT page_id, rid + 1000000, {{bare}} FROM sp),
+    {dice_sql("x", "y", "page_id")},
+    m AS (SELECT page_id, lid % 10 AS lid, rid % 1000000 AS rid, max(score) AS score FROM dc WHERE (lid >= 10) = (rid >= 1000000) GROUP BY ALL),
+    f AS (SELECT page_id, lid, m.rid // 2 AS rid, m.rid % 2 + 1 AS span, round(score - CASE WHEN type = 'heading' THEN 0 ELSE 0.1 END, 9) AS score FROM m JOIN sp USING (page_id, rid)),
+    g AS (SELECT * FROM f WHERE score >= 0.85), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, rid, span) AS k FROM g WHERE lid = 0) WHERE k = 1),
+    b AS (SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY g.page_id ORDER BY g.score DESC, g.rid, g.span) AS k FROM g LEFT JOIN a USING (page_id) WHERE g.lid = 1 AND g.rid > coalesce(a.rid + a.span - 1, -1)) WHERE k = 1)
+    SELECT page_id AS doc_id, lid::BIGINT AS lid, rid::BIGINT AS rid, round(score, 6) AS score FROM (SELECT page_id, lid, rid, score FROM a UNION ALL SELECT page_id, lid, rid, score FROM b)""".replace("{bare}", "trim(regexp_replace(title, '^(?:(?:chapter|part|section|appendix)\\s+)?(?:[0-9]+(?:\\s[0-9]+)*|[ivxlc]+)\\s+', ''))"),
+)
 def similar(spark, d):
-    t = A.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).cast("long").alias("lid"), T.normalize_title(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"), F.lit(0).alias("page"))
+    """Two entries a page: its title with a chapter number, and without."""
+    title = T.normalize_title(F.regexp_extract("html", "<title>([^<]*)", 1))
+    t = A.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.array(F.concat(F.lit("chapter 7 "), title), title)).alias("lid", "title"), F.lit(0).alias("page"))
     b = A.blocks(spark, d).select(F.col("page_id").alias("doc_id"), F.col("ord").cast("long").alias("rid"), T.normalize_title(F.col("text")).alias("title"), F.lit(0).alias("page"), "type", F.regexp_count("text", F.lit(r"\S+")).alias("words"))
     return J.similar_titles(t, b).withColumn("score", F.round("score", 6))
 
@@ -439,7 +475,7 @@ def paragraphs(spark, d):
     return W.paragraph_numbers(A.blocks(spark, d), "page_id", "ord").select("page_id", "ord", "number")
 
 
-@query("win6_line_gaps", f"WITH {A.LINES}, g AS (SELECT doc_id, ord, (y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y))::DOUBLE AS gap FROM ln) SELECT * FROM g WHERE gap IS NOT NULL")
+@query("win6_line_gaps", f"WITH {A.LINES}, g AS (SELECT doc_id, ord, (y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y))::DOUBLE AS gap FROM ln WHERE abs(size - 10) < 0.5) SELECT * FROM g WHERE gap IS NOT NULL")
 def gaps(spark, d):
     return W.line_gaps(A.lines(spark, d), 10.0).select("doc_id", "ord", "gap")
 
@@ -543,9 +579,11 @@ def grouped(spark, d):
     return K.group_limit(g, "user_id", "n", ["g"]).select("user_id", "n")
 
 
-@query("top7_glossary_order", "SELECT p_name AS src, count(*) AS occurrences FROM part GROUP BY 1 ORDER BY 2 DESC, 1")
+@query("top7_glossary_order", "WITH t AS (SELECT p_name || p_partkey AS src, count(l_orderkey) AS occurrences FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1) SELECT *, row_number() OVER (ORDER BY occurrences DESC, src) AS place FROM t")
 def glossary(spark, d):
-    return A.table(spark, d, "part").groupBy(F.col("p_name").alias("src")).agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "src")
+    terms = A.table(spark, d, "part").select(F.col("p_partkey").alias("term_id"), F.concat("p_name", "p_partkey").alias("src"))
+    g = K.glossary_order(terms, A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("term_id")))
+    return g.select("src", "occurrences", F.row_number().over(Window.orderBy(F.desc("occurrences"), "src")).cast("long").alias("place"))
 
 
 @query("top8_log_tail", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20")

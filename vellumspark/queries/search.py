@@ -174,7 +174,7 @@ def clean_runs(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.clean_run_text(F.col("text")).alias("text"))
 
 
-@query("txt8_header_pattern", f"WITH {A.LINES} SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlc]+\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern, count(*) AS n FROM ln GROUP BY 1")
+@query("txt8_header_pattern", f"WITH {A.LINES} SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlcdm]{{1,7}}\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern, count(*) AS n FROM ln GROUP BY 1")
 def patterns(spark, d):
     return A.lines(spark, d).groupBy(T.header_pattern(F.col("text")).alias("pattern")).agg(F.count("*").alias("n"))
 

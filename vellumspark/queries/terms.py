@@ -62,10 +62,23 @@ def forms(spark, d):
     return M.surface_form(t).select("key", "form")
 
 
-@query("agg16_example_sentences")
+MATCHES = """dt AS (SELECT src FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS src FROM documents WHERE lang = 'en') WHERE length(src) BETWEEN 5 AND 8 GROUP BY 1 HAVING count(*) >= 20),
+cn AS (SELECT src, CASE WHEN src LIKE '%ies' THEN src[:-4] || 'y' ELSE regexp_replace(src, '(es|s|e)$', '') END AS g FROM dt),
+dg AS (SELECT g, max_by(src, (length(src), src)) AS term_id FROM cn GROUP BY 1),
+tw AS (SELECT doc_id, unnest(range(len(l)))::INT AS start, lower(unnest(l)) AS w FROM (SELECT doc_id, list_filter(string_split_regex(text, '[^\\p{L}\\p{N}''’-]+'), lambda x: x <> '') AS l FROM documents WHERE lang = 'en')),
+tg AS (SELECT doc_id, start, regexp_replace(w, '[''’]s?$', '') AS x FROM tw),
+mt AS (SELECT doc_id, term_id, start FROM (SELECT doc_id, start, CASE WHEN x LIKE '%ies' AND length(x) > 3 THEN x[:-4] || 'y' ELSE regexp_replace(x, '(es|s|e)$', '') END AS g FROM tg) JOIN dg USING (g))"""
+
+
+@query(
+    "agg16_example_sentences",
+    f"""WITH {MATCHES}, {A.SEGMENTS}, sw AS (SELECT doc_id, ord, text, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}''’-]+'), lambda x: x <> '')) AS l FROM seg WHERE lang = 'en'),
+    ex AS (SELECT src AS key, CASE WHEN length(text) > 240 THEN text[1:237] || '…' ELSE text END AS sentence, row_number() OVER (PARTITION BY src ORDER BY doc_id, ord) AS k FROM (SELECT doc_id, ord, text, unnest(l) AS src FROM sw) JOIN dt USING (src))
+    SELECT key, string_agg(sentence, '|' ORDER BY k) AS examples FROM ex WHERE k <= 2 GROUP BY 1""",
+)
 def examples(spark, d):
     s = A.segments(spark, d).where("lang = 'en'").select(F.struct("doc_id", "ord").alias("place"), F.col("text").alias("sentence"))
-    return M.example_sentences(dictionary(spark, d).select(F.col("src").alias("key")), s)
+    return M.example_sentences(dictionary(spark, d).select(F.col("src").alias("key")), s).select("key", F.array_join("examples", "|").alias("examples"))
 
 
 @query(
@@ -77,21 +90,6 @@ def topk(spark, d):
     return s.orderBy(F.desc("score"), "key").limit(120).select("key", "score")
 
 
-@query("job3_term_mining")
-def mining(spark, d):
-    from vellumspark.plans.mining import term_mining
-
-    return term_mining(english(spark, d))
-
-
-MATCHES = """dt AS (SELECT src FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS src FROM documents WHERE lang = 'en') WHERE length(src) BETWEEN 5 AND 8 GROUP BY 1 HAVING count(*) >= 20),
-cn AS (SELECT src, CASE WHEN src LIKE '%ies' THEN src[:-4] || 'y' ELSE regexp_replace(src, '(es|s|e)$', '') END AS g FROM dt),
-dg AS (SELECT g, max_by(src, (length(src), src)) AS term_id FROM cn GROUP BY 1),
-tw AS (SELECT doc_id, unnest(range(len(l)))::INT AS start, lower(unnest(l)) AS w FROM (SELECT doc_id, list_filter(string_split_regex(text, '[^\\p{L}\\p{N}''’-]+'), lambda x: x <> '') AS l FROM documents WHERE lang = 'en')),
-tg AS (SELECT doc_id, start, regexp_replace(w, '[''’]s?$', '') AS x FROM tw),
-mt AS (SELECT doc_id, term_id, start FROM (SELECT doc_id, start, CASE WHEN x LIKE '%ies' AND length(x) > 3 THEN x[:-4] || 'y' ELSE regexp_replace(x, '(es|s|e)$', '') END AS g FROM tg) JOIN dg USING (g))"""
-
-
 @query("join5_match_terms", f"WITH {MATCHES} SELECT doc_id, term_id, start FROM mt")
 def matches(spark, d):
     return M.match_terms(english(spark, d), dictionary(spark, d)).select("doc_id", "term_id", "start")
@@ -127,7 +125,7 @@ def earlier(spark, d):
 def mentions(spark, d):
     t = dictionary(spark, d)
     m = M.match_terms(english(spark, d), t).select((F.col("doc_id") % 10).alias("chapter"), F.col("doc_id").alias("ord"), "start", "term_id", (F.col("start") % 3 == 0).alias("has_note"))
-    return M.first_mentions(m, t.withColumn("policy", F.when(F.col("src") < "e", "never").when(F.col("src") < "h", "always").otherwise("first")))
+    return M.first_mentions(m, t.withColumn("policy", F.when(F.col("src") < "e", "never").when(F.col("src") < "h", "always").otherwise("first"))).drop("has_note")
 
 
 @query("set3_terms_either_side", f"WITH {MATCHES} SELECT DISTINCT term_id FROM mt WHERE doc_id % 2 = 0 UNION SELECT DISTINCT term_id FROM mt WHERE doc_id % 3 = 0")
@@ -136,3 +134,40 @@ def either(spark, d):
     one = M.match_terms(english(spark, d).where("doc_id % 2 = 0"), t).select("term_id")
     two = M.match_terms(english(spark, d).where("doc_id % 3 = 0"), t).select("term_id")
     return t.join(one.union(two).distinct(), "term_id", "left_semi").select("term_id")
+
+
+MINED = f"""{PLURALS}, gf AS (SELECT doc_id::VARCHAR AS d, c, i, 1 AS n, lower(w1) AS form FROM ld WHERE length(w1) >= 4 AND lower(w1) NOT IN ({STOP})
+  UNION ALL SELECT doc_id::VARCHAR, c, i, 2, lower(w1 || ' ' || w2) FROM ld WHERE length(w1) >= 2 AND length(w2) >= 2 AND lower(w1) NOT IN ({STOP}) AND lower(w2) NOT IN ({STOP})
+  UNION ALL SELECT doc_id::VARCHAR, c, i, 3, lower(w1 || ' ' || w2 || ' ' || w3) FROM ld WHERE length(w1) >= 2 AND length(w2) >= 2 AND length(w3) >= 2 AND lower(w1) NOT IN ({STOP}) AND lower(w3) NOT IN ({STOP})
+  UNION ALL SELECT doc_id::VARCHAR, c, i, 4, lower(w1 || ' ' || w2 || ' ' || w3 || ' ' || w4) FROM ld WHERE length(w1) >= 2 AND length(w2) >= 2 AND length(w3) >= 2 AND length(w4) >= 2 AND lower(w1) NOT IN ({STOP}) AND lower(w4) NOT IN ({STOP})
+  UNION ALL SELECT doc_id::VARCHAR, c, min(i), 0, string_agg(w1, ' ' ORDER BY i) FROM im WHERE cap GROUP BY doc_id, c, g HAVING count(*) >= 2 OR min(i) > 0
+  UNION ALL SELECT doc_id::VARCHAR, c, i, 0, w1 FROM ew WHERE regexp_matches(w1, '^\\p{{Lu}}{{2,}}\\p{{N}}*$')),
+fm AS (SELECT key, form FROM (SELECT lower(form) AS key, form, row_number() OVER (PARTITION BY lower(form) ORDER BY count(*) DESC, min((d, c, i))) AS k FROM gf GROUP BY form) WHERE k = 1),
+mf AS (SELECT coalesce(k.key, sg.key) AS key, arg_max(fm.form, (sg.key = coalesce(k.key, sg.key), sg.n, fm.form)) AS form FROM sg LEFT JOIN tm k ON k.key = sg.target JOIN fm ON fm.key = sg.key GROUP BY 1),
+lr AS (SELECT words, n, string_split(key, ' ') AS l FROM sc WHERE words > 1),
+rn AS (SELECT array_to_string(l[i : i + k - 1], ' ') AS key, max(n) AS big FROM lr, (SELECT unnest(range(1, 4)) AS k), (SELECT unnest(range(1, 5)) AS i) WHERE k < words AND i + k - 1 <= words GROUP BY 1),
+bt AS (SELECT sc.* FROM sc LEFT JOIN rn USING (key) WHERE big IS NULL OR big < 0.8 * n ORDER BY score DESC, key LIMIT 120)"""
+
+
+def mined(spark, d):
+    from vellumspark.plans.mining import term_mining
+
+    return term_mining(english(spark, d))
+
+
+@query("job3_term_mining", f"WITH {MINED} SELECT form AS src, key, n, score FROM bt JOIN mf USING (key)")
+def mining(spark, d):
+    return mined(spark, d).select("src", "key", "n", "score")
+
+
+@query("job3_examples")
+def mining_examples(spark, d):
+    return mined(spark, d).select("key", "examples")
+
+
+@query("win11_first_mention_texts")
+def mention_texts(spark, d):
+    """Every document with its own matches as equivalents; every third word of the dictionary already has its note."""
+    t = dictionary(spark, d).select("term_id", F.concat(F.lit("src "), "src").alias("src"), F.col("src").alias("tgt"), F.when(F.col("src") < "e", "never").otherwise(F.lit("first_in_chapter")).alias("policy"))
+    s = english(spark, d).select(F.col("doc_id").alias("segment_id"), (F.col("doc_id") % 10).alias("chapter"), F.col("doc_id").alias("ord"), F.lit("p").alias("type"), F.regexp_replace("text", r"(?i)\\b(\\w*nd\\w*)\\b", "$1 (src $1)").alias("text"))
+    return M.first_mention_texts(s, t)[0].select("segment_id", "text")

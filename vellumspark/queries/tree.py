@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from vellumspark.operators import aggregates as G
 from vellumspark.operators import tree as R
 from vellumspark.operators import windows as W
+from vellumspark.plans.reports import library_summary
+from vellumspark.queries.relational import NORM, dice_sql
 from vellumspark.registry import query
 from vellumspark.sources import adapters as A
 
@@ -141,15 +143,31 @@ def outliers(spark, d):
     return G.length_outliers(p, ["g"]).select("conv_id", "turn", F.round("z", 6).alias("z"))
 
 
-@query("agg22_chunk_by_budget")
+CHUNKS = f"""{A.SEGMENTS}, sw AS (SELECT doc_id, ord, len(regexp_extract_all(text, '\\S+'))::BIGINT AS w FROM seg),
+  ck AS (SELECT doc_id, ord, w AS total, 0 AS chunk FROM sw WHERE ord = 0 UNION ALL SELECT s.doc_id, s.ord, CASE WHEN c.total > 0 AND c.total + s.w > 120 THEN s.w ELSE c.total + s.w END, c.chunk + (c.total > 0 AND c.total + s.w > 120)::INT
+    FROM ck c JOIN sw s ON s.doc_id = c.doc_id AND s.ord = c.ord + 1)"""
+
+
+@query("agg22_chunk_by_budget", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, ord, chunk FROM ck")
 def chunks(spark, d):
     s = A.segments(spark, d).withColumn("w", F.regexp_count("text", F.lit(r"\S+")))
     return G.chunk_by_budget(s, ["doc_id"], "ord", "w", 120)
 
 
-@query("agg27_repeated_phrases")
+@query(
+    "agg27_repeated_phrases",
+    """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' so it goes so it goes So it goes, end' WHEN doc_id % 3 = 1 THEN 'no no No, no. ' || text ELSE text END AS t FROM documents),
+    r AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS w FROM (SELECT doc_id, string_split_regex(lower(t), '[\\s\u200c]+') AS l FROM m)), c AS (SELECT doc_id, k, regexp_replace(regexp_replace(w, '^[\\p{P}\\p{S}]+', ''), '[\\p{P}\\p{S}]+$', '') AS w FROM r),
+    p AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM c WHERE w <> ''),
+    e AS (SELECT doc_id, pos, w, n, lead(w, n) OVER (PARTITION BY doc_id, n ORDER BY pos) = w AS same FROM p, (SELECT unnest(range(1, 7))::INT AS n)),
+    i AS (SELECT doc_id, n, pos, pos - row_number() OVER (PARTITION BY doc_id, n ORDER BY pos) AS g FROM e WHERE same), u AS (SELECT doc_id, n, min(pos) AS pos, count(*) AS k FROM i GROUP BY doc_id, n, g),
+    b AS (SELECT doc_id, min((n, pos)) AS b FROM u WHERE k >= n * CASE WHEN n = 1 THEN 3 ELSE 2 END GROUP BY 1)
+    SELECT b.doc_id, string_agg(w, ' ' ORDER BY p.pos) AS phrase FROM b JOIN p ON p.doc_id = b.doc_id AND p.pos BETWEEN b.b[2] AND b.b[2] + b.b[1] - 1 GROUP BY 1""",
+)
 def phrases(spark, d):
-    return G.repeated_phrases(A.table(spark, d, "documents"), "doc_id", "text")
+    third = F.col("doc_id") % 3
+    text = F.when(third == 0, F.concat("text", F.lit(" so it goes so it goes So it goes, end"))).when(third == 1, F.concat(F.lit("no no No, no. "), "text")).otherwise(F.col("text"))
+    return G.repeated_phrases(A.table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
 @query(
@@ -172,12 +190,18 @@ def usage(spark, d):
     return G.usage_totals(e, ["user_id"], ["value", "n"]).withColumn("value", F.round("value", 4))
 
 
-@query("agg30_library_summary", f"WITH {A.TRANSLATIONS}, n AS (SELECT source, count(*) AS docs, sum(n_chars)::BIGINT AS chars, max(doc_id) AS newest FROM documents GROUP BY 1), o AS (SELECT source, count(*) AS open FROM documents JOIN tr ON segment_id = doc_id WHERE status = 'queued' GROUP BY 1) SELECT source, docs, chars, coalesce(open, 0) AS open FROM n LEFT JOIN o USING (source) ORDER BY newest DESC")
+@query(
+    "agg30_library_summary",
+    f"""WITH {A.TRANSLATIONS}, n AS (SELECT source, count(*) AS segments, max(doc_id) AS newest, count(DISTINCT CASE WHEN doc_id % 4 <> 0 THEN doc_id % 9 END) AS readable FROM documents GROUP BY 1),
+    o AS (SELECT source, count(*) AS translated, count(*) FILTER (WHERE status IN ('final', 'user_edited')) AS done, count(*) FILTER (WHERE status = 'flagged') AS flagged FROM documents JOIN tr ON segment_id = doc_id GROUP BY 1),
+    b AS (SELECT 'src' || user_id % 20 AS source, count(*) AS open_batches FROM events WHERE event_type = 'error' GROUP BY 1)
+    SELECT source, segments, coalesce(done, 0) AS done, coalesce(flagged, 0) AS flagged, readable, coalesce(open_batches, 0) AS open_batches FROM n LEFT JOIN o USING (source) LEFT JOIN b USING (source)""",
+)
 def library(spark, d):
-    docs = A.table(spark, d, "documents")
-    n = docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("newest"))
-    o = docs.join(A.translations(spark, d).where("status = 'queued'").select(F.col("segment_id").alias("doc_id")), "doc_id").groupBy("source").agg(F.count("*").alias("open"))
-    return n.join(o, "source", "left").na.fill(0, ["open"]).orderBy(F.desc("newest")).select("source", "docs", "chars", "open")
+    docs = A.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("segment_id"), (F.col("doc_id") % 9).alias("node"), (F.col("doc_id") % 4 == 0).alias("skip"), F.col("doc_id").alias("created"))
+    batches = A.table(spark, d, "events").select(F.concat(F.lit("src"), F.col("user_id") % 20).alias("book"), F.when(F.col("event_type") == "error", "open").otherwise("done").alias("state"))
+    s = library_summary(docs, A.translations(spark, d).select("segment_id", "status"), batches)
+    return s.select(F.col("book").alias("source"), "segments", "done", "flagged", "readable", "open_batches")
 
 
 @query("agg31_reading_ratio", "SELECT user_id, round(count(DISTINCT event_id % 50) / 50, 6) AS ratio FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -193,19 +217,53 @@ def quiz(spark, d):
     return G.quiz_score(lab.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") % 10).alias("user"), F.col("quality").alias("answer")), q, "user")
 
 
-MARGINS = f"""WITH {A.LINES}, m AS (SELECT doc_id, ord, page, CASE WHEN y < 48 THEN 'top' WHEN y > 552 THEN 'bottom' END AS zone, text, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlc]+\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern FROM ln),
-  t AS (SELECT doc_id, count(DISTINCT page) AS n FROM ln GROUP BY 1), h AS (SELECT doc_id, zone, pattern, count(DISTINCT page) AS pages FROM m WHERE zone IS NOT NULL AND pattern <> '' GROUP BY ALL),
-  rp AS (SELECT h.* FROM h JOIN t USING (doc_id) WHERE pages >= 2 AND pages >= 0.25 * n)"""
+# Running heads on all pages of even documents, and on the first two of every six of some others.
+HEADED = A.LINES.replace("ln AS (", "l0 AS (") + """, ln AS (SELECT * REPLACE (CASE WHEN ord % 40 = 0 AND doc_id % 2 = 0 THEN 'Book iv — ' || (page + 1) WHEN ord % 40 = 1 AND doc_id % 4 = 1 AND page % 6 < 2 THEN 'Head of ' || (page // 6) ELSE text END AS text) FROM l0)"""
+
+
+def headed(spark, d):
+    even, some = (F.col("ord") % 40 == 0) & (F.col("doc_id") % 2 == 0), (F.col("ord") % 40 == 1) & (F.col("doc_id") % 4 == 1) & (F.col("page") % 6 < 2)
+    text = F.when(even, F.concat(F.lit("Book iv — "), F.col("page") + 1)).when(some, F.concat(F.lit("Head of "), F.floor(F.col("page") / 6))).otherwise(F.col("text"))
+    return A.lines(spark, d).withColumn("text", text)
 
 
-@query("agg7_repeating_margin_lines", MARGINS + " SELECT * FROM rp")
+MARGINS = f"""{HEADED}, m AS (SELECT doc_id, ord, page, y, size, CASE WHEN y <= 48 + size THEN 'top' WHEN y >= 552 THEN 'bottom' END AS zone, text, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\b[ivxlcdm]{{1,7}}\\b', '#', 'g'), '\\s+', ' ', 'g')) AS pattern FROM ln),
+  t AS (SELECT doc_id, count(DISTINCT page) AS n, max(page) AS last FROM ln GROUP BY 1), h AS (SELECT doc_id, zone, pattern, count(DISTINCT page) AS pages FROM m WHERE zone IS NOT NULL AND pattern <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 2)"""
+WHOLE = ", rp AS (SELECT h.* FROM h JOIN t USING (doc_id) WHERE pages >= 0.25 * n)"
+
+
+@query("agg7_repeating_margin_lines", "WITH " + MARGINS + WHOLE + " SELECT * FROM rp")
 def margins(spark, d):
-    return G.repeating_margin_lines(A.lines(spark, d), 600.0)
+    return G.repeating_margin_lines(headed(spark, d), 600.0)
+
+
+@query(
+    "agg7_in_chapters",
+    "WITH " + MARGINS + """, r AS (SELECT doc_id, k * 6 AS a, least(k * 6 + 5, last) AS b FROM (SELECT doc_id, last, unnest(range(last // 6 + 1)) AS k FROM t)),
+    i AS (SELECT DISTINCT doc_id, zone, pattern FROM (SELECT m.doc_id, zone, pattern, a, b, count(DISTINCT page) AS k FROM m JOIN r ON r.doc_id = m.doc_id AND page BETWEEN a AND b WHERE zone IS NOT NULL GROUP BY ALL) WHERE k >= 2 AND k >= ceil((b - a + 1) * 0.25))
+    SELECT h.* FROM h JOIN t USING (doc_id) LEFT JOIN i USING (doc_id, zone, pattern) WHERE pages >= 0.25 * n OR i.doc_id IS NOT NULL""",
+)
+def chapter_margins(spark, d):
+    lines = headed(spark, d)
+    last = lines.groupBy("doc_id").agg(F.max("page").alias("last"))
+    ranges = last.select("doc_id", "last", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 6).cast("int"))).alias("k")).select("doc_id", (F.col("k") * 6).alias("start"), F.least(F.col("k") * 6 + 5, "last").alias("end"))
+    return G.repeating_margin_lines(lines, 600.0, ranges)
 
 
-@query("agg8_remove_headers_footers", MARGINS + " SELECT m.doc_id, count(*) AS kept FROM m WHERE NOT (zone IS NOT NULL AND regexp_matches(m.text, '(?i)^\\W*(?:page\\s+)?(?:\\d{1,4}|[ivxlc]{1,6})\\W*$')) AND (zone IS NULL OR NOT EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = m.doc_id AND rp.zone = m.zone AND rp.pattern = m.pattern)) GROUP BY 1")
+@query(
+    "agg8_remove_headers_footers",
+    "WITH " + MARGINS + WHOLE + f""", bs AS (SELECT doc_id, max_by(s, (w, -p)) AS body FROM (SELECT doc_id, floor(size / 0.5 + 0.5) * 0.5 AS s, sum(length(text)) AS w, min(page * 100000 + y) AS p FROM ln GROUP BY 1, 2) GROUP BY 1),
+    lt AS (SELECT DISTINCT doc_id, text AS t FROM ln JOIN bs USING (doc_id) WHERE size >= 1.3 * body AND length(trim(text)) > 2), x AS (SELECT doc_id, ord AS lid, {NORM.format("text")} AS title FROM m JOIN bs USING (doc_id) WHERE zone IS NOT NULL AND size <= 1.05 * body),
+    z AS (SELECT doc_id, t AS rid, {NORM.format("t")} AS title FROM lt), {dice_sql("x", "z", "doc_id")},
+    dr AS (SELECT m.doc_id, m.page, ord, zone IS NOT NULL AND (regexp_matches(text, '(?i)^(?:page\\s+)?[-–—\\s]*(?:\\d{{1,4}}|[ivxlcdm]{{1,7}})[-–—\\s]*$') OR EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = m.doc_id AND rp.zone = m.zone AND rp.pattern = m.pattern)
+      OR EXISTS (SELECT 1 FROM dc WHERE dc.doc_id = m.doc_id AND dc.lid = m.ord AND score >= 0.9)) AS gone FROM m)
+    SELECT doc_id, page, count(*) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS removed FROM dr GROUP BY 1, 2""",
+)
 def headers(spark, d):
-    return G.remove_headers_footers(A.lines(spark, d), 600.0)[0].groupBy("doc_id").agg(F.count("*").alias("kept"))
+    lines = headed(spark, d)
+    kept = G.remove_headers_footers(lines, 600.0)[0].groupBy("doc_id", "page").agg(F.count("*").alias("kept"))
+    every = lines.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return every.join(kept, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("removed"))
 
 
 @query("agg20_stage_progress", "SELECT event_type AS stage, count(*) FILTER (WHERE user_id % 2 = 0) AS done, count(*) AS total FROM events GROUP BY 1")

@@ -87,6 +87,39 @@ def assemble_batches(items: DataFrame, batch: list[str], order: str) -> DataFram
     return b.select(*batch, F.transform("r", lambda x: F.struct(x["key"].alias("key"), x["text"].alias("src"))).alias("items"), F.map_from_entries(F.transform("r", lambda x: F.struct(x["key"], x["segment_id"]))).alias("key_map"))
 
 
+def translate_batches(todo: DataFrame, segments: DataFrame, terms: DataFrame, batch: list[str], done: DataFrame | None = None, language: str = "en") -> tuple[DataFrame, DataFrame]:
+    """Batches of open segments with all that a translator needs, and the memory hits that need none: (batches, hits).
+
+    segments hold all of segment_id, chapter, ord, src and tgt (null where there is none); todo the ids to translate with
+    their batch columns; terms term_id and src; done finished rows (segment_id, src, tgt, status) to reuse equal sources of.
+    A batch has its keyed items and key_map, the terms that occur in them (glossary), the terms that its chapter's
+    translated texts mention before its first item (introduced), the two segments before that and the one after its last.
+    """
+    from vellumspark.operators.joins import translation_memory
+    from vellumspark.operators.terms import match_terms
+    from vellumspark.operators.windows import context_rows
+
+    rows = segments.join(todo, "segment_id")
+    hits = None
+    if done is not None:
+        hits, left = translation_memory(rows, done)
+        rows = rows.join(left, "segment_id", "left_semi")
+    items = assemble_batches(rows.withColumn("text", F.col("src")), batch, "ord")
+    found = match_terms(segments.select("segment_id", "src"), terms, "segment_id", "src", language=language).select("segment_id", "term_id").distinct()
+    glossary = rows.select("segment_id", *batch).join(found, "segment_id").groupBy(*batch).agg(F.sort_array(F.collect_set("term_id")).alias("glossary"))
+    ends = rows.groupBy(*batch).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min("chapter").alias("chapter"))
+    # First mention of a term in a chapter: one row a term, so a batch meets terms and not occurrences.
+    first_use = match_terms(segments.where("tgt is not null").select("segment_id", F.col("tgt").alias("src")), terms, "segment_id", "src", language=language)
+    first_use = first_use.join(segments.select("segment_id", "chapter", "ord"), "segment_id").groupBy("chapter", "term_id").agg(F.min("ord").alias("at"))
+    introduced = ends.join(first_use, "chapter").where(F.col("at") < F.col("first")).groupBy(*batch).agg(F.sort_array(F.collect_set("term_id")).alias("introduced"))
+    around = context_rows(segments.withColumn("_pair", F.struct("src", "tgt")), ["chapter"], "ord", "_pair")
+    before = ends.join(around.select("chapter", F.col("ord").alias("first"), F.array_compact(F.array("before2", "before1")).alias("previous")), ["chapter", "first"]).select(*batch, "previous")
+    after = ends.join(around.select("chapter", F.col("ord").alias("last"), F.col("after1.src").alias("next")), ["chapter", "last"]).select(*batch, "next")
+    none = F.array().cast(glossary.schema["glossary"].dataType)
+    out = items.join(before, batch).join(after, batch).join(glossary, batch, "left").join(introduced, batch, "left")
+    return out.withColumns({"glossary": F.coalesce("glossary", none), "introduced": F.coalesce("introduced", none)}), hits
+
+
 def write_batches(batches: DataFrame, path: str, task: str = "task") -> None:
     batches.write.mode("overwrite").partitionBy(task).json(path)
 
