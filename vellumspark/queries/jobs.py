@@ -310,13 +310,20 @@ def once(spark, d):
     return R.import_once(e, "key", e.where("key % 3 = 0").select("key").distinct()).select("key")
 
 
-@query("str12_assemble_answers", "SELECT conv_id AS session, string_agg(text, '' ORDER BY turn) AS answer, TRUE AS ok FROM conversations GROUP BY 1")
+@query(
+    "str12_assemble_answers",
+    """WITH a AS (SELECT conv_id AS session, string_agg(text || CASE turn % 3 WHEN 0 THEN ' [P2][P1] ' WHEN 1 THEN ' [P9] [P2]' ELSE '' END, '' ORDER BY turn) AS answer FROM conversations GROUP BY 1)
+    SELECT session, answer, session % 4 <> 1 AS ok, CASE WHEN session % 4 = 1 THEN '' WHEN contains(answer, '[P9] [P2]') AND instr(answer, '[P9] [P2]') < instr(answer || '[P2][P1]', '[P2][P1]') THEN CASE WHEN contains(answer, '[P2][P1]') THEN 'P2:2,P1:1' ELSE 'P2:2' END WHEN contains(answer, '[P2][P1]') THEN 'P2:2,P1:1' ELSE '' END AS cited FROM a""",
+)
 def answers(spark, d):
     c = A.table(spark, d, "conversations")
-    deltas = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.lit("delta").alias("type"), "text")
-    ends = c.groupBy(F.col("conv_id").alias("session")).agg((F.max("turn") + 1).alias("seq")).select("session", "seq", F.lit("done").alias("type"), F.lit(None).cast("string").alias("text"))
+    cites = F.when(F.col("turn") % 3 == 0, " [P2][P1] ").when(F.col("turn") % 3 == 1, " [P9] [P2]").otherwise("")
+    deltas = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.lit("delta").alias("type"), F.concat("text", cites).alias("text"))
+    ends = c.groupBy(F.col("conv_id").alias("session")).agg((F.max("turn") + 1).alias("seq")).select("session", "seq", F.when(F.col("session") % 4 == 1, "error").otherwise(F.lit("done")).alias("type"), F.lit(None).cast("string").alias("text"))
     late = ends.select("session", (F.col("seq") + 1).alias("seq"), F.lit("delta").alias("type"), F.lit("late").alias("text"))
-    return R.assemble_answers(deltas.unionByName(ends).unionByName(late))
+    labels = ends.select("session", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("segment_id")).select("session", F.concat(F.lit("P"), "segment_id").alias("label"), "segment_id")
+    out = R.with_citations(R.assemble_answers(deltas.unionByName(ends).unionByName(late)), labels)
+    return out.select("session", "answer", "ok", F.array_join(F.transform("citations", lambda x: F.concat_ws(":", x["label"], x["segment_id"])), ",").alias("cited"))
 
 
 @query("str13_throttle_progress", "SELECT user_id AS key, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts)")

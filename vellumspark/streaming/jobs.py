@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from vellumspark.operators.joins import resolve_citations
+
 WATERMARK = "10 minutes"
 MINUTE, DAY = 60_000_000, 86_400_000_000
 
@@ -26,19 +28,92 @@ def consume_changes(stream: DataFrame, book: str, handler: Callable[[DataFrame,
     return stream.writeStream.foreachBatch(lambda df, i: handler(df.select(book).distinct(), i)).option("checkpointLocation", checkpoint)
 
 
+class _Expiry(StatefulProcessor):
+    """Keeps the changes of a key until a timer at their age, and then reports them."""
+
+    def __init__(self, age_ms: int):
+        self.age_ms = age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getListState("live", "t long, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for df in rows:
+            for event, t in zip(df["event_id"].tolist(), df["t"].tolist()):
+                self.live.appendValue((t, event))
+                self.handle.registerTimer(-(-t // 1000) + self.age_ms)
+        yield pd.DataFrame({"key": [], "event_id": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = (expiredTimerInfo.getExpiryTimeInMs() - self.age_ms) * 1000
+        every = list(self.live.get())
+        gone, live = [r for r in every if r[0] <= until], [r for r in every if r[0] > until]
+        self.live.put(live) if live else self.live.clear()
+        yield pd.DataFrame({"key": [key[0]] * len(gone), "event_id": [r[1] for r in gone]}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def _seconds(age: str) -> int:
+    n, unit = age.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def expire_changes(changes: DataFrame, age: str = "1 day") -> DataFrame:
-    """Changes younger than `age` before the newest one; as a stream, state older than that is evicted."""
+    """As a batch, changes younger than `age` before the newest one. As a stream, those that have just passed that age.
+
+    A stream holds live changes in state until event time has moved past their age, reports them (key, event_id) and
+    forgets them; so what it has not reported is what the batch returns. It takes no lateness: older rows are dropped.
+    """
     if changes.isStreaming:
-        return changes.withWatermark("ts", age)
+        t = changes.withWatermark("ts", "0 seconds").select("key", "event_id", micros(F.col("ts")).alias("t"), "ts")
+        return t.groupBy("key").transformWithStateInPandas(_Expiry(1000 * _seconds(age)), "key long, event_id long", "append", "EventTime")
     newest = changes.agg(F.max("ts").alias("newest"))
     return changes.join(F.broadcast(newest)).where(F.col("ts") > F.col("newest") - F.expr(f"INTERVAL {age}")).drop("newest")
 
 
+class _Rolling(StatefulProcessor):
+    """Keeps the times of a key's requests of the last day."""
+
+    def __init__(self, rpm: int, rpd: int):
+        self.rpm, self.rpd = rpm, rpd
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getListState("times", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times, out = [r[0] for r in self.times.get()], []
+        for df in sorted_frames(rows):
+            for event, t in zip(df["event_id"].tolist(), df["t"].tolist()):
+                times.append(t)
+                day = sum(x > t - DAY for x in times)
+                minute = sum(x > t - MINUTE for x in times)
+                back = lambda n: times[-n] if len(times) >= n else None
+                reason, wait = None, 0
+                if day >= self.rpd:
+                    reason, wait = "rpd", (back(self.rpd) or t - DAY) + DAY - t
+                elif minute >= self.rpm:
+                    reason, wait = "rpm", (back(self.rpm) or t - MINUTE) + MINUTE - t
+                out.append((event, key[0], minute, day, reason, max(wait // 1000, 0)))
+                times = times[-max(day, self.rpd) :]
+        self.times.put([(x,) for x in times])
+        yield pd.DataFrame(out, columns=["event_id", "key", "in_minute", "in_day", "reason", "wait_ms"])
+
+    def close(self) -> None:
+        pass
+
+
 def rolling_quota(requests: DataFrame, rpm: int, rpd: int) -> DataFrame:
     """Requests of the last minute and day up to each request of a key, the wait in ms and its reason.
 
-    Windows are half open, (t - w, t]. The wait lasts until the request `limit` places back leaves its window.
+    Windows are half open, (t - w, t]. The wait lasts until the request `limit` places back leaves its window. As a stream,
+    the state of a key is the times of its last day, and requests count in the order they come.
     """
+    if requests.isStreaming:
+        t = requests.select("key", "event_id", micros(F.col("ts")).alias("t"))
+        return t.groupBy("key").transformWithStateInPandas(_Rolling(rpm, rpd), "event_id long, key long, in_minute long, in_day long, reason string, wait_ms long", "append", "None")
     t = requests.withColumn("t", micros(F.col("ts")))
     w = Window.partitionBy("key").orderBy("t")
     day, minute = w.rangeBetween(-(DAY - 1), 0), w.rangeBetween(-(MINUTE - 1), 0)
@@ -121,8 +196,43 @@ def failed_login_limit(attempts: DataFrame, limit: int = 10, minutes: int = 10)
     return attempts.withColumn("t", micros(F.col("ts"))).withColumn("failures", F.count("*").over(w)).where(F.col("failures") >= limit).drop("t")
 
 
+class _Lease(StatefulProcessor):
+    """Keeps a key's last heartbeat, and one timer at its end."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(df["t"].max()) for df in rows)
+        if not self.last.exists() or newest > self.last.get()[0]:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.last.update((newest,))
+            self.handle.registerTimer(newest // 1000 + self.ttl_ms + 1)
+        yield pd.DataFrame({"key": [], "t": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"key": [key[0]], "t": [last]}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
 def expire_leases(beats: DataFrame, ttl: str = "10 minutes") -> DataFrame:
-    """Items whose last heartbeat is older than the limit before the newest of all: key, last."""
+    """Items whose last heartbeat is older than the limit before the newest of all: key, last.
+
+    As a stream, an item is reported when event time passes the end of its lease; a later heartbeat leases it anew.
+    """
+    if beats.isStreaming:
+        t = beats.withWatermark("ts", "0 seconds").select("key", micros(F.col("ts")).alias("t"), "ts")
+        out = t.groupBy("key").transformWithStateInPandas(_Lease(1000 * _seconds(ttl)), "key long, t long", "append", "EventTime")
+        return out.select("key", F.timestamp_micros("t").alias("last"))
     last = beats.groupBy("key").agg(F.max("ts").alias("last"))
     now = beats.agg(F.max("ts").alias("now"))
     return last.join(F.broadcast(now)).where(F.col("last") < F.col("now") - F.expr(f"INTERVAL {ttl}")).drop("now")
@@ -163,8 +273,37 @@ def import_once(results: DataFrame, key: str, imported: DataFrame | None = None)
     return r.dropDuplicates([key])
 
 
+class _Answer(StatefulProcessor):
+    """Keeps the text of a session until its first done or error, and that it has ended."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.text = handle.getListState("text", "part string")
+        self.ended = handle.getValueState("ended", "ok boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, every = [], list(rows)
+        if not self.ended.exists() and every:
+            for kind, text in pd.concat(every).sort_values("seq")[["type", "text"]].itertuples(index=False):
+                if kind == "delta":
+                    self.text.appendValue((text,))
+                elif kind in ("done", "error"):
+                    out.append((key[0], "".join(r[0] for r in self.text.get()) if self.text.exists() else "", kind == "done"))
+                    self.text.clear()
+                    self.ended.update((kind == "done",))
+                    break
+        yield pd.DataFrame(out, columns=["session", "answer", "ok"])
+
+    def close(self) -> None:
+        pass
+
+
 def assemble_answers(deltas: DataFrame) -> DataFrame:
-    """Text of every session up to its first done or error, and whether it may carry citations: session, answer, ok."""
+    """Text of every session up to its first done or error, and whether it may carry citations: session, answer, ok.
+
+    As a stream, an answer comes when its session ends; what comes after is dropped. Deltas come in order between batches.
+    """
+    if deltas.isStreaming:
+        return deltas.select("session", "seq", "type", "text").groupBy("session").transformWithStateInPandas(_Answer(), "session long, answer string, ok boolean", "append", "None")
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max(F.col("type").isin("done", "error").cast("int")).over(w), F.lit(0))
     kept = deltas.withColumn("_e", ended).where("_e = 0")
@@ -172,6 +311,16 @@ def assemble_answers(deltas: DataFrame) -> DataFrame:
     return kept.groupBy("session").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("answer"), F.bool_or(F.col("type") == "done").alias("ok"))
 
 
+def with_citations(answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Answers with the segments they cite, in order of first mention; one that ended in an error cites nothing.
+
+    labels hold session, label and segment_id.
+    """
+    cited = resolve_citations(answers.where("ok"), labels, ["session"]).groupBy("session").agg(F.sort_array(F.collect_list(F.struct("position", "label", "segment_id"))).alias("citations"))
+    none = F.array().cast(cited.schema["citations"].dataType)
+    return answers.join(cited, "session", "left").withColumn("citations", F.coalesce("citations", none))
+
+
 def throttle_progress(events: DataFrame, every: str = "2 seconds") -> DataFrame:
     """The last heartbeat of a key in every window."""
     e = events.withWatermark("ts", WATERMARK) if events.isStreaming else events
