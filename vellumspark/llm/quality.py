@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -43,25 +42,42 @@ def pair_rows(hashes: np.ndarray, rows: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * MIX >> np.uint64(32)) % np.uint64(rows)
 
 
+class _Grams(dict):
+    """Logit share of a character n-gram; there are few, so they are kept, up to a bound."""
+
+    def __init__(self, share: np.ndarray, room: int = 1_000_000):
+        super().__init__()
+        self.table, self.room = share, room
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= self.room:
+            self.clear()
+        x = self[gram] = float(self.table[xxhash.xxh3_64_intdigest(f"{len(gram)}{gram}") % len(self.table)])
+        return x
+
+
 class _Shares(dict):
     """Maps a word to its place in arrays of summed logit shares, feature counts and hashes.
 
-    Words longer than LONG are summed in parts and not kept; `places` starts anew when `room` places are in use.
+    Words longer than LONG are summed but not kept; `places` starts anew when `room` places are in use.
     """
 
     def __init__(self, share: np.ndarray, room: int = 300_000):
         super().__init__()
-        self.table, self.room, self.used = share, room, 0
+        self.table, self.room, self.used, self.grams = share, room, 0, _Grams(share)
         self.total, self.n, self.hashes = np.empty(1024), np.empty(1024, np.int64), np.empty(1024, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        total, n = 0.0, 0
-        for at in batched(word_rows(word, len(self.table)), 4096):
-            total, n = total + float(self.table[list(at)].sum(dtype=np.float64)), n + len(at)
+        h, edged = word_hash(word), f"<{word}>"
+        total, n, share = float(self.table[h % len(self.table)]), 1, self.grams.__getitem__
+        for size in NGRAMS:
+            runs = len(edged) - size + 1
+            total += sum(share(edged[i : i + size]) for i in range(runs))
+            n += max(0, runs)
         k = self.used
         if k == len(self.n):
             self.total, self.n, self.hashes = (np.concatenate([x, np.empty_like(x)]) for x in (self.total, self.n, self.hashes))
-        self.total[k], self.n[k], self.hashes[k] = total, n, word_hash(word)
+        self.total[k], self.n[k], self.hashes[k] = total, n, h
         self.used += 1
         if len(word) <= LONG:
             self[word] = k
