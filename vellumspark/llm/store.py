@@ -1,37 +1,5 @@
 """Tables that cut lineage: written once to the folder all executors share, then read back."""
 
-from __future__ import annotations
+from vellumspark.staging import new_path, shared_dir, staged
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; in local mode, where it may be unset, a temporary folder."""
-    set_here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_here:
-        return set_here.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="vellumspark-"))
-    return _own[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vellumspark/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under a fresh path of the shared folder and reads it back, so that a lost executor costs no recomputation.
-
-    The files stay until the folder's owner clears it, as with Spark's own reliable checkpoints.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_dir", "staged"]
