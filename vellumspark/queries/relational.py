@@ -184,7 +184,7 @@ def review_revisions(spark, d):
 @query(
     "src14_patch_terms",
     """WITH t AS (SELECT p_partkey AS term_id, p_name || p_partkey AS src, p_brand AS tgt FROM part),
-    p AS (SELECT p_partkey AS term_id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) || '0' ELSE 'new' || p_partkey END AS src, NULL AS tgt, p_partkey % 2 = 0 AS has_src, p_partkey % 3 = 0 AS has_tgt FROM part WHERE p_partkey < 1000),
+    p AS (SELECT p_partkey AS term_id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) || '0' ELSE 'new' || p_partkey END AS src, NULL AS tgt, p_partkey % 2 = 0 AS has_src, p_partkey % 3 = 0 AS has_tgt FROM part),
     c AS (SELECT DISTINCT p.term_id FROM p JOIN t ON lower(p.src) = lower(t.src) AND t.term_id <> p.term_id WHERE has_src)
     SELECT t.term_id, CASE WHEN g.has_src THEN g.src ELSE t.src END AS src, CASE WHEN g.has_tgt THEN g.tgt ELSE t.tgt END AS tgt FROM t LEFT JOIN (SELECT * FROM p WHERE term_id NOT IN (SELECT term_id FROM c)) g ON g.term_id = t.term_id""",
 )
