@@ -157,3 +157,88 @@ def test_quality_codes(spark):
     terms = spark.createDataFrame([("t", "lever", "اهرم", "concept")], "term_id string, src string, tgt string, kind string")
     got = sorted((r.k, r.code) for r in Q.quality_check(persian, ["k"], "fa", terms).collect())
     assert got == [(1, "glossary"), (1, "target_script"), (2, "latin_punctuation")]
+
+
+def test_mined_terms(spark):
+    texts = ["The *Mechanical Advantage* of a lever. Levers move loads; a lever moves a load.", "NASA built levers. The Great Lever is old, the lever of Archimedes too. `lever` code"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tallies = {r.key: (r.n, r.bonus, r.form) for r in M.surface_form(M.term_candidates(frame)).collect()}
+    # Emphasised, capitalised and plain occurrences add up; the greatest bonus counts.
+    assert tallies["mechanical advantage"] == (3, 6, "Mechanical Advantage") and tallies["nasa"] == (2, 2, "NASA")
+    assert tallies["great lever"][1] == 2 and tallies["archimedes"][1] == 2 and "code" in tallies and tallies["lever"][0] == 4
+    merged = {r.key: (r.n, r.form) for r in M.merge_plurals(M.surface_form(M.term_candidates(frame))).collect()}
+    assert "levers" not in merged and merged["lever"] == (6, "lever") and "loads" not in merged
+    assert M.merge_plurals(M.surface_form(M.term_candidates(frame)), "de").where("key = 'levers'").count() == 1
+    terms = spark.createDataFrame([("a b", 2, 9), ("a", 1, 10), ("b", 1, 20), ("a b c", 3, 8)], "key string, words int, n long")
+    assert {r.key for r in M.drop_subsumed(terms).collect()} == {"b", "a b c"}
+
+
+def test_first_mention_texts(spark):
+    rows = [
+        ("h", 1, 0, "heading", "The lever"), ("a", 1, 1, "p", "A lever and a lever (Hebel) lift."), ("b", 1, 2, "p", "Levers (hebel) and *pulley* (Rolle), pulley."),
+        ("c", 2, 0, "p", "No pulley; wheel (Rad) and wheel (Rad)."), ("d", 2, 1, "p", "crank (Kurbel)"),
+    ]
+    frame = spark.createDataFrame(rows, "segment_id string, chapter int, ord int, type string, text string")
+    terms = spark.createDataFrame([(1, "Hebel", "lever", "first_in_chapter"), (2, "Rolle", "pulley", "first_in_chapter"), (3, "Rad", "wheel", "never"), (4, "Kurbel", "crank", "always")], "term_id int, src string, tgt string, policy string")
+    known = spark.createDataFrame([(2, "rolle")], "chapter int, src string")
+    got = {r.segment_id: r.text for r in M.first_mention_texts(frame, terms, introduced=known)[0].collect()}
+    assert got == {
+        "h": "The lever", "a": "A lever (Hebel) and a lever lift.", "b": "Levers and *pulley* (Rolle), pulley.", "c": "No pulley; wheel and wheel.", "d": "crank (Kurbel)",
+    }
+
+
+def test_import_by_profile(spark):
+    current = spark.createDataFrame([(1, "en", "user_edited", "mine", 1)], "segment_id long, lang string, status string, text string, version int")
+    results = spark.createDataFrame([(1, "en", "new  text", 0.9, None), (2, "en", "a  lever", 0.8, None), (3, "en", "gone `x`", 0.9, None), (4, "en", "fine", 0.9, "low")], "segment_id long, lang string, text string, confidence double, flag string")
+    sources = spark.createDataFrame([(k, 1, k, "p", "quelle") for k in (1, 2, 3, 4)], "segment_id long, chapter int, ord long, type string, src string")
+
+    def run(**options):
+        out = Q.import_results(current, results, sources, "en", **options)
+        return {r.segment_id: (r.status, r.text) for r in out.translations.collect()}, {(r.segment_id, r.code) for r in out.flags.collect()}
+
+    texts, flags = run(profile="best")
+    assert texts == {1: ("user_edited", "mine"), 2: ("flagged", "a lever"), 3: ("flagged", "gone `x`"), 4: ("flagged", "fine")}
+    assert flags == {(2, "low_confidence"), (3, "markup"), (4, "editor")}
+    assert run(profile="balanced")[0][2] == ("final", "a lever")
+    assert {s for s, _ in run(task="translate")[0].values()} == {"user_edited", "drafted"}
+    texts, flags = run(task="translate", profile="economy")
+    assert texts[3][0] == "flagged" and texts[4][0] == "final" and flags == {(3, "markup")}
+    terms = spark.createDataFrame([("t", "Hebel", "lever", "concept", "first_in_chapter")], "term_id string, src string, tgt string, kind string, policy string")
+    assert run(terms=terms)[0][2][1] == "a lever (Hebel)"
+
+
+def test_running_heads(spark):
+    rows = [(p, 10.0, "Levers and Loads", 9.0) for p in range(2)] + [(p, 60.0 + 14 * k, f"Body line {p} {k}", 10.0) for p in range(8) for k in range(6)]
+    rows += [(0, 100.0, "LEVERS AND LOADS", 18.0), (2, 580.0, "- 3 -", 9.0), (3, 580.0, "xii", 9.0), (4, 10.0, "12   Old Machines", 9.0), (5, 10.0, "13   Old Machines", 9.0), (6, 10.0, "Only here", 9.0)]
+    lines = spark.createDataFrame([("d", p, y, 50.0, 90.0, t, s) for p, y, t, s in rows], "doc_id string, page int, y double, x0 double, x1 double, text string, size double")
+    ranges = spark.createDataFrame([("d", 0, 3), ("d", 4, 7)], "doc_id string, start int, end int")
+    kept, printed = G.remove_headers_footers(lines, 600.0, ranges=ranges)
+    texts = {r.text for r in kept.collect()}
+    assert {"Only here", "LEVERS AND LOADS"} <= texts and len(texts) == 50
+    assert {r.page: r.printed for r in printed.collect()} == {2: "3", 3: "xii", 4: "12", 5: "13"}
+
+
+def test_titles_over_two_blocks(spark):
+    entries = spark.createDataFrame([("d", 0, "3 the mechanical advantage of levers", 0), ("d", 1, "loads", 1)], "doc_id string, lid int, title string, page int")
+    blocks = spark.createDataFrame([("d", 0, "loads", 0, "heading", 1), ("d", 1, "the mechanical advantage", 0, "heading", 3), ("d", 2, "of levers", 0, "heading", 2), ("d", 3, "loads", 1, "paragraph", 1)], "doc_id string, rid long, title string, page int, type string, words int")
+    got = [(r.lid, r.rid, r.score) for r in J.similar_titles(entries, blocks).orderBy("lid").collect()]
+    assert got == [(0, 1, 1.0), (1, 3, 0.9)]
+
+
+def test_sentences(spark):
+    texts = ['One. Two! "Three?" Four', "a.b c…  d\ne", " ", "فارسی؟ بله."]
+    assert values(spark, texts, T.sentences) == [["One.", "Two!", '"Three?"', "Four"], ["a.b c…", "d", "e"], [], ["فارسی؟", "بله."]]
+
+
+def test_reading_search(spark):
+    from vellumspark.operators import search as S
+
+    rows = [(1, "n1", 1, 0, "source", "The *lever* moves loads"), (2, "n1", 1, 1, "source", "a load moves the lever"), (3, "n2", 2, 0, "source", "levers: the lever moves, the lever moves"), (3, "n2", 2, 0, "target", "el lever moves"), (4, "n3", 3, 0, "target", "LEVÉR MOVES")]
+    segments = spark.createDataFrame(rows, "seg_id long, node string, node_pos int, ord int, side string, text string")
+    asked = spark.createDataFrame([(1, "Lever  mov"), (2, "l")], "query_id int, query string")
+    terms = spark.createDataFrame([("t1", "lever move", "x"), ("t2", "lever", "y"), ("t3", "a", "Lever moves")], "term_id string, src string, tgt string")
+    hits, glossary = S.prefix_search(segments, asked, terms)
+    assert sorted((r.node, r.seg_id, r.side, r.found) for r in hits.collect()) == [("n1", 1, "source", 1), ("n2", 3, "source", 2), ("n2", 3, "target", 1), ("n3", 4, "target", 1)]
+    assert {r.term_id for r in glossary.collect()} == {"t1", "t3"}
+    hits, _ = S.prefix_search(segments, asked, shown=2)
+    assert {r.node for r in hits.collect()} == {"n1", "n2"}

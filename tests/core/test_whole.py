@@ -106,22 +106,20 @@ def reading_order(lines):
 
 
 def test_reading_order_of_all_lines(spark, sf):
-    pages = {}
-    for doc in A.table(spark, sf, "documents").collect():
-        texts = doc.text.split("\n")
-        for page in range(0, len(texts), 40):
-            part = texts[page : page + 40]
-            wide, at = max(map(len, part)) * 5 + 20, []
-            for k, text in enumerate(part):
-                o, x0, x1 = page + k, 50, 50 + 5 * len(text)
-                if doc.doc_id % 2 == 0:
-                    if o % 10 == 0:
-                        x1 = 50 + 2 * wide
-                    elif o % 2 == 1:
-                        x0, x1 = x0 + 1.1 * wide, x1 + 1.1 * wide
-                at.append((o, 14 * k, x0, x1))
-            pages[doc.doc_id, page] = reading_order(at)
-    want = sorted((doc, o, *v) for (doc, _), found in pages.items() for o, v in found.items())
+    pages, found = {}, {}
+    for r in A.lines(spark, sf).collect():
+        pages.setdefault((r.doc_id, r.page), []).append(r)
+    for (doc, page), rows_ in pages.items():
+        wide, at = max(r.x1 - r.x0 for r in rows_) + 20, []
+        for r in rows_:
+            x0, x1 = r.x0, r.x1
+            if doc % 2 == 0 and r.ord % 10 == 0:
+                x1 = x0 + 2 * wide
+            elif doc % 2 == 0 and r.ord % 2 == 1:
+                x0, x1 = x0 + 1.1 * wide, x1 + 1.1 * wide
+            at.append((r.ord, r.y, x0, x1))
+        found[doc, page] = reading_order(at)
+    want = sorted((doc, o, *v) for (doc, _), page in found.items() for o, v in page.items())
     got = sorted((r.doc_id, r.ord, r.column, r.pos) for r in registry.QUERIES["win10_reading_order"](spark, sf).collect())
     assert got == want and {r[2] for r in got} == {0, 1, 2}
     assert len(got) == A.segments(spark, sf).count()
@@ -194,45 +192,44 @@ def emphasis(text, strong, em):
 
 
 def test_markup_of_every_document(spark, sf, tmp_path):
-    from vellumspark.queries import details, search
+    from pyspark.sql import functions as F
+
+    from vellumspark.functions import text as T
 
     docs = {r.doc_id: r.text for r in A.table(spark, sf, "documents").collect()}
     assert any("*" in t for t in docs.values())
     plain, html = {}, {}
     for k, text in docs.items():
         x = re.sub(r"\[\^[^\]\s]+\]|\[\[(?:fig|tab):[^\]\s]+\]\]", "", re.sub("`([^`]+)`", r"\1", text))
-        plain[k] = len(emphasis(x, r"\1", r"\1"))
+        plain[k] = emphasis(x, r"\1", r"\1")
         x = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
         x = emphasis(re.sub("`([^`]+)`", r"<code>\1</code>", x), r"<strong>\1</strong>", r"<em>\1</em>")
         html[k] = re.sub(r"\[\^([^\]\s]+)\]", r"<sup>\1</sup>", x)
-    assert {r.doc_id: r.n for r in search.strip(spark, sf).collect()} == plain
-    assert {r.doc_id: r.html for r in details.markup(spark, sf).collect()} == html
-    texts = ["**b** *i* `c` [^1] [[fig:x]]", r"\*not\*", "none"]
-    pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": texts}), f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.n for r in search.strip(spark, str(tmp_path)).collect()} == {1: len("b i c  "), 2: len("*not*"), 3: 4}
-    got = {r.doc_id: r.html for r in details.markup(spark, str(tmp_path)).collect()}
-    assert got[1] == "<strong>b</strong> <em>i</em> <code>c</code> <sup>1</sup> <span>fig x</span>"
+    table = A.table(spark, sf, "documents")
+    assert {r.doc_id: r.plain for r in table.select("doc_id", T.strip_markup(F.col("text")).alias("plain")).collect()} == plain
+    assert {r.doc_id: r.html for r in table.select("doc_id", T.markup_to_html(F.col("text")).alias("html")).collect()} == html
 
 
 def shape(line):
     x = re.sub("[0-9]+", "#", line.lower())
-    return re.sub(r"\s+", " ", re.sub(r"\b[ivxlc]+\b", "#", x), flags=re.A).strip(" ")
+    return re.sub(r"\s+", " ", re.sub(r"\b[ivxlcdm]{1,7}\b", "#", x, flags=re.A), flags=re.A).strip(" ")
 
 
 def test_header_patterns_of_every_line(spark, sf):
+    from vellumspark.operators import aggregates as G
+
     count, pages, total = Counter(), {}, {}
-    for r in A.table(spark, sf, "documents").collect():
-        for k, line in enumerate(r.text.split("\n")):
-            count[shape(line)] += 1
-            total.setdefault(r.doc_id, set()).add(k // 40)
-            zone = "top" if k % 40 * 14 < 48 else "bottom" if k % 40 * 14 > 552 else None
-            if zone and shape(line):
-                pages.setdefault((r.doc_id, zone, shape(line)), set()).add(k // 40)
+    for r in A.lines(spark, sf).collect():
+        count[shape(r.text)] += 1
+        total.setdefault(r.doc_id, set()).add(r.page)
+        zone = "top" if r.y <= 48 + r.size else "bottom" if r.y >= 552 else None
+        if zone and shape(r.text):
+            pages.setdefault((r.doc_id, zone, shape(r.text)), set()).add(r.page)
     assert any(not k.isascii() for k in count)
     got = registry.QUERIES["txt8_header_pattern"](spark, sf).collect()
     assert {r.pattern: r.n for r in got} == count and len(got) == len(count)
     repeated = {(*k, len(v)) for k, v in pages.items() if len(v) >= 2 and len(v) >= 0.25 * len(total[k[0]])}
-    assert {(r.doc_id, r.zone, r.pattern, r.pages) for r in registry.QUERIES["agg7_repeating_margin_lines"](spark, sf).collect()} == repeated
+    assert {(r.doc_id, r.zone, r.pattern, r.pages) for r in G.repeating_margin_lines(A.lines(spark, sf), 600.0).collect()} == repeated
 
 
 def test_structure_keeps_sharp_s(spark, sf):
@@ -261,16 +258,80 @@ def test_quality_codes_of_every_pair(spark, tmp_path):
     talk = {
         1: ("See `code` here", "See here", {"markup"}),
         2: ("Plain words", "go on go on go on go on", {"repetition"}),
-        3: ("Plain words", "Other words", {"numbers"}),
+        3: ("Plain words", "Other words", set()),
         4: ("Room 5", "Room", {"numbers"}),
         5: ("Visit https://a.example/b [^1]", "Visit", {"markup"}),
-        7: ("`x` 9", "gone", {"empty"}),
+        7: ("`x` 9", "gone", {"markup", "numbers"}),
         8: ("Room 5 at https://a.example/b", "Room 5 at https://a.example/b", set()),
     }
     flat = [(k, t, ("user", "assistant")[t], talk[k][t]) for k in talk for t in (0, 1)]
     pq.write_table(pa.table({n: list(v) for n, v in zip(("conv_id", "turn", "role", "text"), zip(*flat))}), f"{tmp_path}/conversations.parquet")
-    got = Counter((r.conv_id, r.code) for r in registry.QUERIES["job4_quality_check"](spark, str(tmp_path)).collect())
+    from vellumspark.plans import quality as Q
+
+    got = Counter((r.conv_id, r.code) for r in Q.quality_check(A.pairs(spark, str(tmp_path)), ["conv_id", "turn"], "en").collect())
     assert got == Counter((k, c) for k, (_, _, codes) in talk.items() for c in codes)
     # Batches divisible by five are never returned; batch 1 comes twice. The pair checks run on what was returned.
     got = Counter((r.batch_id, r.code) for r in registry.QUERIES["job6_validate_results"](spark, str(tmp_path)).collect())
     assert got == Counter([("1", "duplicate"), ("1", "markup"), ("2", "repetition"), ("4", "numbers"), ("5", "missing"), ("7", "markup"), ("7", "numbers")])
+
+
+def test_terms_of_batches_and_contexts(spark, sf):
+    """Which dictionary terms stand in the texts that a batch or a question shows, by plain word lists."""
+    from vellumspark.queries import jobs, terms
+
+    words = {r.src for r in terms.dictionary(spark, sf).collect()}
+
+    def stem(w):
+        x = re.sub("['’]s?$", "", w.lower())
+        return x[:-3] + "y" if x.endswith("ies") and len(x) > 3 else re.sub("(?:es|s|e)$", "", x)
+
+    best = {}
+    for w in words:
+        best[stem(w)] = max(best.get(stem(w), ""), w, key=lambda x: (len(x), x))
+
+    def held(text):
+        return {best[stem(w)] for w in re.findall(r"(?:[^\W_]|['’-])+", text) if stem(w) in best}
+
+    context = jobs.C.retrieval_context(jobs._questions(spark, sf), jobs._passages(spark, sf)).collect()
+    want = {}
+    for r in jobs._questions(spark, sf).collect():
+        want.setdefault(r.query_id, set()).update(held(r.query))
+    for r in context:
+        want.setdefault(r.query_id, set()).update(held(r.text))
+    got = {}
+    for r in registry.QUERIES["job9_glossary_present"](spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.term_id)
+    assert got == {k: v for k, v in want.items() if v} and got
+    batches = {r.doc_id: r for r in jobs._batches(spark, sf).collect()}
+    terms_of = {r.doc_id: r for r in registry.QUERIES["job8_batch_terms"](spark, sf).collect()}
+    assert batches.keys() == terms_of.keys()
+    docs = {r.doc_id: r.text.split("\n") for r in A.table(spark, sf, "documents").collect()}
+    for k, b in batches.items():
+        assert set(terms_of[k].glossary) == set().union(*(held(i.src) for i in b["items"]))
+        first = min(int(v) - 10_000 * k for v in b.key_map.values())
+        assert set(terms_of[k].introduced) == (set().union(*map(held, docs[k][:first])) if k % 3 == 0 else set())
+
+
+def test_layout_loses_no_words(spark, sf):
+    """Words of all blocks are those of the lines less running heads, but for hyphens at line ends; labels and nodes are whole."""
+    from pyspark.sql import functions as F
+
+    from vellumspark.operators import aggregates as G
+    from vellumspark.operators import windows as W
+    from vellumspark.queries import layout
+
+    out, lines = layout.laid_out(spark, sf), A.lines(spark, sf).where("text <> ''")
+    outline = lines.where("ord % 200 = 0 and trim(text) <> ''")
+    ranges = W.chapter_ranges(outline.select("doc_id", "page"), lines.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count")))
+    kept = {}
+    for r in G.remove_headers_footers(lines, 600.0, outline.select("doc_id", F.col("text").alias("title")), ranges)[0].collect():
+        kept[r.doc_id] = kept.get(r.doc_id, "") + r.text
+    bare = lambda t: Counter(re.sub(r"[\s-]|[^\x00-\x7f]", "", t))
+    shown = {}
+    for r in out.segments.collect():
+        shown[r.doc_id] = shown.get(r.doc_id, "") + r.text
+    assert {k: bare(v) for k, v in shown.items() if bare(v)} == {k: bare(v) for k, v in kept.items() if bare(v)}
+    nodes = {(r.doc_id, r.node_id) for r in out.nodes.collect()}
+    assert {(r.doc_id, r.node_id) for r in out.segments.select("doc_id", "node_id").collect()} <= nodes
+    assert out.labels.count() == A.lines(spark, sf).where("trim(text) <> ''").select("doc_id", "page").distinct().count()
+    assert out.report.count() == len(shown)

@@ -79,8 +79,8 @@ def term_candidates(texts: DataFrame, key: str = "doc_id", col: str = "text") ->
 
 
 def surface_form(tallies: DataFrame) -> DataFrame:
-    """Tallies by term with their most frequent writing; the one seen first wins ties."""
-    first = F.min_by("form", F.struct((-F.col("n")).alias("m"), "place"))
+    """Tallies by term with their most frequent writing; the one seen first wins ties, at one place the marked one."""
+    first = F.min_by("form", F.struct((-F.col("n")).alias("m"), "place", (-F.col("bonus")).alias("b"), "form"))
     return tallies.groupBy("key").agg(F.sum("n").alias("n"), F.max("words").alias("words"), F.max("bonus").alias("bonus"), first.alias("form"))
 
 
@@ -272,7 +272,7 @@ def mentions_with_notes(segments: DataFrame, terms: DataFrame, language: str = "
     j = j.withColumn("note_at", F.col("_end") + F.char_length(F.regexp_extract(rest("_end"), r"^\*{1,2}(?![\p{L}\p{N}])", 0)))
     quoted = F.array_join(F.transform(F.split(F.trim("src"), r"\s+"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
     pattern = F.concat(F.lit("(?iu)^\\s*\\(\\s*\\*{0,2}(?:"), quoted, F.lit(")(?:s|es)?\\*{0,2}\\s*\\)"))
-    return j.select("segment_id", "chapter", "ord", "start", "term_id", "src", "note_at", F.regexp_extract(rest("note_at"), pattern, F.lit(0)).alias("note"))
+    return j.select("segment_id", "chapter", "ord", "start", "term_id", "src", "note_at", F.call_function("regexp_extract", rest("note_at"), pattern, F.lit(0)).alias("note"))
 
 
 def first_mention_texts(segments: DataFrame, terms: DataFrame, language: str = "en", introduced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

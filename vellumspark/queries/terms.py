@@ -142,7 +142,7 @@ MINED = f"""{PLURALS}, gf AS (SELECT doc_id::VARCHAR AS d, c, i, 1 AS n, lower(w
   UNION ALL SELECT doc_id::VARCHAR, c, i, 4, lower(w1 || ' ' || w2 || ' ' || w3 || ' ' || w4) FROM ld WHERE length(w1) >= 2 AND length(w2) >= 2 AND length(w3) >= 2 AND length(w4) >= 2 AND lower(w1) NOT IN ({STOP}) AND lower(w4) NOT IN ({STOP})
   UNION ALL SELECT doc_id::VARCHAR, c, min(i), 0, string_agg(w1, ' ' ORDER BY i) FROM im WHERE cap GROUP BY doc_id, c, g HAVING count(*) >= 2 OR min(i) > 0
   UNION ALL SELECT doc_id::VARCHAR, c, i, 0, w1 FROM ew WHERE regexp_matches(w1, '^\\p{{Lu}}{{2,}}\\p{{N}}*$')),
-fm AS (SELECT key, form FROM (SELECT lower(form) AS key, form, row_number() OVER (PARTITION BY lower(form) ORDER BY count(*) DESC, min((d, c, i))) AS k FROM gf GROUP BY form) WHERE k = 1),
+fm AS (SELECT key, form FROM (SELECT lower(form) AS key, form, row_number() OVER (PARTITION BY lower(form) ORDER BY count(*) DESC, min((d, c, i)), min(n)) AS k FROM gf GROUP BY form) WHERE k = 1),
 mf AS (SELECT coalesce(k.key, sg.key) AS key, arg_max(fm.form, (sg.key = coalesce(k.key, sg.key), sg.n, fm.form)) AS form FROM sg LEFT JOIN tm k ON k.key = sg.target JOIN fm ON fm.key = sg.key GROUP BY 1),
 lr AS (SELECT words, n, string_split(key, ' ') AS l FROM sc WHERE words > 1),
 rn AS (SELECT array_to_string(l[i : i + k - 1], ' ') AS key, max(n) AS big FROM lr, (SELECT unnest(range(1, 4)) AS k), (SELECT unnest(range(1, 5)) AS i) WHERE k < words AND i + k - 1 <= words GROUP BY 1),
