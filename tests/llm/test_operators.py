@@ -131,6 +131,26 @@ def test_near_duplicates(spark, sf, edge, clashing):
     assert near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_contract_on_more_documents(spark):
+    more = "/root/testdata/sf0.01"
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op3_near_duplicates(spark, more).collect()}
+    want = brute.near(docs_of(spark, more), 3, 85)
+    linked = [k for k, v in want.items() if not v[2]]
+    assert linked and sum(got[k] == want[k] for k in linked) == len(linked) and got == want
+
+
+def test_skewed_joins(spark):
+    from vellumspark.llm.skew import join_counted, join_dealt
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("k"), "id")
+    rows = rows.union(spark.createDataFrame([(None, -1)], "k long, id long"))
+    keyed = spark.range(0, 6000, 2).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    counted = keyed.join(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    want = sorted((r.k, r.id, r.v) for r in rows.join(keyed, "k").collect())
+    for out in (join_counted(rows, counted, ["k"], least=10), join_counted(rows, counted, ["k"], least=10**6), join_dealt(rows, keyed, "k", "id", "u", per=100), join_dealt(rows, keyed, "k", "id", "u", per=10**6)):
+        assert sorted((r.k, r.id, r.v) for r in out.select("k", "id", "v").collect()) == want
+
+
 def test_near_duplicates_without_a_common_centre(spark):
     """Copies that are each close to one text in the middle of the ids, but not to the smallest or largest id."""
     base = [f"w{i}" for i in range(200)]
@@ -158,6 +178,9 @@ def test_quality(spark, sf, clashing):
     model = quality.train(docs, labels.where(~quality.held_out()))
     scores = quality.score(docs, model).join(labels, "doc_id").where(quality.held_out()).collect()
     assert sum(r.predicted == r.quality for r in scores) >= 0.9 * len(scores)
+    by_label = {k: [r.score for r in scores if r.quality == k] for k in (0, 1)}
+    pairs = [(a > b) + (a == b) / 2 for a in by_label[1] for b in by_label[0]]
+    assert sum(pairs) >= 0.95 * len(pairs)
     rows = quality.score(clashing, model).collect()
     assert len(rows) == clashing.count() and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(docs.limit(0), model).count() == 0
@@ -181,7 +204,7 @@ def test_scores_equal_a_plain_forward_pass(spark, sf, edge):
             at.append(xxhash.xxh3_64_intdigest("w" + w) % rows)
             at += [xxhash.xxh3_64_intdigest("3" + f"<{w}>"[i : i + 3]) % rows for i in range(len(w))]
         for a, b in zip(words, words[1:]):
-            m = (xxhash.xxh3_64_intdigest("w" + a) * int(quality.MIX) + xxhash.xxh3_64_intdigest("w" + b)) % 2**64
+            m = 1 if a == b else (xxhash.xxh3_64_intdigest("w" + a) * int(quality.MIX) + xxhash.xxh3_64_intdigest("w" + b)) % 2**64
             at.append((((m ^ (m >> 29)) * int(quality.MIX)) % 2**64 >> 32) % rows)
         vector = model.table[at].astype(np.float64).mean(axis=0) if at else np.zeros(model.table.shape[1])
         logits = model.output @ vector + model.bias

@@ -29,5 +29,10 @@ def test_stages_return_the_columns_of_documents(spark, sf):
         assert stage(spark, docs, sf).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), sf).count() == 0
     odd = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text"))).withColumn("source", F.lit(None).cast("string"))
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, sf).count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        null = out.where("text is null").count()
+        assert out.count() > 0 and (null > 0 or name == "quality_classifier"), name
+    mixed = corpus_pipeline.source_mixing(spark, odd, sf)
+    # One source of all rows: one pass of each document, null texts among them with no tokens.
+    assert mixed.count() == odd.count() and mixed.where("text is null and n_tokens = 0").count() == odd.where("text is null").count()

@@ -1,7 +1,7 @@
 """Quality classifier: averaged subword embeddings with a softmax output, trained by stochastic gradient descent in numpy.
 
-A text's features are its words, their character n-grams and its pairs of neighbouring words, hashed to a fixed number of
-rows of an embedding table; the document vector is the average of their embeddings. Training runs on a bounded sample of labelled
+A text's features are its words, their character n-grams and its pairs of neighbouring words (a word repeated at once is one
+feature, whatever the word), hashed to a fixed number of rows of an embedding table; the document vector is the average of their embeddings. Training runs on a bounded sample of labelled
 documents. Scoring covers every whole text in one scan: because average and output layer are linear, each row of the
 table is folded to its share of the final logit, and a word's shares are summed once and kept.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 NGRAMS = (3,)
 LONG = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
+REPEATED = np.uint64(1)
 
 
 def word_rows(word: str, rows: int) -> Iterator[int]:
@@ -37,8 +38,12 @@ def word_hash(word: str) -> int:
 
 
 def pair_rows(hashes: np.ndarray, rows: int) -> np.ndarray:
-    """Table rows of all pairs of neighbouring words, from the words' hashes."""
-    mixed = hashes[:-1] * MIX + hashes[1:]
+    """Table rows of all pairs of neighbouring words, from the words' hashes.
+
+    A word that is said twice running is one feature whatever the word, as in tokenizers that mark repetition.
+    """
+    a, b = hashes[:-1], hashes[1:]
+    mixed = np.where(a == b, REPEATED, a * MIX + b)
     return ((mixed ^ (mixed >> np.uint64(29))) * MIX >> np.uint64(32)) % np.uint64(rows)
 
 
