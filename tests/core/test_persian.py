@@ -31,6 +31,13 @@ def run(spark, texts, **options):
     return [r.t.replace(J, "~") for r in once.orderBy("k").collect()], [r.t.replace(J, "~") for r in twice.orderBy("k").collect()]
 
 
+def test_no_run_is_too_long(spark):
+    latin = "word, " * 2999 + "word"
+    text = f"متن {latin} متن, و 1,200,300,400,500,600,700,800,900 تا"
+    once, twice = run(spark, [text])
+    assert once == [f"متن {latin} متن، و ۱٬۲۰۰٬۳۰۰٬۴۰۰٬۵۰۰٬۶۰۰٬۷۰۰٬۸۰۰٬۹۰۰ تا"] and twice == once
+
+
 def test_rules_and_second_pass(spark):
     once, twice = run(spark, [a for a, _ in PLAIN])
     assert [(a, g) for (a, w), g in zip(PLAIN, once) if g != w] == []

@@ -28,9 +28,9 @@ LETTER = "[ء-غف-يپچژکگیۀ]"
 AFTER, BEFORE = r"(?![\p{L}\p{M}])", rf"(?<![\p{{L}}\p{{M}}{J}])"
 HELD, NOTE = "\ue000", "\uf000"
 WORD = rf"[\p{{L}}\p{{M}}{HELD}]"
-# Possessive and bounded, so that long Latin texts neither backtrack nor nest deeply.
-LATIN = r"(?=[0-9]*+\p{IsLatin})[\p{IsLatin}0-9]++(?:['’.\-][\p{IsLatin}0-9]++){0,20}+"
-RUN = rf"{LATIN}(?:[ ,.:/&+\-]++(?:{LATIN}|[0-9]++(?:[.,][0-9]++){{0,9}}+)){{0,200}}+[+#]*"
+# Possessive, so that Latin texts of any length neither backtrack nor nest deeply.
+LATIN = r"(?=[0-9]*+\p{IsLatin})[\p{IsLatin}0-9]++(?:['’.\-][\p{IsLatin}0-9]++)*+"
+RUN = rf"{LATIN}(?:[ ,.:/&+\-]++(?:{LATIN}|[0-9]++(?:[.,][0-9]++)*+))*+[+#]*"
 FOOTNOTE = r"\[\^[A-Za-z0-9_-]+\]"
 PROTECTED = rf"`[^`\n]+`|{FOOTNOTE}|\[\[(?:fig|tab):[^\]\s]+\]\]|https?://[^\s<>«»\"]*[^\s<>«»\".,;:!?)”’؟،؛]|{RUN}"
 PRESENTATION = re.compile("[ﭐ-﷿ﹰ-﻿]")
@@ -62,7 +62,7 @@ def _rules(ezafe: str, digits: str, segment_type: str) -> list[tuple[str, str]]:
     else:
         out += [(rf"ه(?:{J}| +)ی{AFTER}", "هٔ")]
     if digits != "latin":
-        out += [(r"(?<=(?<![\d.,٫٬])\d{1,3}(?:,\d{3}){0,5}),(?=\d{3}(?:,\d{3})*(?!\d|[.,]\d))", "٬")]
+        out += [(r"(\G(?!^)\d{3}|(?<![\d.,٫٬])\d{1,3}),(?=\d{3}(?:,\d{3})*+(?!\d|[.,]\d))", "$1٬")]
         if segment_type not in ("heading", "caption"):
             out += [(rf"(?<![\d.])(?<!(?:{'|'.join(LABELS)})[ {J}]{{0,3}})(\d+)\.(\d+)(?![.\d])", "$1٫$2")]
         out += [(r"(\d)\s?%", "$1٪")]
