@@ -23,6 +23,12 @@ def _class(form: str) -> str:
     return _ranges(changed)
 
 
+def _holds(c: Column, characters: str) -> Column:
+    """Whether a text holds a character of the class; one range tells most texts apart before the many are tried."""
+    first = re.match(r"\[(\\x\{[0-9a-f]+\})", characters)[1]
+    return c.rlike(f"[{first}-\\x{{10ffff}}]") & c.rlike(characters)
+
+
 def _ranges(codes: list[int]) -> str:
     out, start = [], None
     for k, after in zip(codes, [*codes[1:], -1]):
@@ -40,7 +46,7 @@ def _form(name: str):
 
     def of(c: Column) -> Column:
         # Only texts that the form may change go to Python; of the others it gets nulls.
-        touched = c.rlike(_class(name))
+        touched = _holds(c, _class(name))
         return F.when(touched, normal(F.when(touched, c))).otherwise(c)
 
     return of
@@ -72,7 +78,7 @@ def _folding() -> tuple[str, str, str]:
 def without_marks(c: Column) -> Column:
     """A text taken apart by NFD, without MARKS. Texts of one-to-one letters stay in the JVM; ASCII texts are left alone."""
     source, target, other = _folding()
-    hard = c.rlike(other)
+    hard = _holds(c, other)
     whole = F.regexp_replace(nfd(F.when(hard, c)), MARKS, "")
     return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(hard, whole).otherwise(F.regexp_replace(F.translate(c, source, target), MARKS, ""))
 
