@@ -65,6 +65,7 @@ def repeating_margin_lines(lines: DataFrame, page_height: float, ranges: DataFra
     return n.join(often, ["doc_id", "zone", "pattern"], "left").where(whole | F.col("_often")).drop("all_pages", "_often")
 
 
+# Fixed value: what a lone page number looks like.
 LONE_NUMBER = r"(?i)^(?:page\s+)?[-–—\s]*(?:\d{1,4}|[ivxlcdm]{1,7})[-–—\s]*$"
 
 

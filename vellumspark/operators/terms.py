@@ -271,6 +271,7 @@ def mentions_with_notes(segments: DataFrame, terms: DataFrame, language: str = "
     rest = lambda c: F.substring("text", F.col(c) + 1, F.char_length("text"))
     j = j.withColumn("note_at", F.col("_end") + F.char_length(F.regexp_extract(rest("_end"), r"^\*{1,2}(?![\p{L}\p{N}])", 0)))
     quoted = F.array_join(F.transform(F.split(F.trim("src"), r"\s+"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    # Fixed value: the form of a note, which may have emphasis marks and a plural ending.
     pattern = F.concat(F.lit("(?iu)^\\s*\\(\\s*\\*{0,2}(?:"), quoted, F.lit(")(?:s|es)?\\*{0,2}\\s*\\)"))
     return j.select("segment_id", "chapter", "ord", "start", "term_id", "src", "note_at", F.call_function("regexp_extract", rest("note_at"), pattern, F.lit(0)).alias("note"))
 
