@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm import hamming, mixing, quality, store, warcstore
 from vellumspark.llm.decontam import decontaminate
+from vellumspark.llm.golay import fuzzy_classes
 from vellumspark.llm.linededup import line_dedup
+from vellumspark.llm.metrictree import vector_codes
 from vellumspark.llm.neardup import near_duplicates
+from vellumspark.llm.periodic import periodic_runs
 from vellumspark.llm.siteextract import extract_pages
 from vellumspark.llm.substring import substring_dedup
 from vellumspark.llm.tokens import token_counts
@@ -80,6 +83,36 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fuzzy_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_classes(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of which repeat a period of their own from some word on to the end, as op13's contract has it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id as string)) div 10").alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    placed = split.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, cast(a as int) + 1, p), cast(ceil((n - a) / p) as int))), 1, cast(n - a as int))")
+    made = F.array_join(F.concat(F.expr("slice(w, 1, cast(a as int))"), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("longest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("(1000 * longest.length) div longest.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -91,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_hamming_topk": op9_hamming_topk,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fuzzy_hashing": op11_fuzzy_hashing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
