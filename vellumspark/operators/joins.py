@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from vellumspark.functions import lang
 from vellumspark.functions import text as T
+from vellumspark.staging import staged
 
 
 def segment_text(translations: DataFrame, segments: DataFrame) -> DataFrame:
@@ -43,16 +44,59 @@ def translation_memory(todo: DataFrame, done: DataFrame) -> tuple[DataFrame, Dat
     return joined.where(hit).select("segment_id", F.col("m.segment_id").alias("from_id"), F.col("m.tgt").alias("tgt")), joined.where(~F.coalesce(hit, F.lit(False))).select("segment_id")
 
 
-def dice(left: DataFrame, right: DataFrame, on: list[str], title: str = "title") -> DataFrame:
-    """Bigram Dice score of all titles that share a document (columns `on`) and a bigram; ids lid and rid.
+# Bigrams are counted in so many classes to tell rare from common ones: a bounded table.
+RARITY = 1024
 
-    Only pairs with a common bigram meet; counts use multiplicity.
+
+def _rarity(gram: Column) -> Column:
+    return F.pmod(F.hash(gram), F.lit(RARITY))
+
+
+def _numbered(sorted_grams: str, make) -> Column:
+    """make(gram, k) for the k-th occurrence of every gram of a sorted list, so that a multiset becomes a set."""
+    return F.transform(sorted_grams, lambda x, i: make(x, i + 1 - F.array_position(sorted_grams, x)))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: float, title: str = "title") -> DataFrame:
+    """Pairs of titles with the same `on` whose bigram Dice score (with multiplicity) is `threshold` or more: on, lid, rid, score.
+
+    A score of t needs sizes within a ratio of t / (2 - t) and that share of the larger one's bigrams. So titles that no size
+    of the other side can match go first; of what is left only as many bigrams are exploded as must hold a common one (the
+    rarest by the other side's counts), and pairs that meet there are compared in full.
     """
-    grams = lambda d, i: d.select(*on, i, F.explode(T.bigrams(F.regexp_replace(title, " ", ""))).alias("g")).groupBy(*on, i, "g").agg(F.count("*").alias(f"n_{i}"))
-    a, b = grams(left, "lid"), grams(right, "rid")
-    size = lambda d, i: d.groupBy(*on, i).agg(F.sum(f"n_{i}").alias(f"size_{i}"))
-    shared = a.join(b, [*on, "g"]).groupBy(*on, "lid", "rid").agg(F.sum(F.least("n_lid", "n_rid")).alias("shared"))
-    return shared.join(size(a, "lid"), [*on, "lid"]).join(size(b, "rid"), [*on, "rid"]).select(*on, "lid", "rid", (2 * F.col("shared") / (F.col("size_lid") + F.col("size_rid"))).alias("score"))
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    ratio = threshold / (2 - threshold)
+
+    def sized(d: DataFrame, key: str) -> DataFrame:
+        z = F.regexp_replace(title, " ", "")
+        return staged(d.select(*on, key, z.alias("z"), (F.char_length(z) - 1).alias("n")).where("n > 0"), "titles")
+
+    def within(d: DataFrame, other: DataFrame) -> DataFrame:
+        span = other.groupBy(*on).agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+        return d.join(span, on).where((F.col("n") >= F.floor(ratio * F.col("_lo"))) & (ratio * F.col("n") <= F.col("_hi") + 1)).drop("_lo", "_hi")
+
+    a, b = sized(left, "lid"), sized(right, "rid")
+    a = within(a, b)
+    counted = b.select(F.explode(F.transform(T.bigrams(F.col("z")), _rarity)).alias("c")).groupBy("c").count().collect()
+    often = [0] * RARITY
+    for r in counted:
+        often[r["c"]] = r["count"]
+    often = F.split(F.lit(",".join(map(str, often))), ",").cast("array<long>")
+
+    def first(d: DataFrame, key: str, n: str) -> DataFrame:
+        ranked = _numbered("s", lambda x, k: F.struct(F.get(often, _rarity(x)).alias("often"), x.alias("g"), k.alias("k")))
+        least = (F.col("n") - F.ceil(ratio * F.col("n") - 1e-9) + 1).cast("int")
+        marked = d.select(*on, key, "n", F.array_sort(T.bigrams(F.col("z"))).alias("s"))
+        cut = marked.select(*on, key, F.col("n").alias(n), F.slice(F.array_sort(ranked), F.lit(1), least).alias("p"))
+        return cut.select(*on, key, n, F.explode("p").alias("p")).select(*on, key, n, "p.g", "p.k")
+
+    met = first(a, "lid", "_n").join(first(within(b, a), "rid", "_m"), [*on, "g", "k"])
+    near = met.where((F.col("_n") >= F.floor(ratio * F.col("_m"))) & (F.col("_m") >= F.floor(ratio * F.col("_n")))).select(*on, "lid", "rid").distinct()
+    full = near.join(a.select(*on, "lid", F.col("z").alias("x")), [*on, "lid"]).join(b.select(*on, "rid", F.col("z").alias("y")), [*on, "rid"])
+    full = full.select(*on, "lid", "rid", F.array_sort(T.bigrams(F.col("x"))).alias("x"), F.array_sort(T.bigrams(F.col("y"))).alias("y"))
+    same = F.array_intersect(_numbered("x", lambda g, k: F.concat(g, k.cast("string"))), _numbered("y", lambda g, k: F.concat(g, k.cast("string"))))
+    return full.select(*on, "lid", "rid", (2 * F.size(same) / (F.size("x") + F.size("y"))).alias("score")).where(F.col("score") >= threshold)
 
 
 def similar_titles(entries: DataFrame, blocks: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -67,13 +111,16 @@ def similar_titles(entries: DataFrame, blocks: DataFrame, threshold: float = 0.8
     after = Window.partitionBy("doc_id").orderBy("rid")
     two = near.select("doc_id", "rid", "page", "type", F.concat_ws(" ", "title", F.lead("title").over(after)).alias("title"), F.lead("title").over(after).alias("_next")).where("_next is not null").drop("_next")
     spans = near.select("doc_id", "rid", "page", "type", "title", F.lit(1).alias("span")).unionByName(two.withColumn("span", F.lit(2)))
-    spans = spans.withColumn("rid", F.struct(F.col("rid").cast("long").alias("rid"), "span"))
-    plain = lambda d: d.withColumn("title", T.strip_title_number(F.col("title")))
-    whole = dice(entries, spans, ["doc_id"])
-    bare = dice(plain(entries), plain(spans), ["doc_id"])
-    scores = whole.unionByName(bare).groupBy("doc_id", "lid", "rid").agg(F.max("score").alias("score"))
-    joined = scores.join(entries.select("doc_id", "lid", F.col("page").alias("p")), ["doc_id", "lid"]).join(spans.select("doc_id", "rid", "type", F.col("page").alias("q")), ["doc_id", "rid"])
-    fit = joined.where("q between p and p + 1").withColumn("score", F.round(F.col("score") - F.when(F.col("type") == "heading", 0.0).otherwise(0.1), 9)).where(F.col("score") >= threshold)
+    spans = spans.withColumn("rid", F.struct(F.col("rid").cast("long").alias("rid"), "span")).drop("span")
+    # A match begins on the entry's page or the next: pages are part of the key, and pages without entries go at once.
+    asked = entries.select("doc_id", "lid", F.explode(F.array(F.col("page"), F.col("page") + 1)).alias("page"), "title")
+    spans = staged(spans.join(asked.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"), "spans")
+    forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("title")), F.struct(F.lit(1).alias("form"), T.strip_title_number(F.col("title")).alias("title")))).alias("f")
+    both = lambda d, i: d.select("doc_id", "page", i, forms).select("doc_id", "page", i, "f.*")
+    # Rounding below must not lose a score that is the threshold but for the last digit.
+    scores = similar_pairs(both(asked, "lid"), both(spans, "rid"), ["doc_id", "page", "form"], threshold - 1e-8).groupBy("doc_id", "lid", "rid").agg(F.max("score").alias("score"))
+    joined = scores.join(spans.select("doc_id", "rid", "type"), ["doc_id", "rid"])
+    fit = joined.withColumn("score", F.round(F.col("score") - F.when(F.col("type") == "heading", 0.0).otherwise(0.1), 9)).where(F.col("score") >= threshold)
     fit = fit.select("doc_id", "lid", "rid.rid", "rid.span", "score")
 
     def ordered(key, frame):
@@ -103,7 +150,7 @@ def running_title_lines(lines: DataFrame, titles: DataFrame, page_height: float,
         small = small.where(in_margin(page_height, zone).isNotNull())
     named = small.select("doc_id", F.col("ord").alias("lid"), T.normalize_title(F.col("text")).alias("title"))
     known = titles.select("doc_id", "rid", T.normalize_title(F.col("title")).alias("title"))
-    found = dice(named, known, ["doc_id"]).where(F.col("score") >= threshold).select("doc_id", F.col("lid").alias("ord")).distinct()
+    found = similar_pairs(named, known, ["doc_id"], threshold).select("doc_id", F.col("lid").alias("ord")).distinct()
     return small.join(found, ["doc_id", "ord"], "left_semi")
 
 
@@ -151,11 +198,12 @@ def apply_overrides(base: DataFrame, overrides: DataFrame, keys: list[str]) -> D
 def superscript_hosts(lines: DataFrame) -> DataFrame:
     """Small raised items with the line they belong to: doc_id, page, item, host.
 
-    Items meet hosts of the same page through a bucket of y, two neighbours wide, not all lines of a page.
+    Items meet hosts of the same page through bands of y, of which a host has all that it reaches up to, not all lines of a page.
     """
-    bucket = F.floor(F.col("y") / 20)
-    small = lines.select("doc_id", "page", F.col("id").alias("item"), F.col("size").alias("s"), F.col("y").alias("sy"), F.col("x0").alias("sx"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    hosts = lines.select("doc_id", "page", F.col("id").alias("host"), F.col("size").alias("h"), F.col("y").alias("hy"), "x0", "x1", bucket.alias("b"))
+    band = lambda c: F.floor(c / 20)
+    small = lines.select("doc_id", "page", F.col("id").alias("item"), F.col("size").alias("s"), F.col("y").alias("sy"), F.col("x0").alias("sx"), band(F.col("y")).alias("b"))
+    reached = F.explode(F.sequence(band(F.col("y") - 0.6 * F.greatest(F.col("size"), F.lit(0.0))), band(F.col("y")))).alias("b")
+    hosts = lines.select("doc_id", "page", F.col("id").alias("host"), F.col("size").alias("h"), F.col("y").alias("hy"), "x0", "x1", reached)
     j = small.join(hosts, ["doc_id", "page", "b"]).where("item <> host and s < 0.85 * h and hy - sy between 0 and 0.6 * h and sx between x0 - 2 * s and x1 + 2 * s")
     return j.groupBy("doc_id", "page", "item").agg(F.min_by("host", F.struct(F.abs(F.col("hy") - F.col("sy")), "host")).alias("host"))
 

@@ -268,10 +268,13 @@ def infer_page_labels(pages: DataFrame, printed: DataFrame, supplied: DataFrame
     votes = n.groupBy("doc_id", "off").agg(F.count("*").alias("v")).where("v >= 2")
     best = votes.groupBy("doc_id").agg(F.max_by("off", F.struct("v", (-F.col("off")).alias("o"))).alias("off"))
     r = pages.join(best, "doc_id", "left").join(printed, ["doc_id", "page"], "left")
-    tens = F.array(*(F.lit(x) for x in ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc")))
-    ones = F.array(*(F.lit(x) for x in ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")))
     k = F.col("page") + 1
-    roman = F.concat(F.repeat(F.lit("c"), F.floor(k / 100).cast("int")), tens[(F.floor(k / 10) % 10).cast("int")], ones[(k % 10).cast("int")])
+
+    def places(one: str, five: str, ten: str, unit: int) -> Column:
+        forms = ("", one, 2 * one, 3 * one, one + five, five, five + one, five + 2 * one, five + 3 * one, one + ten)
+        return F.array(*map(F.lit, forms))[(F.floor(k / unit) % 10).cast("int")]
+
+    roman = F.concat(F.repeat(F.lit("m"), F.floor(k / 1000).cast("int")), places("c", "d", "m", 100), places("x", "l", "c", 10), places("i", "v", "x", 1))
     number = F.col("page") + F.col("off")
     label = F.when(F.col("off").isNull(), k.cast("string")).when(number >= 1, number.cast("string")).otherwise(F.coalesce("printed", roman))
     out = r.select("doc_id", "page", label.alias("label"))
@@ -295,7 +298,7 @@ def build_structure(blocks: DataFrame, entries: DataFrame | None = None, depth:
     if entries is not None:
         given = entries.select("doc_id", "ord", F.col("depth").cast(heads.schema["depth"].dataType), "title")
         heads = given.unionByName(heads.join(given.select("doc_id").distinct(), "doc_id", "left_anti"))
-    tree = parent_from_depth(heads, "doc_id", "ord", "depth", 7)
+    tree = parent_from_depth(heads, "doc_id", "ord", "depth")
     node_id = lambda *parts: content_hash(F.concat_ws("|", F.col("doc_id").cast("string"), *(p.cast("string") for p in parts)))
     nodes = tree.select("doc_id", node_id(F.col("ord")).alias("node_id"), F.when(F.col("parent_pos").isNotNull(), node_id(F.col("parent_pos"))).alias("parent_id"), F.col("ord").alias("pos"), "depth", "title", F.lit("section").alias("kind"))
     placed = assign_to_cut(blocks, heads.select("doc_id", "ord", F.col("ord").alias("cut")), "doc_id", "ord").withColumn("_key", F.coalesce("node_key", F.lit(-1)))

@@ -91,18 +91,31 @@ def prefix_hits(postings: DataFrame, queries: DataFrame, limit: int = 500) -> Da
     return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def prefix_search(segments: DataFrame, queries: DataFrame, terms: DataFrame | None = None, limit: int = 500, shown: int = 100) -> tuple[DataFrame, DataFrame]:
+def normalised(segments: DataFrame) -> DataFrame:
+    """Texts as reading search keeps them: place (seg_id and side), node, node_pos, ord and the normalised text."""
+    plain = T.normalize_for_search(T.strip_markup(F.col("text")))
+    return segments.select(F.struct("seg_id", "side").alias("place"), "node", "node_pos", "ord", "side", plain.alias("norm"))
+
+
+def prefix_search(segments: DataFrame | None, queries: DataFrame, terms: DataFrame | None = None, limit: int = 500, shown: int = 100, index=None) -> tuple[DataFrame, DataFrame]:
     """Reading search: (hits, glossary).
 
     segments hold seg_id, node, node_pos, ord, side and text. On each side the best `limit` texts by prefix hits are
     candidates; a candidate stays when its normalised text holds the normalised query as it is. hits are query_id, node,
     node_pos, seg_id, ord, side, found (how often) in node order, up to the node that reaches `shown` hits, which is kept
-    whole. glossary (query_id, term_id) are terms (term_id, src, tgt) whose text holds the query. Texts are normalised once.
+    whole. glossary (query_id, term_id) are terms (term_id, src, tgt) whose text holds the query. Texts are normalised once,
+    or not at all where index is a stored index of them (reading_index): then only postings of the prefixes are read.
     """
-    plain = T.normalize_for_search(T.strip_markup(F.col("text")))
-    known = staged(segments.select("seg_id", "node", "node_pos", "ord", "side", plain.alias("norm")), "normalised")
-    postings = known.select("seg_id", "side", F.explode(F.filter(F.split("norm", r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("term")).groupBy("term", "seg_id", "side").agg(F.count("*").alias("tf"))
     asked = staged(queries.withColumn("q", T.normalize_for_search(F.col("query"))).where(F.char_length("q") >= 2), "queries")
+    if index is None:
+        known = staged(normalised(segments), "normalised")
+        postings = known.select("place", "side", F.explode(F.filter(F.split("norm", r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("term")).groupBy("term", "place", "side").agg(F.count("*").alias("tf"))
+        postings = postings.withColumn("seg_id", F.col("place.seg_id"))
+    else:
+        known = index.texts().withColumnRenamed("seg_id", "place")
+        wanted = asked.select(F.explode(F.filter(F.split("q", r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("prefix"))
+        postings = staged(index.prefix_postings(wanted).select("term", "side", F.col("seg_id.seg_id").alias("seg_id"), "tf"), "postings")
+    known = known.withColumn("seg_id", F.col("place.seg_id"))
     both = None
     for side in ("source", "target"):
         found = prefix_hits(postings.where(F.col("side") == side), asked.select("query_id", "query"), limit).select("query_id", "seg_id", F.lit(side).alias("side"))
@@ -123,3 +136,10 @@ def prefix_search(segments: DataFrame, queries: DataFrame, terms: DataFrame | No
     parts = F.flatten(F.array(*(F.when(F.char_length("norm") >= n, F.transform(F.sequence(F.lit(1), F.char_length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths))) if lengths else F.array().cast("array<string>")
     glossary = texts.select("term_id", F.explode(F.array_distinct(parts)).alias("q")).join(asked.select("query_id", "q"), "q").select("query_id", "term_id").distinct()
     return hits, glossary
+
+
+def reading_index(segments: DataFrame, path: str):
+    """Stores the normalised texts of segments and their words for prefix_search."""
+    from vellumspark.operators.index import reading_words, write_index
+
+    return write_index(normalised(segments), path, reading_words(), key="place", keep=["side"], stored=["node", "node_pos", "ord", "norm"])

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from vellumspark.functions import text as T
 from vellumspark.functions.lang import TERM_STOP
+from vellumspark.staging import staged
 
 
 def drop_subsumed(terms: DataFrame, share: float = 0.8) -> DataFrame:
@@ -126,11 +127,21 @@ def candidate_scores(terms: DataFrame) -> DataFrame:
 
 
 def example_sentences(terms: DataFrame, sentences: DataFrame, most: int = 2) -> DataFrame:
-    """The first sentences that hold a term: key, examples. Sentences (place, sentence) meet terms by their word runs."""
+    """The first sentences that hold a term: key, examples. Sentences (place, sentence) meet terms by their word runs.
+
+    Runs are as long as some term; the lengths that occur are asked for when the query is built.
+    """
+    lengths = sorted(r.n for r in terms.select(F.size(F.split("key", " ")).alias("n")).distinct().collect())
     w = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    none = F.array().cast("array<int>")
+
+    def run(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(none)
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
     cut = F.when(F.char_length("sentence") > 240, F.concat(F.substring("sentence", 1, 237), F.lit("…"))).otherwise(F.col("sentence"))
-    s = sentences.withColumn("w", w).select("place", cut.alias("sentence"), F.explode(F.array_distinct(runs)).alias("key")).join(terms.select("key"), "key", "left_semi")
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(run, lengths)))
+    s = sentences.withColumn("w", w).select("place", cut.alias("sentence"), F.explode(every).alias("key")).join(terms.select("key"), "key", "left_semi")
     o = Window.partitionBy("key").orderBy("place", "sentence")
     return s.withColumn("k", F.row_number().over(o)).where(F.col("k") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "sentence"))).alias("e")).select("key", F.transform("e", lambda x: x["sentence"]).alias("examples"))
 
@@ -155,31 +166,80 @@ def term_words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(c, SUFFIX_JOINER, ""), r"[^\p{L}\p{M}\p{N}'’-]+"), lambda x: x != "")
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text", most_words: int = 6, language: str = "en") -> DataFrame:
-    """All leftmost-longest, non-overlapping occurrences of terms (term_id, src): key, term_id, start, end (words from 0).
+# A link of the phrase trie takes so many words at once.
+STEP = 4
+
+
+def phrase_trie(terms: DataFrame, language: str = "en") -> DataFrame:
+    """Terms (term_id, src) as links of a trie: node (the words before), chunk (up to STEP words more), size, term_id and len.
 
-    Words lose inflection by language; languages without a rule match to the letter, apart from case. Runs of up to
-    most_words words meet the dictionary by equality, whatever its size; a pass over a text's candidates in order settles
-    overlaps. Terms of one character are left out. The lengths of the dictionary's terms, most_words numbers at most, are
-    asked for when the query is built.
+    A link that ends a term has its term_id and len, the length of src, and the last word without inflection; one that leads
+    on has none and takes STEP whole words. Of terms with equal words the longest src, then the greatest id, is kept.
+    Terms of one character are left out. Links are as many as the dictionary has chunks, whatever the length of its terms.
     """
-    canonical = INFLECTIONS.get(language, F.lower)
-    words = term_words(F.col(col))
-    t = terms.where(F.char_length(F.trim("src")) > 1).withColumn("w", term_words(F.col("src"))).where(F.size("w").between(1, most_words))
-    dictionary = t.select(F.array_join(_canonical_run("w", canonical), " ").alias("g"), F.size("w").alias("n"), "term_id", F.char_length("src").alias("len"))
-    dictionary = dictionary.groupBy("g", "n").agg(F.max_by("term_id", F.struct("len", "term_id")).alias("term_id"), F.max("len").alias("len"))
-    # Only runs as long as some term, made of a text's own array of words: texts are not shuffled for them.
-    lengths = sorted(r.n for r in dictionary.select("n").distinct().collect())
-    each = texts.select(key, words.alias("w")).withColumn("low", F.transform("w", F.lower)).withColumn("last", F.transform("w", canonical))
+    t = terms.where(F.char_length(F.trim("src")) > 1).withColumn("w", term_words(F.col("src"))).where(F.size("w") > 0)
+    t = t.select("term_id", F.char_length("src").alias("len"), _canonical_run("w", INFLECTIONS.get(language, F.lower)).alias("w"))
+    best = t.groupBy("w").agg(F.max(F.struct("len", "term_id")).alias("t")).withColumn("full", F.floor((F.size("w") - 1) / STEP).cast("int"))
+    words = lambda at, n: F.array_join(F.slice("w", at, n), " ")
+
+    def link(j: Column, ends: bool) -> Column:
+        size = F.size("w") - STEP * j if ends else F.lit(STEP)
+        term = F.col("t") if ends else F.lit(None).cast(best.schema["t"].dataType)
+        return F.struct(words(F.lit(1), STEP * j).alias("node"), words(STEP * j + 1, size).alias("chunk"), size.cast("int").alias("size"), term["term_id"].alias("term_id"), term["len"].alias("len"))
+
+    onward = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0), F.col("full") - 1), lambda j: link(j, False))).otherwise(F.array())
+    return best.select(F.inline(F.concat(F.array(link(F.col("full"), True)), onward))).distinct()
 
-    def run(n: int) -> Column:
-        g = lambda e: F.col("last")[e] if n == 1 else F.concat_ws(" ", F.slice("low", e - n + 2, F.lit(n - 1)), F.col("last")[e])
-        ends = F.when(F.size("w") >= n, F.sequence(F.lit(n - 1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(ends, lambda e: F.struct(e.alias("e"), F.lit(n).alias("n"), g(e).alias("g")))
 
-    none = F.array().cast("array<struct<e:int,n:int,g:string>>")
-    grams = each.select(key, F.inline(F.concat(none, *(run(n) for n in lengths))))
-    hits = grams.join(dictionary, ["g", "n"]).select(key, (F.col("e") - F.col("n") + 1).alias("start"), (F.col("e") + 1).alias("end"), "term_id", "len")
+def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text", language: str = "en") -> DataFrame:
+    """All leftmost-longest, non-overlapping occurrences of terms (term_id, src): key, term_id, start, end (words from 0).
+
+    Words lose inflection by language; languages without a rule match to the letter, apart from case. Terms may have any
+    number of words and the dictionary any size: the runs of up to STEP words of a text follow the links of the phrase trie
+    by equality, and only places that a longer term may begin at go on to their next words, in rounds that end when no
+    place is left. A pass over a text's candidates in order settles overlaps. Terms of one character are left out. The sizes
+    of links, STEP numbers at most, are asked for when the query is built. Keys are unique; a null key has no matches.
+    """
+    canonical = INFLECTIONS.get(language, F.lower)
+    trie = staged(phrase_trie(terms, language), "trie")
+    ends, onward = trie.where("term_id is not null"), trie.where("term_id is null").select("node", "chunk")
+    sizes = sorted(r["size"] for r in ends.select("size").distinct().collect())
+    each = texts.select(key, term_words(F.col(col)).alias("w")).withColumn("low", F.transform("w", F.lower)).withColumn("last", F.transform("w", canonical))
+    none = F.array().cast("array<struct<start:int,node:string,size:int,chunk:string>>")
+    longer = not onward.isEmpty()
+
+    def runs(places: Column, depth: int) -> Column:
+        """Chunks of each size, and whole ones of STEP words (size 0) that lead on, from `depth` words after places (start, node)."""
+
+        def run(n: int) -> Column:
+            def chunk(p: Column) -> Column:
+                at = p["start"] + depth
+                end = F.col("last")[at + n - 1]
+                return F.struct(p["start"].alias("start"), p["node"].alias("node"), F.lit(n).alias("size"), (end if n == 1 else F.concat_ws(" ", F.slice("low", at + 1, F.lit(n - 1)), end)).alias("chunk"))
+
+            return F.transform(F.filter(places, lambda p: p["start"] + depth + n <= F.size("w")), chunk)
+
+        def on(p: Column) -> Column:
+            return F.struct(p["start"].alias("start"), p["node"].alias("node"), F.lit(0).alias("size"), F.array_join(F.slice("low", p["start"] + depth + 1, F.lit(STEP)), " ").alias("chunk"))
+
+        whole = [F.transform(F.filter(places, lambda p: p["start"] + depth + STEP < F.size("w")), on)] if longer else []
+        return F.inline(F.concat(none, *(run(n) for n in sizes), *whole))
+
+    every = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    places, depth, hits = F.transform(every, lambda i: F.struct(i.alias("start"), F.lit("").alias("node"))), 0, None
+    while True:
+        found = each.select(key, runs(places, depth))
+        met = found.where("size > 0").join(ends, ["node", "chunk", "size"]).select(key, "start", (F.col("start") + depth + F.col("size")).alias("end"), "term_id", "len")
+        hits = met if hits is None else hits.unionByName(met)
+        if not longer:
+            break
+        # Places whose words so far begin a longer term.
+        went = found.where("size = 0").join(onward, ["node", "chunk"]).select(key, "start", F.concat_ws(" ", F.nullif("node", F.lit("")), "chunk").alias("node"))
+        front = staged(went.groupBy(key).agg(F.collect_list(F.struct("start", "node")).alias("places")), "places")
+        if front.isEmpty():
+            break
+        each, places, depth = each.select(key, "w", "low", "last").join(front, key), F.col("places"), depth + STEP
+        each = each.select(key, "w", "low", "last", "places")
     per = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "end", "term_id"))).alias("h"))
     kind = hits.schema["term_id"].dataType.simpleString()
     return per.mapInArrow(_settled, f"{key} {texts.schema[key].dataType.simpleString()}, term_id {kind}, start int, end int")

@@ -1,63 +1,106 @@
-"""Hierarchies as adjacency lists. A level is one equi-join; trees here are at most `depth` levels deep."""
+"""Hierarchies as adjacency lists, of any depth: paths to the root are closed by doubling."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumspark.functions import lang
 from vellumspark.operators.filters import READABLE
+from vellumspark.staging import staged
 
-DEPTH = 6
 
+def rooted(nodes: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with `steps`, their path from the root down; and the nodes that reach no root, with error orphan or cycle.
 
-def with_paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes with ids, titles and sort path from the root down, and whether any node on the path is skipped."""
-    step = lambda c: F.lpad(c.cast("string"), 10, "0")
-    level = nodes.where("parent_id is null").select("*", F.array("node_id").alias("ids"), F.array("title").alias("titles"), step(F.col("ord")).alias("path"), F.col("skip").alias("hidden"))
-    out = level
-    for _ in range(depth - 1):
-        up = level.select(F.col("node_id").alias("parent_id"), F.col("ids").alias("_i"), F.col("titles").alias("_t"), F.col("path").alias("_p"), F.col("hidden").alias("_h"))
-        level = nodes.join(up, "parent_id").select(*nodes.columns, F.concat("_i", F.array("node_id")).alias("ids"), F.concat("_t", F.array("title")).alias("titles"), F.concat_ws("/", "_p", step(F.col("ord"))).alias("path"), (F.col("_h") | F.col("skip")).alias("hidden"))
-        out = out.unionByName(level)
+    A node knows the path up to some ancestor; in a round it takes that ancestor's path before its own, so a tree of depth d
+    needs log2(d) rounds of one equi-join each. A path that meets a node twice lies in or under a cycle; one that leads to
+    an id that is no node (or to such a path) is an orphan. A step has the id and whichever of title, ord, skip and kind
+    nodes have; parents and children meet within the columns of scope.
+    """
+    scope = scope or []
+    step = F.struct(*(c for c in ("node_id", "title", "ord", "skip", "kind") if c in nodes.columns))
+    begun = nodes.select(*scope, "node_id", F.col("parent_id").alias("_up"), F.array(step).alias("steps"), F.lit(None).cast("string").alias("error"))
+    open_ = staged(begun, "paths")
+    ended = [open_.where("_up is null")]
+    open_ = open_.where("_up is not null")
+    while not open_.isEmpty():
+        above = reduce(DataFrame.unionByName, [*ended, open_])
+        above = above.select(*scope, F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("steps").alias("_above"), F.col("error").alias("_error"), F.lit(True).alias("_met"))
+        steps = F.concat("_above", "steps")
+        ids = steps["node_id"]
+        error = F.when(F.col("_met").isNull(), "orphan").when(F.col("_error").isNotNull(), F.col("_error")).when(F.size(F.array_distinct(ids)) < F.size(ids), "cycle")
+        longer = open_.join(above, [*scope, "_up"], "left").select(*scope, "node_id", F.col("_next").alias("_up"), steps.alias("steps"), error.alias("error"))
+        longer = staged(longer, "paths")
+        ended.append(longer.where("_up is null or error is not null"))
+        open_ = longer.where("_up is not null and error is null")
+    every = reduce(DataFrame.unionByName, ended)
+    good = nodes.join(every.where("error is null").select(*scope, "node_id", "steps"), [*scope, "node_id"])
+    return good, every.where("error is not null").select(*scope, "node_id", "error")
+
+
+def _described(good: DataFrame) -> DataFrame:
+    """Nodes with steps as with_paths gives them."""
+
+    def step(s):
+        return F.lpad(s["ord"].cast("string"), 10, "0")
+
+    out = good.withColumn("ids", F.col("steps.node_id"))
+    if "title" in good.columns:
+        out = out.withColumn("titles", F.col("steps.title"))
+    if "ord" in good.columns:
+        out = out.withColumn("path", F.array_join(F.transform("steps", step), "/"))
+    if "skip" in good.columns:
+        out = out.withColumn("hidden", F.exists("steps", lambda s: s["skip"]))
     return out
 
 
-def effective_skip(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    return with_paths(nodes, depth).select("node_id", F.col("hidden").alias("skip"))
+def with_paths(nodes: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Nodes that reach a root, with steps, ids, titles and sort path from the root down, and whether any node on the path is skipped.
+
+    Nodes that have these columns already are given back as they are. tree_errors lists the nodes left out.
+    """
+    return nodes if "steps" in nodes.columns else _described(rooted(nodes, scope)[0])
+
+
+def tree_errors(nodes: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Nodes that reach no root: node_id and error, orphan (an id above is no node) or cycle."""
+    return rooted(nodes, scope)[1]
+
+
+def effective_skip(nodes: DataFrame) -> DataFrame:
+    return with_paths(nodes).select("node_id", F.col("hidden").alias("skip"))
 
 
-def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """Every ancestor of a node, itself at distance 0, without passing a skipped child: ancestor, node, distance."""
-    p = with_paths(nodes, depth).select("node_id", "ids", "skip", "hidden")
-    each = p.select(F.col("node_id").alias("node"), F.size("ids").alias("n"), F.posexplode("ids").alias("at", "ancestor"))
-    pairs = each.select("ancestor", "node", (F.col("n") - 1 - F.col("at")).alias("distance"))
-    # A pair stands if no node below the ancestor on the way is skipped: count skips on the path up to each end.
-    skipped = nodes.where("skip").select(F.col("node_id").alias("s"))
-    gone = p.select(F.col("node_id").alias("node"), F.posexplode("ids").alias("at", "s")).join(skipped, "s").groupBy("node").agg(F.max("at").alias("deepest"))
-    depth_of = p.select(F.col("node_id").alias("node"), (F.size("ids") - 1).alias("d"))
-    ok = pairs.join(depth_of, "node").join(gone, "node", "left")
-    return ok.where("distance = 0 or deepest is null or deepest <= d - distance").select("ancestor", "node", "distance")
-
-
-def chapter_of(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    # The way from a node up to an ancestor is free down to the deepest skipped node of its path, which may be that ancestor.
+    last = F.size("steps") - 1
+    deepest = F.array_max(F.transform("steps", lambda s, i: F.when(s["skip"], i).otherwise(0)))
+    p = with_paths(nodes).select(F.col("node_id").alias("node"), last.alias("last"), deepest.alias("deepest"), "ids")
+    each = p.select("node", "last", "deepest", F.posexplode(F.slice("ids", F.col("deepest") + 1, F.col("last") - F.col("deepest") + 1)).alias("at", "ancestor"))
+    return each.select("ancestor", "node", (F.col("last") - F.col("deepest") - F.col("at")).alias("distance"))
+
+
+def chapter_of(nodes: DataFrame) -> DataFrame:
     """Nearest chapter at or above a node, and its root."""
-    p = with_paths(nodes, depth).select("node_id", F.posexplode("ids").alias("at", "a"))
-    kinds = nodes.select(F.col("node_id").alias("a"), "kind")
-    return p.join(kinds, "a").groupBy("node_id").agg(F.max_by("a", F.when(F.col("kind") == "chapter", F.col("at"))).alias("chapter"), F.min_by("a", "at").alias("root"))
+    chapters = F.filter("steps", lambda s: s["kind"] == "chapter")
+    return with_paths(nodes).select("node_id", F.try_element_at(chapters, F.lit(-1))["node_id"].alias("chapter"), F.col("ids")[0].alias("root"))
 
 
-def document_order(nodes: DataFrame, depth: int = DEPTH, book: str | None = None) -> DataFrame:
+def document_order(nodes: DataFrame, book: str | None = None) -> DataFrame:
     """Pre-order position by sort path, numbered per book; without a book column per root with the root's path ahead."""
-    p = with_paths(nodes, depth).withColumn("root", F.col("ids")[0])
+    p = with_paths(nodes).withColumn("root", F.col("ids")[0])
     w = Window.partitionBy(book or "root").orderBy("path")
     return p.withColumn("pos", F.row_number().over(w))
 
 
-def location_path(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def location_path(nodes: DataFrame) -> DataFrame:
     """Titles from the root to a node, chapter introductions left out."""
-    p = with_paths(nodes, depth)
+    p = with_paths(nodes)
     own = F.when(F.col("kind") == "chapter_intro", F.slice("titles", F.lit(1), F.size("titles") - 1)).otherwise(F.col("titles"))
     return p.select("node_id", own.alias("location"))
 
@@ -68,20 +111,20 @@ def _readable(p: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.withColumn("readable", ~F.col("skip") & (F.col("kind").isin(*READABLE) | (F.col("kind").isin("chapter", "part") & F.col("_c").isNull()))).drop("_c")
 
 
-def first_readable(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def first_readable(nodes: DataFrame) -> DataFrame:
     """First readable node at or below each node in document order: node_id, target."""
-    r = _readable(with_paths(nodes, depth), nodes).where("readable")
+    r = _readable(with_paths(nodes), nodes).where("readable")
     up = r.select(F.col("node_id").alias("target"), "path", F.explode("ids").alias("node_id"))
     return up.groupBy("node_id").agg(F.min_by("target", "path").alias("target"))
 
 
-def node_status(nodes: DataFrame, segments: DataFrame, translations: DataFrame, depth: int = DEPTH) -> DataFrame:
+def node_status(nodes: DataFrame, segments: DataFrame, translations: DataFrame) -> DataFrame:
     """Status of a subtree: needs_review before final before waiting_agent before not_started before in_progress.
 
     Segments (segment_id, node_id) are translatable ones; a subtree without any is final.
     """
     s = segments.join(translations.select("segment_id", "status", "engine"), "segment_id", "left")
-    c = closure(nodes, depth).join(s.withColumnRenamed("node_id", "node"), "node")
+    c = closure(nodes).join(s.withColumnRenamed("node_id", "node"), "node")
     a = c.groupBy(F.col("ancestor").alias("node_id")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("status") == "flagged").alias("flagged"),
@@ -93,29 +136,30 @@ def node_status(nodes: DataFrame, segments: DataFrame, translations: DataFrame,
     return nodes.select("node_id").join(a, "node_id", "left").select("node_id", status.alias("status"))
 
 
-def chapter_progress(nodes: DataFrame, segments: DataFrame, translations: DataFrame, depth: int = DEPTH) -> DataFrame:
+def chapter_progress(nodes: DataFrame, segments: DataFrame, translations: DataFrame) -> DataFrame:
     """Finished, all and flagged segments of every top-level node that has any."""
-    p = with_paths(nodes, depth).where("not hidden").select("node_id", F.col("ids")[0].alias("root"))
+    p = with_paths(nodes).where("not hidden").select("node_id", F.col("ids")[0].alias("root"))
     j = segments.join(p, "node_id").join(translations.select("segment_id", "status"), "segment_id", "left")
     return j.groupBy("root").agg(F.count_if(F.col("status").isin(*lang.DONE)).alias("done"), F.count("*").alias("total"), F.count_if(F.col("status") == "flagged").alias("flagged"))
 
 
-def toc_rows(nodes: DataFrame, segments: DataFrame, translations: DataFrame, depth: int = DEPTH) -> DataFrame:
+def toc_rows(nodes: DataFrame, segments: DataFrame, translations: DataFrame) -> DataFrame:
     """Entries of the table of contents that are not skipped, in document order by path, with status and target."""
-    p = document_order(nodes, depth).where("not hidden").select("node_id", "title", "depth", "root", "path", "pos")
-    return p.join(node_status(nodes, segments, translations, depth), "node_id").join(first_readable(nodes, depth), "node_id", "left")
+    nodes = with_paths(nodes)
+    p = document_order(nodes).where("not hidden").select("node_id", "title", "depth", "root", "path", "pos")
+    return p.join(node_status(nodes, segments, translations), "node_id").join(first_readable(nodes), "node_id", "left")
 
 
-def toc_sample(nodes: DataFrame, n: int = 120, depth: int = DEPTH) -> DataFrame:
+def toc_sample(nodes: DataFrame, n: int = 120) -> DataFrame:
     """The first n titles of each root in document order, indented by depth."""
-    return document_order(nodes, depth).where(F.col("pos") <= n).select("root", "pos", F.concat(F.expr("repeat('  ', depth)"), "title").alias("line"))
+    return document_order(nodes).where(F.col("pos") <= n).select("root", "pos", F.concat(F.expr("repeat('  ', depth)"), "title").alias("line"))
 
 
-def section_rows(nodes: DataFrame, segments: DataFrame, translations: DataFrame, depth: int = DEPTH) -> DataFrame:
+def section_rows(nodes: DataFrame, segments: DataFrame, translations: DataFrame) -> DataFrame:
     """Bilingual rows of readable nodes in order: paragraph number, visible target, status and neighbours of the node."""
     from vellumspark.operators.windows import paragraph_numbers, prev_next
 
-    r = _readable(document_order(nodes, depth), nodes).where("readable")
+    r = _readable(document_order(nodes), nodes).where("readable")
     nav = prev_next(r.select("node_id", "root", "path", F.col("ids")[F.least(F.lit(1), F.size("ids") - 1)].alias("chapter")), "root", ["path"], "chapter")
     seen = translations.select("segment_id", "status", F.when(F.col("status").isin(*lang.VISIBLE), F.coalesce("final", "draft")).alias("tgt"))
     return paragraph_numbers(segments, "node_id", "ord").join(seen, "segment_id", "left").join(nav.select("node_id", "prev", "next"), "node_id")
@@ -126,7 +170,8 @@ def apply_structure_ops(nodes: DataFrame, segments: DataFrame, ops: DataFrame) -
 
     nodes have book, node_id, parent_id, ord, depth, kind, title, skip; ops have book, op, node_id, value. A promoted node
     takes its later siblings as children; a demoted one goes under the sibling before; merging moves segments and children;
-    a split starts a new node "<id>'" at the segment named by value. Segment ids stay. ord is numbered anew.
+    a split starts a new node "<id>'" at the segment named by value. Segment ids stay. ord is numbered anew. Errors name the
+    edits that cannot be made, and nodes that reach no root (op orphan or cycle), which no tree can hold.
     """
     o = ops.join(nodes.select("book", "node_id", F.col("parent_id").alias("p"), F.col("ord").alias("o"), F.col("depth").alias("dp")), ["book", "node_id"], "left")
     sib = nodes.select("book", F.col("parent_id").alias("p"), F.col("node_id").alias("s"), F.col("ord").alias("so"))
@@ -160,11 +205,9 @@ def apply_structure_ops(nodes: DataFrame, segments: DataFrame, ops: DataFrame) -
     every = moved.unionByName(made)
     ordered = every.withColumn("ord", F.row_number().over(Window.partitionBy("book", "parent_id").orderBy("_o")) - 1).drop("_o")
     # Skipping reaches the whole subtree, depth and kind follow the new places.
-    level, out = ordered.where("parent_id is null").withColumn("depth", F.lit(0)), None
-    for d in range(DEPTH):
-        out = level if out is None else out.unionByName(level)
-        up = level.select("book", F.col("node_id").alias("parent_id"), F.col("skip").alias("_s"))
-        level = ordered.join(up, ["book", "parent_id"]).withColumn("skip", F.col("skip") | F.col("_s")).drop("_s").withColumn("depth", F.lit(d + 1))
+    good, lost = rooted(ordered, ["book"])
+    out = _described(good).select(*ordered.columns, F.col("hidden"), (F.size("ids") - 1).alias("depth")).withColumn("skip", F.col("hidden")).drop("hidden")
+    errors = errors.unionByName(lost.select("book", F.col("error").alias("op"), "node_id"))
     kind = F.when(F.col("kind").isin("front", "back", "part"), F.col("kind")).when(F.col("depth") == 0, "chapter").when(F.col("depth") == 1, "section").otherwise("subsection")
     s = segments.join(e.select("book", "op", "t", "before", "after", "at"), "book", "left")
     back = F.when((op == "merge_prev") & (F.col("node_id") == F.col("t")), F.col("before")).when((op == "merge_next") & (F.col("node_id") == F.col("after")), F.col("t")).when((op == "split") & (F.col("node_id") == F.col("t")) & (F.col("ord") >= F.col("at")), F.concat("t", F.lit("'"))).otherwise(F.col("node_id"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 UP_TO = (Window.unboundedPreceding, 0)
@@ -76,12 +80,32 @@ def chapter_numbers(nodes: DataFrame, doc: str, order: list[str], label: str) ->
     return island.withColumn("number", base + F.row_number().over(v) - 1).drop("_i")
 
 
-def parent_from_depth(entries: DataFrame, doc: str, pos: str, depth: str, deepest: int = 6) -> DataFrame:
-    """Position of the nearest earlier entry of smaller depth, null for none."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(depth) == d, F.col(pos)), ignorenulls=True).over(w) for d in range(deepest)]
-    best = F.array_max(F.array(*(F.when(F.col(depth) > d, last[d]) for d in range(deepest))))
-    return entries.withColumn("parent_pos", best)
+def parent_from_depth(entries: DataFrame, doc: str, pos: str, depth: str) -> DataFrame:
+    """Position of the nearest earlier entry of smaller depth as parent_pos, null for none; depths of any size.
+
+    The entries of a document pass in order through one task, batch by batch; what is kept are the open ancestors.
+    """
+    columns, at = entries.columns, [entries.columns.index(c) for c in (doc, pos, depth)]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, open_ = None, []
+        for batch in batches:
+            parents = []
+            for key, where, deep in zip(*(batch.column(k).to_pylist() for k in at)):
+                if (key,) != current:
+                    current, open_ = (key,), []
+                if deep is None:
+                    parents.append(None)
+                    continue
+                while open_ and open_[-1][1] >= deep:
+                    open_.pop()
+                parents.append(open_[-1][0] if open_ else None)
+                open_.append((where, deep))
+            kind = batch.schema.field(at[1]).type
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, kind)], names=[*columns, "parent_pos"])
+
+    schema = StructType([*entries.schema.fields, StructField("parent_pos", entries.schema[pos].dataType)])
+    return entries.repartition(doc).sortWithinPartitions(doc, pos).mapInArrow(placed, schema)
 
 
 def heading_depth(headings: DataFrame, doc: str, size: str, title: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumspark.operators import search, windows
+from vellumspark.operators.index import StoredIndex
 from vellumspark.operators.terms import match_terms
 from vellumspark.staging import staged
 
@@ -34,12 +35,13 @@ def _near(questions: DataFrame, placed: DataFrame, max_chars: int) -> DataFrame:
     return near.select("query_id", "seg_id", F.lit(1).alias("rank0"), F.abs(F.col("pos") - F.col("anchor")).cast("double").alias("by"), F.col("pos").cast("long").alias("by2"), F.lit("section").alias("origin"), "text")
 
 
-def retrieval_context(questions: DataFrame, segments: DataFrame, k: int = 4, max_chars: int = 12_000) -> DataFrame:
+def retrieval_context(questions: DataFrame, segments: DataFrame, k: int = 4, max_chars: int = 12_000, index: StoredIndex | None = None) -> DataFrame:
     """Passages of every question: the reader's selection, then its section by distance, then the k best of others.
 
     questions hold query_id, query, section, anchor (place in the section, from 1) and may hold selection (seg_ids, in
     order); segments seg_id, section, ord, text. Passages are taken in that order until the next would pass max_chars; the
-    first is always taken. Returns query_id, label (P1 on), seg_id, origin and text.
+    first is always taken. Returns query_id, label (P1 on), seg_id, origin and text. index is a stored index of the same
+    segments that keeps section; without one the texts are indexed for these questions alone.
     """
     w = Window.partitionBy("section").orderBy("ord", "seg_id")
     placed = segments.select("seg_id", "section", "text", F.char_length("text").alias("size"), F.row_number().over(w).alias("pos"), F.sum(F.char_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
@@ -48,7 +50,7 @@ def retrieval_context(questions: DataFrame, segments: DataFrame, k: int = 4, max
     if "selection" in questions.columns:
         chosen = questions.select("query_id", F.posexplode("selection").alias("n", "seg_id")).join(placed.select("seg_id", "text"), "seg_id")
         every = every.unionByName(chosen.select("query_id", "seg_id", F.lit(0).alias("rank0"), F.col("n").cast("double").alias("by"), F.lit(0).cast("long").alias("by2"), F.lit("selection").alias("origin"), "text"))
-    best = search.bm25_search(placed, questions, k, apart="section")
+    best = index.search(questions, k, apart="section") if index is not None else search.bm25_search(placed, questions, k, apart="section")
     far = best.join(placed.select("seg_id", "text"), "seg_id").select("query_id", "seg_id", F.lit(2).alias("rank0"), F.col("rank").cast("double").alias("by"), F.lit(0).cast("long").alias("by2"), F.lit("retrieved").alias("origin"), "text")
     every = every.unionByName(far)
     first = Window.partitionBy("query_id", "seg_id").orderBy("rank0")

@@ -8,7 +8,7 @@ from vellumspark.operators import search as S
 from vellumspark.plans import context as C
 from vellumspark.plans import quality as Q
 from vellumspark.queries.search import POSTINGS, STOP
-from vellumspark.registry import query
+from vellumspark.registry import ORACLES, query
 from vellumspark.sources import adapters as A
 from vellumspark.streaming import jobs as R
 
@@ -201,7 +201,9 @@ CONTEXT = f"""{POSTINGS}, qs AS (SELECT conv_id || ':' || turn AS query_id, text
 
 @query("job9_retrieval_context", f"WITH {CONTEXT} SELECT query_id, 'P' || row_number() OVER (PARTITION BY query_id ORDER BY n) AS label, seg_id, origin FROM sm WHERE total <= 12000 OR n = 1")
 def contexts(spark, d):
-    return C.retrieval_context(_questions(spark, d), _passages(spark, d)).drop("text")
+    from vellumspark.queries.search import text_index
+
+    return C.retrieval_context(_questions(spark, d), _passages(spark, d), index=text_index(spark, d)).drop("text")
 
 
 @query("job9_glossary_present")
@@ -285,6 +287,24 @@ def gaps(spark, d):
     return g.select("key", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
+@query(
+    "str7_stream_timeouts",
+    """WITH e AS (SELECT user_id AS session, event_id AS seq, epoch_us(ts) AS t, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'start' ELSE 'delta' END AS type, event_type AS text FROM events),
+    g AS (SELECT *, lag(t) OVER w AS lt, lag(seq) OVER w AS ls, CASE WHEN coalesce(bool_or(type = 'delta') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) THEN 86400000000 ELSE 14400000000 END AS lim FROM e WINDOW w AS (PARTITION BY session ORDER BY t, seq)),
+    x AS (SELECT *, coalesce(t - lt > lim, FALSE) AS late FROM g),
+    o AS (SELECT *, coalesce(bool_or(late OR type IN ('done', 'error')) OVER (PARTITION BY session ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS past FROM x),
+    n AS (SELECT session, arg_max(t, (t, seq)) AS t, arg_max(seq, (t, seq)) AS seq, bool_or(late OR type IN ('done', 'error')) AS ended, bool_or(type = 'delta') AS delta FROM o WHERE NOT past GROUP BY 1)
+    SELECT session, seq, t, type, text, NULL::VARCHAR AS code FROM o WHERE NOT past AND NOT late AND type <> 'start'
+    UNION ALL SELECT session, ls + 1, lt + lim, 'error', NULL, 'TIMEOUT' FROM o WHERE NOT past AND late
+    UNION ALL SELECT session, seq + 1, t + CASE WHEN delta THEN 86400000000 ELSE 14400000000 END, 'error', NULL, 'TIMEOUT' FROM n WHERE NOT ended AND (SELECT max(t) FROM e) > t + CASE WHEN delta THEN 86400000000 ELSE 14400000000 END""",
+)
+def timeouts(spark, d):
+    """Users as sessions; they may wait four hours for a first delta and a day between events."""
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "signup", "start").otherwise(F.lit("delta"))
+    e = events(spark, d).select(F.col("key").alias("session"), F.col("event_id").alias("seq"), "ts", kind.alias("type"), F.col("event_type").alias("text"))
+    return R.with_timeouts(e, 4 * 3600, 24 * 3600)
+
+
 @query("str8_coalesce_changes", "SELECT DISTINCT date_trunc('minute', ts) AS \"window\", user_id AS key FROM events")
 def coalesced(spark, d):
     return R.coalesce_changes(events(spark, d)).select(F.col("window").cast("timestamp_ntz").alias("window"), "key")
@@ -299,6 +319,30 @@ def incremental(spark, d):
     return R.incremental_index(old, changed, fresh).select("term", "seg_id", "tf")
 
 
+def _changed_index(spark, d):
+    """An index of documents without some, of which others have another text; then a delta adds, changes and removes."""
+    from vellumspark.operators import index as I
+    from vellumspark.staging import new_path
+
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("seg_id"), "text")
+    before = docs.where("seg_id % 10 <> 4").withColumn("text", F.when(F.col("seg_id") % 10 == 5, F.concat(F.lit("thane zebra "), "text")).otherwise(F.col("text")))
+    index = I.write_index(before, new_path(spark, "changed-index"))
+    return I.update_index(index, docs.where("seg_id % 10 in (4, 5)"), docs.where("seg_id % 10 = 3").select("seg_id"))
+
+
+@query("str9_stored_delta", f"WITH {POSTINGS} SELECT term, seg_id, tf FROM ps WHERE seg_id % 10 <> 3")
+def stored_delta(spark, d):
+    """Live postings of a stored index after a delta."""
+    return _changed_index(spark, d).postings().select("term", "seg_id", "tf")
+
+
+@query("str9_search_after_delta", ORACLES["job1_bm25_search"].replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 3)"))
+def search_after_delta(spark, d):
+    from vellumspark.queries.search import asked
+
+    return _changed_index(spark, d).search(asked(spark))
+
+
 @query("str10_latest_snapshot", "SELECT user_id AS key, max_by(event_type, (ts, event_id)) AS event_type, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def snapshot(spark, d):
     return R.latest_snapshot(events(spark, d))

@@ -39,32 +39,32 @@ def states(spark, d):
 
 @query("tree1_effective_skip", f"WITH {TREE} SELECT node_id, hidden AS skip FROM pt")
 def skip(spark, d):
-    return R.effective_skip(nodes(spark, d), 3)
+    return R.effective_skip(nodes(spark, d))
 
 
 @query("tree2_closure", f"WITH {TREE} SELECT * FROM cl")
 def closure(spark, d):
-    return R.closure(nodes(spark, d), 3)
+    return R.closure(nodes(spark, d))
 
 
 @query("tree3_chapter_of", f"WITH {TREE} SELECT node_id, ids[2] AS chapter, root FROM pt")
 def chapter(spark, d):
-    return R.chapter_of(nodes(spark, d), 3)
+    return R.chapter_of(nodes(spark, d))
 
 
 @query("tree4_document_order", f"WITH {TREE} SELECT node_id, (row_number() OVER (PARTITION BY root ORDER BY path))::INT AS pos FROM pt")
 def order(spark, d):
-    return R.document_order(nodes(spark, d), 3).select("node_id", "pos")
+    return R.document_order(nodes(spark, d)).select("node_id", "pos")
 
 
 @query("tree5_location_path", f"WITH {TREE} SELECT node_id, array_to_string(titles, ' > ') AS location FROM pt")
 def location(spark, d):
-    return R.location_path(nodes(spark, d), 3).select("node_id", F.array_join("location", " > ").alias("location"))
+    return R.location_path(nodes(spark, d)).select("node_id", F.array_join("location", " > ").alias("location"))
 
 
 @query("tree6_first_readable", f"WITH {TREE} SELECT a AS node_id, min_by(node_id, path) AS target FROM (SELECT node_id, path, unnest(ids) AS a FROM rd) GROUP BY 1")
 def first(spark, d):
-    return R.first_readable(nodes(spark, d), 3)
+    return R.first_readable(nodes(spark, d))
 
 
 STATUS = f"""WITH {TREE}, {STATE}, g AS (SELECT ancestor, count(*) AS n, count(*) FILTER (WHERE status = 'final') AS done, count(*) FILTER (WHERE status = 'queued' AND engine = 'agent') AS waiting, count(*) FILTER (WHERE status <> 'pending') AS started
@@ -74,22 +74,22 @@ st AS (SELECT node_id, CASE WHEN n IS NULL OR done = n THEN 'final' WHEN waiting
 
 @query("agg18_node_status", STATUS + " SELECT * FROM st")
 def status(spark, d):
-    return R.node_status(nodes(spark, d), segments(spark, d), states(spark, d), 3)
+    return R.node_status(nodes(spark, d), segments(spark, d), states(spark, d))
 
 
 @query("agg19_chapter_progress", f"WITH {TREE}, {STATE} SELECT root, count(*) FILTER (WHERE status = 'final') AS done, count(*) AS total, 0::BIGINT AS flagged FROM tx JOIN pt USING (node_id) WHERE NOT hidden GROUP BY 1")
 def progress(spark, d):
-    return R.chapter_progress(nodes(spark, d), segments(spark, d), states(spark, d), 3)
+    return R.chapter_progress(nodes(spark, d), segments(spark, d), states(spark, d))
 
 
 @query("tree7_toc_rows", STATUS + ", f AS (SELECT a AS node_id, min_by(node_id, path) AS target FROM (SELECT node_id, path, unnest(ids) AS a FROM rd) GROUP BY 1) SELECT pt.node_id, title, status, target FROM pt JOIN st USING (node_id) LEFT JOIN f USING (node_id) WHERE NOT hidden")
 def toc(spark, d):
-    return R.toc_rows(nodes(spark, d), segments(spark, d), states(spark, d), 3).select("node_id", "title", "status", "target")
+    return R.toc_rows(nodes(spark, d), segments(spark, d), states(spark, d)).select("node_id", "title", "status", "target")
 
 
 @query("top9_toc_sample", f"WITH {TREE} SELECT root, pos, repeat('  ', depth) || title AS line FROM (SELECT *, (row_number() OVER (PARTITION BY root ORDER BY path))::INT AS pos FROM pt) WHERE pos <= 120")
 def sample(spark, d):
-    return R.toc_sample(nodes(spark, d), 120, 3)
+    return R.toc_sample(nodes(spark, d), 120)
 
 
 @query(
@@ -100,12 +100,12 @@ def sample(spark, d):
 def sections(spark, d):
     s = segments(spark, d).withColumn("ord", F.col("segment_id")).withColumn("type", F.lit("paragraph"))
     t = states(spark, d).withColumn("final", F.lit("x")).withColumn("draft", F.lit("x"))
-    return R.section_rows(nodes(spark, d), s, t, 3).select("segment_id", "node_id", "number", "status", "prev", "next")
+    return R.section_rows(nodes(spark, d), s, t).select("segment_id", "node_id", "number", "status", "prev", "next")
 
 
 @query("win3_prev_next", f"WITH {TREE} SELECT node_id, lag(node_id) OVER w AS prev, lead(node_id) OVER w AS next, coalesce(lead(ids[2]) OVER w <> ids[2], TRUE) AS last_of_chapter FROM pt WHERE depth = 2 WINDOW w AS (PARTITION BY root ORDER BY path)")
 def neighbours(spark, d):
-    p = R.with_paths(nodes(spark, d), 3).where("depth = 2").select("node_id", F.col("ids")[0].alias("root"), F.col("ids")[1].alias("chapter"), "path")
+    p = R.with_paths(nodes(spark, d)).where("depth = 2").select("node_id", F.col("ids")[0].alias("root"), F.col("ids")[1].alias("chapter"), "path")
     return W.prev_next(p, "root", ["path"], "chapter").select("node_id", "prev", "next", "last_of_chapter")
 
 

@@ -5,6 +5,8 @@ Late rows: streams drop what comes over ten minutes late (WATERMARK).
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql.window import Window
 from vellumspark.operators.joins import resolve_citations
 
 WATERMARK = "10 minutes"
-MINUTE, DAY = 60_000_000, 86_400_000_000
+MINUTE, DAY, LATENESS = 60_000_000, 86_400_000_000, 600_000_000
 
 
 def micros(c):
@@ -74,46 +76,63 @@ def expire_changes(changes: DataFrame, age: str = "1 day") -> DataFrame:
     return changes.join(F.broadcast(newest)).where(F.col("ts") > F.col("newest") - F.expr(f"INTERVAL {age}")).drop("newest")
 
 
-class _Rolling(StatefulProcessor):
-    """Keeps the times of a key's requests of the last day."""
-
-    def __init__(self, rpm: int, rpd: int):
-        self.rpm, self.rpd = rpm, rpd
+class _LastDay(StatefulProcessor):
+    """State of a key that ends a day after its newest request: one timer a key, set anew with every request."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("times", "t long")
 
+    def keep(self, times: list[int], newest: int) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(newest // 1000 + DAY // 1000 + 1)
+        self.times.put([(x,) for x in times]) if times else self.times.clear()
+
+    def ended(self) -> None:
+        self.times.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class _Rolling(_LastDay):
+    """Keeps the times of a key's requests of the last day, in order."""
+
+    def __init__(self, rpm: int, rpd: int):
+        self.rpm, self.rpd = rpm, rpd
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times, out = [r[0] for r in self.times.get()], []
         for df in sorted_frames(rows):
             for event, t in zip(df["event_id"].tolist(), df["t"].tolist()):
-                times.append(t)
-                day = sum(x > t - DAY for x in times)
-                minute = sum(x > t - MINUTE for x in times)
-                back = lambda n: times[-n] if len(times) >= n else None
+                insort(times, t)
+                day, minute = (len(times) - bisect_right(times, t - x) for x in (DAY, MINUTE))
                 reason, wait = None, 0
                 if day >= self.rpd:
-                    reason, wait = "rpd", (back(self.rpd) or t - DAY) + DAY - t
+                    reason, wait = "rpd", times[-self.rpd] + DAY - t
                 elif minute >= self.rpm:
-                    reason, wait = "rpm", (back(self.rpm) or t - MINUTE) + MINUTE - t
+                    reason, wait = "rpm", times[-self.rpm] + MINUTE - t
                 out.append((event, key[0], minute, day, reason, max(wait // 1000, 0)))
-                times = times[-max(day, self.rpd) :]
-        self.times.put([(x,) for x in times])
+        if out:
+            # A row within the watermark may still ask for the day before it.
+            self.keep(times[bisect_right(times, times[-1] - DAY - LATENESS) :], times[-1])
         yield pd.DataFrame(out, columns=["event_id", "key", "in_minute", "in_day", "reason", "wait_ms"])
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ended()
+        yield pd.DataFrame({c: [] for c in ("event_id", "key", "in_minute", "in_day", "reason", "wait_ms")}).astype({"event_id": "int64", "key": "int64", "in_minute": "int64", "in_day": "int64", "reason": "object", "wait_ms": "int64"})
 
 
 def rolling_quota(requests: DataFrame, rpm: int, rpd: int) -> DataFrame:
     """Requests of the last minute and day up to each request of a key, the wait in ms and its reason.
 
     Windows are half open, (t - w, t]. The wait lasts until the request `limit` places back leaves its window. As a stream,
-    the state of a key is the times of its last day, and requests count in the order they come.
+    the state of a key is the times of its last day, which a timer ends a day after the newest, and requests count in the order they come.
     """
     if requests.isStreaming:
-        t = requests.select("key", "event_id", micros(F.col("ts")).alias("t"))
-        return t.groupBy("key").transformWithStateInPandas(_Rolling(rpm, rpd), "event_id long, key long, in_minute long, in_day long, reason string, wait_ms long", "append", "None")
+        t = requests.withWatermark("ts", WATERMARK).select("key", "event_id", micros(F.col("ts")).alias("t"), "ts")
+        return t.groupBy("key").transformWithStateInPandas(_Rolling(rpm, rpd), "event_id long, key long, in_minute long, in_day long, reason string, wait_ms long", "append", "EventTime")
     t = requests.withColumn("t", micros(F.col("ts")))
     w = Window.partitionBy("key").orderBy("t")
     day, minute = w.rangeBetween(-(DAY - 1), 0), w.rangeBetween(-(MINUTE - 1), 0)
@@ -125,27 +144,27 @@ def rolling_quota(requests: DataFrame, rpm: int, rpd: int) -> DataFrame:
     return c.select("event_id", "key", "in_minute", "in_day", reason.alias("reason"), F.greatest(F.floor(F.coalesce(wait, F.lit(0)) / 1000), F.lit(0)).alias("wait_ms"))
 
 
-class _Admission(StatefulProcessor):
+class _Admission(_LastDay):
     """Keeps the start times of admitted requests of a key, at most the daily limit of them."""
 
     def __init__(self, rpm: int, rpd: int):
         self.rpm, self.rpd = rpm, rpd
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.starts = handle.getListState("starts", "t long")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        starts = [r[0] for r in self.starts.get()]
-        out = []
+        starts = deque(r[0] for r in self.times.get())
+        out, newest = [], None
         for df in sorted_frames(rows):
             for event, t in zip(df["event_id"], df["t"]):
                 ok = admit(starts, int(t), self.rpm, self.rpd)
                 out.append((key[0], event, ok))
-        self.starts.put([(s,) for s in starts]) if starts else self.starts.clear()
+                newest = int(t)
+        if newest is not None:
+            self.keep(list(starts), newest)
         yield pd.DataFrame(out, columns=["key", "event_id", "admitted"])
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ended()
+        yield pd.DataFrame({"key": [], "event_id": [], "admitted": []}).astype({"key": "int64", "event_id": "int64", "admitted": "bool"})
 
 
 def sorted_frames(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
@@ -153,10 +172,10 @@ def sorted_frames(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
     return [pd.concat(every).sort_values(["t", "event_id"])] if every else []
 
 
-def admit(starts: list[int], t: int, rpm: int, rpd: int) -> bool:
+def admit(starts: deque[int], t: int, rpm: int, rpd: int) -> bool:
     """Whether a request may start now; admitted ones are noted, and those over a day old forgotten."""
     while starts and starts[0] <= t - DAY:
-        starts.pop(0)
+        starts.popleft()
     ok = len(starts) < rpd and (len(starts) < rpm or starts[-rpm] <= t - MINUTE)
     if ok:
         starts.append(t)
@@ -166,21 +185,23 @@ def admit(starts: list[int], t: int, rpm: int, rpd: int) -> bool:
 def admit_under_quota(requests: DataFrame, rpm: int, rpd: int) -> DataFrame:
     """Admission by key in time order where only admitted requests count: key, event_id, admitted.
 
-    As a stream the state is the admitted starts of a key, at most rpd numbers. As a batch, one key's requests pass through
+    As a stream the state is the admitted starts of a key, at most rpd numbers, which a timer ends a day after the newest
+    request. As a batch, one key's requests pass through
     one task in sorted chunks of a sorted partition, so that a key of any size needs only that state in memory.
     """
-    t = requests.select("key", "event_id", micros(F.col("ts")).alias("t"))
     schema = "key long, event_id long, admitted boolean"
     if requests.isStreaming:
-        return t.groupBy("key").transformWithStateInPandas(_Admission(rpm, rpd), schema, "append", "None")
+        timed = requests.withWatermark("ts", WATERMARK).select("key", "event_id", micros(F.col("ts")).alias("t"), "ts")
+        return timed.groupBy("key").transformWithStateInPandas(_Admission(rpm, rpd), schema, "append", "EventTime")
+    t = requests.select("key", "event_id", micros(F.col("ts")).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, starts = None, []
+        key, starts = None, deque()
         for df in frames:
             ok = []
             for k, x in zip(df["key"], df["t"]):
                 if k != key:
-                    key, starts = k, []
+                    key, starts = k, deque()
                 ok.append(admit(starts, int(x), rpm, rpd))
             yield df[["key", "event_id"]].assign(admitted=ok)
 
@@ -238,6 +259,90 @@ def expire_leases(beats: DataFrame, ttl: str = "10 minutes") -> DataFrame:
     return last.join(F.broadcast(now)).where(F.col("last") < F.col("now") - F.expr(f"INTERVAL {ttl}")).drop("now")
 
 
+class _Timeouts(StatefulProcessor):
+    """Passes a session's events on until it ends or waits too long; keeps its last time, whether a delta came, and its end."""
+
+    def __init__(self, first_us: int, idle_us: int, keep_us: int):
+        self.first_us, self.idle_us, self.keep_us = first_us, idle_us, keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "t long, seq long, streaming boolean, ended boolean")
+
+    def limit(self, streaming: bool) -> int:
+        return self.idle_us if streaming else self.first_us
+
+    def set(self, t: int, seq: int, streaming: bool, ended: bool) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.state.update((t, seq, streaming, ended))
+        self.handle.registerTimer((t + (self.keep_us if ended else self.limit(streaming))) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, every = [], list(rows)
+        t, seq, streaming, ended = self.state.get() if self.state.exists() else (None, None, False, False)
+        if not ended and every:
+            frame = pd.concat(every).sort_values(["t", "seq"])
+            for now, at, kind, text in frame[["t", "seq", "type", "text"]].itertuples(index=False):
+                if t is not None and now - t > self.limit(streaming):
+                    t, ended = t + self.limit(streaming), True
+                    out.append((key[0], seq + 1, t, "error", None, "TIMEOUT"))
+                    break
+                t, seq, streaming = int(now), int(at), streaming or kind == "delta"
+                if kind != "start":
+                    out.append((key[0], seq, t, kind, text, None))
+                if kind in ("done", "error"):
+                    ended = True
+                    break
+            self.set(t, seq, streaming, ended)
+        yield pd.DataFrame(out, columns=TIMED)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        t, seq, streaming, ended = self.state.get()
+        if ended:
+            self.state.clear()
+            yield pd.DataFrame([], columns=TIMED)
+        else:
+            end = t + self.limit(streaming)
+            self.set(end, seq + 1, streaming, True)
+            yield pd.DataFrame([(key[0], seq + 1, end, "error", None, "TIMEOUT")], columns=TIMED)
+
+    def close(self) -> None:
+        pass
+
+
+TIMED = ["session", "seq", "t", "type", "text", "code"]
+
+
+def with_timeouts(events: DataFrame, first: int = 30, idle: int = 45, keep: str = "1 day") -> DataFrame:
+    """Events of sessions with an error row of code TIMEOUT where one waits too long: session, seq, t (microseconds), type, text, code.
+
+    events hold session, seq, ts, type (start, delta, done, error) and text. Until the first delta a session may wait `first`
+    seconds for its next event, then `idle` seconds. What came before a timeout stays, nothing follows it, a done or an
+    error; start rows set the clock and are not passed on. A session that is still open times out when the newest time of all
+    has passed its limit. As a stream, event time is what passes; the mark that a session has ended is kept for `keep`.
+    """
+    first_us, idle_us = first * 1_000_000, idle * 1_000_000
+    if events.isStreaming:
+        t = events.withWatermark("ts", "0 seconds").select("session", "seq", micros(F.col("ts")).alias("t"), "type", "text", "ts")
+        return t.groupBy("session").transformWithStateInPandas(_Timeouts(first_us, idle_us, 1_000_000 * _seconds(keep)), "session long, seq long, t long, type string, text string, code string", "append", "EventTime")
+    w = Window.partitionBy("session").orderBy("t", "seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    e = events.select("session", F.col("seq").cast("long").alias("seq"), micros(F.col("ts")).alias("t"), "type", "text")
+    streaming = F.coalesce(F.bool_or(F.col("type") == "delta").over(before), F.lit(False))
+    e = e.withColumns({"_last": F.lag("t").over(w), "_seq": F.lag("seq").over(w), "_limit": F.when(streaming, idle_us).otherwise(first_us)})
+    e = e.withColumn("_late", F.coalesce(F.col("t") - F.col("_last") > F.col("_limit"), F.lit(False)))
+    ends = F.col("_late") | F.col("type").isin("done", "error")
+    e = e.withColumn("_over", F.coalesce(F.bool_or(ends).over(before), F.lit(False))).where("not _over")
+    timeout = (F.lit("error").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("TIMEOUT").alias("code"))
+    passed = e.where("not _late and type <> 'start'").select("session", "seq", "t", "type", "text", F.lit(None).cast("string").alias("code"))
+    late = e.where("_late").select("session", (F.col("_seq") + 1).alias("seq"), (F.col("_last") + F.col("_limit")).alias("t"), *timeout)
+    now = events.agg(F.max(micros(F.col("ts"))).alias("now"))
+    open_ = e.groupBy("session").agg(F.max_by(F.struct("t", "seq"), F.struct("t", "seq")).alias("last"), F.bool_or(ends).alias("ended"), F.bool_or(F.col("type") == "delta").alias("delta"))
+    open_ = open_.where("not ended").join(F.broadcast(now)).withColumn("end", F.col("last.t") + F.when(F.col("delta"), idle_us).otherwise(first_us)).where("now > end")
+    return passed.unionByName(late).unionByName(open_.select("session", (F.col("last.seq") + 1).alias("seq"), F.col("end").alias("t"), *timeout))
+
+
 def stream_gaps(events: DataFrame, idle: int = 45) -> DataFrame:
     """Sessions of a key cut where it is idle for over `idle` seconds: key, started, last, n."""
     if events.isStreaming:
@@ -274,11 +379,14 @@ def import_once(results: DataFrame, key: str, imported: DataFrame | None = None)
 
 
 class _Answer(StatefulProcessor):
-    """Keeps the text of a session until its first done or error, and that it has ended."""
+    """Keeps the text of a session until its first done or error, and for a while that it has ended."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.text = handle.getListState("text", "part string")
-        self.ended = handle.getValueState("ended", "ok boolean")
+        self.text = handle.getListState("text", "part string", self.keep_ms)
+        self.ended = handle.getValueState("ended", "ok boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, every = [], list(rows)
@@ -297,13 +405,14 @@ class _Answer(StatefulProcessor):
         pass
 
 
-def assemble_answers(deltas: DataFrame) -> DataFrame:
+def assemble_answers(deltas: DataFrame, keep: str = "1 day") -> DataFrame:
     """Text of every session up to its first done or error, and whether it may carry citations: session, answer, ok.
 
     As a stream, an answer comes when its session ends; what comes after is dropped. Deltas come in order between batches.
+    State ends by its time to live: parts and the mark of an ended session are forgotten `keep` after they were written.
     """
     if deltas.isStreaming:
-        return deltas.select("session", "seq", "type", "text").groupBy("session").transformWithStateInPandas(_Answer(), "session long, answer string, ok boolean", "append", "None")
+        return deltas.select("session", "seq", "type", "text").groupBy("session").transformWithStateInPandas(_Answer(1000 * _seconds(keep)), "session long, answer string, ok boolean", "append", "ProcessingTime")
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max(F.col("type").isin("done", "error").cast("int")).over(w), F.lit(0))
     kept = deltas.withColumn("_e", ended).where("_e = 0")
