@@ -96,6 +96,22 @@ def test_prefix_table_answers_budgets(spark, edge):
     assert prefix_table(edge.limit(0), path).count() == 0
 
 
+def test_mixing_targets_hold_together_or_raise(spark):
+    frame = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate([("big", 4000), ("mid", 400), ("small", 40)] * 3)], "doc_id long, text string, source string")
+
+    def passes(**targets):
+        rows = mixing.mix(frame, blocks=64, **targets).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("weight").alias("w")).collect()
+        n, w = {r.source: r.n / {"big": 12_000, "mid": 1200, "small": 120}[r.source] for r in rows}, [r.w for r in rows]
+        return n["small"] / n["big"], -sum(x * math.log(x) for x in w)
+
+    for repeat, entropy in ((20.0, 0.6), (100.0, 1.0), (None, 1.0986)):
+        ratio, got = passes(max_repeat=repeat, min_entropy=entropy)
+        assert (repeat is None or ratio <= 1.1 * repeat) and got >= entropy - 1e-6
+    for targets in ({"max_repeat": 2.0, "min_entropy": 1.0}, {"min_entropy": 5.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(frame, **targets)
+
+
 def test_mixing(spark, sf, clashing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = mixing.mix(docs, max_repeat=2.0, blocks=16).cache()
@@ -396,6 +412,20 @@ def test_style_importance_equals_a_plain_count(spark):
         assert got[k][0] == n and math.isclose(got[k][1], importance, abs_tol=1e-9), k
 
 
+def walked(data):
+    """Types and HTTP bodies of records read one after the other, as an archive reader does: by the lengths alone."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at) + 4
+        fields = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:] if x)
+        assert data[at : at + 10] == b"WARC/1.1\r\n"
+        block = data[end : end + int(fields[b"Content-Length"])]
+        at = end + len(block) + 4
+        assert data[at - 4 : at] == b"\r\n\r\n"
+        out.append((fields[b"WARC-Type"].decode(), block.split(b"\r\n\r\n", 1)[1]))
+    return out
+
+
 def test_archive_round_trip(spark, sf):
     import base64
     import hashlib
@@ -420,13 +450,15 @@ def test_archive_round_trip(spark, sf):
             refers = None if response else first[h or ""]
             head = f"WARC/1.1\r\nWARC-Type: {'response' if response else 'revisit'}\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: {warcstore.DATE}\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
             head += "" if response else f"WARC-Refers-To: <urn:page:{refers}>\r\nWARC-Profile: {warcstore.PROFILE}\r\n"
-            head += f"Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n"
+            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n"
+            head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(http) + (len(data) if response else 0)}\r\n\r\n{http}"
             want.append((i is None, i, url, "response" if response else "revisit", digest, refers, len(data), data, head.encode() + (data if response else b"") + b"\r\n\r\n", True))
         rows = warcstore.read_archive(spark, path).collect()
         got = [(r.record_id is None, r.record_id, r.url, r.record_type, r.payload_digest, r.refers_to, r.length, bytes(r.payload), bytes(r.record), r.verified) for r in rows]
         key = lambda r: (r[0], r[1] or 0, r[2], r[7])
         assert sorted(got, key=key) == sorted(want, key=key)
         assert all(r.digest == r.payload_digest for r in rows)
+        assert walked(b"".join(bytes(r.record) for r in rows)) == [(r.record_type, bytes(r.payload) if r.record_type == "response" else b"") for r in rows]
         assert warcstore.read_payloads(spark, path).count() == len(first)
     path = store.new_path(spark, "test")
     warcstore.write_archive(frame.limit(0), path)

@@ -213,7 +213,8 @@ def print_links(prints: DataFrame, most: int = MOST, tile: int = 1024, third: bo
     largest = more.agg(F.max("n")).first()[0]
     if largest is None:
         return links
-    held = staged(join_counted(keyed, more.select("key", "n", F.col("n").alias("size")), ["key"]), "held")
+    # Spark takes the keys to be as small as the fingerprints they come from, so the join must not broadcast them.
+    held = staged(join_counted(keyed.hint("merge"), more.select("key", "n", F.col("n").alias("size")), ["key"]), "held")
     small = held.where(F.col("size") <= tile).groupBy("key").agg(F.sort_array(F.collect_list("print")).alias("prints"))
     links = links.union(small.select("prints").distinct().mapInArrow(_linked(most), LINKS))
     if largest <= tile:

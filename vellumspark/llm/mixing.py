@@ -23,20 +23,29 @@ def _block(id_col: Column, blocks: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("block:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") % blocks
 
 
-def _solve(shares: DataFrame, max_repeat: float | None, min_entropy: float | None, rounds: int = 6, ways: int = 32) -> float:
-    """The largest exponent up to 1 that meets the target; only sums over sources reach the driver.
+def _least_for_repetition(shares: DataFrame, max_repeat: float) -> float:
+    """The smallest exponent from 0 on at which no source is repeated more than max_repeat times as often as the largest one.
 
-    Less exponent means flatter weights: more entropy, and more passes over the smallest source for one over the largest.
-    The border is found by repeated halving, to 2^-30. Repetition needs the least and largest share alone; for entropy one
-    job sums at `ways` exponents, which is as good as five halvings.
+    Less exponent means flatter weights, and so more passes over the smallest source for one over the largest. The least and
+    largest share alone decide; the border is found by repeated halving, to 2^-30.
     """
-    if min_entropy is None:
-        least, most = shares.agg(F.min("share"), F.max("share")).first()
-        lo, hi = 0.0, 1.0
-        for _ in range(30):
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if (least / most) ** (mid - 1) <= max_repeat else (mid, hi)
-        return hi
+    least, most = shares.agg(F.min("share"), F.max("share")).first()
+    lo, hi = 0.0, 1.0
+    if (most / least) <= max_repeat:
+        return 0.0
+    for _ in range(30):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (least / most) ** (mid - 1) <= max_repeat else (mid, hi)
+    return hi
+
+
+def _most_for_entropy(shares: DataFrame, min_entropy: float, rounds: int = 6, ways: int = 32) -> float:
+    """The largest exponent up to 1 whose weights have the entropy; one job sums at `ways` exponents, as good as five halvings."""
+    n, own = shares.agg(F.count("*"), F.sum(-F.col("share") * F.ln("share"))).first()
+    if log(n) < min_entropy - 1e-9:
+        raise ValueError(f"{n} sources have an entropy of {log(n):.6g} nats at most; min_entropy is {min_entropy}")
+    if own >= min_entropy:
+        return 1.0
     lo, step = 0.0, 1.0 / ways
     for _ in range(rounds):
         grid = [lo + step * k for k in range(1, ways)]
@@ -48,12 +57,27 @@ def _solve(shares: DataFrame, max_repeat: float | None, min_entropy: float | Non
     return lo
 
 
-def mix(docs: DataFrame, max_repeat: float = 2.0, min_entropy: float | None = None, total_tokens: int | None = None, blocks: int = 1024, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _solve(shares: DataFrame, max_repeat: float | None, min_entropy: float | None) -> float:
+    """The exponent that meets what is asked; only sums over sources reach the driver.
+
+    Entropy falls and repetition sinks as the exponent grows, so entropy bounds it from above and repetition from below: with
+    an entropy the upper bound is taken, else the lower one. Bounds that cross are an error.
+    """
+    if min_entropy is None:
+        return _least_for_repetition(shares, 2.0 if max_repeat is None else max_repeat)
+    most = _most_for_entropy(shares, min_entropy)
+    if max_repeat is not None and _least_for_repetition(shares, max_repeat) > most + 1e-9:
+        raise ValueError(f"no exponent gives both an entropy of {min_entropy} nats and at most {max_repeat} repetitions")
+    return most
+
+
+def mix(docs: DataFrame, max_repeat: float | None = None, min_entropy: float | None = None, total_tokens: int | None = None, blocks: int = 1024, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of the mixture: the input's columns plus n_tokens, weight, epoch (from 0), block and turn.
 
     A document comes once for each pass its source needs; the last pass takes the blocks that fit its budget, in turn
     order. Weights are share^a / sum(share^a), with the largest a up to 1 that meets min_entropy (nats) if given, or else
-    the smallest a at which no source is repeated more than max_repeat times as often as the largest one. Without
+    the smallest a at which no source is repeated more than max_repeat times as often as the largest one (2 where neither is
+    given). Where both are given both hold; targets that no a meets raise ValueError. Without
     total_tokens the budget is the least that takes every source in whole at least once, so no document is lost; with
     it, sources whose budget is below their size lose blocks.
 

@@ -1,8 +1,9 @@
 """Content-addressed web archive: payload bytes once by digest, record headers apart, records rebuilt by a join.
 
 The archive is two Parquet tables: payloads (address, payload, uses) holds every distinct payload once under its SHA-256;
-records (header, address, slot) holds the exact WARC/1.1 header bytes of every record. A read joins them, checks the
-digest and the length that the header states, and gives back the records.
+records (header, address, slot) holds what precedes the payload in every record: the exact WARC/1.1 header and the HTTP head
+with which its block begins. A response's block ends with the payload, a revisit's with the HTTP head. A read joins the tables,
+checks the digest and the lengths that the heads state, and gives back the records.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     digests = rows.select("record_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     marks = staged(digests, "digests")
     firsts = staged(marks.groupBy("address").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n"), F.ceil(F.count("*") / SLOT).cast("int").alias("slots")), "firsts")
-    known = join_counted(marks, firsts, ["address"])
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
+    known = join_counted(marks, firsts, ["address"]).withColumn("http", http)
     response = F.col("first_id").isNull() | F.col("record_id").eqNullSafe(F.col("first_id")) | (F.col("size") < min_bytes)
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -64,9 +66,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
         _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         F.when(response, "").otherwise(F.concat(_line("WARC-Refers-To", _page(F.col("first_id"))), _line("WARC-Profile", F.lit(PROFILE)))),
-        _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.col("size").cast("string")),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", (F.octet_length("http") + F.when(response, F.col("size")).otherwise(0)).cast("string")),
         F.lit("\r\n"),
+        F.col("http"),
     )
     slot = F.pmod(F.xxhash64("record_id", "url"), F.col("slots")).cast("int")
     known.select(header.cast("binary").alias("header"), "address", slot.alias("slot")).write.option("compression", "zstd").parquet(f"{path}/records")
@@ -74,9 +77,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def _field(lines: Column, name: str) -> Column:
-    """What follows the field's name in the first line that starts with it; null where no line does."""
-    return F.substring(F.get(F.filter(lines, lambda x: x.startswith(f"{name}: ")), 0), len(name) + 3, 1 << 30)
+def _field(lines: Column, name: str, place: int = 1) -> Column:
+    """What follows the field's name in the first line (or the one of another place) that starts with it; null where no line does."""
+    return F.substring(F.try_element_at(F.filter(lines, lambda x: x.startswith(f"{name}: ")), F.lit(place)), len(name) + 3, 1 << 30)
 
 
 def _number(page: Column) -> Column:
@@ -84,9 +87,9 @@ def _number(page: Column) -> Column:
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Every record's exact header and its fields: header, address, slot, record_id, url, record_type, payload_digest, refers_to, size.
+    """Every record's exact head and its fields: header, address, slot, record_id, url, record_type, payload_digest, refers_to, block, size.
 
-    Lines of a header end with CR LF and with nothing else, whatever separators a url holds.
+    block is the length of the record's block, size that of its payload, which the HTTP head also states for revisits. Lines of a header end with CR LF and with nothing else, whatever separators a url holds.
     """
     records = spark.read.schema("header binary, address string, slot int").parquet(f"{path}/records")
     lines = F.split(F.col("header").cast("string"), "\r\n", -1)
@@ -99,7 +102,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         _field(lines, "WARC-Type").alias("record_type"),
         F.regexp_extract(_field(lines, "WARC-Payload-Digest"), "^sha1:(\\w+)$", 1).alias("payload_digest"),
         _number(_field(lines, "WARC-Refers-To")).alias("refers_to"),
-        _field(lines, "Content-Length").try_cast("long").alias("size"),
+        _field(lines, "Content-Length").try_cast("long").alias("block"),
+        _field(lines, "Content-Length", -1).try_cast("long").alias("size"),
     )
 
 
@@ -112,7 +116,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records rebuilt: header fields, payload, the record's exact bytes, and what the payload's own bytes give.
 
     digest (SHA-1 in base 32) and length are computed from the joined payload; verified says that they and its SHA-256
-    agree with the header and the address. A payload of many records is repeated for every SLOT of them, so that no
+    agree with the heads and the address, and that the block is as long as its header says. A payload of many records is repeated for every SLOT of them, so that no
     task has to rebuild all.
     """
     stored = read_payloads(spark, path).select("address", "payload", F.explode(F.sequence(F.lit(0), F.ceil(F.col("uses") / SLOT).cast("int") - 1)).alias("slot"))
@@ -120,5 +124,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
     whole = joined.withColumn("record", F.concat("header", body, F.lit("\r\n\r\n").cast("binary")))
     seen = whole.withColumn("digest", base32(F.sha1("payload"))).withColumn("length", F.octet_length("payload").cast("long"))
-    agree = (F.sha2("payload", 256) == F.col("address")) & (F.col("digest") == F.col("payload_digest")) & (F.col("length") == F.col("size"))
-    return seen.withColumn("verified", F.coalesce(agree, F.lit(False))).drop("slot", "size")
+    # A record ends with two line ends, and its WARC header with the first empty line.
+    begin = F.instr(F.col("header").cast("string"), "\r\n\r\n")
+    named = F.octet_length(F.substring(F.col("header").cast("string"), F.lit(1), begin + 3))
+    whole_block = F.octet_length("record") - 4 - named == F.col("block")
+    agree = whole_block & (F.sha2("payload", 256) == F.col("address")) & (F.col("digest") == F.col("payload_digest")) & (F.col("length") == F.col("size"))
+    return seen.withColumn("verified", F.coalesce(agree, F.lit(False))).drop("slot", "size", "block")
