@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from math import ceil
+from zlib import crc32
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from vellumspark.functions import lang
@@ -48,20 +55,54 @@ def translation_memory(todo: DataFrame, done: DataFrame) -> tuple[DataFrame, Dat
 RARITY = 1024
 
 
-def _rarity(gram: Column) -> Column:
-    return F.pmod(F.hash(gram), F.lit(RARITY))
+def _bigram_counts(z: str) -> Counter:
+    return Counter(map("".join, zip(z, z[1:])))
+
+
+def _rarest(often: list[int], ratio: float):
+    """Adds to rows with z, as the last columns, the rarest occurrences of its bigrams (g, and k for its k-th): as many as must hold a common one."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, grams, turns = [], [], []
+            for i, z in enumerate(batch.column(batch.schema.get_field_index("z")).to_pylist()):
+                n = len(z) - 1
+                left = n - ceil(ratio * n - 1e-9) + 1
+                counts = _bigram_counts(z)
+                for g in sorted(counts, key=lambda g: (often[crc32(g.encode()) % RARITY], g)):
+                    take = min(left, counts[g])
+                    at += [i] * take
+                    grams += [g] * take
+                    turns += range(take)
+                    left -= take
+                    if not left:
+                        break
+            kept = batch.drop_columns(["z"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams, pa.string()), pa.array(turns, pa.int32())], names=[*kept.schema.names, "g", "k"])
+
+    return rarest
+
+
+def _compared(threshold: float):
+    """Turns x and y, the last columns, into the score of those that reach the threshold."""
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for x, y in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("x", "y"))):
+                scores.append(1.0 if x == y else 2 * (_bigram_counts(x) & _bigram_counts(y)).total() / (len(x) + len(y) - 2))
+            kept = batch.drop_columns(["x", "y"])
+            out = pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*kept.schema.names, "score"])
+            yield out.filter(pa.array([v >= threshold for v in scores], pa.bool_()))
 
-def _numbered(sorted_grams: str, make) -> Column:
-    """make(gram, k) for the k-th occurrence of every gram of a sorted list, so that a multiset becomes a set."""
-    return F.transform(sorted_grams, lambda x, i: make(x, i + 1 - F.array_position(sorted_grams, x)))
+    return compared
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: float, title: str = "title") -> DataFrame:
     """Pairs of titles with the same `on` whose bigram Dice score (with multiplicity) is `threshold` or more: on, lid, rid, score.
 
     A score of t needs sizes within a ratio of t / (2 - t) and that share of the larger one's bigrams. So titles that no size
-    of the other side can match go first; of what is left only as many bigrams are exploded as must hold a common one (the
+    of the other side can match go first; of what is left only as many bigrams become rows as must hold a common one (the
     rarest by the other side's counts), and pairs that meet there are compared in full.
     """
     if not 0 < threshold <= 1:
@@ -78,25 +119,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: f
 
     a, b = sized(left, "lid"), sized(right, "rid")
     a = within(a, b)
-    counted = b.select(F.explode(F.transform(T.bigrams(F.col("z")), _rarity)).alias("c")).groupBy("c").count().collect()
+    counted = b.select(F.explode(F.transform(T.bigrams(F.col("z")), lambda g: F.crc32(g) % RARITY)).alias("c")).groupBy("c").count().collect()
     often = [0] * RARITY
     for r in counted:
         often[r["c"]] = r["count"]
-    often = F.split(F.lit(",".join(map(str, often))), ",").cast("array<long>")
 
     def first(d: DataFrame, key: str, n: str) -> DataFrame:
-        ranked = _numbered("s", lambda x, k: F.struct(F.get(often, _rarity(x)).alias("often"), x.alias("g"), k.alias("k")))
-        least = (F.col("n") - F.ceil(ratio * F.col("n") - 1e-9) + 1).cast("int")
-        marked = d.select(*on, key, "n", F.array_sort(T.bigrams(F.col("z"))).alias("s"))
-        cut = marked.select(*on, key, F.col("n").alias(n), F.slice(F.array_sort(ranked), F.lit(1), least).alias("p"))
-        return cut.select(*on, key, n, F.explode("p").alias("p")).select(*on, key, n, "p.g", "p.k")
+        rows = d.select(*on, key, F.col("n").alias(n), "z")
+        schema = StructType([*(f for f in rows.schema.fields if f.name != "z"), StructField("g", StringType()), StructField("k", IntegerType())])
+        return rows.mapInArrow(_rarest(often, ratio), schema)
 
     met = first(a, "lid", "_n").join(first(within(b, a), "rid", "_m"), [*on, "g", "k"])
     near = met.where((F.col("_n") >= F.floor(ratio * F.col("_m"))) & (F.col("_m") >= F.floor(ratio * F.col("_n")))).select(*on, "lid", "rid").distinct()
-    full = near.join(a.select(*on, "lid", F.col("z").alias("x")), [*on, "lid"]).join(b.select(*on, "rid", F.col("z").alias("y")), [*on, "rid"])
-    full = full.select(*on, "lid", "rid", F.array_sort(T.bigrams(F.col("x"))).alias("x"), F.array_sort(T.bigrams(F.col("y"))).alias("y"))
-    same = F.array_intersect(_numbered("x", lambda g, k: F.concat(g, k.cast("string"))), _numbered("y", lambda g, k: F.concat(g, k.cast("string"))))
-    return full.select(*on, "lid", "rid", (2 * F.size(same) / (F.size("x") + F.size("y"))).alias("score")).where(F.col("score") >= threshold)
+    full = near.join(a.select(*on, "lid", F.col("z").alias("x")), [*on, "lid"]).join(b.select(*on, "rid", F.col("z").alias("y")), [*on, "rid"]).select(*on, "lid", "rid", "x", "y")
+    schema = StructType([*full.select(*on, "lid", "rid").schema.fields, StructField("score", DoubleType())])
+    return full.mapInArrow(_compared(threshold), schema)
 
 
 def similar_titles(entries: DataFrame, blocks: DataFrame, threshold: float = 0.85) -> DataFrame:
