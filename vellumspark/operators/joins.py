@@ -110,8 +110,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: f
     ratio = threshold / (2 - threshold)
 
     def sized(d: DataFrame, key: str) -> DataFrame:
-        z = F.regexp_replace(title, " ", "")
-        return staged(d.select(*on, key, z.alias("z"), (F.char_length(z) - 1).alias("n")).where("n > 0"), "titles")
+        # A filter on titles would have them worked out once more below it, so they are written first.
+        z = staged(d.select(*on, key, F.regexp_replace(title, " ", "").alias("z")), "titles")
+        return z.withColumn("n", F.char_length("z") - 1).where("n > 0")
 
     def within(d: DataFrame, other: DataFrame) -> DataFrame:
         span = other.groupBy(*on).agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
