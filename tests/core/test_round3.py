@@ -248,3 +248,139 @@ def test_states_end(spark, rocks):
         assert len(rows) == 42
         left = spark.read.format("statestore").option("path", where).option("stateVarName", "times").load()
         assert {r.key.key for r in left.select("key").collect()} == {99}
+
+
+def test_first_mention_texts_over_the_table(spark, sf):
+    """Notes put in and taken out by plain string work, from the matches that JOIN5's own tests hold."""
+    import regex
+
+    from vellumspark.queries.terms import noted
+
+    segments, terms = noted(spark, sf)
+    texts = {r.segment_id: r.text for r in segments.collect()}
+    known = {r.term_id: r for r in terms.collect()}
+    found = M.match_terms(segments.select("segment_id", "text"), terms.select("term_id", F.col("tgt").alias("src")), "segment_id").collect()
+    word = regex.compile(M.WORD_RUN)
+    marks = []
+    for r in found:
+        text, t = texts[r.segment_id], known[r.term_id]
+        end = [m.end() for m in word.finditer(text)][r.end - 1]
+        end += len(regex.match(r"(?:\*{1,2}(?![\p{L}\p{N}]))?", text[end:])[0])
+        note = regex.match(r"(?i)\s*\(\s*\*{0,2}" + r"\s+".join(map(regex.escape, t.src.split())) + r"(?:s|es)?\*{0,2}\s*\)", text[end:])
+        marks.append((r.segment_id % 10, t.src.lower(), r.segment_id, r.start, end, note[0] if note else "", t))
+    seen, edits = set(), {}
+    for chapter, src, i, start, end, note, t in sorted(marks, key=lambda m: m[:4]):
+        first = (chapter, src) not in seen and t.policy != "never"
+        seen.add((chapter, src))
+        if first and not note:
+            edits.setdefault(i, []).append((end, 0, f" ({t.src})"))
+        elif note and not first:
+            edits.setdefault(i, []).append((end, len(note), ""))
+    want = {}
+    for i, text in texts.items():
+        for at, gone, new in sorted(edits.get(i, []), reverse=True):
+            text = text[:at] + new + text[at + gone :]
+        want[i] = text
+    got = {r.segment_id: r.text for r in M.first_mention_texts(segments, terms)[0].collect()}
+    assert got == want
+    assert any(gone for e in edits.values() for _, gone, _ in e) and any(new for e in edits.values() for _, _, new in e)
+
+
+def plain_sentences(text):
+    """The Unicode rules one place after the other, for what the tables hold."""
+    import unicodedata
+
+    import regex
+
+    stop, end = ".\u2024\ufe52\uff0e", "!?\u061f\u06d4\u0964\u3002\uff01\uff1f\u203c\u2047\u2048\u2049"
+    close = lambda x: unicodedata.category(x) in ("Ps", "Pe", "Pi", "Pf") or x in "\"'"
+    space = lambda x: unicodedata.category(x) == "Zs" or x in "\t\x0b\x0c"
+    upper = lambda x: unicodedata.category(x) in ("Lu", "Lt")
+    lower = lambda x: unicodedata.category(x) == "Ll"
+    para = "\n\r\x85\u2028\u2029"
+    out, start, k = [], 0, 0
+
+    def cut(at):
+        nonlocal start
+        out.append(text[start:at])
+        start = at
+
+    while k < len(text):
+        x = text[k]
+        if x in para:
+            k += 2 if text[k : k + 2] == "\r\n" else 1
+            cut(k)
+            continue
+        if x not in stop + end:
+            k += 1
+            continue
+        j = k + 1
+        while j < len(text) and close(text[j]):
+            j += 1
+        closed = j
+        while j < len(text) and space(text[j]):
+            j += 1
+        nxt = text[j] if j < len(text) else None
+        ok = True
+        if x in stop and closed == j == k + 1 and nxt is not None:
+            ok = not unicodedata.category(nxt) == "Nd" and not (upper(nxt) and k and (upper(text[k - 1]) or lower(text[k - 1])))
+        if ok and x in stop:
+            m = j
+            while m < len(text) and not unicodedata.category(text[m]).startswith("L") and text[m] not in para + stop + end:
+                m += 1
+            ok = not (m < len(text) and lower(text[m]))
+        if ok and nxt is not None and nxt in ",-:;\u060c\u2013\u2014\u3001" + stop + end:
+            ok = False
+        k = j if ok else k + 1
+        if ok:
+            cut(j)
+    cut(len(text))
+    return [t for t in (regex.sub(r"^[\p{Z}\s\x85\ufeff]+|[\p{Z}\s\x85\ufeff]+$", "", x) for x in out) if t]
+
+
+def test_sentences_by_the_unicode_rules(spark, sf):
+    from vellumspark.functions import text as T
+
+    fixed = {
+        "One idea. Another one? Yes!": ["One idea.", "Another one?", "Yes!"],
+        "این یک جمله است. آیا این دومی است؟ بله.": ["این یک جمله است.", "آیا این دومی است؟", "بله."],
+        "It costs 3.5 euros. The U.S.A. is approx. five (hours) away.": ["It costs 3.5 euros.", "The U.S.A. is approx. five (hours) away."],
+        'He said "Stop!" Then he left.\nNew line': ['He said "Stop!"', "Then he left.", "New line"],
+        "What?! No... well, yes.": ["What?!", "No... well, yes."],
+        "Wait!, he said": ["Wait!, he said"],
+        "": [],
+        " \n ": [],
+    }
+    frame = spark.createDataFrame([(t,) for t in fixed], "t string")
+    assert {r.t: r.s for r in frame.select("t", T.sentence_segments(F.col("t")).alias("s")).collect()} == fixed
+    greek = spark.createDataFrame([("Τι είναι; Ναι.",)], "t string").select(T.sentence_segments(F.col("t"), "el").alias("a"), T.sentence_segments(F.col("t")).alias("b")).first()
+    assert greek.a == ["Τι είναι;", "Ναι."] and greek.b == ["Τι είναι; Ναι."]
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", T.sentence_segments(F.col("text")).alias("s")).collect()
+    assert all((r.s or []) == plain_sentences(r.text or "") for r in rows) and max(len(r.s or []) for r in rows) > 5
+
+
+def test_places_over_all_rows(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"), "id").repartition(7)
+    got = [(r.x, r.place) for r in W.numbered(rows, [F.desc("x")]).collect()]
+    assert sorted(got, reverse=True) == [(x, k + 1) for k, x in enumerate(sorted((r.x for r in rows.collect()), reverse=True))]
+    assert W.numbered(rows.limit(0), ["x"]).count() == 0
+
+
+def test_the_feed_goes_on_where_it_stopped(spark):
+    path, where = new_path(spark, "feed"), new_path(spark, "c")
+    rows = spark.range(1, 1201).select("id", F.concat(F.lit("b"), F.col("id") % 3).alias("book"))
+    rows.repartition(3).write.parquet(path)
+    calls = []
+
+    def run():
+        q = ST.consume_changes(ST.change_feed(spark, path), "book", lambda df, i: calls.append((i, sorted(r.book for r in df.collect()))), where).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    assert calls == [(k, ["b0", "b1", "b2"]) for k in range(3)]
+    spark.createDataFrame([(1201, "late"), (1202, "later")], "id long, book string").write.mode("append").parquet(path)
+    run()
+    assert calls[3:] == [(3, ["late", "later"])]
+    run()
+    assert len(calls) == 4

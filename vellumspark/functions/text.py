@@ -194,6 +194,31 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?…؟][»\"”’')\]]{0,3})\s+|\n+", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# Character classes of the Unicode sentence boundary rules (UAX 29); Greek alone adds to them.
+FULL_STOPS = r".\u2024\uFE52\uFF0E"
+SENTENCE_ENDS = r"!?\u0589\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0964\u0965\u104A\u104B\u1362\u1367\u1368\u166E\u1803\u1809\u203C\u203D\u2047-\u2049\u2E2E\u2E3C\u3002\uFE56\uFE57\uFF01\uFF1F\uFF61"
+SENTENCE_GOES_ON = r",\-:;\u055D\u060C\u060D\u07F8\u1802\u1808\u2013\u2014\u3001\uFE10\uFE11\uFE13\uFE31\uFE32\uFE50\uFE51\uFE55\uFE58\uFE63\uFF0C\uFF0D\uFF1A\uFF64"
+LOCAL_ENDS = {"el": ";\u037E"}
+PARAGRAPH_ENDS = r"\r\n\u0085\u2028\u2029"
+
+
+def sentence_segments(c: Column, language: str = "en") -> Column:
+    """Trimmed sentences of a text by the Unicode sentence boundary rules, with the language's own end marks; blank ones left out.
+
+    A sentence ends after an end mark with its closing quotes, brackets and spaces, and at paragraph ends. A full stop ends
+    none before a digit (3.5), between letters before a capital (U.S.A), or where the next letter is a small one (approx. five);
+    no mark ends one before a comma, colon, dash or another mark. Marks that combine with letters do not count as characters
+    between, other than in the rules.
+    """
+    ends = SENTENCE_ENDS + LOCAL_ENDS.get(language, "")
+    on = SENTENCE_GOES_ON.replace(";", "") if ";" in LOCAL_ENDS.get(language, "") else SENTENCE_GOES_ON
+    marks, close, space = FULL_STOPS + ends, r"[\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"']*+", r"[\p{Zs}\t\x0B\x0C]*+"
+    after = rf"(?![{on}{marks}])"
+    stop = rf"[{FULL_STOPS}](?!\p{{Nd}})(?!(?<=[\p{{Lu}}\p{{Lt}}\p{{Ll}}].)[\p{{Lu}}\p{{Lt}}]){close}{space}{after}(?![^\p{{L}}{PARAGRAPH_ENDS}{marks}]*+\p{{Ll}})"
+    broken = F.regexp_replace(c, rf"((?:{stop})|[{ends}]{close}{space}{after}|\r\n|[{PARAGRAPH_ENDS}])", "$1\u0001")
+    return F.filter(F.transform(F.split(broken, "\u0001", -1), lambda x: F.regexp_replace(x, r"^[\p{Z}\s\x{85}\x{feff}]+|[\p{Z}\s\x{85}\x{feff}]+$", "")), lambda x: x != "")
+
+
 def text_direction(c: Column, fallback: str = "ltr") -> Column:
     first = F.regexp_extract(c, r"[\p{L}]", 0)
     return F.when(first == "", fallback).when(first.rlike(r"[\p{IsArabic}\p{IsHebrew}]"), "rtl").otherwise("ltr")
@@ -236,10 +261,13 @@ def contains_ranges(c: Column, query: Column) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1))
 
 
+def escape_html(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), '"', "&quot;")
+
+
 def markup_to_html(c: Column) -> Column:
     """Escaped static HTML of inline markup."""
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), '"', "&quot;")
-    x = F.regexp_replace(x, r"`([^`]+)`", "<code>$1</code>")
+    x = F.regexp_replace(escape_html(c), r"`([^`]+)`", "<code>$1</code>")
     x = F.regexp_replace(x, r"\*\*(?!\s)(.+?)(?<!\s)\*\*", "<strong>$1</strong>")
     x = F.regexp_replace(x, r"\*(?![\s*])([^*]+?)(?<!\s)\*", "<em>$1</em>")
     x = F.regexp_replace(x, r"\[\^([^\]\s]+)\]", "<sup>$1</sup>")

@@ -137,7 +137,14 @@ def join_block_text(lines: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("l"), F.max("size").alias("size"), F.min("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("column").alias("column"),
         F.bool_and("bold").alias("bold"), F.bool_and("mono").alias("mono"), F.count("*").alias("n_lines"),
     )
-    return g.withColumn("text", F.aggregate("l", F.lit(""), lambda a, x: join_texts(a, x["text"]))).drop("l")
+    return g.withColumn("text", F.aggregate("l", F.lit(""), lambda a, x: join_texts(a, x["text"]))).withColumn("hyphens", hyphen_joins("l.text")).drop("l")
+
+
+def hyphen_joins(texts: str) -> Column:
+    """How many of the texts are joined to the one before by taking out its hyphen."""
+    full = F.filter(texts, lambda x: F.trim(x) != "")
+    joins = F.zip_with(F.slice(full, F.lit(1), F.size(full) - 1), F.slice(full, F.lit(2), F.size(full)), lambda a, b: F.rtrim(a).rlike(HYPHEN) & F.ltrim(b).rlike("^[a-z]"))
+    return F.when(F.size(full) > 1, F.size(F.filter(joins, lambda j: j))).otherwise(0)
 
 
 def join_texts(a: Column, b: Column) -> Column:
@@ -197,7 +204,7 @@ def merge_across_pages(blocks: DataFrame, key: str, order: str) -> DataFrame:
 
     numbered = flags.repartition(key).sortWithinPartitions(key, order).mapInArrow(grouped, f"{kinds}, _g int")
     parts = body.join(numbered, [key, order]).groupBy(key, "_g").agg(F.sort_array(F.collect_list(F.struct(order, "type", "text"))).alias("p"))
-    return parts.select(key, F.col("p")[0][order].alias(order), F.col("p")[0]["type"].alias("type"), F.aggregate("p", F.lit(""), lambda a, x: join_texts(a, x["text"])).alias("text"), F.size("p").alias("parts"))
+    return parts.select(key, F.col("p")[0][order].alias(order), F.col("p")[0]["type"].alias("type"), F.aggregate("p", F.lit(""), lambda a, x: join_texts(a, x["text"])).alias("text"), F.size("p").alias("parts"), hyphen_joins("p.text").alias("hyphens"))
 
 
 def classify_blocks(blocks: DataFrame, page_height: float = 600.0) -> DataFrame:
@@ -348,8 +355,8 @@ def layout_pipeline(items: DataFrame, page_height: float = 600.0, outline: DataF
     edges = kept.groupBy("doc_id").agg(F.percentile("x0", 0.1).alias("edge_left"), F.percentile("x1", 0.9).alias("edge_right"))
     typed = classify_blocks(blocks.join(stats.join(edges, "doc_id"), "doc_id"), page_height)
     typed = typed.withColumn("ord", F.col("page").cast("long") * 100000 + F.col("block")).withColumn("indent", F.greatest(F.col("x0") - F.col("edge_left"), F.lit(0.0))).withColumn("text_x", F.when(F.col("type") == "list_item", F.col("x0") + F.col("size")))
-    typed = staged(typed.select("doc_id", "ord", "type", "level", "text", "page", "column", "size", "x0", "indent", "text_x"), "typed-blocks")
-    aside = typed.where("type in ('footnote', 'figure', 'caption')").select("doc_id", "ord", "type", "text", F.lit(1).alias("parts"))
+    typed = staged(typed.select("doc_id", "ord", "type", "level", "text", "page", "column", "size", "x0", "indent", "text_x", "hyphens"), "typed-blocks")
+    aside = typed.where("type in ('footnote', 'figure', 'caption')").select("doc_id", "ord", "type", "text", F.lit(1).alias("parts"), F.lit(0).alias("hyphens"))
     merged = staged(merge_across_pages(typed, "doc_id", "ord").unionByName(aside), "blocks")
     entries = None
     if outline is not None:
@@ -360,4 +367,5 @@ def layout_pipeline(items: DataFrame, page_height: float = 600.0, outline: DataF
         placed = first_block_after(asked, starts).where("block is not null")
         entries = placed.join(outline.withColumn("entry", F.col("lid").cast("string")), ["doc_id", "entry"]).groupBy("doc_id", F.col("block").alias("ord")).agg(F.min_by(F.struct("depth", "title"), "lid").alias("e")).select("doc_id", "ord", "e.*")
     nodes, segments = build_structure(merged.join(typed.select("doc_id", "ord", "level"), ["doc_id", "ord"], "left"), entries)
-    return Layout(merged, infer_page_labels(pages, printed), nodes, segments, extraction_report(merged, "doc_id"))
+    report = extraction_report(merged, "doc_id", lines, kept, nodes, typed)
+    return Layout(merged, infer_page_labels(pages, printed), nodes, segments, report)

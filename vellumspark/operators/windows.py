@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from vellumspark.staging import staged
+
 UP_TO = (Window.unboundedPreceding, 0)
 
 
@@ -17,6 +19,20 @@ def assign_ord(rows: DataFrame, parent: list[str], order: list) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*parent).orderBy(*order)) - 1)
 
 
+def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in an order over all of them, without one task that holds them all.
+
+    Rows are dealt by ranges of the order and counted by range; a row's place is its place in its range after the ranges
+    before. Only the counts, one a partition, meet in one task. Rows of equal order share a range and are told apart at will.
+    """
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_k", inside).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + F.col("_k")).cast("long")).drop("_range", "_before", "_k")
+
+
 def paragraph_numbers(blocks: DataFrame, node: str, order: str) -> DataFrame:
     """Running number of a block in its node without headings, which get 0."""
     w = Window.partitionBy(node).orderBy(order).rowsBetween(*UP_TO)

@@ -134,6 +134,40 @@ def markup(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.markup_to_html(F.concat(marked("text"), F.lit(' <b> & "x"'))).alias("html"))
 
 
+EXPORT = f"""{A.SEGMENTS}, nd AS (SELECT source AS book, doc_id, doc_id % 2 AS depth, CASE WHEN doc_id % 2 = 0 THEN 'chapter' ELSE 'section' END AS kind, lang || ' <' || doc_id || '>' AS ts, CASE WHEN doc_id % 3 = 0 THEN 'T & ' || doc_id END AS tt, doc_id % 11 = 0 AS skip, doc_id - doc_id % 2 AS chapter FROM documents),
+  tl AS (SELECT *, replace(replace(replace(coalesce(tt, ts), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS title, replace(replace(ts, '<', '&lt;'), '>', '&gt;') AS st FROM nd),
+  rw AS (SELECT doc_id, ord, {MARKED} AS m FROM seg),
+  hr AS (SELECT doc_id, string_agg(h || '|' || CASE WHEN ord % 2 = 0 THEN '«' || h || '»' ELSE '' END, chr(10) ORDER BY ord) AS rows FROM (SELECT doc_id, ord, {HTML} AS h FROM rw) GROUP BY 1),
+  ct AS (SELECT source AS book, count(*) FILTER (WHERE ord % 4 = 0) AS done, count(*) AS total FROM seg GROUP BY 1),
+  gl AS (SELECT 'src' || p_partkey % 20 AS book, string_agg(p_name || '=' || p_brand || '=' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END, ';' ORDER BY p_name, p_brand, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END) AS glossary FROM part GROUP BY 1)"""
+
+
+@query(
+    "src8_reading_export",
+    f"""WITH {EXPORT} SELECT t.book, t.doc_id AS id, t.depth, CASE WHEN t.kind = 'chapter' THEN t.doc_id % 10 || '. ' ELSE '' END || t.title AS label, CASE WHEN t.tt IS NOT NULL THEN t.st END AS sub,
+      t.title, CASE WHEN t.chapter <> t.doc_id THEN c.title END AS chapter, rows, done, total, glossary
+    FROM tl t JOIN hr ON hr.doc_id = t.doc_id LEFT JOIN tl c ON c.book = t.book AND c.doc_id = t.chapter LEFT JOIN ct ON ct.book = t.book LEFT JOIN gl ON gl.book = t.book WHERE NOT t.skip""",
+)
+def reading_export(spark, d):
+    """Sources as books, documents as chapters and sections; every contents entry with its section, the glossary and the counters."""
+    from vellumspark.sources import tables as S
+
+    docs, n = A.table(spark, d, "documents"), F.col("doc_id")
+    nodes = docs.select(
+        F.col("source").alias("book"), n.alias("node_id"), n.alias("pos"), (n % 2).alias("depth"), F.when(n % 2 == 0, "chapter").otherwise("section").alias("kind"), (n % 10).alias("number"),
+        F.concat("lang", F.lit(" <"), n, F.lit(">")).alias("title_src"), F.when(n % 3 == 0, F.concat(F.lit("T & "), n)).alias("title_tgt"), (n % 11 == 0).alias("skip"), (n - n % 2).alias("chapter"),
+    )
+    text = A.segments(spark, d).select(F.col("source").alias("book"), n.alias("node_id"), "ord", F.lit("paragraph").alias("type"), marked("text").alias("src"))
+    rows = text.withColumn("tgt", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("«"), "src", F.lit("»"))))
+    k = F.col("p_partkey")
+    terms = A.table(spark, d, "part").select(F.concat(F.lit("src"), k % 20).alias("book"), F.col("p_name").alias("src"), F.col("p_brand").alias("tgt"), F.when(k % 2 == 0, F.col("p_type")).alias("definition"))
+    counts = text.groupBy("book").agg(F.count_if(F.col("ord") % 4 == 0).alias("done"), F.count("*").alias("total"))
+    out = S.reading_export(nodes, rows, terms, counts)
+    entry = out.select("book", "done", "total", F.array_join(F.transform("glossary", lambda t: F.concat_ws("=", t["src"], t["tgt"], t["definition"])), ";").alias("glossary"), F.explode("toc").alias("e"))
+    section = out.select("book", F.explode("sections").alias("s")).select("book", F.col("s.id").alias("id"), "s.title", "s.chapter", F.array_join(F.transform("s.rows", lambda r: F.concat_ws("|", r["src"], r["tgt"])), "\n").alias("rows"))
+    return entry.select("book", "e.id", "e.depth", "e.label", "e.sub", "done", "total", "glossary").join(section, ["book", "id"])
+
+
 @query("txt21_split_authors", "SELECT p_partkey, len(string_split(p_name, ' '))::INT AS n FROM part")
 def authors(spark, d):
     p = A.table(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", " ", " and ").alias("a"))

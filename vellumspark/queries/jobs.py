@@ -244,6 +244,20 @@ def changes(spark, d):
     return e.join(seen, "key", "left_semi").groupBy("key").agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
 
 
+@query("str1_change_feed", "SELECT (row_number() OVER (ORDER BY event_id) - 1) // 500 AS tick, event_id, user_id AS key FROM events")
+def feed(spark, d):
+    """All changes through the feed, 500 a tick: which rows each call of the handler was given."""
+    from vellumspark.staging import new_path
+
+    path, source = new_path(spark, "ticks"), new_path(spark, "feed")
+    events(spark, d).select("event_id", "key").write.parquet(source)
+    tick = lambda df, i: df.withColumn("tick", F.lit(i).cast("long")).write.mode("append").parquet(f"{path}/seen")
+    q = R.change_feed(spark, source, "event_id", -1).writeStream.foreachBatch(tick).option("checkpointLocation", f"{path}/checkpoint").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(f"{path}/seen").select("tick", "event_id", "key")
+
+
 @query("str2_expire_changes", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def expire(spark, d):
     return R.expire_changes(events(spark, d)).select("event_id")

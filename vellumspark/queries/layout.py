@@ -10,18 +10,17 @@ from vellumspark.operators import joins as J
 from vellumspark.operators import layout as L
 from vellumspark.plans import reports as R
 from vellumspark.queries.relational import NORM, dice_sql
-from vellumspark.queries.tree import CHUNKS
 from vellumspark.registry import query
 from vellumspark.sources import adapters as A
 
 
 def _blocks(spark, d):
-    return A.segments(spark, d).where("lang = 'en'").select("doc_id", "ord", F.lit("paragraph").alias("type"), F.lit(0.0).alias("indent"), "text")
+    return A.segments(spark, d).select("doc_id", "ord", F.lit("paragraph").alias("type"), F.lit(0.0).alias("indent"), "text")
 
 
 @query(
     "win4_merge_continuations",
-    f"""WITH {A.SEGMENTS}, b AS (SELECT doc_id, ord, text, lag(text) OVER (PARTITION BY doc_id ORDER BY ord) AS p FROM seg WHERE lang = 'en'),
+    f"""WITH {A.SEGMENTS}, b AS (SELECT doc_id, ord, text, lag(text) OVER (PARTITION BY doc_id ORDER BY ord) AS p FROM seg),
     f AS (SELECT *, p IS NULL OR regexp_matches(text, '^\\s*(?:[•◦▪●○■□–—*·]|\\(?(?:\\d{{1,3}}|[A-Za-z]|[ivxIVX]{{1,4}})[.)])\\s+') OR NOT (NOT regexp_matches(regexp_replace(p, '(\\s*\\[\\^[^\\]]+\\])+\\s*$', ''), '[.!?…:;؟۔»\"”'')\\]]\\s*$') OR regexp_matches(rtrim(p), '[A-Za-z]-\\s*$')) AS brk FROM b),
     g AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT doc_id, min(ord) AS ord, count(*)::INT AS parts FROM g GROUP BY doc_id, g""",
 )
@@ -93,11 +92,11 @@ def paragraphs(spark, d):
     return L.join_block_text(L.paragraph_blocks(L.reading_order(lines), L.document_stats(lines))).select("doc_id", "page", "block", "n_lines", F.trim("text").alias("text"))
 
 
-@query("win8_group_baselines", f"WITH {A.LINES} SELECT doc_id, page, ord, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y))::INT + k * 0 AS line_id, k AS part FROM ln, (SELECT unnest([0, 1]) AS k) WHERE text <> '' AND length(text) >= 2")
+@query("win8_group_baselines", f"WITH {A.LINES} SELECT doc_id, page, ord, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y))::INT + k * 0 AS line_id, k AS part FROM ln, (SELECT unnest([0, 1]) AS k) WHERE text <> ''")
 def baselines(spark, d):
     """Every line as two halves that touch, the second a little raised."""
     n = F.floor(F.char_length("text") / 2)
-    half = A.lines(spark, d).where("char_length(text) >= 2").select("doc_id", "page", "ord", "y", "x0", "size", "text", F.posexplode(F.array(F.struct(F.lit(0.0).alias("at"), (5.0 * n).alias("w"), F.lit(0.0).alias("up")), F.struct((5.0 * n).alias("at"), (5.0 * (F.char_length("text") - n)).alias("w"), F.lit(1.0).alias("up")))).alias("part", "h"))
+    half = A.lines(spark, d).where("text <> ''").select("doc_id", "page", "ord", "y", "x0", "size", "text", F.posexplode(F.array(F.struct(F.lit(0.0).alias("at"), (5.0 * n).alias("w"), F.lit(0.0).alias("up")), F.struct((5.0 * n).alias("at"), (5.0 * (F.char_length("text") - n)).alias("w"), F.lit(1.0).alias("up")))).alias("part", "h"))
     items = half.select("doc_id", "page", "ord", "part", "text", (F.col("x0") + F.col("h.at")).alias("x"), (F.col("y") - F.col("h.up")).alias("y"), F.col("h.w").alias("width"), "size")
     return L.group_baselines(items).select("doc_id", "page", "ord", "line_id", "part")
 
@@ -188,9 +187,24 @@ def report(spark, d):
     return r.select("page_id", "words", "sections", "broken", "paragraphs", F.coalesce(F.try_element_at("by_type", F.lit("list_item")), F.lit(0)).alias("list_items"), "break_ratio")
 
 
-@query("agg21_estimate", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, sum(w)::BIGINT AS words, count(*) AS segments, max(chunk)::BIGINT + 1 AS batches, 3::BIGINT AS term_batches FROM ck JOIN sw USING (doc_id, ord) GROUP BY 1")
+@query(
+    "agg21_estimate",
+    f"""WITH RECURSIVE {A.TRANSLATIONS}, {A.SEGMENTS}, tk AS (SELECT doc_id, ord, len(regexp_extract_all(text, '\\S+'))::BIGINT AS w, CASE WHEN status IS NULL OR status IN ('pending', 'queued') THEN 'translate' WHEN status IN ('drafted', 'flagged') THEN 'edit' END AS task
+      FROM seg LEFT JOIN (SELECT segment_id, status FROM tr) ON segment_id = doc_id),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, CASE task WHEN 'edit' THEN 90 ELSE 120 END AS budget FROM tk WHERE task IS NOT NULL),
+    pk AS (SELECT doc_id, task, k, w, budget, w AS total, 0 AS chunk FROM rk WHERE k = 1 UNION ALL SELECT r.doc_id, r.task, r.k, r.w, r.budget, CASE WHEN p.total > 0 AND p.total + r.w > r.budget THEN r.w ELSE p.total + r.w END, p.chunk + (p.total > 0 AND p.total + r.w > r.budget)::INT
+      FROM pk p JOIN rk r ON r.doc_id = p.doc_id AND r.k = p.k + 1),
+    c AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{9,}}')) AS w FROM documents) GROUP BY 1)
+    SELECT d.doc_id, coalesce(sum(w) FILTER (WHERE task = 'translate'), 0)::BIGINT AS words, count(*) FILTER (WHERE task = 'translate') AS segments, CASE WHEN d.doc_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS brief,
+      CASE WHEN d.doc_id % 4 = 0 THEN 0 ELSE ceil(coalesce(any_value(c.n), 0) / 40) END::BIGINT AS glossary, coalesce(max(chunk) FILTER (WHERE task = 'translate') + 1, 0)::BIGINT AS translate, coalesce(max(chunk) FILTER (WHERE task = 'edit') + 1, 0)::BIGINT AS edit
+    FROM documents d LEFT JOIN pk ON pk.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id""",
+)
 def estimate(spark, d):
-    return R.estimate(A.segments(spark, d).withColumn("node", F.lit(0)), "doc_id", 120, 90)
+    """Documents as books of one node; their candidates are their different long words, and every fourth has its brief."""
+    s = A.segments(spark, d).select("doc_id", F.concat(F.lit("d"), "doc_id").alias("node"), F.col("doc_id").alias("segment_id"), "ord", "text")
+    words = A.table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).cast("long").alias("n"))
+    briefed = words.where("doc_id % 4 = 0").select("doc_id")
+    return R.estimate(s, A.translations(spark, d).select("segment_id", "status"), "doc_id", 120, 90, words, briefed)
 
 
 PLAN = f"""{A.SEGMENTS}, {A.NODES.replace("nd AS (", "tn AS (")}, nx AS (SELECT node_id, (row_number() OVER (ORDER BY node_id)) AS idx FROM tn WHERE depth = 2), hid AS (SELECT c.node_id, c.skip OR n.skip AS hidden FROM tn c JOIN tn n ON n.node_id = c.parent_id WHERE c.depth = 2),
@@ -208,12 +222,13 @@ PLAN = f"""{A.SEGMENTS}, {A.NODES.replace("nd AS (", "tn AS (")}, nx AS (SELECT
 )
 def plan(spark, d):
     """Documents are dealt to the customers of the tree; skipped nodes and what lies under them have no work."""
+    from vellumspark.operators.windows import numbered
     from vellumspark.plans.work import plan_work
 
     n = A.table(spark, d, "customer").count()
     s = A.segments(spark, d).select(F.concat(F.lit("c"), 1 + F.col("doc_id") % n).alias("node"), F.col("doc_id").alias("segment_id"), (F.col("doc_id") * 10000 + F.col("ord")).alias("ord"), "text")
     nodes = A.nodes(spark, d)
-    index = nodes.where("depth = 2").select(F.col("node_id"), F.row_number().over(Window.orderBy("node_id")).cast("long").alias("index"))
+    index = numbered(nodes.where("depth = 2").select("node_id"), ["node_id"], "index")
     return plan_work(s, A.translations(spark, d).select("segment_id", "status"), 120, 240, nodes, index)
 
 

@@ -142,12 +142,16 @@ def structure(spark, d):
     return S.save_structure(b, e).drop("word_count")
 
 
-@query("src11_structure_summary", f"WITH {A.BLOCKS} SELECT page_id AS doc_id, count(*) AS n FROM blk GROUP BY 1")
+@query(
+    "src11_structure_summary",
+    f"""WITH {A.BLOCKS}, k AS (SELECT page_id, ord // 5 AS node, 'Part ' || (ord // 5) AS title, list({{'type': type, 'text': text}} ORDER BY ord) AS segments FROM blk GROUP BY 1, 2, 3)
+    SELECT page_id AS doc_id, to_json(list({{'node': node, 'title': title, 'segments': segments}} ORDER BY node))::VARCHAR AS summary FROM k GROUP BY 1""",
+)
 def summary(spark, d):
-    b = A.blocks(spark, d).select(F.col("page_id").alias("doc_id"), F.lit(0).alias("node"), "ord", "type", "text")
-    n = b.select("doc_id", "node", F.lit("root").alias("title")).distinct()
-    s = S.structure_summary(n, b)
-    return s.select("doc_id", F.size(F.from_json("summary", "array<struct<segments:array<struct<type:string>>>>")[0]["segments"]).cast("long").alias("n"))
+    """Every page as a document of parts of five blocks: the whole summary."""
+    b = A.blocks(spark, d).select(F.col("page_id").alias("doc_id"), F.floor(F.col("ord") / 5).cast("int").alias("node"), "ord", "type", "text")
+    n = b.select("doc_id", "node", F.concat(F.lit("Part "), "node").alias("title")).distinct()
+    return S.structure_summary(n, b)
 
 
 @query("src12_delete_book", "SELECT doc_id, lang FROM documents WHERE source <> 'src0'")
@@ -232,7 +236,7 @@ def _queue(spark, d, mode):
     s = t.select("segment_id", F.concat(F.lit("n"), F.col("segment_id") % 25).alias("node_id"), F.col("segment_id").alias("ord"))
     changes = A.table(spark, d, "events").where("event_type <> 'view'").select(F.col("user_id").alias("segment_id"), F.col("event_type").alias("change"), F.struct("ts", "event_id").alias("at"))
     q = P.review_queue(t, s, A.nodes(spark, d), changes, mode)
-    return q.select("segment_id", "status", "last_change", F.row_number().over(Window.orderBy("path", "ord")).cast("long").alias("place"))
+    return W.numbered(q, ["path", "ord"]).select("segment_id", "status", "last_change", "place")
 
 
 @query("fil5_review_queue", f"WITH {FLAGGED} SELECT segment_id, status, last_change, row_number() OVER (ORDER BY path, segment_id) AS place FROM pl LEFT JOIN r USING (segment_id) WHERE status = 'flagged'")
@@ -583,7 +587,7 @@ def grouped(spark, d):
 def glossary(spark, d):
     terms = A.table(spark, d, "part").select(F.col("p_partkey").alias("term_id"), F.concat("p_name", "p_partkey").alias("src"))
     g = K.glossary_order(terms, A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("term_id")))
-    return g.select("src", "occurrences", F.row_number().over(Window.orderBy(F.desc("occurrences"), "src")).cast("long").alias("place"))
+    return W.numbered(g.select("src", "occurrences"), [F.desc("occurrences"), F.col("src")])
 
 
 @query("top8_log_tail", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20")

@@ -226,6 +226,15 @@ def sentences(spark, d):
     return s.select("doc_id", F.array_join("s", "|").alias("sentences"), F.aggregate(F.transform("s", lambda x: F.regexp_count(x, F.lit(r"\S+"))), F.lit(0), lambda a, n: a + n).cast("long").alias("n_words"))
 
 
+@query("txt10_sentence_segments")
+def sentence_segments(spark, d):
+    """Whole texts by the Unicode rules, each by its own language."""
+    docs, out = A.table(spark, d, "documents"), F.lit(None).cast("array<string>")
+    for language in ("en", "de", "fr", "es"):
+        out = F.when(F.col("lang") == language, T.sentence_segments(F.col("text"), language)).otherwise(out)
+    return docs.select("doc_id", F.explode(out).alias("sentence")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.regexp_count("sentence", F.lit(r"\S+"))).cast("long").alias("n_words"))
+
+
 @query("txt16_text_direction", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR (doc_id % 4 = 1 AND NOT regexp_matches(text, '\\p{L}')) THEN 'rtl' WHEN doc_id % 4 = 2 THEN 'rtl' ELSE 'ltr' END AS direction FROM documents")
 def direction(spark, d):
     lead = F.element_at(F.array(*(F.lit(x) for x in ("1. سلام ", "", "«שלום» ", "12 – "))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -241,10 +250,10 @@ def json(spark, d):
 
 @query(
     "txt20_find_ranges",
-    "SELECT doc_id, (length(text) - length(replace(lower(text), 'then', '')))::BIGINT // 4 AS n, instr(lower(text), 'then')::INT - 1 AS first FROM documents WHERE contains(lower(text), 'then') AND lang = 'en'",
+    "SELECT doc_id, (length(text) - length(replace(lower(text), 'then', '')))::BIGINT // 4 AS n, instr(lower(text), 'then')::INT - 1 AS first FROM documents WHERE contains(lower(text), 'then')",
 )
 def ranges(spark, d):
-    r = A.table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.contains_ranges(F.col("text"), F.lit("then")).alias("r")).where(F.size("r") > 0)
+    r = A.table(spark, d, "documents").select("doc_id", T.contains_ranges(F.col("text"), F.lit("then")).alias("r")).where(F.size("r") > 0)
     return r.select("doc_id", F.size("r").cast("long").alias("n"), F.col("r")[0]["start"].alias("first"))
 
 
@@ -256,12 +265,12 @@ def leftovers(spark, d):
 @query(
     "txt25_search_snippets",
     """SELECT doc_id, (CASE WHEN s > 70 THEN '…' ELSE '' END) || substring(text, greatest(s - 70, 0) + 1, least(s, 70) + 94) || (CASE WHEN s + 94 < length(text) THEN '…' ELSE '' END) AS snippet
-    FROM (SELECT doc_id, text, instr(lower(text), 'then') - 1 AS s FROM documents WHERE lang = 'en') WHERE s >= 0""",
+    FROM (SELECT doc_id, text, instr(lower(text), 'then') - 1 AS s FROM documents) WHERE s >= 0""",
 )
 def snippets(spark, d):
     from vellumspark.operators.text_jobs import search_snippets
 
-    return search_snippets(A.table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text", "then").select("doc_id", "snippet")
+    return search_snippets(A.table(spark, d, "documents"), "doc_id", "text", "then").select("doc_id", "snippet")
 
 
 @query(

@@ -266,9 +266,32 @@ def headers(spark, d):
     return every.join(kept, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("removed"))
 
 
-@query("agg20_stage_progress", "SELECT event_type AS stage, count(*) FILTER (WHERE user_id % 2 = 0) AS done, count(*) AS total FROM events GROUP BY 1")
+@query(
+    "agg20_stage_progress",
+    """WITH g AS (SELECT event_type AS stage, count(*) FILTER (WHERE user_id % 7 <> 3 AND user_id % 2 = 0) AS done, count(*) AS total, count(*) FILTER (WHERE user_id % 7 = 3 AND event_type <> 'view') AS failed FROM events GROUP BY 1)
+    SELECT stage, done, total, CASE WHEN done = total THEN 'done' WHEN failed > 0 THEN 'failed' WHEN done = 0 THEN 'waiting' ELSE 'running' END AS state FROM g""",
+)
 def stages(spark, d):
     from vellumspark.plans.reports import stage_progress
 
-    e = A.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.when(F.col("user_id") % 2 == 0, "succeeded").otherwise(F.lit("queued")).alias("status"))
-    return stage_progress(e).select("stage", "done", "total")
+    status = F.when((F.col("user_id") % 7 == 3) & (F.col("event_type") != "view"), "failed").when((F.col("user_id") % 7 != 3) & (F.col("user_id") % 2 == 0), "succeeded").otherwise("queued")
+    return stage_progress(A.table(spark, d, "events").select(F.col("event_type").alias("stage"), status.alias("status")))
+
+
+@query(
+    "agg20_overall_stage",
+    """WITH i AS (SELECT o_custkey AS book, CASE WHEN o_orderkey % 3 = 0 THEN 'glossary' WHEN o_orderkey % 3 = 1 THEN 'translate' ELSE 'edit' END AS stage, o_orderstatus = 'F' OR o_custkey % 3 = 0 OR (o_custkey % 3 = 1 AND o_orderkey % 3 = 0) AS ok FROM orders),
+    t AS (SELECT book, count(*) FILTER (WHERE stage = 'glossary' AND NOT ok) AS g, count(*) FILTER (WHERE stage = 'translate' AND NOT ok) AS t, count(*) FILTER (WHERE stage = 'edit' AND NOT ok) AS e FROM i GROUP BY 1),
+    s AS (SELECT book, CASE WHEN book % 11 = 0 THEN 'done' WHEN book % 13 = 0 THEN 'brief' WHEN book % 17 = 0 OR g > 0 THEN 'glossary' WHEN book % 5 = 0 THEN 'glossary_review' WHEN t > 0 THEN 'translate' WHEN e > 0 THEN 'edit' ELSE 'qa' END AS stage FROM t)
+    SELECT book, stage, CASE WHEN book % 19 = 0 THEN 'cancelled' WHEN book % 23 = 0 THEN 'paused' WHEN book % 11 = 0 THEN 'done' WHEN book % 29 = 0 THEN 'idle' WHEN stage = 'glossary_review' THEN 'waiting_glossary_review' ELSE 'running' END AS state FROM s""",
+)
+def overall(spark, d):
+    """Customers as books, their orders as work of three stages; the flags come from the customer's key."""
+    from vellumspark.plans.reports import overall_stage, stage_totals
+
+    k, c = F.col("o_orderkey") % 3, F.col("o_custkey") % 3
+    ok = (F.col("o_orderstatus") == "F") | (c == 0) | ((c == 1) & (k == 0))
+    items = A.table(spark, d, "orders").select(F.col("o_custkey").alias("book"), F.when(k == 0, "glossary").when(k == 1, "translate").otherwise("edit").alias("stage"), F.when(ok, "succeeded").otherwise("queued").alias("status"))
+    every = lambda n: F.col("book") % n == 0
+    flags = {"briefed": ~every(13), "planned": ~every(17), "approved": ~every(5), "finished": every(11), "started": ~every(29), "paused": every(23), "cancelled": every(19)}
+    return overall_stage(stage_totals(items).withColumns(flags))
