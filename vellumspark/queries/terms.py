@@ -167,12 +167,12 @@ def mining_examples(spark, d):
 
 @query("win11_first_mention_texts")
 def mention_texts(spark, d):
-    """Every document with its own matches as equivalents; words with nd already have their note."""
+    """Every document with its own matches as equivalents; words with an e already have their note."""
     return M.first_mention_texts(*noted(spark, d))[0].select("segment_id", "text")
 
 
 def noted(spark, d):
     """Segments and managed terms of the query above."""
     t = dictionary(spark, d).select("term_id", F.concat(F.lit("src "), "src").alias("src"), F.col("src").alias("tgt"), F.when(F.col("src") < "e", "never").otherwise(F.lit("first_in_chapter")).alias("policy"))
-    s = english(spark, d).select(F.col("doc_id").alias("segment_id"), (F.col("doc_id") % 10).alias("chapter"), F.col("doc_id").alias("ord"), F.lit("p").alias("type"), F.regexp_replace("text", r"(?i)\b(\w*nd\w*)\b", "$1 (src $1)").alias("text"))
+    s = english(spark, d).select(F.col("doc_id").alias("segment_id"), (F.col("doc_id") % 10).alias("chapter"), F.col("doc_id").alias("ord"), F.lit("p").alias("type"), F.regexp_replace("text", r"(?i)\b(\w*e\w*)\b", "$1 (src $1)").alias("text"))
     return s, t
