@@ -384,3 +384,17 @@ def test_the_feed_goes_on_where_it_stopped(spark):
     assert calls[3:] == [(3, ["late", "later"])]
     run()
     assert len(calls) == 4
+
+
+def test_sessions_are_forgotten(spark, rocks):
+    """Ended and open sessions of the first day; on the third only the newest one's mark is left."""
+    path, where = new_path(spark, "in"), new_path(spark, "c")
+    day = [(s, n, at(s + n), k, k) for s in range(6) for n, k in enumerate(("delta", "done") if s % 2 else ("delta",))]
+    for part in (day, [(50, 0, at(2 * 86_400), "delta", "x")], [(51, 0, at(2 * 86_400 + 1200), "done", None)]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+    _, rows = drained(spark, ST.assemble_answers(stream), where)
+    assert {(r.session, r.answer, r.ok) for r in rows} == {(s, "delta", True) for s in (1, 3, 5)} | {(51, "", True)}
+    for name, left in (("text", {50}), ("ended", {51})):
+        state = spark.read.format("statestore").option("path", where).option("stateVarName", name).load()
+        assert {r.key[0] for r in state.select("key").collect()} == left

@@ -229,10 +229,10 @@ def sorted_frames(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
     return [pd.concat(every).sort_values(["t", "event_id"])] if every else []
 
 
-def admit(starts: deque[int], t: int, rpm: int, rpd: int) -> bool:
+def admit(starts: deque[int] | list[int], t: int, rpm: int, rpd: int) -> bool:
     """Whether a request may start now; admitted ones are noted, and those over a day old forgotten."""
     while starts and starts[0] <= t - DAY:
-        starts.popleft()
+        del starts[0]
     ok = len(starts) < rpd and (len(starts) < rpm or starts[-rpm] <= t - MINUTE)
     if ok:
         starts.append(t)
@@ -436,17 +436,22 @@ def import_once(results: DataFrame, key: str, imported: DataFrame | None = None)
 
 
 class _Answer(StatefulProcessor):
-    """Keeps the text of a session until its first done or error, and for a while that it has ended."""
+    """Keeps the text of a session until its first done or error, and that it has ended; with times, for a while after its last row."""
 
-    def __init__(self, keep_ms: int):
+    def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.text = handle.getListState("text", "part string", self.keep_ms)
-        self.ended = handle.getValueState("ended", "ok boolean", self.keep_ms)
+        self.handle = handle
+        self.text = handle.getListState("text", "part string")
+        self.ended = handle.getValueState("ended", "ok boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, every = [], list(rows)
+        if every and self.keep_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int(max(df["t"].max() for df in every)) // 1000 + self.keep_ms + 1)
         if not self.ended.exists() and every:
             for kind, text in pd.concat(every).sort_values("seq")[["type", "text"]].itertuples(index=False):
                 if kind == "delta":
@@ -458,6 +463,11 @@ class _Answer(StatefulProcessor):
                     break
         yield pd.DataFrame(out, columns=["session", "answer", "ok"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.text.clear()
+        self.ended.clear()
+        yield pd.DataFrame({"session": [], "answer": [], "ok": []}).astype({"session": "int64", "answer": "object", "ok": "bool"})
+
     def close(self) -> None:
         pass
 
@@ -466,10 +476,14 @@ def assemble_answers(deltas: DataFrame, keep: str = "1 day") -> DataFrame:
     """Text of every session up to its first done or error, and whether it may carry citations: session, answer, ok.
 
     As a stream, an answer comes when its session ends; what comes after is dropped. Deltas come in order between batches.
-    State ends by its time to live: parts and the mark of an ended session are forgotten `keep` after they were written.
+    Where deltas have a time (ts), a session's state ends `keep` after its last row, which a timer sees to; without one it stays.
     """
     if deltas.isStreaming:
-        return deltas.select("session", "seq", "type", "text").groupBy("session").transformWithStateInPandas(_Answer(1000 * _seconds(keep)), "session long, answer string, ok boolean", "append", "ProcessingTime")
+        schema = "session long, answer string, ok boolean"
+        if "ts" not in deltas.columns:
+            return deltas.select("session", "seq", "type", "text").groupBy("session").transformWithStateInPandas(_Answer(None), schema, "append", "None")
+        timed = deltas.withWatermark("ts", WATERMARK).select("session", "seq", "type", "text", micros(F.col("ts")).alias("t"), "ts")
+        return timed.groupBy("session").transformWithStateInPandas(_Answer(1000 * _seconds(keep)), schema, "append", "EventTime")
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max(F.col("type").isin("done", "error").cast("int")).over(w), F.lit(0))
     kept = deltas.withColumn("_e", ended).where("_e = 0")
