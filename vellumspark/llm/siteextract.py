@@ -301,10 +301,16 @@ def style_importance(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
     nodes = sums.select("host", "path", "kind", "pages", entropy.alias("entropy"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    leaves = nodes.where("kind = 'content'").select("host", F.explode(above).alias("path"), "pages", "entropy")
-    content = leaves.groupBy("host", "path").agg((F.sum(F.col("pages") * F.col("entropy")) / F.sum("pages")).alias("content"), F.max("pages").alias("pages"), F.max("entropy").alias("peak"))
-    style = nodes.where("kind = 'style'").select("host", "path", F.col("entropy").alias("style"))
-    return content.join(style, ["host", "path"], "left").select("host", "path", "pages", (F.lit(1 - gamma) * F.coalesce("style", F.lit(1.0)) + F.lit(gamma) * F.col("content")).alias("importance"), "peak")
+    # One pass: a node's text counts for all nodes above it, its children's styles for itself.
+    told = lambda path, style, *content: F.struct(path.alias("path"), style.alias("style"), *(c.cast("double").alias(n) for c, n in zip(content, ("n", "entropy"))))
+    none = F.lit(None)
+    texts = F.transform(above, lambda p: told(p, none.cast("double"), F.col("pages"), F.col("entropy")))
+    spread = nodes.select("host", F.inline(F.when(F.col("kind") == "content", texts).otherwise(F.array(told(F.col("path"), F.col("entropy"), none, none)))))
+    by_node = spread.groupBy("host", "path").agg(
+        (F.sum(F.col("n") * F.col("entropy")) / F.sum("n")).alias("content"), F.max("n").cast("long").alias("pages"), F.max("entropy").alias("peak"), F.max("style").alias("style")
+    )
+    importance = F.lit(1 - gamma) * F.coalesce("style", F.lit(1.0)) + F.lit(gamma) * F.col("content")
+    return by_node.where("pages is not null").select("host", "path", "pages", importance.alias("importance"), "peak")
 
 
 def weighed_branches(known: DataFrame, low: float = 0.3, same: float = 0.05, prior: float = 4.0, others: float = 8.0) -> DataFrame:
