@@ -1,5 +1,7 @@
 """Small fixed inputs with known results, for rules that the stored tables do not exercise."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from vellumspark.operators import aggregates as G
 from vellumspark.operators import filters as P
 from vellumspark.operators import joins as J
 from vellumspark.operators import layout as L
+from vellumspark.operators import packing
 from vellumspark.operators import terms as M
 from vellumspark.operators import tree as R
 from vellumspark.plans import quality as Q
@@ -45,7 +48,28 @@ def test_length_outliers(spark):
 
 def test_chunks(spark):
     rows = spark.createDataFrame([("n", k, w) for k, w in enumerate((3, 3, 5, 9, 1))], "n string, ord int, w int")
-    assert [r.chunk for r in G.chunk_by_budget(rows, ["n"], "ord", "w", 8).orderBy("ord").collect()] == [0, 0, 1, 2, 3]
+    assert [r.chunk for r in packing.chunk_by_budget(rows, ["n"], "ord", "w", 8).orderBy("ord").collect()] == [0, 0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 9, 40])
+def test_chunks_of_groups_that_span_ranges(spark, ranges):
+    """Against the plain fold: groups of one row and of most rows, empty rows, rows over the budget, equal places."""
+    draw = random.Random(5)
+    rows = [("big", i // 2, draw.choice((0, 0, 1, 1, 2, 3, 5, 11, 25, None))) for i in range(1500)]
+    rows += [("one", i, 1) for i in range(400)] + [(None, i, draw.randrange(4)) for i in range(60)] + [(f"g{i}", 0, i) for i in range(30)]
+    want, state = {}, {}
+    for g, k, w in sorted(rows, key=lambda r: (r[0] or "", r[1], -1 if r[2] is None else r[2])):
+        chunk, total = state.get(g, (0, 0))
+        if total > 0 and total + (w or 0) > 10:
+            chunk, total = chunk + 1, 0
+        state[g] = chunk, total + (w or 0)
+        want.setdefault((g, k), []).append(chunk)
+    frame = spark.createDataFrame(rows, "g string, k int, w int").repartition(5)
+    got = {}
+    for r in packing.chunk_by_budget(frame, ["g"], "k", "w", 10, ranges).collect():
+        got.setdefault((r.g, r.k), []).append(r.chunk)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert packing.chunk_by_budget(frame.limit(0), ["g"], "k", "w", 10, ranges).count() == 0
 
 
 @pytest.mark.parametrize(

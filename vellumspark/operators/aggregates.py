@@ -1,10 +1,7 @@
-"""Counters, robust statistics, packing and roll-ups."""
+"""Counters, robust statistics and roll-ups."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,34 +101,6 @@ def length_outliers(pairs: DataFrame, by: list[str], threshold: float = 3.5, min
     return dev.join(mad, by).withColumn("z", 0.6745 * F.col("dev") / F.col("mad")).where(F.col("z") > threshold).drop("med", "n", "dev", "mad")
 
 
-def chunk_by_budget(rows: DataFrame, by: list[str], order: str, weight: str, budget: int) -> DataFrame:
-    """Greedy ordered packing: a new chunk starts when the sum would pass the budget; too large a row stands alone.
-
-    Each start depends on the one before, so the rows of a group pass through one task in order, batch by batch: a group of
-    any size needs one running sum in memory, but its time is not shortened by more machines. Groups should be sections.
-    """
-    columns = [*by, order, weight]
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, order])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, chunk, total = None, 0, 0
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by)))))
-            out = []
-            for key, w in zip(keys, batch.column(len(by) + 1).to_pylist()):
-                w = int(w or 0)
-                if key != group:
-                    group, chunk, total = key, 0, 0
-                if total > 0 and total + w > budget:
-                    chunk, total = chunk + 1, 0
-                total += w
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(by) + 1)] + [pa.array(out, pa.int32())], names=[*by, order, "chunk"])
-
-    sorted_ = rows.select(*columns).repartition(*by).sortWithinPartitions(*by, order)
-    return sorted_.mapInArrow(packed, f"{kinds}, chunk int")
-
-
 def style_share(runs: DataFrame, by: list[str]) -> DataFrame:
     """Whether over 80 % of a line's characters, superscripts aside, are bold, italic or monospaced."""
     n = F.char_length("text")

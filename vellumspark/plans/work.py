@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumspark.operators.aggregates import chunk_by_budget
+from vellumspark.operators.packing import chunk_by_budget
 from vellumspark.operators.tree import effective_skip
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumspark.operators import aggregates as G
+from vellumspark.operators import packing
 from vellumspark.operators import tree as R
 from vellumspark.operators import windows as W
 from vellumspark.plans.reports import library_summary
@@ -151,7 +152,7 @@ CHUNKS = f"""{A.SEGMENTS}, sw AS (SELECT doc_id, ord, len(regexp_extract_all(tex
 @query("agg22_chunk_by_budget", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, ord, chunk FROM ck")
 def chunks(spark, d):
     s = A.segments(spark, d).withColumn("w", F.regexp_count("text", F.lit(r"\S+")))
-    return G.chunk_by_budget(s, ["doc_id"], "ord", "w", 120)
+    return packing.chunk_by_budget(s, ["doc_id"], "ord", "w", 120)
 
 
 @query(
