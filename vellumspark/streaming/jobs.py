@@ -87,6 +87,18 @@ def change_feed(spark: SparkSession, path: str, id_col: str = "id", after: int =
     return spark.readStream.format("change_feed").options(id=id_col, after=str(after), limit=str(limit), fields=fields).load(path)
 
 
+def change_ticks(changes: DataFrame, id_col: str = "id", after: int = 0, limit: int = 500, first: int = 0) -> DataFrame:
+    """Changes with ids above `after` and the tick each belongs to, from `first` on: `limit` of them a tick, in order of their ids.
+
+    The batch twin of change_feed for a feed that is far behind: places are counted by ranges of ids, in tasks, so a backlog
+    of any length takes one micro-batch, not one a tick, and no row passes through the driver.
+    """
+    from vellumspark.operators.windows import numbered
+
+    placed = numbered(changes.where(F.col(id_col) > after), [id_col])
+    return placed.withColumn("tick", F.floor((F.col("place") - 1) / limit).cast("long") + F.lit(first)).drop("place")
+
+
 class _Expiry(StatefulProcessor):
     """Keeps the changes of a key until a timer at their age, and then reports them."""
 
