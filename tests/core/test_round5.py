@@ -47,3 +47,17 @@ def test_a_closing_sentence_takes_no_square_of_its_text(spark):
     start = time.monotonic()
     assert extractive_digest(rows, "doc_id", "ord").first().closing == "Last one."
     assert time.monotonic() - start < 15
+
+
+def test_a_book_is_exported_by_its_entries(spark):
+    """No row of the export, and no aggregate below it, holds the texts of a whole book."""
+    from vellumspark.sources.tables import reading_export
+
+    nodes = spark.createDataFrame([("b", k, k, k % 2, "section" if k % 2 else "chapter", k, f"T{k}", None, k == 3, k - k % 2) for k in range(6)], "book string, node_id long, pos long, depth long, kind string, number long, title_src string, title_tgt string, skip boolean, chapter long")
+    rows = spark.createDataFrame([("b", k, i, "p", f"x{i}", None) for k in range(5) for i in (1, 0)], "book string, node_id long, ord int, type string, src string, tgt string")
+    terms = spark.createDataFrame([("b", "z", "y", None), ("b", "a", "<", "d")], "book string, src string, tgt string, definition string")
+    entries, books = reading_export(nodes, rows, terms, spark.createDataFrame([("b", 1, 10)], "book string, done long, total long"))
+    got = [(r.id, r.label, r.chapter, None if r.rows is None else [x.src for x in r.rows]) for r in entries.orderBy("pos").collect()]
+    both = ["x0", "x1"]
+    assert got == [(0, "0. T0", None, both), (1, "T1", "T0", both), (2, "2. T2", None, both), (4, "4. T4", None, both), (5, "T5", "T4", None)]
+    assert [([t.src for t in r.glossary], r.done, r.total) for r in books.collect()] == [(["a", "z"], 1, 10)]
