@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import lang, persian
 from vellumspark.functions import text as T
-from vellumspark.operators import aggregates as G
 from vellumspark.operators import joins as J
 from vellumspark.operators import terms as M
 from vellumspark.operators.search import build_postings
@@ -29,36 +28,34 @@ def prose(c):
 def quality_check(pairs: DataFrame, keys: list[str], target: str, terms: DataFrame | None = None) -> DataFrame:
     """One row an issue of a pair (src, tgt): keys, code, severity. An empty target has that issue only.
 
-    terms (term_id, src, tgt, kind) adds glossary and name issues: a term in the source whose equivalent the target lacks.
+    A pair is judged in place, so neither its words nor its texts are shuffled. terms (term_id, src, tgt, kind) adds glossary
+    and name issues: a term in the source whose equivalent the target lacks.
     """
-    one = F.concat_ws("\u0001", *keys).alias("_id")
-    p = pairs.select(*keys, "src", "tgt", one)
-    plain = F.regexp_replace(T.strip_markup(F.coalesce("tgt", F.lit(""))), r"[\s*]+", "")
-    empty = p.where(plain == "").select("_id", F.lit("empty").alias("code"))
-    full = p.where(plain != "")
-    found = [empty, J.markup_diff(full, ["_id"]).select("_id").distinct().withColumn("code", F.lit("markup")), J.missing_numbers(full, ["_id"]).select("_id").distinct().withColumn("code", F.lit("numbers"))]
+    src, tgt = F.col("src"), F.col("tgt")
+    is_empty = F.regexp_replace(T.strip_markup(F.coalesce(tgt, F.lit(""))), r"[\s*]+", "") == ""
+    none = F.array().cast("array<string>")
+    # Texts without these signs hold no tokens.
+    tokens = lambda c: F.when(c.contains("`") | c.contains("[") | c.contains("://"), F.sort_array(T.markup_tokens(c))).otherwise(none)
+    repeated = lambda c: T.repeated_phrase(T.strip_markup(c))
+    codes = [F.when(tokens(src) != tokens(tgt), "markup"), F.when(T.lacks_some(*J.numbers_of(src, tgt)), "numbers"), F.when(repeated(tgt).isNotNull() & repeated(src).isNull(), "repetition")]
     if lang.SCRIPTS.get(target, "IsLatin") != "IsLatin":
         script = lang.SCRIPTS[target]
-        t = F.regexp_count(prose(F.col("tgt")), F.lit(f"[\\p{{{script}}}&&\\p{{L}}]"))
-        latin = F.regexp_count(prose(F.col("tgt")), F.lit(r"\p{IsLatin}"))
-        letters = F.regexp_count(prose(F.col("src")), F.lit(r"\p{L}"))
+        t = F.regexp_count(prose(tgt), F.lit(f"[\\p{{{script}}}&&\\p{{L}}]"))
+        latin = F.regexp_count(prose(tgt), F.lit(r"\p{IsLatin}"))
+        letters = F.regexp_count(prose(src), F.lit(r"\p{L}"))
         wrong = (letters >= 3) & (t + latin >= 3) & (t < 0.5 * (t + latin))
-        code = F.when(wrong, "target_script").when(prose(F.col("tgt")).rlike(LATIN_RUN), "untranslated")
-        found.append(full.select("_id", code.alias("code")).where("code is not null"))
-    repeated = G.repeated_phrases(full.select("_id", T.strip_markup(F.col("tgt")).alias("t")), "_id", "t").select("_id")
-    source = G.repeated_phrases(full.select("_id", T.strip_markup(F.col("src")).alias("t")), "_id", "t").select("_id")
-    found.append(repeated.join(source, "_id", "left_anti").withColumn("code", F.lit("repetition")))
-    found.append(full.select("_id", F.explode(T.leftover_characters(F.col("tgt"), target)).alias("code")))
+        codes.append(F.when(wrong, "target_script").when(prose(tgt).rlike(LATIN_RUN), "untranslated"))
+    found = F.array_compact(F.concat(F.array(*codes), F.coalesce(T.leftover_characters(tgt, target), none)))
+    issues = pairs.select(*keys, F.explode(F.when(is_empty, F.array(F.lit("empty"))).otherwise(found)).alias("code"))
     if terms is not None:
+        full = pairs.where(~is_empty).select(*keys, "src", "tgt", F.concat_ws("\u0001", *keys).alias("_id"))
         here = M.match_terms(full, terms, "_id", "src").select("_id", "term_id").distinct()
         there = M.match_terms(full, terms.select("term_id", F.col("tgt").alias("src")), "_id", "tgt").select("_id", "term_id").distinct()
         kind = terms.select("term_id", F.when(F.col("kind").isin("person", "org", "place", "work"), "name").otherwise("glossary").alias("code"))
-        found.append(here.join(there, ["_id", "term_id"], "left_anti").join(kind, "term_id").select("_id", "code").distinct())
-    issues = found[0]
-    for f in found[1:]:
-        issues = issues.unionByName(f)
+        lost = here.join(there, ["_id", "term_id"], "left_anti").join(kind, "term_id").select("_id", "code").distinct()
+        issues = issues.unionByName(lost.join(full.select(*keys, "_id"), "_id").select(*keys, "code"))
     severity = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
-    return issues.join(p.select(*keys, "_id"), "_id").select(*keys, "code", severity[F.col("code")].alias("severity"))
+    return issues.select(*keys, "code", severity[F.col("code")].alias("severity"))
 
 
 def length_suspicious(pairs: DataFrame, low: float = 0.4, high: float = 2.5, least: int = 60) -> DataFrame:
