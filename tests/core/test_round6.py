@@ -2,6 +2,7 @@
 
 from vellumspark.functions import text as T
 from vellumspark.operators import aggregates as G
+from vellumspark.operators import joins as J
 from vellumspark.plans import quality as Q
 
 
@@ -30,3 +31,17 @@ def test_numbers_meet_with_multiplicity(spark):
     rows = [(["1", "1", "2"], ["2", "1", "1"]), (["1", "1"], ["1", "2"]), ([], ["1"]), (["3"], []), (["2"], ["2", "2"]), (None, None)]
     frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<string>, b array<string>")
     assert [r.v for r in frame.select("k", T.lacks_some(frame.a, frame.b).alias("v")).orderBy("k").collect()] == [False, True, False, True, False, False]
+
+
+def test_titles_are_placed_in_order_batch_by_batch(spark):
+    titles = ["lever arms", "pulley blocks", "lever arms", "wedge", "lever arms"]
+    entries = spark.createDataFrame([(d, k, t, 0) for d in range(9) for k, t in enumerate(titles)], "doc_id long, lid int, title string, page int")
+    blocks = spark.createDataFrame([(d, 10 * k, t, 0, "heading", 2) for d in range(9) for k, t in enumerate(["pulley blocks", *titles[:3], "else", "lever arms"])], "doc_id long, rid long, title string, page int, type string, words int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = J.similar_titles(entries, blocks)
+        got = sorted((r.doc_id, r.lid, r.rid, r.score) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(d, lid, rid, 1.0) for d in range(9) for lid, rid in ((0, 10), (1, 20), (2, 30), (4, 50))]
+    assert "FlatMapGroupsInPandas" not in plan(found)
