@@ -1,5 +1,8 @@
 """Fixed cases from the sixth reading."""
 
+import duckdb
+import pandas as pd
+
 from vellumspark.functions import text as T
 from vellumspark.operators import aggregates as G
 from vellumspark.operators import joins as J
@@ -45,3 +48,14 @@ def test_titles_are_placed_in_order_batch_by_batch(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(d, lid, rid, 1.0) for d in range(9) for lid, rid in ((0, 10), (1, 20), (2, 30), (4, 50))]
     assert "FlatMapGroupsInPandas" not in plan(found)
+
+
+def test_edges_are_interpolated_as_in_sql(spark):
+    """Every group's percentile to the last digit; plain interpolation is off in some."""
+    rows = [((i * 7919) % 400, float(50 + 5 * ((i * i * 31 + i * 17) % 401) + (18 if i % 4 == 0 else 0))) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "g int, x double")
+    con = duckdb.connect()
+    for p in (0.1, 0.9):
+        got = {r.g: r.q for r in G.with_percentile(frame, ["g"], "x", p, "q").collect()}
+        rows_ = pd.DataFrame(rows, columns=["g", "x"])  # noqa: F841
+        assert got == dict(con.execute(f"SELECT DISTINCT g, quantile_cont(x, {p}) OVER (PARTITION BY g) FROM rows_").fetchall())

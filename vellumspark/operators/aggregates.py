@@ -40,6 +40,30 @@ def nearest_rank_percentile(rows: DataFrame, by: list[str], value: str, p: float
     return r.where(F.col("_k") == F.floor((F.col("_n") - 1) * p + 0.5) + 1).select(*by, F.col(value).alias("value"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles with one rounding: the product's error is worked out from halves of its factors, the sum's from its parts."""
+    high = lambda x: 134217729.0 * x - (134217729.0 * x - x)
+    error = lambda p: (high(a) * high(b) - p + high(a) * (b - high(b)) + (a - high(a)) * high(b)) + (a - high(a)) * (b - high(b))
+
+    def total(p: Column) -> Column:
+        return T.bind(p + c, lambda s: s + (((p - (s - (s - p))) + (c - (s - p))) + error(p)))
+
+    return T.bind(a * b, total)
+
+
+def with_percentile(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
+    """Rows with the continuous percentile of their group: neighbours in order are interpolated as quantile_cont does it.
+
+    Its product with the lower neighbour is fused with the sum, so a place that lies exactly on a bound stays on its side.
+    Values are ranked in a sort, without collecting the group.
+    """
+    w = Window.partitionBy(*by)
+    r = rows.withColumn("_k", F.row_number().over(w.orderBy(F.col(value).asc_nulls_last()))).withColumn("_at", (F.count(value).over(w) - 1) * F.lit(p))
+    element = lambda k: F.max(F.when(F.col("_k") == k + 1, F.col(value))).over(w)
+    r = r.withColumn("_lo", element(F.floor("_at"))).withColumn("_hi", element(F.ceil("_at"))).withColumn("_part", F.col("_at") - F.floor("_at"))
+    return r.withColumn(name, fused(F.col("_lo"), 1 - F.col("_part"), F.col("_hi") * F.col("_part"))).drop("_k", "_at", "_lo", "_hi", "_part")
+
+
 def in_margin(page_height: float, zone: float = 0.08) -> Column:
     """The margin a line stands in: top by a line more than the zone, bottom, or null."""
     return F.when(F.col("y") <= zone * page_height + F.col("size"), "top").when(F.col("y") >= (1 - zone) * page_height, "bottom")

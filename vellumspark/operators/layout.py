@@ -107,9 +107,8 @@ def paragraph_blocks(lines: DataFrame, stats: DataFrame) -> DataFrame:
     indent, or after a sentence end with room left on the line. A line that hangs under a list item stays with it.
     """
     page = Window.partitionBy("doc_id", "page").orderBy("pos")
-    col_ = Window.partitionBy("doc_id", "page", "column")
-    edge_l, edge_r = F.percentile("x0", 0.1).over(col_), F.percentile("x1", 0.9).over(col_)
-    r = lines.join(stats, "doc_id").withColumn("_el", edge_l).withColumn("_er", edge_r)
+    column = ["doc_id", "page", "column"]
+    r = G.with_percentile(G.with_percentile(lines.join(stats, "doc_id"), column, "x0", 0.1, "_el"), column, "x1", 0.9, "_er")
     prev = lambda c: F.lag(c).over(page)
     expected = F.when(F.abs(prev("size") - F.col("body_size")) < 0.6, F.col("line_gap")).otherwise(prev("size") * 1.2)
     gap = F.col("y") - prev("y")
