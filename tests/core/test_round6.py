@@ -6,6 +6,7 @@ import pandas as pd
 from vellumspark.functions import text as T
 from vellumspark.operators import aggregates as G
 from vellumspark.operators import joins as J
+from vellumspark.operators import terms as M
 from vellumspark.plans import quality as Q
 
 
@@ -59,3 +60,14 @@ def test_edges_are_interpolated_as_in_sql(spark):
         got = {r.g: r.q for r in G.with_percentile(frame, ["g"], "x", p, "q").collect()}
         rows_ = pd.DataFrame(rows, columns=["g", "x"])  # noqa: F841
         assert got == dict(con.execute(f"SELECT DISTINCT g, quantile_cont(x, {p}) OVER (PARTITION BY g) FROM rows_").fetchall())
+
+
+def test_plurals_meet_their_singulars_without_further_shuffles(spark):
+    counts = {"city": 2, "cities": 3, "bus": 1, "buses": 4, "big boxes": 2, "big box": 1, "axes": 5, "yes": 1, "ye": 2, "s": 1, "glass": 2, "glasses": 1, "series": 1, "s caseses": 1, "s cases": 1, "s case": 1, "boss": 1}
+    frame = spark.createDataFrame([(k, k, n, 1, 0, 0) for k, n in counts.items()], "key string, form string, n long, words int, bonus int, place int")
+    merged = M.merge_plurals(M.surface_form(frame))
+    assert {r.key: (r.n, r.form) for r in merged.collect()} == {
+        "city": (5, "city"), "bus": (5, "bus"), "big box": (3, "big box"), "axes": (5, "axes"), "ye": (3, "ye"), "s": (1, "s"), "glass": (3, "glass"), "series": (1, "series"), "s cases": (2, "s cases"), "s case": (1, "s case"), "boss": (1, "boss")
+    }
+    texts = spark.createDataFrame([(1, "Levers and a lever.")], "doc_id long, text string")
+    assert plan(M.merge_plurals(M.surface_form(M.term_candidates(texts)))).count("Exchange hashpartitioning") == 2
